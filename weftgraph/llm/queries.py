@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linerules, substring
+from . import linerules, secret_scan, substring, token_counts
 from .common import read_table
 
 
@@ -11,6 +11,8 @@ def _documents(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, sf_dir: secret_scan.scan(_documents(spark, sf_dir)),
+    "op2_token_counts": lambda spark, sf_dir: token_counts.count_tokens(_documents(spark, sf_dir)),
     "op3_substring_dedup": lambda spark, sf_dir: substring.dedup(_documents(spark, sf_dir)),
     "op10_quality_rules": lambda spark, sf_dir: linerules.digest(_documents(spark, sf_dir)),
 }
