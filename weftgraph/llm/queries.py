@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linerules, secret_scan, substring, token_counts
+from . import decontam, linerules, quality_nb, secret_scan, substring, token_counts
 from .common import read_table
 
 
@@ -14,6 +14,8 @@ QUERIES = {
     "op1_secret_scan": lambda spark, sf_dir: secret_scan.scan(_documents(spark, sf_dir)),
     "op2_token_counts": lambda spark, sf_dir: token_counts.count_tokens(_documents(spark, sf_dir)),
     "op3_substring_dedup": lambda spark, sf_dir: substring.dedup(_documents(spark, sf_dir)),
+    "op6_quality_classifier": lambda spark, sf_dir: quality_nb.score(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels")),
+    "op9_decontamination": lambda spark, sf_dir: decontam.matches(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")),
     "op10_quality_rules": lambda spark, sf_dir: linerules.digest(_documents(spark, sf_dir)),
 }
 
