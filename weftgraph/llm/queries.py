@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, linerules, pieces, pii, quality_nb, secret_scan, substring, token_counts
+from . import decontam, gru_lm, jaccard, linerules, pieces, pii, quality_nb, secret_scan, substring, token_counts
 from .common import read_table
 
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op4_pii_pseudonyms": lambda spark, sf_dir: pii.digest(_documents(spark, sf_dir)),
     "op5_jaccard_join": lambda spark, sf_dir: jaccard.links(_documents(spark, sf_dir)),
     "op6_quality_classifier": lambda spark, sf_dir: quality_nb.score(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels")),
+    "op7_gru_lm": lambda spark, sf_dir: gru_lm.score(_documents(spark, sf_dir)),
     "op8_sentencepiece": lambda spark, sf_dir: pieces.digest(_documents(spark, sf_dir)),
     "op9_decontamination": lambda spark, sf_dir: decontam.matches(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")),
     "op10_quality_rules": lambda spark, sf_dir: linerules.digest(_documents(spark, sf_dir)),
