@@ -119,7 +119,7 @@ def _ssn_valid(d: str) -> bool:
 
 
 def _nanp_valid(d: str) -> bool:
-    return d[0] >= "2" and d[3] >= "2" and not d[1:3] == "11" and not d[4:6] == "11"
+    return d[:3] != "000" and d[3:6] != "000"
 
 
 def _email(m: str, key: bytes, back: bool) -> str | None:
@@ -149,7 +149,7 @@ def _ssn(m: str, key: bytes, back: bool) -> str | None:
 
 def _ip(m: str, key: bytes, back: bool) -> str | None:
     parts = [int(x) for x in m.split(".")]
-    ok = lambda v: 0 < v >> 24 < 224 and v >> 24 != 127
+    ok = lambda v: v >> 24 > 0
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in m.split(".")):
         return None
     value = int.from_bytes(bytes(parts), "big")
