@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import cut, keyed, shared_dir
+from .common import cut, delete, shared_dir
 
 WINDOW, GRAM = 35, 12
 SPREAD = WINDOW - GRAM + 1  # grams in a window
 BATCHES = 2
 
-_ENTRY = "f long, r long, n int, doc_id long, rk long, lo int, hi int"
+_ENTRY = "f long, r long, n int, row_id long, rk long, lo int, hi int"
 
 
 def _sliding_min(g: np.ndarray, size: int) -> np.ndarray:
@@ -78,14 +78,14 @@ def _entries(words: wh.Words, h: np.ndarray):
 
 def _scan(batches):
     for batch in batches:
-        ids, keys = batch.column("doc_id"), batch.column("rk")
+        ids, keys = batch.column("row_id"), batch.column("rk")
         for i, _, words in wh.each_slice(batch):
             got = _entries(words, words.hashes())
             if got is None:
                 continue
             row, f, r, n, lo, hi = got
             take = pa.array(row + i)
-            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(f)), pa.array(wh.signed(r)), pa.array(n), ids.take(take), keys.take(take), pa.array(lo), pa.array(hi)], names=["f", "r", "n", "doc_id", "rk", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(wh.signed(f)), pa.array(wh.signed(r)), pa.array(n), ids.take(take), keys.take(take), pa.array(lo), pa.array(hi)], names=["f", "r", "n", "row_id", "rk", "lo", "hi"])
 
 
 class FingerprintIndex:
@@ -94,10 +94,6 @@ class FingerprintIndex:
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path, self.runs = spark, path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}", []
 
-    def _drop(self, run: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
     def _write(self, run: DataFrame) -> str:
         to = f"{self.path}/run-{uuid.uuid4().hex}"
         run.sortWithinPartitions("f").write.parquet(to)
@@ -112,7 +108,7 @@ class FingerprintIndex:
             fresh = fresh.hint("merge").join(was, "f", "full_outer").select("f", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
         self.runs = [self._write(fresh)]
         for run in old:
-            self._drop(run)
+            delete(self.spark, run)
 
     def table(self) -> DataFrame:
         if not self.runs:
@@ -160,42 +156,47 @@ def _digest(batches):
                 words = kept + words[upto:]
             gone.append(total[-1] - len(words))
             digests.append(sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``keyed`` under another name, so that both joins with the texts get the same plan and share one exchange."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("row_id"), body.alias("text"), F.xxhash64(body).alias("rk"))
 
 
 def removed_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, rk, lo, hi): windows lo to hi of the row also start elsewhere. Overlaps may occur."""
+    """(row_id, rk, lo, hi): windows lo to hi of the row also start elsewhere. Overlaps may occur."""
     spark = docs.sparkSession
-    rows = keyed(docs)
+    rows = _rows(docs)
     index = FingerprintIndex(spark)
     for b in range(batches):
-        part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)
+        part = rows.where(F.pmod(F.xxhash64("row_id"), F.lit(batches)) == b)
         index.add(part.mapInArrow(_scan, _ENTRY).select("f", "n"))
     entries = rows.mapInArrow(_scan, _ENTRY)
     again = cut(entries.join(index.repeated().hint("merge"), "f", "left_semi"))
     for run in index.runs:
-        index._drop(run)
-    kinds = cut(again.groupBy("f", "r").agg(F.count("*").alias("c"), F.sum("n").cast("long").alias("n"), F.min(F.struct("doc_id", "rk", "lo", "hi")).alias("one")))
+        delete(spark, run)
+    kinds = cut(again.groupBy("f", "r").agg(F.count("*").alias("c"), F.sum("n").cast("long").alias("n"), F.min(F.struct("row_id", "rk", "lo", "hi")).alias("one")))
     # entries whose whole range is unlike the others under their fingerprint, or that overlap themselves, are compared window by window
     single = F.col("c") == 1
     uneven = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.min("c").alias("least"), F.max(F.when(single, F.col("n"))).alias("own")).where("least = 1 and (kinds > 1 or own > 1)").select("f")
     asked = kinds.join(uneven, "f", "left_semi")
-    spans = asked.select("one.doc_id", "one.rk", F.struct("f", "r", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi")).alias("s")).groupBy("doc_id", "rk").agg(F.collect_list("s").alias("spans"))
+    spans = asked.select("one.row_id", "one.rk", F.struct("f", "r", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi")).alias("s")).groupBy("row_id", "rk").agg(F.collect_list("s").alias("spans"))
     found = _with_text(rows, spans, "inner").mapInArrow(_window_rows, "f long, r long, w long, at int")
-    found = cut(found)
     twice = found.groupBy("f", "w").agg(F.count("*").alias("k")).where("k > 1").select("f", "w")
     hit = found.join(twice, ["f", "w"], "left_semi").select("f", "r", "at")
-    whole = again.join(kinds.where("c > 1").select("f", "r"), ["f", "r"], "left_semi").select("doc_id", "rk", "lo", "hi")
-    part = asked.where(single).join(hit, ["f", "r"]).select("one.doc_id", "one.rk", (F.col("one.lo") + F.col("at")).alias("lo"))
+    whole = again.join(kinds.where("c > 1").select("f", "r"), ["f", "r"], "left_semi").select("row_id", "rk", "lo", "hi")
+    part = asked.where(single).join(hit, ["f", "r"]).select("one.row_id", "one.rk", (F.col("one.lo") + F.col("at")).alias("lo"))
     return whole.unionByName(part.withColumn("hi", F.col("lo")))
 
 
 def _with_text(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    right = spans.withColumnRenamed("doc_id", "d").withColumnRenamed("rk", "k")
-    return rows.join(right, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k")), how).drop("d", "k")
+    right = spans.withColumnRenamed("row_id", "d").withColumnRenamed("rk", "k")
+    return rows.join(right, F.col("row_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k")), how).drop("d", "k")
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
-    spans = removed_spans(docs, batches).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
-    return _with_text(keyed(docs), spans, "left").select("doc_id", "text", "cut").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    spans = removed_spans(docs, batches).groupBy("row_id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
+    return _with_text(_rows(docs), spans, "left").select("row_id", "text", "cut").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
