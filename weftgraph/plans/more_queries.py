@@ -6,13 +6,15 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions import globs, text
+from ..functions import classify, globs, text
 from ..operators import graph as g
 from ..operators import retrieval as r
+from ..operators import tools
 from ..operators.reach import bfs
 from ..schema import EDGE_WEIGHTS, PROPERTIES, USAGE_EDGES
 from ..sources import tables
 from ..streaming import incremental
+from . import gql
 from .projection import graph, oracle
 
 c = F.col
@@ -498,3 +500,61 @@ def staleness(spark, sf):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2", over_graph=False)
 def event_windows(spark, sf):
     return incremental.windowed_counts(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+# -- tools ---------------------------------------------------------------------------------
+
+
+@query("select id, name, node_type, file, rank, count(*) over () as total from (select id, name, node_type, file, case when name = 'order_1' then 0 when starts_with(name, 'order_1') then 1 when name like '%order\\_1%' escape '\\' then 2 else 3 end as rank from nodes where node_type = 'Function' and (name like '%order\\_1%' escape '\\' or lower(description) like '%order\\_1%' escape '\\')) t order by rank, length(name), name, id limit 20")
+def find_symbols(spark, sf):
+    return tools.find_symbols(graph(spark, sf)[0], "Order_1", ["Func*"])
+
+
+@query("select file, start_line, id, node_type, name from nodes where node_type not in ('File', 'Folder') and file in (select distinct file from nodes where node_type not in ('File', 'Folder') and regexp_full_match(file, '(?i)parts/.*/p1[^/]*') order by file limit 20)")
+def file_outline(spark, sf):
+    return tools.file_outline(graph(spark, sf)[0], "parts/**/p1*")
+
+
+@query("select id, min(ref) as ref from (select id, 0 as ref from nodes where id = 'class:p1' or lower(name) = 'class:p1' union all select * from (select id, 1 from nodes where regexp_full_match(name, '(?i)order_4[0-9]') order by name, id limit 25) t) u group by 1")
+def match_ref(spark, sf):
+    return tools.expand_refs(graph(spark, sf)[0], ["class:p1", "order_4[0-9]"])
+
+
+@query("select 'interface:s1' as id")
+def resolve_node_ref(spark, sf):
+    return spark.createDataFrame([(tools.resolve_one(graph(spark, sf)[0], "interface:s1"),)], "id string")
+
+
+@query()
+def context(spark, sf):
+    return tools.context(*graph(spark, sf), "class:p1")
+
+
+@query(
+    "with s as (select * from (values (1, 'function:o1'), (2, (select min(target) from edges where source = 'function:o1' and edge_type = 'References')), (3, 'interface:s1')) v(place, id)), t as (select place, id, lag(id) over (order by place) as previous from s)"
+    " select t.place, t.id, t.previous, coalesce((select min(edge_type) from edges e where e.source = t.previous and e.target = t.id), '<' || (select min(edge_type) from edges e where e.target = t.previous and e.source = t.id)) as link from t"
+)
+def tour_assembly(spark, sf):
+    edges = graph(spark, sf)[1]
+    second = edges.where("source = 'function:o1' and edge_type = 'References'").agg(F.min("target")).first()[0]
+    return tools.tour_links(spark.createDataFrame([(1, "function:o1"), (2, second), (3, "interface:s1")], "place int, id string"), edges)
+
+
+_GQL = "MATCH (a:Function)-[:Calls]->(b:Function) WHERE a.loc > 50 AND b.has_doc = 0 RETURN a.folder AS folder, count(*) AS n, count(DISTINCT elementKey(b)) AS callees ORDER BY n DESC, folder LIMIT 50"
+
+
+@query("select a.folder, count(*) as n, count(distinct b.id) as callees from edges e join nodes a on a.id = e.source join nodes b on b.id = e.target where e.edge_type = 'Calls' and a.node_type = 'Function' and b.node_type = 'Function' and a.loc > 50 and b.has_doc = 0 group by 1 order by n desc, 1 limit 50")
+def raw_gql(spark, sf):
+    return gql.run(_GQL, *graph(spark, sf))
+
+
+@query("select case when lower(file) like 'parts/%' then 'parts' else 'other' end as place, count(*) as n from nodes where file is not null group by 1")
+def classify_place(spark, sf):
+    place = F.when(globs.path_filter(c("file"), "parts/"), "parts").otherwise("other")
+    return graph(spark, sf)[0].where("file is not null").groupBy(place.alias("place")).agg(F.count("*").alias("n"))
+
+
+@query()
+def classify_file(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return pages.groupBy(classify.classify_file().alias("class")).agg(F.count("*").alias("n"))
