@@ -14,8 +14,12 @@ it. A chunk alone yields the transfer matrix between the few possible states at
 its two borders (max-plus, sparse: state in, state out, weight). Matrices are
 combined associatively, one product for each document; forward and backward
 products name the state at each border, and each chunk is then backtraced
-independently between its two states. All other documents are one chunk, which
-the library encodes itself.
+independently between its two states.
+
+All other documents are one chunk. No piece holds a blank after another
+character, so a blank (or run of blanks) with the characters up to the next one
+is encoded by itself; the library encodes each distinct one once while it is
+remembered, and what it gives is decoded again to see that nothing was lost.
 
 Decoding inverts encoding but for U+2581, which the model reads as a blank.
 Defined results: null and empty texts have no pieces; null ids and repeated
@@ -26,6 +30,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from hashlib import sha256
 
@@ -39,7 +44,7 @@ from .common import cut, keyed
 MODEL = "piece_bpe_32k.model"
 GIANT, CHUNK = 65_536, 8_192
 BLANK = "▁"
-SLICE = 1 << 18  # characters that the library encodes at once
+REMEMBERED = 300_000  # distinct words with their ids, for each worker
 
 
 def model_path(name: str = MODEL) -> str:
@@ -48,6 +53,7 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+_WORD = re.compile(f"{BLANK}+[^{BLANK}]*").findall
 State = tuple[int, int]  # start and end of a piece, in characters of the document
 Matrix = dict[State, dict[State, int]]
 START: State = (-1, 0)
@@ -64,15 +70,18 @@ class Pieces:
         normal = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.ids = {m.id_to_piece(i): i for i in normal}
         self.rank = {p: -m.get_score(i) for p, i in self.ids.items()}
-        self.bytes = {i: [k for k in range(n) if m.is_byte(k) and m.id_to_piece(k) == f"<0x{i:02X}>"][0] for i in range(256)} if any(m.is_byte(k) for k in range(n)) else {}
         self.unknown = m.unk_id()
-        whole = [p for p in self.ids if len(p) == 1 or self.merge(p) == [p]]
-        self.whole = set(whole)
-        self.longest = max(map(len, whole))
-        self.lengths: dict[str, list[int]] = {}
-        for p in whole:
-            self.lengths.setdefault(p[:2], []).append(len(p))
+        byte = [m.piece_to_id(f"<0x{i:02X}>") for i in range(256)]
+        self.bytes = byte if all(m.is_byte(k) for k in byte) else None
+        self.longest = max(map(len, self.ids))
+        lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            lengths.setdefault(p[:2], set()).add(len(p))
+        self.lengths = {k: sorted(v - {1}) for k, v in lengths.items()}
         self.fits = lru_cache(1 << 20)(self._fits)
+        self.alone = lru_cache(1 << 16)(lambda p: len(p) == 1 or self.merge(p) == [p])
+        self.words: dict[str, bytes] = {}
+        self.lost: set[str] = set()  # words that decoding doesn't give back
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short string, by its merges."""
@@ -88,11 +97,10 @@ class Pieces:
 
     def at(self, text: str, i: int) -> list[str]:
         """The pieces that may start at text[i]; a character outside the vocabulary stands alone."""
-        one, out = text[i], []
-        for n in self.lengths.get(text[i : i + 2], ()) if i + 1 < len(text) else ():
-            if n > 1 and text[i : i + n] in self.whole:
-                out.append(text[i : i + n])
-        out.append(one)
+        out = [text[i]]
+        for n in self.lengths.get(text[i : i + 2], ()):
+            if (p := text[i : i + n]) in self.ids and len(p) == n:
+                out.append(p)
         return out
 
     def forward(self, text: str, base: int, state: State, stop: int, like: dict[int, State] | None = None) -> dict[int, State]:
@@ -114,7 +122,7 @@ class Pieces:
                     return last
             prior = text[before[0] - base : e - base] if before != START else None
             for p in self.at(text, e - base):
-                if prior is None or self.fits(prior, p):
+                if self.fits(prior, p) if prior is not None else self.alone(p):
                     last[e + len(p)] = (e, e + len(p))
         return last
 
@@ -156,6 +164,29 @@ class Pieces:
             return [self.ids[piece]]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text, each without the blank before it."""
+        if "  " in text or BLANK in text or text[:1] == " ":
+            return [u[1:] for u in _WORD(BLANK + text.replace(" ", BLANK))]
+        return text.split(" ") if text else []
+
+    def encode_whole(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text as little-endian 32-bit values, and whether they decode to it."""
+        cut = [self.split(t) for t in texts]
+        for _ in range(2):
+            new = list(set().union(*cut).difference(self.words))
+            if len(self.words) + len(new) <= REMEMBERED or not self.words:
+                break
+            self.words, self.lost = {}, set()
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            # a word alone is encoded like a text: with the blank that stands before it
+            ids = [self.library.encode(w) if w else [self.ids[BLANK]] for w in part]
+            self.words.update((w, np.array(x, "<i4").tobytes()) for w, x in zip(part, ids))
+            self.lost.update(w for w, d in zip(part, self.library.decode(ids)) if d != w.replace(BLANK, " "))
+        of = self.words.__getitem__
+        return [b"".join(map(of, w)) for w in cut], [self.lost.isdisjoint(w) for w in cut]
+
 
 def combine(a: Matrix, b: Matrix) -> Matrix:
     """Max-plus product; associative."""
@@ -192,34 +223,38 @@ def normal_form(text: str) -> str:
 # -- documents that the library takes whole ------------------------------------------------
 
 
-def _small(path_: str, giant: int):
+def _small(path_: str, giant: int, digest: bool):
     def run(batches):
-        library = pieces(path_).library
+        p = pieces(path_)
         for batch in batches:
-            column, at, parts = batch.column("text"), 0, []
-            mask = np.zeros(batch.num_rows, bool)
-            while at < batch.num_rows:
-                texts, size = [], 0
-                while at < batch.num_rows and size < SLICE:
-                    t = column[at].as_py()
-                    if len(t) <= giant:
-                        mask[at] = True
-                        texts.append(t)
-                        size += len(t)
-                    at += 1
-                if not texts:
-                    continue
-                ids = library.encode(texts, num_threads=1)
-                exact = [d == t.replace(BLANK, " ") for d, t in zip(library.decode(ids, num_threads=1), texts)]
-                parts.append((pa.array(ids, pa.list_(pa.int32())), exact))
+            column, ids, exact = batch.column("text"), [], []
+            mask, part, size = np.zeros(batch.num_rows, bool), [], 0
+            for at in range(batch.num_rows):
+                t = column[at].as_py()
+                if len(t) <= giant:
+                    mask[at] = True
+                    part.append(t)
+                    size += len(t)
+                if part and (size > 1 << 20 or at == batch.num_rows - 1):
+                    raw, good = p.encode_whole(part)
+                    ids += [(len(x) // 4, sha256(x).hexdigest()) for x in raw] if digest else [_list(raw)]
+                    exact += good
+                    part, size = [], 0
             kept = batch.filter(pa.array(mask))
-            ids = pa.concat_arrays([p for p, _ in parts]) if parts else pa.array([], pa.list_(pa.int32()))
-            exact = pa.array([x for _, e in parts for x in e], pa.bool_())
-            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("rk"), ids, exact, pa.array(np.ones(len(exact), np.int64))], names=["doc_id", "rk", "ids", "exact", "chunks"])
+            if digest:
+                values = [pa.array([n for n, _ in ids], pa.int64()), pa.array([h for _, h in ids], pa.string())]
+            else:
+                values = [pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), *values, pa.array(exact, pa.bool_()), pa.array(np.ones(len(exact), np.int64))], names=["doc_id", *(["n_pieces", "ids_sha256"] if digest else ["ids"]), "exact", "chunks"])
 
     return run
 
 
+def _list(raw: list[bytes]) -> pa.Array:
+    offs = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 # -- giant documents -----------------------------------------------------------------------
 
 _CHUNK = "doc_id long, rk long, k int, base long, lo long, hi long, size long, text string"
@@ -295,7 +330,9 @@ def _same(a: str, b: str):
 
 def _giant_results(rows: DataFrame, path_: str, giant: int, chunk: int) -> DataFrame:
     large = rows.where(F.length("text") > giant).dropDuplicates(["doc_id", "rk"])
-    chunks = cut(large.mapInArrow(_split(path_, giant, chunk), _CHUNK).repartition("doc_id", "rk", "k"))
+    # by number, so that small rows with much work in them aren't gathered into few tasks
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = cut(large.mapInArrow(_split(path_, giant, chunk), _CHUNK).repartition(spread, "doc_id", "rk", "k"))
     matrices = chunks.mapInArrow(_transfer(path_), "doc_id long, rk long, k int, size long, matrix string")
     parts = matrices.groupBy("doc_id", "rk").agg(F.max("size").alias("size"), F.collect_list(F.struct("k", "matrix")).alias("parts"))
     borders = parts.mapInArrow(_borders, "d long, r long, j int, before array<long>, after array<long>")
@@ -306,13 +343,15 @@ def _giant_results(rows: DataFrame, path_: str, giant: int, chunk: int) -> DataF
     )
 
 
+def _large(rows: DataFrame, path_: str, giant: int, chunk: int) -> DataFrame:
+    return rows.where(F.length("text") > giant).select("doc_id", "rk").join(_giant_results(rows, path_, giant, chunk), _same("doc_id", "d") & _same("rk", "r")).select("doc_id", "ids", "exact", "chunks")
+
+
 def encode(docs: DataFrame, path_: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, ids (of the pieces), exact (decoding gives the text back), chunks."""
     path_ = path_ or model_path()
     rows = keyed(docs)
-    small = rows.mapInArrow(_small(path_, giant), "doc_id long, rk long, ids array<int>, exact boolean, chunks long")
-    large = rows.where(F.length("text") > giant).select("doc_id", "rk").join(_giant_results(rows, path_, giant, chunk), _same("doc_id", "d") & _same("rk", "r"))
-    return small.select("doc_id", "ids", "exact", "chunks").unionByName(large.select("doc_id", "ids", "exact", "chunks"))
+    return rows.mapInArrow(_small(path_, giant, False), "doc_id long, ids array<int>, exact boolean, chunks long").unionByName(_large(rows, path_, giant, chunk))
 
 
 def _decoded(path_: str):
@@ -340,5 +379,7 @@ def _digest(batches):
 
 
 def digest(docs: DataFrame, path_: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_pieces, ids_sha256 (ids as little-endian 32-bit), exact, chunks."""
-    return encode(docs, path_, giant, chunk).mapInArrow(_digest, "doc_id long, n_pieces long, ids_sha256 string, exact boolean, chunks long")
+    """``encode`` with n_pieces and ids_sha256 (of the ids as little-endian 32-bit values) in place of the ids."""
+    path_, schema = path_ or model_path(), "doc_id long, n_pieces long, ids_sha256 string, exact boolean, chunks long"
+    rows = keyed(docs)
+    return rows.mapInArrow(_small(path_, giant, True), schema).unionByName(_large(rows, path_, giant, chunk).mapInArrow(_digest, schema))
