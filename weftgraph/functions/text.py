@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 MIN_TOKEN, MAX_TOKEN = 2, 32
 #: fixed values: what marks a path as a test
-TEST_PATHS = r"/(tests?|__tests__|spec|specs|e2e)/|\.(test|spec)\.[a-z]+$|_test\.[a-z]+$|/test_[^/]*$|(test|tests|spec)\.(java|kt)$"
+TEST_PATHS = r"/(test|tests|__tests__|spec)/|/test_|[_.](test|spec)\."
 
 
 def _col(x) -> Column:

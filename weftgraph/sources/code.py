@@ -207,17 +207,17 @@ def build_graph(syms: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = s.where("kind != 'file'").join(files, "path").join(owner, ["path", "owner"], "left").select(F.coalesce("owner_id", "file_id").alias("source"), c("id").alias("target"), F.lit("Contains").alias("edge_type"))
 
     def by_name(wanted: DataFrame, kinds: str, edge: str) -> DataFrame:
-        """wanted: (source, path, name). The only one of that name in the file, else the only one anywhere."""
-        named = s.where(f"kind in ({kinds})").select(c("id").alias("target"), c("path").alias("at"), "name")
-        hits = wanted.join(named, "name")
+        """wanted: (source, path, language, name). The only one of that name in the file, else the only one in the language."""
+        named = s.where(f"kind in ({kinds})").select(c("id").alias("target"), c("path").alias("at"), "language", "name")
+        hits = wanted.join(named, ["language", "name"])
         here = hits.where("at = path").groupBy("source", "name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").select("source", "name", "target", F.lit(0).alias("rank"))
-        all_ = named.groupBy("name").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").select("name", "target")
-        there = wanted.join(all_, "name").select("source", "name", "target", F.lit(1).alias("rank"))
+        all_ = named.groupBy("language", "name").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").select("language", "name", "target")
+        there = wanted.join(all_, ["language", "name"]).select("source", "name", "target", F.lit(1).alias("rank"))
         best = here.unionByName(there).groupBy("source", "name").agg(F.min_by("target", "rank").alias("target"))
         return best.where("source != target").select("source", "target", F.lit(edge).alias("edge_type"))
 
-    called = s.where("kind = 'function'").select(c("id").alias("source"), "path", F.explode("calls").alias("k")).select("source", "path", c("k.name").alias("name")).distinct()
-    base = s.where("kind in ('class', 'interface')").select(c("id").alias("source"), "path", F.explode("bases").alias("b")).select("source", "path", F.regexp_extract("b", r"([^.:]*)$", 1).alias("name")).distinct()
+    called = s.where("kind = 'function'").select(c("id").alias("source"), "path", "language", F.explode("calls").alias("k")).select("source", "path", "language", c("k.name").alias("name")).distinct()
+    base = s.where("kind in ('class', 'interface')").select(c("id").alias("source"), "path", "language", F.explode("bases").alias("b")).select("source", "path", "language", F.regexp_extract("b", r"([^.:]*)$", 1).alias("name")).distinct()
     calls, made = by_name(called, "'function'", "Calls"), by_name(called, "'class'", "Instantiates")
     extends, implements = by_name(base, "'class'", "Extends"), by_name(base, "'interface'", "Implements")
     up = extends.unionByName(implements).select(c("source").alias("sub"), c("target").alias("super"))
