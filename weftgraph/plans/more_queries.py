@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, globs, text
 from ..operators import graph as g
 from ..operators import retrieval as r
-from ..operators import tools
+from ..operators import resolve, tools
 from ..operators.reach import bfs
 from ..schema import EDGE_WEIGHTS, PROPERTIES, USAGE_EDGES
 from ..sources import tables
@@ -558,3 +558,38 @@ def classify_place(spark, sf):
 def classify_file(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
     return pages.groupBy(classify.classify_file().alias("class")).agg(F.count("*").alias("n"))
+
+
+# -- name resolution -----------------------------------------------------------------------
+
+_UP = "with recursive up(id, other, level) as (select source, target, 1 from edges where edge_type in ('Extends', 'Implements') union select u.id, e.target, level + 1 from up u join edges e on e.source = u.other and e.edge_type in ('Extends', 'Implements') where level < 8), least_up as (select id, other, min(level) as level from up where id <> other group by 1, 2)"
+
+
+@query(_UP + ", ranked as (select other as id, id as other, level, row_number() over (partition by other order by level, id) as r from least_up) select id, other, level from ranked where r <= 8")
+def implementors(spark, sf):
+    return resolve.implementors(graph(spark, sf)[1])
+
+
+_CALLS = "calls as (select id as call, id as type, 'm' || cast((loc + 2) % 5 as varchar) as name, loc % 3 as argc from nodes where node_type = 'Class'), members as (select id as type, 'm' || cast(loc % 5 as varchar) as name, loc % 3 as argc, id || '.m' as method from nodes where node_type = 'Class')"
+_RESOLVED = _UP + f", {_CALLS}, wide as (select call, type as t, name, argc as wanted, 0 as level from calls union all select c.call, u.other, c.name, c.argc, u.level from calls c join least_up u on u.id = c.type), ranked as (select w.call, m.method, row_number() over (partition by w.call order by w.level, m.argc <> w.wanted, m.method) as r from wide w join members m on m.type = w.t and m.name = w.name)"
+
+
+def _calls(nodes):
+    own = nodes.where("node_type = 'Class'")
+    calls = own.select(c("id").alias("call"), c("id").alias("type"), F.concat(F.lit("m"), (c("loc") + 2) % 5).alias("name"), (c("loc") % 3).alias("argc"))
+    return calls, own.select(c("id").alias("type"), F.concat(F.lit("m"), c("loc") % 5).alias("name"), (c("loc") % 3).alias("argc"), F.concat("id", F.lit(".m")).alias("method"))
+
+
+@query(_RESOLVED + " select call, method from ranked where r = 1")
+def method_resolve(spark, sf):
+    nodes, edges = graph(spark, sf)
+    return resolve.method_resolve(*_calls(nodes), edges)
+
+
+@query(_RESOLVED + ", only_name as (select name, min(method) as target from members group by 1 having count(*) = 1), hit as (select c.call, case when r.method is not null then 0 when o.target is not null then 1 else -1 end as strategy from calls c left join (select * from ranked where r = 1) r on r.call = c.call left join only_name o on o.name = c.name) select strategy, count(*) as n from hit group by 1")
+def resolution_stats(spark, sf):
+    nodes, edges = graph(spark, sf)
+    calls, members = _calls(nodes)
+    typed = resolve.method_resolve(calls, members, edges).withColumnRenamed("method", "target")
+    bare = members.groupBy("name").agg(F.count("*").alias("n"), F.min("method").alias("target")).where("n = 1")
+    return resolve.resolution_stats(calls, resolve.cascade(typed, calls.join(bare, "name").select("call", "target")))
