@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import remainder, texts
+from .common import least_hashes, remainder, texts
 
 BITS = 18
 SAMPLE = 5000
@@ -155,7 +155,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """(text, y) of the sampled labelled documents outside the held-out fold."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null")
     ids = ids.where(remainder(MODULUS) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = least_hashes(ids, sample)
     return texts(docs).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
 
 
