@@ -260,7 +260,9 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     part = group.join(size, "root").select("id", F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).join(copies, "id")
     tasks = rows.join(part, F.col("doc_id") == F.col("id")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("grp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), F.when(F.col("block") <= F.col("with"), 0).otherwise(1).alias("side"), "id", "copies", "text")
-    found = cut(tasks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verified(similarity), "id long, other long, links long"))
+    # by number, so that small rows with much work in them aren't gathered into few tasks
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(tasks.repartition(spread, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verified(similarity), "id long, other long, links long"))
     root = components(found.select("id", "other"))
     count = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = classes.join(root, "id", "left").join(count, "id", "left").select(

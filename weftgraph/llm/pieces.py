@@ -336,7 +336,7 @@ def _giant_results(rows: DataFrame, path_: str, giant: int, chunk: int) -> DataF
     matrices = chunks.mapInArrow(_transfer(path_), "doc_id long, rk long, k int, size long, matrix string")
     parts = matrices.groupBy("doc_id", "rk").agg(F.max("size").alias("size"), F.collect_list(F.struct("k", "matrix")).alias("parts"))
     borders = parts.mapInArrow(_borders, "d long, r long, j int, before array<long>, after array<long>")
-    work = chunks.join(borders, _same("doc_id", "d") & _same("rk", "r") & _same("k", "j")).drop("d", "r", "j")
+    work = chunks.join(borders, _same("doc_id", "d") & _same("rk", "r") & _same("k", "j")).drop("d", "r", "j").repartition(spread, "doc_id", "rk", "k")
     done = work.mapInArrow(_backtraced(path_), "doc_id long, rk long, k int, ids array<int>, exact boolean")
     return done.groupBy("doc_id", "rk").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"), F.min("exact").alias("exact"), F.count("*").alias("chunks")).select(
         F.col("doc_id").alias("d"), F.col("rk").alias("r"), F.flatten("p.ids").alias("ids"), "exact", "chunks"
