@@ -44,7 +44,7 @@ from .common import cut, keyed
 MODEL = "piece_bpe_32k.model"
 GIANT, CHUNK = 65_536, 8_192
 BLANK = "▁"
-REMEMBERED = 300_000  # distinct words with their ids, for each worker
+REMEMBERED = 150_000  # distinct words with their ids, for each worker
 
 
 def model_path(name: str = MODEL) -> str:
@@ -78,7 +78,7 @@ class Pieces:
         for p in self.ids:
             lengths.setdefault(p[:2], set()).add(len(p))
         self.lengths = {k: sorted(v - {1}) for k, v in lengths.items()}
-        self.fits = lru_cache(1 << 20)(self._fits)
+        self.fits = lru_cache(1 << 17)(self._fits)
         self.alone = lru_cache(1 << 16)(lambda p: len(p) == 1 or self.merge(p) == [p])
         self.words: dict[str, bytes] = {}
         self.lost: set[str] = set()  # words that decoding doesn't give back

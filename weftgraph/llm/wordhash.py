@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21  # bytes of text handled at once
+SLICE = 1 << 20  # bytes of text handled at once
 LONG_WORD = 256  # longer words get a cryptographic hash: polynomials mod 2**64 are weak on long strings
 
 SPACE = np.zeros(256, bool)
@@ -42,25 +42,21 @@ def _bytes_table(seed: int) -> np.ndarray:
     return mix(np.arange(1 + 1000 * seed, 257 + 1000 * seed, dtype=np.uint64) * _M3)
 
 
-@lru_cache(None)
-def _base(seed: int) -> int:
-    return scalar(seed, 77) | 1
-
+_BASE = scalar(1, 77) | 1
+_powers = [np.zeros(0, np.uint64)] * 2
 
-@lru_cache(16)
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n."""
-    base = _base(seed)
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
 
-
-def _grown(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(seed, max(1 << 16, 1 << int(n).bit_length()))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i < n at least. There is one table, so that a worker holds little; seeds scramble what is hashed."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(max(n, SLICE + 1), b, np.uint64)
+            p[:1] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    out = _powers[0], _powers[1]
+    if n > 4 * SLICE:  # don't keep what one giant row needed
+        _powers[:] = [np.zeros(0, np.uint64)] * 2
+    return out
 
 
 def _prefix(values: np.ndarray) -> np.ndarray:
@@ -76,7 +72,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
         at = int(starts[i])
         part = buf[at : int(ends[j - 1])]
-        up, down = _grown(seed, len(part))
+        up, down = powers(len(part) + 1)
         sums = _prefix(table[part] * up[: len(part)])
         s, e = starts[i:j] - at, ends[i:j] - at
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _M3)
@@ -96,8 +92,8 @@ def windows(h: np.ndarray, size: int, seed: int = 2) -> np.ndarray:
 
 def ranges(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 2) -> np.ndarray:
     """A hash of h[lo:hi] for each pair."""
-    up, down = _grown(seed, len(h) + 1)
-    sums = _prefix(h * up[: len(h)])
+    up, down = powers(len(h) + 1)
+    sums = _prefix(mix(h + np.uint64(scalar(seed, 5))) * up[: len(h)])
     return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64) * _M3)
 
 
