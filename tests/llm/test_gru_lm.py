@@ -101,3 +101,22 @@ def test_no_training_documents_and_empty_table(spark):
     got = rows(lm.score(docs(spark, [(d, "a b") for d in ids])))
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0)] * 3
     assert rows(lm.score(empty(spark))) == []
+
+
+def test_every_training_token_is_read_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 5000)
+    pairs = [(d, x) for d, x in corpus() if not held(d)] + [(200, prose(7, 30000))]  # over 65,536 characters
+    training = lm.texts(docs(spark, pairs).repartition(3))
+    vocab = lm.vocabulary(lm.count_words(training), 50)
+    for updates in (1, 100):  # in rounds over all tasks, and a small corpus in one piece
+        model, read = lm.train(training, vocab, updates)
+        assert read == vocab.total == sum(len(tokens(x)) for _, x in pairs)
+        assert all(np.isfinite(v).all() for v in model.p.values())
+
+
+def test_long_documents_are_learnt_from(spark):
+    train, test = ([d for d in range(50) if held(d) == h][0] for h in (False, True))
+    pattern = " ".join(f"word{k % 8}" for k in range(40000))
+    for updates in (20, 500):
+        got = {r["doc_id"]: r for r in rows(lm.score(docs(spark, [(train, pattern), (test, pattern[:6000])]), updates=updates))}
+        assert got[test]["score"] > 0.5 * got[test]["base_score"]  # both are negative

@@ -15,9 +15,12 @@ moves one row for each rare word of a chunk of documents, not for each token:
 frequent words are in the model's table, of fixed size. Words are compared by
 64-bit hashes.
 
-The weights are fitted by truncated backpropagation on at most ``SAMPLE``
-training documents (the least hashes of the id, of at most ``LONGEST``
-characters each) and ``UPDATES`` updates; both bounds are parameters.
+The weights are fitted by truncated backpropagation over every token of every
+training document. The documents are dealt into ``ROUNDS`` rounds by a hash of
+the id; in a round each task reads all its documents of the round, windows of
+``STEPS`` tokens in ``LANES`` lanes, and the weights of the tasks are averaged
+by their tokens. A corpus too small for ``UPDATES`` updates of ``STREAMS`` x
+``STEPS`` tokens is read again until it has had them.
 
 Defined results: null and empty texts are one end; without training documents
 N, V and all counts are 0; null ids and repeated rows are scored like any row;
@@ -34,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import cut, least_hashes, remainder, texts
+from .common import cut, remainder, texts
 
 MODULUS, HELD_OUT = 7, 2
 WORDS, CLASS_SIZE, HIDDEN = 4096, 64, 32
-SAMPLE, LONGEST = 1500, 1 << 16
 STREAMS, STEPS, UPDATES, RATE, CLIP = 64, 16, 500, 0.1, 5.0
+ROUNDS = (1 / 16, 3 / 8, 1)  # the share of the documents that has been read after each round
+LANES, TASK_TOKENS, BLOCK = 256, 1 << 22, 4096  # lanes of a task; least tokens of a task; weights in a row
 SPAN, GROUP = 32, 2048
 CHUNK, BATCH = 8 << 20, 32 << 20  # bytes of text
 
@@ -144,18 +148,26 @@ class Gru:
         d[np.arange(n), cls] -= 1
         g["c"], g["cb"] = flat.T @ d / n, d.sum(0) / n
         dh = d @ p["c"].T
-        for c in np.unique(cls[cls > 1]):
-            at = np.flatnonzero(cls == c)
+        order = np.argsort(cls, kind="stable")
+        border = np.searchsorted(cls[order], np.arange(len(self.first)))
+        near, aim, back = flat[order], target[order], np.zeros_like(flat)
+        for c in range(2, len(self.first) - 1):
+            i, j = border[c], border[c + 1]
+            if i == j:
+                continue
             a, b = self.first[c], self.first[c + 1]
-            inner = flat[at] @ p["w"][:, a:b] + p["wb"][a:b]
+            inner = near[i:j] @ p["w"][:, a:b] + p["wb"][a:b]
             inner -= inner.max(1, keepdims=True)
+            pick = (np.arange(j - i), aim[i:j] - a)
+            right = inner[pick]
             e = np.exp(inner)
-            pick = (np.arange(len(at)), target[at] - a)
-            loss -= (inner[pick] - np.log(e.sum(1))).sum()
-            d = e / e.sum(1, keepdims=True)
-            d[pick] -= 1
-            g["w"][:, a:b], g["wb"][a:b] = flat[at].T @ d / n, d.sum(0) / n
-            dh[at] += d @ p["w"][:, a:b].T
+            total = e.sum(1)
+            loss -= (right - np.log(total)).sum()
+            e /= total[:, None]
+            e[pick] -= 1
+            g["w"][:, a:b], g["wb"][a:b] = near[i:j].T @ e / n, e.sum(0) / n
+            back[i:j] = e @ p["w"][:, a:b].T
+        dh[order] += back
         dh = dh.reshape(states.shape) / n
         dx = np.empty((*prev.shape, 3 * k), dh.dtype)
         later = np.zeros_like(h)
@@ -174,39 +186,61 @@ class Gru:
             later = np.where((prev[t] == END)[:, None], 0, later)
         return loss / n, g, dx, states[-1]
 
-    def fit(self, documents: list[np.ndarray], updates: int = UPDATES) -> list[float]:
-        """Truncated backpropagation with adaptive steps; each stream reads documents one after another."""
+    def seen(self) -> dict[str, np.ndarray]:
+        """The sums of squared gradients before the first update."""
+        return {name: np.full_like(v, 1e-6) for name, v in self.p.items()}
+
+    def update(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray, seen: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
+        """One adaptive step; the loss before it and the last state."""
+        loss, g, dx, h = self.gradient(prev, token, h)
+        order = np.argsort(prev.ravel(), kind="stable")
+        rows, first = np.unique(prev.ravel()[order], return_index=True)
+        gx = np.add.reduceat(dx.reshape(-1, dx.shape[2])[order], first, axis=0).astype(np.float32)
+        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()) + float((gx * gx).sum()))
+        scale = min(1.0, CLIP / max(norm, 1e-9))
+        for name, v in g.items():
+            v *= scale
+            seen[name] += v * v
+            self.p[name] -= (RATE * v / np.sqrt(seen[name])).astype(np.float32)
+        gx *= scale
+        seen["x"][rows] += gx * gx
+        self.p["x"][rows] -= (RATE * gx / np.sqrt(seen["x"][rows])).astype(np.float32)
+        return float(loss), h
+
+    def fit(self, documents: list[np.ndarray], updates: int | None = UPDATES, width: int = STREAMS, seen: dict[str, np.ndarray] | None = None) -> list[float]:
+        """Truncated backpropagation with adaptive steps; each stream reads documents one after another. None: one whole pass."""
         stream = np.concatenate(documents) if documents else np.zeros(0, np.int64)
-        width = min(STREAMS, max(1, len(stream) // (STEPS + 1)))
-        if len(stream) < 2:
+        if not len(stream):
             return []
-        size = len(stream) // width
-        text = np.concatenate([[END], stream])[: size * width + 1]
+        width = min(width, max(1, len(stream) // (STEPS + 1)))
+        size = -(-len(stream) // width)
+        text = np.concatenate([[END], np.resize(stream, size * width)])  # the last stream goes on at the beginning
         prev, token = (text[i : i + size * width].reshape(width, size).T for i in (0, 1))
         h, losses = np.zeros((width, self.hidden), np.float32), []
-        seen = {name: np.full_like(v, 1e-6) for name, v in self.p.items()}
+        seen = self.seen() if seen is None else seen
         at = 0
-        for _ in range(updates):
+        for _ in range(-(-size // STEPS) if updates is None else updates):
             if at >= size:
                 at, h = 0, np.zeros_like(h)
-            a, b = prev[at : at + STEPS], token[at : at + STEPS]
+            loss, h = self.update(prev[at : at + STEPS], token[at : at + STEPS], h, seen)
             at += STEPS
-            loss, g, dx, h = self.gradient(a, b, h)
-            losses.append(float(loss))
-            rows, where = np.unique(a.ravel(), return_inverse=True)
-            gx = np.zeros((len(rows), dx.shape[2]), np.float32)
-            np.add.at(gx, where, dx.reshape(-1, dx.shape[2]))
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()) + float((gx * gx).sum()))
-            scale = min(1.0, CLIP / max(norm, 1e-9))
-            for name, v in g.items():
-                v *= scale
-                seen[name] += v * v
-                self.p[name] -= (RATE * v / np.sqrt(seen[name])).astype(np.float32)
-            gx *= scale
-            seen["x"][rows] += gx * gx
-            self.p["x"][rows] -= (RATE * gx / np.sqrt(seen["x"][rows])).astype(np.float32)
+            losses.append(loss)
         return losses
 
+    def pack(self, seen: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([x[name].ravel() for x in (self.p, seen) for name in self.p])
+
+    def unpack(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Take the weights out of what ``pack`` gave; the sums of squared gradients."""
+        out, at = [], 0
+        for _ in range(2):
+            out.append({})
+            for name, v in self.p.items():
+                out[-1][name] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+                at += v.size
+        self.p, seen = out
+        return seen
+
 
 class Vocabulary:
     """The model's words: sorted hashes, their tokens and their counts."""
@@ -273,18 +307,80 @@ def vocabulary(counts: DataFrame, words: int = WORDS) -> Vocabulary:
     return Vocabulary(np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64), end, total, distinct)
 
 
-def train(training: DataFrame, vocab: Vocabulary, sample: int = SAMPLE, updates: int = UPDATES) -> Gru:
-    short = training.where(F.length("text") <= LONGEST)
-    ids = least_hashes(short.where("doc_id is not null").select("doc_id").distinct(), sample)
-    rows = short.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").collect()  # bounded: ``sample`` x ``LONGEST``
-    documents = []
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        raw = np.frombuffer(r.text.encode(), np.uint8)
-        h, _ = _hashes(raw, np.array([0, len(raw)]))
-        documents.append(np.append(vocab.tokens(h), END))
-    model = Gru(vocab.by_token)
-    model.fit(documents, updates)
-    return model
+def _streams(vocab: Vocabulary, batches):
+    """The tokens of the rows, each with its end, in pieces of about ``CHUNK`` bytes of text."""
+    for batch in batches:
+        buf, offs = wh.buffers(batch.column("text"))
+        for i, j in _groups(offs, CHUNK):
+            h, first = _hashes(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            yield np.insert(vocab.tokens(h), first[1:], END)
+
+
+def _read(shared):
+    """One pass of a task over all its rows."""
+
+    def run(batches):
+        vocab, flat = shared.value
+        model = Gru(vocab.by_token)
+        seen, n, left, size = model.unpack(flat), 0, [], 0
+        for stream in _streams(vocab, batches):
+            left.append(stream)
+            size += len(stream)
+            if size >= LANES * STEPS * 16:  # else the lanes would be short
+                model.fit(left, None, LANES, seen)
+                n, left, size = n + size, [], 0
+        if size:
+            model.fit(left, None, LANES, seen)
+        n += size
+        if n:
+            out = model.pack(seen)
+            parts = [out[k : k + BLOCK].tobytes() for k in range(0, len(out), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["k", "n", "v"])
+
+    return run
+
+
+def _averaged(batches):
+    total: dict[int, int] = {}
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, n, v in zip(*(batch.column(x).to_pylist() for x in ("k", "n", "v"))):
+            total[k] = total.get(k, 0) + n
+            sums[k] = sums.get(k, 0) + n * np.frombuffer(v, np.float32).astype(np.float64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(total.values()), pa.int64()), pa.array([(sums[k] / total[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], names=["k", "n", "v"])
+
+
+def _tokenised(shared):
+    def run(batches):
+        for stream in _streams(shared.value, batches):
+            yield pa.RecordBatch.from_arrays([pa.array([stream.astype("<i4").tobytes()], pa.binary())], names=["tokens"])
+
+    return run
+
+
+def train(training: DataFrame, vocab: Vocabulary, updates: int = UPDATES) -> tuple[Gru, int]:
+    """The fitted model, and how many tokens it has read in its first pass: all of the training documents."""
+    spark, model = training.sparkSession, Gru(vocab.by_token)
+    if vocab.total < updates * STREAMS * STEPS:  # a bounded number of tokens
+        shared = spark.sparkContext.broadcast(vocab)
+        streams = sorted(r.tokens for r in training.select("text").mapInArrow(_tokenised(shared), "tokens binary").collect())
+        documents = [np.frombuffer(x, "<i4").astype(np.int64) for x in streams]
+        model.fit(documents, updates)
+        return model, sum(map(len, documents))
+    seen, read, low = model.seen(), 0, 0.0
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    for high in ROUNDS:
+        shared = spark.sparkContext.broadcast((vocab, model.pack(seen)))
+        mine = training.where((share >= low) & (share < high)).select("text").coalesce(max(1, vocab.total // TASK_TOKENS))
+        parts = mine.mapInArrow(_read(shared), "k long, n long, v binary").repartition("k").mapInArrow(_averaged, "k long, n long, v binary")
+        rows = sorted(parts.collect(), key=lambda r: r.k)  # the weights, of fixed size
+        if rows:  # else no document falls into this round
+            seen = model.unpack(np.concatenate([np.frombuffer(r.v, np.float32) for r in rows]))
+            read += rows[0].n
+        shared.unpersist()
+        low = high
+    return model, read
 
 
 _CHUNK = "ids array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>, rare_n array<long>, rare binary, hashes array<long>"
@@ -344,14 +440,14 @@ def _finished(total: int):
     return run
 
 
-def score(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, updates: int = UPDATES) -> DataFrame:
+def score(docs: DataFrame, words: int = WORDS, updates: int = UPDATES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = texts(docs).withColumn("held_out", remainder(MODULUS) == HELD_OUT)
     training = rows.where(~F.col("held_out"))
     counts = count_words(training)
     vocab = vocabulary(counts, words)
-    shared = spark.sparkContext.broadcast((vocab, train(training, vocab, sample, updates)))  # about 2 MB, whatever the input
+    shared = spark.sparkContext.broadcast((vocab, train(training, vocab, updates)[0]))  # about 2 MB, whatever the input
     chunks = cut(rows.mapInArrow(_scored(shared), _CHUNK)).withColumn("chunk", F.monotonically_increasing_id())
     asked = chunks.select("chunk", F.posexplode("hashes").alias("pos", "h"))
     found = asked.join(counts.where(F.col("h") != _END_HASH), "h").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
