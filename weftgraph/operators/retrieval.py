@@ -107,12 +107,15 @@ def hybrid(vectors: DataFrame, post: DataFrame, query_vectors: DataFrame, query_
     return rrf(vector_search(vectors, query_vectors, pool), bm25(post, query_texts, n, pool), k=k)
 
 
-def mmr(candidates: DataFrame, query: list[float], k: int = 10, trade: float = 0.5) -> DataFrame:
-    """(query_id, id, pick): greedy choice of relevance minus likeness to what is chosen. candidates: (query_id, id, vector), one group a query."""
-    q = np.array(query, np.float64)
+def mmr(candidates: DataFrame, query: list[float] | None = None, k: int = 10, trade: float = 0.5) -> DataFrame:
+    """(query_id, id, pick): greedy choice of relevance minus likeness to what is chosen. candidates: (query_id, id, vector), one group a query.
+
+    Without ``query`` the candidates' column ``query`` holds the vector of their query.
+    """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
+        q = np.array(pdf["query"].iloc[0] if query is None else query, np.float64)
         x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         gain, worst, left, out = unit @ (q / max(np.linalg.norm(q), 1e-12)), np.zeros(len(x)), np.ones(len(x), bool), []

@@ -204,8 +204,7 @@ def import_cycles(spark, sf):
 
 @query()
 def cycles(spark, sf):
-    edges = graph(spark, sf)[1].where("edge_type = 'Calls' and source like 'class:p1%' and target like 'class:p1%'")
-    return g.cycles(edges).select("component", "length")
+    return g.cycles(graph(spark, sf)[1], ("Calls",)).select("component", "length")
 
 
 def _ppr_sql(rounds: int) -> str:
@@ -373,10 +372,9 @@ def diversify(spark, sf):
 
 @query(over_graph=False)
 def mmr_rerank(spark, sf):
-    vectors = _vectors(spark, sf)
-    first = vectors.where("id = 0").first().vector
-    found = r.vector_search(vectors, vectors.where("id = 0").withColumnRenamed("id", "query_id"), 40)
-    return r.mmr(found.join(vectors, "id").select("query_id", "id", "vector"), list(first), 10)
+    vectors, queries = _vectors(spark, sf), _query_vectors(spark, sf)
+    found = r.vector_search(vectors, queries, 40).join(vectors, "id").join(queries.select("query_id", c("vector").alias("query")), "query_id")
+    return r.mmr(found.select("query_id", "id", "vector", "query"), k=10)
 
 
 @query()
@@ -392,6 +390,11 @@ def related_names(spark, sf):
     return r.related_names(nodes, edges).where(c("id").startswith("interface")).select("id", F.array_join("related", "|").alias("related"))
 
 
+@query("with b as (select source as id, target as other from edges union all select target, source from edges), x as (select distinct b.id, n.name from b join nodes n on n.id = b.other), y as (select *, row_number() over (partition by id order by name) as r from x) select id, string_agg(name, '|' order by name) as related from y where r <= 128 group by 1")
+def related_names_all(spark, sf):
+    return r.related_names(*graph(spark, sf)).select("id", F.array_join("related", "|").alias("related"))
+
+
 @query("with t as (select *, sum(length(text)) over (partition by conv_id order by turn desc, role desc rows between unbounded preceding and current row) as used, row_number() over (partition by conv_id order by turn desc, role desc) as back from conversations) select conv_id, count(*) as turns, cast(sum(length(text)) as bigint) as chars, string_agg(role, ',' order by turn, role, text) as roles from t where used <= 2000 or back = 1 group by 1", over_graph=False)
 def rag_messages(spark, sf):
     out = r.rag_messages(spark.read.parquet(f"{sf}/conversations.parquet"))
