@@ -80,3 +80,26 @@ def test_table(spark):
         assert g["doc_id"] == d and g["text"] == (masked(t) or "") and re.sub(r"\b0", "", pii.restore(g["text"], KEY)) == re.sub(r"\b0", "", t or "")
         assert sum(g[f"n_{k}"] for k in pii.KINDS) == len([x for x in g["spans"].split(",") if x])
     assert rows(pii.digest(empty(spark))) == []
+
+
+NEIGHBOURS = [
+    ("card 4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]), ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]), ("4111-1111-1111-1111 07", ["4111-1111-1111-1111"]), ("12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("378282246310005 1234", ["378282246310005"]), ("+1 (826) 555-4081 2024", ["+1 (826) 555-4081"]), ("+1 (826) 555-4081 42", ["+1 (826) 555-4081"]), ("+1 826.555.4081.2024", ["+1 826.555.4081"]), ("+44 20 7946 0958 2024", ["+44 20 7946 0958"]),
+    ("+33 1 23 45 67 89 10", ["+33 1 23 45 67 89"]), ("+44 (0) 20 7946 0958", ["+44 (0) 20 7946 0958"]), ("+49 30 123456 03/25/1987", ["03/25/1987", "+49 30 123456"]), ("BE68 5390 0754 7034 2024", ["BE68 5390 0754 7034"]),
+    ("2221 0000 0000 0009", ["2221 0000 0000 0009"]), ("2720990000000007", ["2720990000000007"]), ("2720 9900 0000 0007 99", ["2720 9900 0000 0007"]),
+]
+
+
+@pytest.mark.parametrize("text,values", NEIGHBOURS)
+def test_short_numbers_beside_a_value_change_nothing(text, values):
+    found = pii.find(text, KEY)
+    assert sorted(text[a:b] for a, b, *_ in found) == sorted(values)
+    for a, b, kind, p in found:
+        assert p == pii.pseudonym(kind, text[a:b], KEY) != text[a:b]
+
+
+def test_numbers_beside_values_are_undone_and_other_2_series_stay():
+    for text in ("+1 (826) 555-4081 2024", "+44 20 7946 0958 2024", "+33 1 23 45 67 89 10"):
+        assert pii.restore(masked(text), KEY) == text
+    for stays in ("2220990000000002", "2721000000000004"):
+        assert pii.luhn(stays) and kinds(stays) == []

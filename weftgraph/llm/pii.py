@@ -10,8 +10,15 @@ letters, the national digits of a North American number), so that equal values
 get equal pseudonyms in all documents whatever their spelling, and different
 values different ones.
 
+Cards, IBANs and telephone numbers are first tried at their longest match; if
+that is invalid or meets a find of an earlier kind, at the shorter ones that
+end before a separator, and then from the next character on. A telephone
+number of a country with one national length is tried at that length first.
+
 Whoever holds ``key`` can undo it (``restore``), but for leading zeros of a
-date that was written without them. Defined results: null and
+date that was written without them and for a number before further digits where
+the pseudonym and these happen to be one valid number (one in ten cards before
+digits that would still fit a card). Defined results: null and
 empty texts stay as they are; texts without personal data are unchanged;
 overlapping finds go to the kind listed first in ``KINDS``; null ids and
 repeated rows are kept; an empty table gives an empty result; further columns
@@ -106,7 +113,8 @@ def luhn(digits: str) -> bool:
 
 
 def _card_valid(d: str) -> bool:
-    return 13 <= len(d) <= 19 and d[0] in "3456" and luhn(d) and len(set(d)) > 1
+    known = d[0] in "3456" or len(d) == 16 and "2221" <= d[:4] <= "2720"
+    return 13 <= len(d) <= 19 and known and luhn(d) and len(set(d)) > 1
 
 
 def _iban_valid(s: str) -> bool:
@@ -235,6 +243,10 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
 }
 _COMPILED = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 _ANY = re.compile(r"[0-9@]").search
+#: separators before which a find of the kind may end short of its longest match
+_SHORTER = {"iban": " ", "card": " -", "phone": " .-"}
+#: digits after the country code where their number is fixed; codes whose digits all stay in the pseudonym
+_NATIONAL = {"7": 10, "30": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "65": 8, "90": 10, "91": 10}
 
 
 @lru_cache(1 << 14)
@@ -243,6 +255,18 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return KINDS[kind][1](value, key, back)
 
 
+def _ends(kind: str, m: str) -> list[int]:
+    """Where a find may end, in the order of trial."""
+    seps = _SHORTER.get(kind, "")
+    ends = [len(m), *(k for k in range(len(m) - 1, 0, -1) if m[k] in seps and m[k - 1].isalnum())]
+    if kind == "phone" and m[0] == "+":
+        d = re.sub(r"\D", "", m)
+        code = d[:1] if d[:1] in _NATIONAL else d[:2]
+        if code in _NATIONAL:
+            ends.sort(key=lambda k: sum(c.isdigit() for c in m[:k]) != len(code) + _NATIONAL[code])
+    return ends
+
+
 def find(text: str | None, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid finds, by start."""
     if not text or not _ANY(text):
@@ -251,15 +275,15 @@ def find(text: str | None, key: bytes = KEY, back: bool = False) -> list[tuple[i
     for kind, pattern in _COMPILED.items():
         if kind == "email" and "@" not in text:
             continue
-        new = []
-        for m in pattern.finditer(text):
-            if (p := pseudonym(kind, m[0], key, back)) is not None:
-                new.append((m.start(), m.end(), kind, p))
-        borders = sorted((a, b) for a, b, *_ in taken)
-        for x in new:
-            k = bisect_left(borders, (x[1],)) - 1
-            if k < 0 or borders[k][1] <= x[0]:
-                taken.append(x)
+        borders, at = sorted((a, b) for a, b, *_ in taken), 0
+        while m := pattern.search(text, at):
+            start, at = m.start(), m.start() + 1 if kind in _SHORTER else m.end()
+            for n in _ends(kind, m[0]):
+                k = bisect_left(borders, (start + n,)) - 1
+                if (k < 0 or borders[k][1] <= start) and (p := pseudonym(kind, m[0][:n], key, back)) is not None:
+                    taken.append((start, start + n, kind, p))
+                    at = start + n
+                    break
     return sorted(taken)
 
 
