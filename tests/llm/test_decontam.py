@@ -90,3 +90,15 @@ def test_empty_tables(spark):
     assert rows(dc.matches(empty(spark), benchmark(spark))) == []
     assert rows(dc.matches(docs(spark, CASES), none)) == []
     assert len(rows(dc.clean(docs(spark, CASES), none))) == len(CASES)
+
+
+def test_names_that_begin_sentences(spark):
+    items = [(1, "Anna has 3 apples. Anna gives 2 to Tom."), (2, "Tom sells 4 old bikes to Ida Berg. How many bikes does Tom Reed still own now? The shop of Ida Berg opens at 9.")]
+    cases = [
+        (1, "Maria has 5 apples. Maria gives 1 to Tim."), (2, "Exercise: Maria has 5 apples. Maria gives 1 to Tim. " + prose(4, 30)), (3, "well then Maria has 5 apples. Maria gives 1 to Tim."),
+        (4, "Ulf sells 7 old bikes to Eva Lund. How many bikes does Ulf Holm still own now? The shop of Eva Lund opens at 8."), (5, items[0][1]),
+        (6, "Maria has 5 pears. Maria sells 1 to Tim."), (7, prose(5, 300).title()),
+    ]
+    got = {r["doc_id"]: (r["item_id"], r["kind"]) for r in rows(dc.matches(docs(spark, cases), benchmark(spark, items)))}
+    assert got == {1: (1, "reparameterised"), 2: (1, "reparameterised"), 3: (1, "reparameterised"), 4: (2, "reparameterised"), 5: (1, "verbatim")}
+    assert [r["doc_id"] for r in rows(dc.clean(docs(spark, cases), benchmark(spark, items)))] == [6, 7]

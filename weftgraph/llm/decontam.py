@@ -4,6 +4,9 @@ Words are lower-cased and stripped of ASCII punctuation. Numbers (words with a
 digit, and number words), names (capitalised words inside a sentence; a run of
 them is one name) and units (a unit word right after a number) become typed
 placeholders, so a question keeps its template when its parameters change.
+Items and documents are compared under two readings: capitalised words that
+begin a sentence are plain words, or names unless they are among
+``COMMON_WORDS``; a match under the first reading comes before the second's.
 Windows of ``WINDOW`` template words are hash-joined with those of the
 benchmark items. A document is contaminated by an item if it holds at least
 ``SIMILARITY`` of the item's distinct windows and its slots are consistent: all
@@ -43,6 +46,13 @@ UNIT_WORDS = (
     "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg gram grams kilogram kilograms ton tons tonnes pound pounds lb lbs oz ounce ounces"
     " ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros usd eur kmh mph hz khz mhz ghz w kw mw v kv j kj cal kcal degrees celsius fahrenheit"
 ).split()
+#: fixed values: words that begin a sentence without being a name
+COMMON_WORDS = (
+    "a an the this that these those there here it its he she they we you i his her their our your my one some any all each every both many much more most another other no not none"
+    " what which who whom whose when where why how if then so but and or nor yet for as at by in on of to from with without after before during since until while because although though whereas given suppose assume let"
+    " is are was were be been am do does did has have had can could may might must shall should will would find calculate compute determine solve show prove write give explain consider use using now today first next finally also however therefore thus hence"
+    " der die das ein eine einen und oder aber wenn wie was wer wo es er sie ist sind im in auf mit von zu nach bei le la les un une des et ou mais si que qui il elle ils est sont dans sur avec pour de du el los las una unos y o pero como cuando donde es son en con por para al del"
+).split()
 
 NONE, NUMBER, NAME, UNIT = range(4)
 _PLACE = np.array([0] + [wh.scalar(91, k) for k in (NUMBER, NAME, UNIT)], np.uint64)
@@ -63,7 +73,7 @@ def _hashes_of(words: list[str]) -> np.ndarray:
     return np.sort(wh.Words(raw, np.array([0, len(raw)])).hashes(12))
 
 
-_NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNIT_WORDS)
+_NUMBER_HASHES, _UNIT_HASHES, _COMMON_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNIT_WORDS), _hashes_of(COMMON_WORDS)
 
 
 def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -72,9 +82,9 @@ def _in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 class Template:
-    """The template words of some rows: hash, kind and text span of each, and row offsets."""
+    """The template words of some rows: hash, kind and text span of each, and row offsets. ``starts``: names may begin a sentence."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, starts: bool = False):
         keep = ~_PUNCTUATION[buf]
         place = np.flatnonzero(keep)
         count = np.zeros(len(buf) + 1, np.int64)
@@ -95,12 +105,13 @@ class Template:
             inside[1:] = (row[1:] == row[:-1]) & (stops[first[1:]] == stops[first[:-1]])
             upper = _UPPER[raw[s]] | ((raw[s] == 0xC3) & (raw[second] >= 0x80) & (raw[second] <= 0x9E))
             after = np.where(raw[s] == 0xC3, np.minimum(second + 1, len(raw) - 1), second)
-            name = inside & upper & _SMALL[raw[after]] & (e - s > 1) & ~number
+            name = upper & _SMALL[raw[after]] & (e - s > 1) & ~number
+            name &= inside | ~_in(h, _COMMON_HASHES) if starts else inside
             unit = np.zeros(n, bool)
             unit[1:] = number[:-1] & (row[1:] == row[:-1]) & ~number[1:] & _in(h, _UNIT_HASHES)[1:]
             kind[name], kind[number], kind[unit] = NAME, NUMBER, UNIT
             more = np.zeros(n, bool)  # a further word of the same name
-            more[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (row[1:] == row[:-1])
+            more[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & inside[1:]
             h = np.where(kind > 0, _PLACE[kind], h)
             h, s, e, kind, row = h[~more], s[~more], e[~more], kind[~more], row[~more]
         self.buf, self.hashes, self.starts, self.ends, self.kind, self.row_of = words.buf, h, s, e, kind, row
@@ -119,9 +130,9 @@ class Template:
 class Index:
     """The windows of a block of items, as sorted arrays."""
 
-    def __init__(self, items: list[str | None]):
+    def __init__(self, items: list[str | None], starts: bool = False):
         buf, offs = wh.buffers(pa.array(items, pa.string()))
-        self.template = t = Template(buf, offs)
+        self.starts, self.template = starts, (t := Template(buf, offs, starts))
         length = np.diff(t.row)
         self.size = np.where(length >= WINDOW, WINDOW, np.where(length >= LEAST, length, 0))
         parts = []
@@ -219,6 +230,19 @@ def find(index: Index, doc: Template):
                 yield row_, item, c, kind, m
 
 
+def find_either(readings: list[Index], buf: np.ndarray, offs: np.ndarray) -> list[tuple]:
+    """(row, item, windows, matched windows, kind, slots) by the first reading under which the item contaminates the row."""
+    out: dict[tuple[int, int], tuple] = {}
+    for index in readings:
+        for row, item, c, kind, m in find(index, Template(buf, offs, index.starts)):
+            out.setdefault((row, item), (row, item, int(index.n_windows[item]), c, kind, m))
+    return [out[k] for k in sorted(out)]
+
+
+def _readings(items: list[str | None]) -> list[Index]:
+    return [Index(items), Index(items, True)]
+
+
 def _own(index: Index, item: int, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of a row's windows that the item has, by position."""
     lo, hi = index.template.row[item], index.template.row[item + 1]
@@ -230,13 +254,12 @@ def _own(index: Index, item: int, keys: np.ndarray, at: np.ndarray) -> tuple[np.
 def _matched(shared):
     def run(batches):
         ids, items = shared.value
-        index = Index(items)
+        readings = _readings(items)
         for batch in batches:
             buf, offs = wh.buffers(batch.column("text"))
             out = []
             for i, j in wh.slices(offs):
-                doc = Template(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                out += [(i + r, ids[k], int(index.n_windows[k]), c, kind, m) for r, k, c, kind, m in find(index, doc)]
+                out += [(i + r, ids[k], *found) for r, k, *found in find_either(readings, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
             at, *cols = zip(*out) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             arrays = [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))]
@@ -275,13 +298,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> D
 
 def _clean(shared):
     def run(batches):
-        index = Index(shared.value[1])
+        readings = _readings(shared.value[1])
         for batch in batches:
             buf, offs = wh.buffers(batch.column("text"))
             keep = np.ones(batch.num_rows, bool)
             for i, j in wh.slices(offs):
-                doc = Template(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                keep[[i + r for r, *_ in find(index, doc)]] = False
+                keep[[i + r for r, *_ in find_either(readings, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]] = False
             yield batch.filter(pa.array(keep))
 
     return run
