@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from weftgraph.plans.projection import graph
+from weftgraph.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -64,3 +65,11 @@ def test_mmr_of_every_query(spark):
             assert worth[pick] > max(worth.values()) - 1e-6, (q, k)  # the query's own vector makes ties
             chosen.append(pick)
             left.remove(pick)
+
+
+def test_a_whole_edge_type_is_upserted(spark, monkeypatch):
+    batches, upsert = [], incremental.upsert_edges
+    monkeypatch.setattr(incremental, "upsert_edges", lambda stored, rows, nodes: batches.append(rows) or upsert(stored, rows, nodes))
+    edges = graph(spark, SF)[1]
+    assert entry.queries()["store_upsert_edges"](spark, SF).count() == edges.count()
+    assert batches[0].count() == edges.where("edge_type = 'Calls'").count() > 1000

@@ -484,7 +484,7 @@ def store_upsert_nodes(spark, sf):
 @query("select source || '|' || edge_type || '|' || target as id, case edge_type " + " ".join(f"when '{k}' then {v}" for k, v in EDGE_WEIGHTS.items()) + " else 0.5 end::double as weight from edges")
 def store_upsert_edges(spark, sf):
     nodes, edges = graph(spark, sf)
-    return incremental.upsert_edges(edges, edges.limit(1000), nodes).select("id", "weight")
+    return incremental.upsert_edges(edges, edges.where("edge_type = 'Calls'"), nodes).select("id", "weight")
 
 
 @query("select case when b.path is null then 'parse' when a.path is null then 'gone' when a.hash = b.hash then 'reuse' else 'parse' end as state, count(*) as n from (select page_id as path, sha256(html) as hash from pages where page_id % 5 <> 0) a full join (select page_id as path, case when page_id % 7 = 0 then 'old' else sha256(html) end as hash from pages where page_id % 3 <> 0) b on a.path = b.path group by 1", over_graph=False)
