@@ -99,3 +99,10 @@ def test_minhash_estimates_similarity():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     s = jc.minhashes(jc.wh.mix(np.concatenate([a, b]) + np.uint64(1)), np.array([0, 1000, 2000]), jc._multipliers(500, 3))
     assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.05
+
+
+def test_clean_tells_rows_apart_by_id_and_text(spark):
+    a, b, c, d = (prose(700 + k, 40) for k in range(4))
+    pairs = [(5, a), (5, b), (5, b), (1, a), (None, c), (None, c), (None, d), (None, b), (7, d + " " + c), (8, None), (8, c + " one")]
+    got = sorted(((r["doc_id"], r["text"]) for r in rows(jc.clean(docs(spark, pairs).repartition(3)))), key=str)
+    assert got == sorted([(1, a), (5, b), (None, d), (7, d + " " + c), (8, None), (8, c + " one")], key=str)

@@ -24,7 +24,8 @@ texts have no shingles and no links; texts of fewer than five words are one
 shingle; a row given twice is one document; of rows that share an id but not a
 text each is compared, and the least classes and the most links count; null ids
 come back with null classes and no links; an empty table gives an empty result;
-further columns are ignored by ``links`` and kept by ``clean``.
+further columns are ignored by ``links`` and kept by ``clean``, which tells rows
+apart by id and text, so that every row is compared and only copies go.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import cut, texts
+from .common import cut, keyed, texts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -275,7 +276,17 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents with their columns, one of each class: the one with the least id. Rows without an id stay."""
-    stays = links(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("stays_id")).distinct()
-    kept = docs.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("stays_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The documents with their columns, one of each class: the one with the least id (then hash of the text), one with an id if there is any."""
+    ids = keyed(docs).groupBy("doc_id").agg(F.min("rk").alias("low"), F.max("rk").alias("high"))
+    plain = ids.where("doc_id is null or low != high").isEmpty()  # each id names one text
+    if plain:
+        rows = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    else:
+        pairs = keyed(docs).select("doc_id", "rk").distinct()
+        order = F.asc_nulls_last("doc_id"), F.asc("rk")
+        keys = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()))
+        keys = keys.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "_key")
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_rk"))
+        rows = cut(docs.join(keys, same).select(*(docs[x] for x in docs.columns), "_key"))
+    stays = links(rows.select(F.col("_key").alias("doc_id"), "text"), similarity).where("doc_id = class_id").select(F.col("doc_id").alias("_stays")).distinct()
+    return rows.join(stays, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
