@@ -4,9 +4,10 @@ A window is ``WINDOW`` consecutive words. Hashing every window into the index
 would move a row a word, so a window is filed under its least ``GRAM``-word
 hash; equal windows agree on it, and neighbouring windows mostly share it, so a
 run of neighbours is one entry (about one for twelve words). The index keeps
-sorted immutable runs (fingerprint, number of entries). Each new batch is
-sorted and merge-joined with them, its hits are verified, and the runs are
-compacted into one.
+sorted immutable runs (fingerprint, number of entries). Each batch of the input
+is sorted, merge-joined with them and compacted into one run. Hits are verified
+once, after the last batch; then the index is deleted, so new documents can't
+be compared with those of earlier calls.
 
 Verification: entries under a repeated fingerprint are compared by an
 independent 64-bit hash of their whole word range (a repeat clears the entry at
