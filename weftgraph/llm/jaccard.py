@@ -43,6 +43,7 @@ from .common import cut, keyed, texts
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
 BLOCK = 512
+SALTS = 16
 STEP, STEPS, TOLERANCE = 16, 8, 1e-6
 
 _HASHES = BANDS * ROWS
@@ -222,28 +223,50 @@ def _with_end(batches):
     yield None
 
 
+def _looked_up(rows: DataFrame, column: str, found: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: the root that ``found`` (id, root) gives for ``column``, else the column itself.
+
+    Only names that ``rows`` holds are looked up; a name that many rows share is dealt over ``SALTS`` tasks.
+    """
+    asked = rows.select(F.col(column).alias("id")).distinct()
+    known = found.join(asked, "id", "left_semi").select(F.col("id").alias("_n"), F.col("root").alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_t"))
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    out = salted.join(known, (F.col(column) == F.col("_n")) & (F.col("_s") == F.col("_t")), "left")
+    return out.select(*rows.columns, F.coalesce("_r", column).alias(name))
+
+
+def _roots(forest: DataFrame) -> DataFrame:
+    """(id, root) of a forest of such rows in which each points to a lesser one, by pointer doubling."""
+    forest = cut(forest)
+    while True:
+        inner = cut(forest.join(forest.select(F.col("root").alias("id")).distinct(), "id", "left_semi"))
+        if inner.isEmpty():
+            return forest
+        forest = cut(_looked_up(forest, "root", inner, "up").select("id", F.col("up").alias("root")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for the nodes of an undirected graph (id, other): root is the least id of the connected component.
 
-    Every round each node takes the least root among its neighbours', hooks its old root to it, and
-    then takes its root's root.
+    By contraction: each node points to its least lesser neighbour, the forest of these pointers is
+    resolved to its roots, and what is left of the graph are edges between different roots, each once. The
+    other lesser neighbours of a node are tied to the one that it points to, so that the node itself is
+    never needed again.
     """
-    apart = edges.where("id != other").select("id", "other")
-    both = cut(apart.unionByName(apart.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
-    root = cut(both.groupBy("id").agg(F.min("other").alias("root")).select("id", F.least("id", "root").alias("root")))
-    while True:
-        name = root.select(F.col("id").alias("other"), F.col("root").alias("seen"))
-        best = both.join(name, "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        new = root.join(best, "id", "left").select("id", "root", F.least("root", "seen").alias("low"))
-        # hook the old root, too, so that trees merge in few rounds
-        hook = new.where("low < root").groupBy(F.col("root").alias("id")).agg(F.min("low").alias("hook"))
-        new = new.join(hook, "id", "left").select("id", "root", F.least("low", "hook").alias("low"))
-        jump = new.select(F.col("id").alias("low"), F.col("low").alias("jump"))
-        new = cut(new.join(jump, "low", "left").select("id", "root", F.least("low", "jump").alias("low")))
-        changed = not new.where("low != root").isEmpty()
-        root = new.select("id", F.col("low").alias("root"))
-        if not changed:
-            return root
+    def oriented(df):
+        return cut(df.where("id != other").select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct())
+
+    left, out = oriented(edges), None
+    while not left.isEmpty():
+        least = cut(left.groupBy("id").agg(F.min("other").alias("root")))
+        root = _roots(least)
+        out = root if out is None else cut(_looked_up(out, "root", root, "up").select("id", F.col("up").alias("root")).unionByName(root.join(out.select("id"), "id", "left_anti")))
+        tied = left.join(least, "id").where("other != root").select(F.col("root").alias("id"), "other").distinct()
+        tied = _looked_up(_looked_up(tied, "id", root, "a"), "other", root, "b")
+        left = oriented(tied.select(F.col("a").alias("id"), F.col("b").alias("other")))
+    if out is None:
+        return left.select("id", F.col("other").alias("root"))
+    return out.unionByName(out.select(F.col("root").alias("id"), "root").distinct())
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
