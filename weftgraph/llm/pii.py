@@ -15,6 +15,10 @@ that is invalid or meets a find of an earlier kind, at the shorter ones that
 end before a separator, and then from the next character on. A telephone
 number of a country with one national length is tried at that length first.
 
+Digits are the ASCII digits; those of other scripts are ordinary characters. The key is the caller's or the
+session's (``spark.weftgraph.pii.key``); without either each application draws its own at random, so that its
+pseudonyms are linked among themselves but can't be undone later.
+
 Whoever holds ``key`` can undo it (``restore``), but for leading zeros of a
 date that was written without them and for a number before further digits where
 the pseudonym and these happen to be one valid number (one in ten cards before
@@ -33,14 +37,15 @@ from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import blake2b, sha256
+from secrets import token_bytes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import texts
 
-KEY = b"replace this key in production"
+KEY_CONF = "spark.weftgraph.pii.key"
 ROUNDS = 8
 
 MONTHS = "January February March April May June July August September October November December".split()
@@ -49,6 +54,8 @@ _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(209
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
     """A keyed permutation of range(size)."""
+    if not 0 <= value < size:
+        raise ValueError("the value lies outside the domain")  # the walk would never come back to it
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, wide = (1 << half) - 1, (half + 7) // 8
     f = lambda i, x: int.from_bytes(blake2b(bytes([i]) + x.to_bytes(wide, "big"), key=key[:64], digest_size=min(64, wide + 8), person=blake2b(tweak, digest_size=16).digest()).digest(), "big") & mask
@@ -68,7 +75,7 @@ def _letters(s: str) -> tuple[int, int]:
     """The digits and small letters of a string as one number, and how many such numbers there are."""
     value, size = 0, 1
     for c in s:
-        if c.isdigit():
+        if "0" <= c <= "9":
             value, size = value * 10 + ord(c) - 48, size * 10
         elif "a" <= c <= "z":
             value, size = value * 26 + ord(c) - 97, size * 26
@@ -78,7 +85,7 @@ def _letters(s: str) -> tuple[int, int]:
 def _spell(like: str, value: int) -> str:
     out = []
     for c in reversed(like):
-        if c.isdigit():
+        if "0" <= c <= "9":
             value, d = divmod(value, 10)
             c = chr(48 + d)
         elif "a" <= c <= "z":
@@ -137,7 +144,7 @@ def _email(m: str, key: bytes, back: bool) -> str | None:
 
 
 def _card(m: str, key: bytes, back: bool) -> str | None:
-    d = re.sub(r"\D", "", m)
+    d = re.sub(r"[^0-9]", "", m)
     if not _card_valid(d):
         return None
     return _refill(m, d[0] + _permute(d[1:], lambda s: _card_valid(d[0] + s), key, "card" + d[0], back))
@@ -170,7 +177,7 @@ def _ip(m: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(m: str, key: bytes, back: bool) -> str | None:
-    d = re.sub(r"\D", "", m)
+    d = re.sub(r"[^0-9]", "", m)
     plus = m.startswith("+")
     if (d[0] == "1" and len(d) == 11 or not plus and len(d) == 10) and _nanp_valid(d[-10:]):
         return _refill(m, d[:-10] + _permute(d[-10:], _nanp_valid, key, "phone", back))
@@ -180,10 +187,10 @@ def _phone(m: str, key: bytes, back: bool) -> str | None:
 
 
 _DATE = {
-    "ymd": re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})"),
-    "xyy": re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})"),
-    "long": re.compile(rf"({'|'.join(MONTHS)}) (\d{{1,2}})(,? )(\d{{4}})"),
-    "dlong": re.compile(rf"(\d{{1,2}}) ({'|'.join(MONTHS)}) (\d{{4}})"),
+    "ymd": re.compile(r"([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})"),
+    "xyy": re.compile(r"([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})"),
+    "long": re.compile(rf"({'|'.join(MONTHS)}) ([0-9]{{1,2}})(,? )([0-9]{{4}})"),
+    "dlong": re.compile(rf"([0-9]{{1,2}}) ({'|'.join(MONTHS)}) ([0-9]{{4}})"),
 }
 
 
@@ -234,12 +241,12 @@ def _date(m: str, key: bytes, back: bool) -> str | None:
 
 KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])", _email),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    "card": (r"(?<![\w.-])(?:\d[ -]?){12,18}\d(?![\w-])(?!\.\d)", _card),
-    "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
-    "ip": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)(?!\.\d)", _ip),
-    "date": (rf"(?<![\w./-])(?:\d{{4}}([-/.])\d{{1,2}}\1\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\2\d{{4}}|(?:{'|'.join(MONTHS)}) \d{{1,2}},? \d{{4}}|\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}})(?![\w/-])(?!\.\d)", _date),
-    "phone": (r"(?<![\w.+(-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])(?!\.\d)", _phone),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    "card": (r"(?<![\w.-])(?:[0-9][ -]?){12,18}[0-9](?![\w-])(?!\.[0-9])", _card),
+    "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
+    "ip": (r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])", _ip),
+    "date": (rf"(?<![\w./-])(?:[0-9]{{4}}([-/.])[0-9]{{1,2}}\1[0-9]{{1,2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\2[0-9]{{4}}|(?:{'|'.join(MONTHS)}) [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}} (?:{'|'.join(MONTHS)}) [0-9]{{4}})(?![\w/-])(?!\.[0-9])", _date),
+    "phone": (r"(?<![\w.+(-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![\w-])(?!\.[0-9])", _phone),
 }
 _COMPILED = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 _ANY = re.compile(r"[0-9@]").search
@@ -260,14 +267,14 @@ def _ends(kind: str, m: str) -> list[int]:
     seps = _SHORTER.get(kind, "")
     ends = [len(m), *(k for k in range(len(m) - 1, 0, -1) if m[k] in seps and m[k - 1].isalnum())]
     if kind == "phone" and m[0] == "+":
-        d = re.sub(r"\D", "", m)
+        d = re.sub(r"[^0-9]", "", m)
         code = d[:1] if d[:1] in _NATIONAL else d[:2]
         if code in _NATIONAL:
             ends.sort(key=lambda k: sum(c.isdigit() for c in m[:k]) != len(code) + _NATIONAL[code])
     return ends
 
 
-def find(text: str | None, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
+def find(text: str | None, key: bytes, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid finds, by start."""
     if not text or not _ANY(text):
         return []
@@ -295,7 +302,7 @@ def replace(text: str | None, found: list[tuple[int, int, str, str]]) -> str | N
     return "".join(out) + text[at:] if out else text
 
 
-def restore(text: str | None, key: bytes = KEY) -> str | None:
+def restore(text: str | None, key: bytes) -> str | None:
     """Undo ``replace`` with the key."""
     return replace(text, find(text, key, back=True))
 
@@ -310,8 +317,18 @@ def _pseudonymised(key: bytes):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """The documents with pseudonyms in ``text``; ``n_chars``, if there, follows it."""
+_made: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's configuration names under ``KEY_CONF``; without one, a random key of this application, known to nobody."""
+    named = spark.conf.get(KEY_CONF, None)
+    return named.encode() if named else _made.setdefault(spark.sparkContext.applicationId, token_bytes(32))
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """The documents with pseudonyms in ``text``; ``n_chars``, if there, follows it. No ``key``: the session's."""
+    key = key or session_key(docs.sparkSession)
     out = docs.mapInArrow(_pseudonymised(key), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -334,6 +351,7 @@ def _digest(key: bytes):
     return run
 
 
-def digest(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """One row per document: how many finds of each kind, their spans in the input, and the text with pseudonyms (null: empty)."""
+def digest(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """One row per document: how many finds of each kind, their spans in the input, and the text with pseudonyms (null: empty). No ``key``: the session's."""
+    key = key or session_key(docs.sparkSession)
     return texts(docs).mapInArrow(_digest(key), "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "spans string, text_sha256 string, text string")
