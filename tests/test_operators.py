@@ -14,7 +14,7 @@ from weftgraph.operators import tools
 from weftgraph.operators.reach import FrontierTooLarge, bfs, path_counts
 from weftgraph.streaming import incremental
 
-from .fixture_graph import make
+from .fixture_graph import IDS, OVEN, make
 
 
 def rows(df):
@@ -113,17 +113,17 @@ def test_pagerank(spark):
 
 def test_tools_on_the_fixture(spark):
     nodes, edges = make(spark)
-    assert [x.name for x in tools.find_symbols(nodes, "ver*").collect()] == ["verify"]
-    assert [x.name for x in tools.find_symbols(nodes, "ver").collect()] == ["verify", "t_verify"]
-    assert [x.name for x in tools.file_outline(nodes, "auth.rs").collect()] == ["Session", "hash", "verify"]
-    assert tools.resolve_one(nodes, "core/auth.rs") == "file:src/core/auth.rs" and tools.resolve_one(nodes, "HASH").endswith("hash")
+    assert [x.name for x in tools.find_symbols(nodes, "char*").collect()] == ["charge"]
+    assert [x.name for x in tools.find_symbols(nodes, "charge").collect()] == ["charge", "test_charge"]
+    assert [x.name for x in tools.file_outline(nodes, "oven.py").collect()] == ["Tray", "bake", "knead"]
+    assert tools.resolve_one(nodes, "oven.py") == IDS[OVEN] and tools.resolve_one(nodes, "KNEAD") == IDS["knead"]
     with pytest.raises(tools.Ambiguous):
         tools.resolve_one(nodes, "nothing")
-    got = [(x.role, x.id.rsplit(":")[-1]) for x in tools.context(nodes, edges, "function:src/core/auth.rs:verify").collect()]
-    assert got[0] == ("target", "verify") and {("caller", "Session"), ("caller", "handle"), ("test", "t_verify"), ("dependency", "hash")} <= set(got)
-    assert sum(x.chars for x in tools.context(nodes, edges, "function:src/core/auth.rs:verify", 80).collect()) <= 80
-    usages = {x.id.rsplit(":")[-1]: x.distance for x in g.find_usages(edges, nodes.where("name = 'hash'").select("id"), 3).collect()}
-    assert usages == {"verify": 1, "handle": 2, "Session": 2, "t_verify": 3}
+    got = [(x.role, x.id.rsplit(":")[-1]) for x in tools.context(nodes, edges, IDS["bake"]).collect()]
+    assert got[0] == ("target", "bake") and {("caller", "Tray"), ("caller", "charge"), ("test", "test_charge"), ("dependency", "knead")} <= set(got)
+    assert sum(x.chars for x in tools.context(nodes, edges, IDS["bake"], 80).collect()) <= 80
+    usages = {x.id.rsplit(":")[-1]: x.distance for x in g.find_usages(edges, nodes.where("name = 'knead'").select("id"), 3).collect()}
+    assert usages == {"bake": 1, "idle": 1, "charge": 2, "Tray": 2, "test_charge": 3, "Drawer": 3}
 
 
 @pytest.mark.parametrize("name,words", [("buildSparseKeywordVector", ["build", "sparse", "keyword", "vector"]), ("Db::upsert_nodes", ["db", "upsert", "nodes"]), ("parseXMLDocument", ["parse", "xml", "document"]), ("sha256Sum", ["sha256", "sum"]), ("x", ["x"]), ("", [])])

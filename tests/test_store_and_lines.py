@@ -3,7 +3,7 @@ import pytest
 from weftgraph.functions import lines
 from weftgraph.sources import store
 
-from .fixture_graph import make
+from .fixture_graph import IDS, OVEN, make
 
 
 def test_store_round_trip(spark, tmp_path):
@@ -11,9 +11,9 @@ def test_store_round_trip(spark, tmp_path):
     s = store.GraphStore(spark, f"{tmp_path}/kg", 4, "m")
     s.write(nodes, edges)
     again = store.GraphStore(spark, f"{tmp_path}/kg", 4, "m")
-    assert again.counts() == (8, 6)
+    assert again.counts() == (10, 9)
     assert sorted(map(str, again.nodes().select(*nodes.columns).collect())) == sorted(map(str, nodes.collect()))
-    ids = ["file:src/core/auth.rs", "class:src/core/auth.rs:Session", "nowhere"]
+    ids = [IDS[OVEN], IDS["Tray"], "nowhere"]
     assert [r.id for r in again.fetch(ids).collect()] == ids[:2]
     again.write(nodes.limit(3), edges.limit(1))
     assert store.GraphStore(spark, f"{tmp_path}/kg").counts() == (3, 1)
@@ -22,7 +22,7 @@ def test_store_round_trip(spark, tmp_path):
             store.GraphStore(spark, f"{tmp_path}/kg", *bad)
     two = [store.GraphStore(spark, f"{tmp_path}/{k}", 4) for k in "ab"]
     store.write_all(two, nodes, edges)
-    assert [x.counts() for x in two] == [(8, 6)] * 2
+    assert [x.counts() for x in two] == [(10, 9)] * 2
     with pytest.raises(store.StoreMismatch):
         store.write_all([two[0], store.GraphStore(spark, f"{tmp_path}/c", 5)], nodes, edges)
 

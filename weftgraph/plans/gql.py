@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_PATH = 16
-_TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.\d+|\d+(?!\.\d))|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<param>\$\w+)|(?P<word>[A-Za-z_]\w*)|(?P<op><>|<=|>=|->|<-|\.\.|[-=<>()\[\]{}:,.|*+/%]))")
+_TOKEN = re.compile(r"(?:\s|//[^\n]*)*(?:(?P<num>\d+\.\d+|\d+(?!\.\d))|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<param>\$\w+)|(?P<word>[A-Za-z_]\w*)|(?P<op><>|<=|>=|->|<-|\.\.|[-=<>()\[\]{}:,.|*+/%]))")
+_REST = re.compile(r"(?:\s|//[^\n]*)*")
 _WRITES = {"CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "INSERT"}
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
 
@@ -34,10 +35,10 @@ class ReadOnlyError(GqlError):
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
-    out, at, text = [], 0, re.sub(r"//[^\n]*", "", text).rstrip()
-    while at < len(text):
+    out, at = [], 0
+    while not _REST.fullmatch(text, at):
         m = _TOKEN.match(text, at)
-        if not m or m.end() == at:
+        if not m:
             raise GqlError(f"unexpected {text[at:].strip()[:20]!r}")
         out.append((m.lastgroup, m[m.lastgroup]))
         at = m.end()
@@ -308,9 +309,20 @@ def aggregated(e) -> bool:
     return any(x[0] == "call" and x[1] in AGGREGATES for x in parts_of(e))
 
 
+def ends_suffice(q: Query) -> bool:
+    """Whether the result is the same if paths with the same ends count once."""
+    first = q.stages[0][0] if q.stages else q.items
+    calls = [x for e, _ in first for x in parts_of(e) if x[0] == "call" and x[1] in AGGREGATES]
+    if not calls:
+        return not q.stages and q.distinct
+    return all(x[2] or x[1] in ("min", "max") for x in calls)
+
+
 class Compiler:
-    def __init__(self, nodes: DataFrame, edges: DataFrame, params: dict | None = None):
-        self.nodes, self.edges, self.params = nodes, edges, params or {}
+    """``sets``: paths with the same ends count once, so that they aren't listed."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, params: dict | None = None, sets: bool = False):
+        self.nodes, self.edges, self.params, self.sets = nodes, edges, params or {}, sets
 
     def value(self, e, has: set[str], frame: set[str]) -> Column:
         """``has``: pattern variables; ``frame``: columns that exist."""
@@ -400,6 +412,17 @@ class Compiler:
                 out.append(path.select(*cols))
         return out
 
+    def reached(self, h: Hop, tag: str, backwards: bool, starts: DataFrame) -> DataFrame:
+        """(from, to), each once: what is within ``hi`` edges of the starts. The shortest walk between two nodes uses no edge twice."""
+        e = self.edges.where(F.col("edge_type").isin(*h.types)) if h.types else self.edges
+        a, b = ("source", "target") if h.out != backwards else ("target", "source")
+        step = e.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+        at, out = starts.select(F.col("id").alias("_f"), F.col("id").alias("_t")), None
+        for _ in range(h.hi):
+            at = at.join(step, F.col("_t") == F.col("_a")).select("_f", F.col("_b").alias("_t")).distinct()
+            out = at if out is None else out.unionByName(at)
+        return out.distinct().select(F.col("_f").alias(f"{tag}from"), F.col("_t").alias(f"{tag}to"))
+
     def chain_frame(self, c: Chain, where: list, known: DataFrame | None, number: int) -> DataFrame:
         own = {n.var: [e for e in where if variables(e) == {n.var}] for n in c.nodes}
         nodes, hops = c.nodes, c.hops
@@ -418,7 +441,10 @@ class Compiler:
                 raise GqlError("patterns must share a variable with an earlier one")
         for k, (h, n) in enumerate(zip(hops, nodes[1:])):
             tag = f"h{number}_{k}_"
-            paths = reduce(DataFrame.unionByName, self.hop_frame(h, tag, backwards))
+            if self.sets and h.lo == 1 and h.hi > 1:
+                paths = self.reached(h, tag, backwards, df.select(F.col(f"{nodes[k].var}__id").alias("id")).distinct())
+            else:
+                paths = reduce(DataFrame.unionByName, self.hop_frame(h, tag, backwards))
             if f"{n.var}__id" in df.columns:
                 df = df.join(paths, (F.col(f"{nodes[k].var}__id") == F.col(f"{tag}from")) & (F.col(f"{n.var}__id") == F.col(f"{tag}to")), how)
             else:
@@ -448,7 +474,7 @@ class Compiler:
 
     def exists(self, df: DataFrame, q: Query, negated: bool, has: set[str]) -> DataFrame:
         """A semi or anti join on the variables that the inner pattern shares with the outer."""
-        inner, _ = Compiler(self.nodes, self.edges, self.params).patterns(q)
+        inner, _ = Compiler(self.nodes, self.edges, self.params, True).patterns(q)
         shared = sorted({n.var for c in q.chains for n in c.nodes} & has)
         if not shared:
             raise GqlError("EXISTS shares no variable with its query")
@@ -498,4 +524,5 @@ class Compiler:
 
 def run(text: str, nodes: DataFrame, edges: DataFrame, **params) -> DataFrame:
     """The result of a query; lists and values stand for its $parameters."""
-    return Compiler(nodes, edges, params).compile(parse(text))
+    q = parse(text)
+    return Compiler(nodes, edges, params, ends_suffice(q)).compile(q)
