@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from weftgraph.llm import gru_lm as lm
 
@@ -24,12 +25,14 @@ def corpus():
     return out + [(100, None), (101, ""), (None, "Null id here"), (102, prose(1, 9000)), (103, "rare%d " % 5 * 40), (104, prose(2, 30)), (104, prose(2, 30)), (105, "x" * 60000)]
 
 
-def test_base_columns_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("table", [0, 30, 1 << 18])
+def test_base_columns_match_brute_force(spark, monkeypatch, table):
     monkeypatch.setattr(lm, "CHUNK", 4000)
     pairs = corpus()
     c = Counter(t for d, x in pairs if not held(d) for t in tokens(x))
     n, v = sum(c.values()), len(c)
     want = sorted((-1 if d is None else d, held(d), len(t := tokens(x)), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)) for d, x in pairs)
+    monkeypatch.setattr(lm.vocabulary, "__defaults__", (50, table))
     got = rows(lm.score(docs(spark, pairs).repartition(3), words=50, updates=20))
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
@@ -120,3 +123,32 @@ def test_long_documents_are_learnt_from(spark):
     for updates in (20, 500):
         got = {r["doc_id"]: r for r in rows(lm.score(docs(spark, [(train, pattern), (test, pattern[:6000])]), updates=updates))}
         assert got[test]["score"] > 0.5 * got[test]["base_score"]  # both are negative
+
+
+def test_score_of_a_text_is_the_sum_over_its_tokens(spark, monkeypatch):
+    """The whole score again, token by token, from the model that the operator fitted."""
+    monkeypatch.setattr(lm, "TABLE", 20)
+    pairs = corpus()
+    source = docs(spark, pairs)
+    training = lm.texts(source).where(lm.remainder(lm.MODULUS) != lm.HELD_OUT)
+    vocab = lm.vocabulary(lm.count_words(training), 50, 20)
+    model, _ = lm.train(training, vocab, 20)
+    monkeypatch.setattr(lm, "train", lambda *_: (model, 0))
+    got = {r["doc_id"]: r["score"] for r in rows(lm.score(source, words=50)) if r["doc_id"] is not None}
+    c = Counter(t for d, x in pairs if not held(d) for t in tokens(x))
+    frequent = sorted((w for w in c if w is not None), key=lambda w: (-c[w], lm._hashes(*lm.wh.buffers(lm.pa.array([w])))[0][0]))[:50]
+    at = {w: k + 2 for k, w in enumerate(frequent)}
+    n_other = sum(v for w, v in c.items() if w is not None and w not in at)
+    v_other = sum(w is not None and w not in at for w in c)
+    for d, text in pairs:
+        if d is None:
+            continue
+        h, prev, total = np.zeros((1, model.hidden), np.float32), lm.END, 0.0
+        for w in tokens(text):
+            token = lm.END if w is None else at.get(w, lm.OTHER)
+            h = model.steps(np.array([[prev]]), h)[0]
+            total += model.log_probabilities(h, np.array([token]))[0] / math.log(10)
+            if token == lm.OTHER:
+                total += math.log10((c[w] + 1) / (n_other + v_other + 1))
+            prev = token
+        assert abs(got[d] - total) < 1e-3 * max(1, abs(total)), d

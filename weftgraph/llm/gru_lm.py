@@ -12,8 +12,9 @@ of ``SPAN`` tokens follow each other and the state is carried across them.
 Counts cover all training documents: every batch counts its distinct words,
 and the sums, N and V come from the whole table. Looking the counts up again
 moves one row for each rare word of a chunk of documents, not for each token:
-frequent words are in the model's table, of fixed size. Words are compared by
-64-bit hashes.
+the ``WORDS`` words of the model and the ``TABLE`` most frequent others are
+in a table of fixed size that every task holds, so that no word that is left
+stands in a large share of the chunks. Words are compared by 64-bit hashes.
 
 The weights are fitted by truncated backpropagation over every token of every
 training document. The documents are dealt into ``ROUNDS`` rounds by a hash of
@@ -41,18 +42,23 @@ from .common import cut, remainder, texts
 
 MODULUS, HELD_OUT = 7, 2
 WORDS, CLASS_SIZE, HIDDEN = 4096, 64, 32
+TABLE = 1 << 18  # further words whose counts every task holds
 STREAMS, STEPS, UPDATES, RATE, CLIP = 64, 16, 500, 0.1, 5.0
 ROUNDS = (1 / 16, 3 / 8, 1)  # the share of the documents that has been read after each round
-LANES, TASK_TOKENS, BLOCK = 256, 1 << 22, 4096  # lanes of a task; least tokens of a task; weights in a row
-SPAN, GROUP = 32, 2048
+LANES, TASK_TOKENS, BLOCK, ROWS = 512, 1 << 22, 4096, 2048  # lanes of a task; least tokens of a task; weights in a row; rows of a softmax at once
+SPAN, GROUP = 32, 1024
 CHUNK, BATCH = 8 << 20, 32 << 20  # bytes of text
 
 OTHER, END = 0, 1
 _END_HASH = -1  # of the end among the counts; a word with this hash would be counted with it
 
 
-def _sigmoid(x):
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
 
 
 class Gru:
@@ -76,39 +82,63 @@ class Gru:
             "wb": np.log(share / per_class[self.class_of]).astype(f),
         }
 
-    def steps(self, prev: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States before each token: prev (steps, batch) tokens, h (batch, hidden). After each end the state is 0."""
+    def steps(self, prev: np.ndarray, h: np.ndarray, keep: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """States before each token: prev (steps, batch) tokens, h (batch, hidden). After each end the state is 0. ``keep`` takes what the way back needs."""
         p, k = self.p, self.hidden
         out = np.empty((*prev.shape, k), h.dtype)
+        if keep is not None:
+            keep.update((name, np.empty((*prev.shape, n * k), h.dtype)) for name, n in (("h", 1), ("zr", 2), ("rh", 1), ("g", 1)))
+        ended = prev == END
+        some = ended.any(1)
         for t in range(len(prev)):
             x = p["x"][prev[t]]
-            fresh = prev[t] == END
-            if fresh.any():
-                h = np.where(fresh[:, None], 0, h).astype(h.dtype)
-            zr = _sigmoid(x[:, : 2 * k] + h @ p["u"])
-            z, r = zr[:, :k], zr[:, k:]
-            g = np.tanh(x[:, 2 * k :] + (r * h) @ p["v"])
+            if some[t]:
+                h = np.where(ended[t][:, None], 0, h).astype(h.dtype)
+            zr = h @ p["u"]
+            zr += x[:, : 2 * k]
+            _sigmoid(zr)
+            rh = zr[:, k:] * h
+            g = rh @ p["v"]
+            g += x[:, 2 * k :]
+            np.tanh(g, out=g)
             if keep is not None:
-                keep.append((h, z, r, g))
-            h = h + z * (g - h)
+                for name, v in (("h", h), ("zr", zr), ("rh", rh), ("g", g)):
+                    keep[name][t] = v
+            h = h + zr[:, :k] * (g - h)
             out[t] = h
         return out
 
+    def bounded(self) -> bool:
+        """Whether no exponential can overflow: states lie between -1 and 1."""
+        return all(float((np.abs(self.p[a]).sum(0) + np.abs(self.p[b])).max()) < 60 for a, b in (("c", "cb"), ("w", "wb")))
+
+    @staticmethod
+    def _exponentials(logits: np.ndarray, pick: tuple, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The picked logits and the sums of the exponentials, which replace the logits; all relative to the row's greatest unless bounded."""
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
+        right = logits[pick]
+        np.exp(logits, out=logits)
+        return right, logits @ np.ones(logits.shape[1], logits.dtype)  # much faster than a sum along rows
+
     def log_probabilities(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
-        p = self.p
-        logits = h @ p["c"] + p["cb"]
-        cls = self.class_of[token]
-        top = logits.max(1)
-        out = (logits[np.arange(len(h)), cls] - top).astype(np.float64) - np.log(np.exp(logits - top[:, None]).sum(1))
+        p, bounded = self.p, self.bounded()
+        cls, out = self.class_of[token], np.empty(len(h))
+        for lo in range(0, len(h), ROWS):  # small enough for the cache
+            logits = h[lo : lo + ROWS] @ p["c"]
+            logits += p["cb"]
+            right, total = self._exponentials(logits, (np.arange(len(logits)), cls[lo : lo + ROWS]), bounded)
+            out[lo : lo + ROWS] = right - np.log(total)
         order = np.argsort(cls, kind="stable")
         border = np.searchsorted(cls[order], np.arange(len(self.first)))
         for c in range(2, len(self.first) - 1):
             at = order[border[c] : border[c + 1]]
             if len(at):
                 a, b = self.first[c], self.first[c + 1]
-                inner = h[at] @ p["w"][:, a:b] + p["wb"][a:b]
-                top = inner.max(1)
-                out[at] += inner[np.arange(len(at)), token[at] - a] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+                inner = h[at] @ p["w"][:, a:b]
+                inner += p["wb"][a:b]
+                right, total = self._exponentials(inner, (np.arange(len(at)), token[at] - a), bounded)
+                out[at] += right - np.log(total)
         return out
 
     def score(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -134,20 +164,24 @@ class Gru:
 
     def gradient(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray):
         """Mean negative log-likelihood, its gradient (the input table's by row), and the last state."""
-        p, k, keep = self.p, self.hidden, []
+        p, k, keep, bounded = self.p, self.hidden, {}, self.bounded()
         states = self.steps(prev, h, keep)
         flat, target = states.reshape(-1, k), token.ravel()
-        n = len(target)
+        n, loss = len(target), 0.0
         g = {name: np.zeros_like(v) for name, v in p.items() if name != "x"}
-        logits = flat @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        cls = self.class_of[target]
-        loss = -(logits[np.arange(n), cls] - np.log(e.sum(1))).sum()
-        d = e / e.sum(1, keepdims=True)
-        d[np.arange(n), cls] -= 1
-        g["c"], g["cb"] = flat.T @ d / n, d.sum(0) / n
-        dh = d @ p["c"].T
+        cls, dh = self.class_of[target], np.empty_like(flat)
+        for lo in range(0, n, ROWS):
+            part = slice(lo, lo + ROWS)
+            e = flat[part] @ p["c"]
+            e += p["cb"]
+            pick = (np.arange(len(e)), cls[part])
+            right, total = self._exponentials(e, pick, bounded)
+            loss -= (right - np.log(total)).sum()
+            e *= (1 / total)[:, None]
+            e[pick] -= 1
+            g["c"] += flat[part].T @ e
+            g["cb"] += e.sum(0)
+            dh[part] = e @ p["c"].T
         order = np.argsort(cls, kind="stable")
         border = np.searchsorted(cls[order], np.arange(len(self.first)))
         near, aim, back = flat[order], target[order], np.zeros_like(flat)
@@ -156,34 +190,39 @@ class Gru:
             if i == j:
                 continue
             a, b = self.first[c], self.first[c + 1]
-            inner = near[i:j] @ p["w"][:, a:b] + p["wb"][a:b]
-            inner -= inner.max(1, keepdims=True)
+            e = near[i:j] @ p["w"][:, a:b]
+            e += p["wb"][a:b]
             pick = (np.arange(j - i), aim[i:j] - a)
-            right = inner[pick]
-            e = np.exp(inner)
-            total = e.sum(1)
+            right, total = self._exponentials(e, pick, bounded)
             loss -= (right - np.log(total)).sum()
-            e /= total[:, None]
+            e *= (1 / total)[:, None]
             e[pick] -= 1
-            g["w"][:, a:b], g["wb"][a:b] = near[i:j].T @ e / n, e.sum(0) / n
+            g["w"][:, a:b], g["wb"][a:b] = near[i:j].T @ e, e.sum(0)
             back[i:j] = e @ p["w"][:, a:b].T
         dh[order] += back
-        dh = dh.reshape(states.shape) / n
+        dh = dh.reshape(states.shape)
         dx = np.empty((*prev.shape, 3 * k), dh.dtype)
-        later = np.zeros_like(h)
+        later, ended = np.zeros_like(h), prev == END
+        some, vt, ut = ended.any(1), np.ascontiguousarray(p["v"].T), np.ascontiguousarray(p["u"].T)
         for t in range(len(prev) - 1, -1, -1):
-            h0, z, r, c = keep[t]
+            h0, zr, c = keep["h"][t], keep["zr"][t], keep["g"][t]
+            z, r = zr[:, :k], zr[:, k:]
             total = dh[t] + later
-            dg = total * z * (1 - c * c)
-            dz = total * (c - h0) * z * (1 - z)
-            drh = dg @ p["v"].T
-            dr = drh * h0 * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            dx[t] = np.concatenate([dzr, dg], 1)
-            g["v"] += (r * h0).T @ dg
-            g["u"] += h0.T @ dzr
-            later = total * (1 - z) + drh * r + dzr @ p["u"].T
-            later = np.where((prev[t] == END)[:, None], 0, later)
+            dg, dzr = dx[t][:, 2 * k :], dx[t][:, : 2 * k]
+            np.multiply(total * z, 1 - c * c, out=dg)
+            drh = dg @ vt
+            dzr[:, :k] = total * (c - h0)
+            dzr[:, k:] = drh * h0
+            dzr *= zr * (1 - zr)
+            later = total * (1 - z) + drh * r + dzr @ ut
+            if some[t]:
+                later = np.where(ended[t][:, None], 0, later)
+        gates = dx.reshape(-1, 3 * k)
+        g["v"] = keep["rh"].reshape(-1, k).T @ gates[:, 2 * k :]
+        g["u"] = keep["h"].reshape(-1, k).T @ gates[:, : 2 * k]
+        dx /= n
+        for v in g.values():
+            v /= n
         return loss / n, g, dx, states[-1]
 
     def seen(self) -> dict[str, np.ndarray]:
@@ -196,17 +235,25 @@ class Gru:
         order = np.argsort(prev.ravel(), kind="stable")
         rows, first = np.unique(prev.ravel()[order], return_index=True)
         gx = np.add.reduceat(dx.reshape(-1, dx.shape[2])[order], first, axis=0).astype(np.float32)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()) + float((gx * gx).sum()))
-        scale = min(1.0, CLIP / max(norm, 1e-9))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (*g.values(), gx)))
+        if norm > CLIP:
+            for v in (*g.values(), gx):
+                v *= CLIP / norm
         for name, v in g.items():
-            v *= scale
             seen[name] += v * v
-            self.p[name] -= (RATE * v / np.sqrt(seen[name])).astype(np.float32)
-        gx *= scale
+            self._descend(self.p[name], v, seen[name])
         seen["x"][rows] += gx * gx
-        self.p["x"][rows] -= (RATE * gx / np.sqrt(seen["x"][rows])).astype(np.float32)
+        self.p["x"][rows] = self._descend(self.p["x"][rows], gx, seen["x"][rows])
         return float(loss), h
 
+    @staticmethod
+    def _descend(weights: np.ndarray, gradient: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        step = np.sqrt(squares)
+        np.divide(gradient, step, out=step)
+        step *= RATE
+        weights -= step
+        return weights
+
     def fit(self, documents: list[np.ndarray], updates: int | None = UPDATES, width: int = STREAMS, seen: dict[str, np.ndarray] | None = None) -> list[float]:
         """Truncated backpropagation with adaptive steps; each stream reads documents one after another. None: one whole pass."""
         stream = np.concatenate(documents) if documents else np.zeros(0, np.int64)
@@ -243,11 +290,15 @@ class Gru:
 
 
 class Vocabulary:
-    """The model's words: sorted hashes, their tokens and their counts."""
+    """The model's words, the first ``words`` of those given: sorted hashes and their tokens. The counts of the others are in a table."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, end_count: int, total: int, distinct: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, end_count: int, total: int, distinct: int, words: int | None = None):
+        words = len(hashes) if words is None else min(words, len(hashes))
+        rest = words + np.argsort(hashes[words:])
+        self.table_keys, self.table_count = hashes[rest], counts[rest]
+        hashes, counts = hashes[:words], counts[:words]
         order = np.argsort(hashes)
-        self.keys, self.token, self.count = hashes[order], order + 2, counts[order]
+        self.keys, self.token = hashes[order], order + 2
         self.end_count, self.total, self.distinct = end_count, total, distinct
         self.other_total = total - end_count - int(counts.sum())
         self.other_distinct = distinct - len(hashes) - int(end_count > 0)
@@ -259,6 +310,13 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.token[at], OTHER)
 
+    def table_counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts of words outside the model; 0 for those that the table doesn't hold."""
+        if not len(self.table_keys):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.table_keys, h), len(self.table_keys) - 1)
+        return np.where(self.table_keys[at] == h, self.table_count[at], 0)
+
 
 def _hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signed word hashes of some rows and the first word of each."""
@@ -294,17 +352,18 @@ def count_words(training: DataFrame) -> DataFrame:
     return cut(training.select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
 
 
-def vocabulary(counts: DataFrame, words: int = WORDS) -> Vocabulary:
+def vocabulary(counts: DataFrame, words: int = WORDS, table: int = TABLE) -> Vocabulary:
+    """The most frequent ``words`` words for the model, and the counts of as many as ``words + table``."""
     total, distinct, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == _END_HASH, F.col("c"))), F.lit(0))).first()
     plain = counts.where(F.col("h") != _END_HASH).withColumn("size", F.floor(F.log2("c") * 32).cast("int"))
-    # a sort with a limit alone would send ``words`` rows of every partition to one task
+    # a sort with a limit alone would send as many rows of every partition to one task
     above, least = 0, 0
     for r in sorted(plain.groupBy("size").count().collect(), reverse=True):  # at most 32 x 64 rows
         above, least = above + r["count"], r.size
-        if above >= words:
+        if above >= words + table:
             break
-    top = plain.where(F.col("size") >= least).orderBy(F.desc("c"), "h").limit(words).collect()  # at most ``words`` rows
-    return Vocabulary(np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64), end, total, distinct)
+    top = plain.where(F.col("size") >= least).orderBy(F.desc("c"), "h").limit(words + table).select("h", "c").toArrow()  # 16 bytes a row
+    return Vocabulary(*(top.column(x).to_numpy().astype(np.int64) for x in ("h", "c")), end, total, distinct, words)
 
 
 def _streams(vocab: Vocabulary, batches):
@@ -399,12 +458,21 @@ def _scored(shared):
                 stream, starts = np.full(len(h) + rows, END, np.int64), first + np.arange(rows + 1)
                 stream[np.arange(len(h)) + np.repeat(np.arange(rows), n)] = token
                 score = model.score(stream, starts) / np.log(10)
-                rare = token == OTHER
-                sums = np.concatenate([[0.0], np.cumsum(np.where(rare, 0.0, log_count[token]))])
+                other = np.flatnonzero(token == OTHER)
+                count = vocab.table_counts(h[other])
+                logs = log_count[token]
+                logs[other] = np.log10(count + 1)
+                rare = np.zeros(len(h), bool)  # its count has to be looked up
+                rare[other[count == 0]] = True
+                sums = np.concatenate([[0.0], np.cumsum(logs)])
                 base = sums[first[1:]] - sums[first[:-1]] + log_count[END] - (n + 1) * np.log10(vocab.total + vocab.distinct + 1)
                 rare_n = wh.sums_by_row(rare, first)
                 known = n - rare_n + (vocab.end_count > 0)
-                score -= rare_n * np.log10(vocab.other_total + vocab.other_distinct + 1)
+                # another word: the symbol's probability times the word's share among such words
+                logs[token != OTHER] = 0
+                sums = np.concatenate([[0.0], np.cumsum(logs)])
+                n_other = wh.sums_by_row(token == OTHER, first)
+                score += sums[first[1:]] - sums[first[:-1]] - n_other * np.log10(vocab.other_total + vocab.other_distinct + 1)
                 for a, b in _groups(offs[lo : hi + 1], CHUNK):
                     mine = h[first[a] : first[b]][rare[first[a] : first[b]]]
                     hashes, rank = np.unique(mine, return_inverse=True)
@@ -447,7 +515,7 @@ def score(docs: DataFrame, words: int = WORDS, updates: int = UPDATES) -> DataFr
     training = rows.where(~F.col("held_out"))
     counts = count_words(training)
     vocab = vocabulary(counts, words)
-    shared = spark.sparkContext.broadcast((vocab, train(training, vocab, updates)[0]))  # about 2 MB, whatever the input
+    shared = spark.sparkContext.broadcast((vocab, train(training, vocab, updates)[0]))  # about 7 MB, whatever the input
     chunks = cut(rows.mapInArrow(_scored(shared), _CHUNK)).withColumn("chunk", F.monotonically_increasing_id())
     asked = chunks.select("chunk", F.posexplode("hashes").alias("pos", "h"))
     found = asked.join(counts.where(F.col("h") != _END_HASH), "h").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
