@@ -11,7 +11,7 @@ from weftgraph.functions import globs, text
 from weftgraph.operators import graph as g
 from weftgraph.operators import retrieval as r
 from weftgraph.operators import tools
-from weftgraph.operators.reach import FrontierTooLarge, bfs, path_counts
+from weftgraph.operators.reach import FrontierTooLarge, bfs, distinct_reach, path_counts
 from weftgraph.streaming import incremental
 
 from .fixture_graph import IDS, OVEN, make
@@ -66,6 +66,31 @@ def test_shortest_path(spark):
     assert g.shortest_path(e, "2", "2") == ["2"] and g.shortest_path(e, "0", "77") is None
 
 
+def test_all_shortest_paths(spark):
+    e = edges_of(spark, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (0, 5), (5, 6), (6, 4), (4, 0), (1, 7), (0, 8), (8, 9), (9, 3)])
+    assert rows(g.all_shortest_paths(e, "0", "4")) == [(1, "0", "1"), (1, "0", "2"), (1, "0", "5"), (2, "1", "3"), (2, "2", "3"), (2, "5", "6"), (3, "3", "4"), (3, "6", "4")]
+    assert rows(g.all_shortest_paths(e, "4", "7")) == [(1, "4", "0"), (2, "0", "1"), (3, "1", "7")]
+    assert rows(g.all_shortest_paths(e, "7", "0")) == [] == rows(g.all_shortest_paths(e, "0", "0"))
+
+
+def test_long_walks_are_not_cut(spark):
+    chain = edges_of(spark, [(k, k + 1) for k in range(20)])
+    seeds = spark.createDataFrame([("0",)], "id string")
+    assert {int(x.id): x.distance for x in bfs(chain, seeds, 18).collect()} == {k: k for k in range(19)}
+    assert {int(x.id) for x in distinct_reach(chain, seeds, 18).collect()} == set(range(1, 19))
+    loop = edges_of(spark, [(0, 1), (1, 2), (2, 0)])
+    assert {x.id for x in distinct_reach(loop, seeds, 6).collect()} == {"0", "1", "2"}
+
+
+def test_centrality_report(spark):
+    nodes, edges = make(spark)
+    got = g.centrality_report(nodes, edges, "betweenness", 2, "function", "bakery/").collect()
+    assert [x.name for x in got] == ["charge", "bake"] and got[0].degree == 4
+    assert [x.name for x in g.centrality_report(nodes, edges, top=1, prefix="bakery/oven").collect()] == ["bake"]
+    with pytest.raises(ValueError, match="pairs of neighbours"):
+        g.betweenness(nodes, edges, most_edges=3)
+
+
 def test_betweenness(spark):
     pairs = random_graph(5, 9, 18, loops=False)
     nodes = spark.createDataFrame([(str(i),) for i in range(9)], "id string")
@@ -92,10 +117,23 @@ def test_betweenness(spark):
 
 
 def test_cycles(spark):
-    assert rows(g.cycles(edges_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (5, 5), (6, 7), (7, 6)])).select("nodes", "length")) == [(["0", "1", "2"], 3), (["5"], 1), (["6", "7"], 2)]
+    e = edges_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (5, 5), (6, 7), (7, 6)])
+    assert rows(g.cycles(e)) == [("0", "0", 3), ("0", "1", 3), ("0", "2", 3), ("5", "5", 1), ("6", "6", 2), ("6", "7", 2)]
+    nodes = spark.createDataFrame([(str(k), f"a/{k}" if k < 6 else f"b/{k}") for k in range(8)], "id string, file string")
+    assert [tuple(x)[:3] for x in g.cycles_report(nodes, e, min_length=2).collect()] == [("0", 3, "0"), ("0", 3, "1"), ("0", 3, "2"), ("6", 2, "6"), ("6", 2, "7")]
+    assert [x.id for x in g.cycles_report(nodes, e, max_length=2, prefix="b/").collect()] == ["6", "7"]
     assert not g.has_cycles(edges_of(spark, [(0, 1), (1, 2), (0, 2)])) and g.has_cycles(edges_of(spark, [(0, 1), (1, 0)]))
 
 
+def test_pagerank_stops_and_drops_unknown_seeds(spark):
+    e = edges_of(spark, [(0, 1), (1, 2), (2, 0), (0, 3)])
+    a, b = ({x.id: x.score for x in g.personalized_pagerank(e, seeds, iterations=200).collect()} for seeds in (["0"], ["0", "nowhere"]))
+    assert a == b and abs(sum(a.values()) - 1) < 1e-9
+    exact = {x.id: x.score for x in g.personalized_pagerank(e, ["0"], iterations=300, epsilon=0).collect()}
+    assert all(abs(a[k] - exact[k]) < 1e-5 for k in exact)
+    assert g.personalized_pagerank(e, ["nowhere"]).count() == 0
+
+
 def test_pagerank(spark):
     pairs = [(0, 1), (1, 2), (2, 0), (0, 3)]
     rank = {0: 1.0}
@@ -107,7 +145,7 @@ def test_pagerank(spark):
                 new[b] += 0.85 * s / len(outs)
         new[0] += 1 - sum(new.values())
         rank = new
-    got = {x.id: x.score for x in g.personalized_pagerank(edges_of(spark, pairs), ["0"], iterations=20).collect()}
+    got = {x.id: x.score for x in g.personalized_pagerank(edges_of(spark, pairs), ["0"], iterations=20, epsilon=0).collect()}
     assert all(abs(got[str(k)] - v) < 1e-9 for k, v in rank.items()) and abs(sum(got.values()) - 1) < 1e-9
 
 
@@ -177,6 +215,15 @@ def test_vectors_and_fusion(spark):
     assert [x.id for x in sorted(picks, key=lambda x: x.pick)] == [1, 3]
 
 
+def test_queries_go_through_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 5 + 1)]) for k in range(40)], "id long, vector array<double>")
+    q = spark.createDataFrame([(k, [1.0, k / 3]) for k in range(11)], "query_id long, vector array<double>")
+    whole = rows(r.vector_search(v, q, 3))
+    monkeypatch.setattr(r, "MAX_QUERIES", 4)
+    assert rows(r.vector_search(v, q, 3)) == whole and len(whole) == 33
+    assert rows(r.vector_search(v, q.limit(0), 3)) == []
+
+
 def test_bm25_prefers_rare_and_saturates(spark):
     d = spark.createDataFrame([(1, "common rare"), (2, "common common common common"), (3, "common other"), (4, "common")], "id long, text string")
     q = spark.createDataFrame([("q", "common rare")], "query_id string, text string")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_WEIGHT, EDGE_WEIGHTS, USAGE_EDGES
-from ..session import cut
+from ..session import cut, sent
 from .reach import bfs, steps
 
 c = F.col
@@ -65,13 +65,13 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, types=None, dire
     """(id, distance) of what a walk of 1 to 5 hops finds, and the edges it went over."""
     hops = max(1, min(hops, 5))
     found = bfs(edges, seeds, hops, types, direction)
-    near = found.where(c("distance") < hops).select("id")
+    near = sent(cut(found.where(c("distance") < hops).select("id")))
     e = edges if types is None else edges.where(c("edge_type").isin(*types))
     parts = []
     if direction in ("out", "both"):
-        parts.append(e.join(near, e.source == near.id, "left_semi"))
+        parts.append(e.join(near, c("source") == c("id"), "left_semi"))
     if direction in ("in", "both"):
-        parts.append(e.join(near, e.target == near.id, "left_semi"))
+        parts.append(e.join(near, c("target") == c("id"), "left_semi"))
     gone = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return found, gone.distinct()
 
@@ -89,23 +89,23 @@ def find_usages(edges: DataFrame, targets: DataFrame, hops: int = 1) -> DataFram
     """(id, distance, via_edge, via_target): each user within 1 to 3 inbound hops once, by its least edge."""
     hops = max(1, min(hops, 3))
     e = edges.where(c("edge_type").isin(*USAGE_EDGES))
-    found = bfs(e, targets, hops, None, "in")
-    seen = found.select(c("id").alias("target"), c("distance").alias("at"))
-    users = e.join(seen, "target").join(found.select(c("id").alias("source"), "distance"), "source").where("distance = at + 1")
+    found = cut(bfs(e, targets, hops, None, "in"))
+    seen = sent(found.select(c("id").alias("target"), c("distance").alias("at")))
+    users = e.join(seen, "target").join(sent(found.select(c("id").alias("source"), "distance")), "source").where("distance = at + 1")
     return users.groupBy(c("source").alias("id"), "distance").agg(F.min(F.struct("edge_type", "target")).alias("via")).select("id", "distance", c("via.edge_type").alias("via_edge"), c("via.target").alias("via_target"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, strict: bool = False, limit: int = 64) -> list[str] | None:
-    """Node ids of a shortest directed path, the least predecessor at every step; the other way round if there is none, unless ``strict``."""
+def shortest_path(edges: DataFrame, source: str, target: str, strict: bool = False, limit: int | None = None) -> list[str] | None:
+    """Node ids of a shortest directed path, the least predecessor at every step; the other way round if there is none, unless ``strict``. No ``limit``: of any length."""
     spark = edges.sparkSession
     if source == target:
         return [source]
-    step = steps(edges).select("src", "dst").distinct()
+    step = steps(edges).select("src", "dst")
     seen = cut(spark.createDataFrame([(source, None)], "id string, parent string"))
     frontier, hops = seen, 0
-    while hops < limit:
-        new = frontier.join(step, frontier.id == step.src).groupBy(c("dst").alias("id")).agg(F.min("src").alias("parent"))
-        new = cut(new.join(seen.select("id"), "id", "left_anti"))
+    while limit is None or hops < limit:
+        new = sent(frontier.select("id")).join(step, c("id") == c("src")).groupBy(c("dst").alias("id")).agg(F.min("src").alias("parent"))
+        new = cut(new.join(sent(seen.select("id")), "id", "left_anti"))
         hops += 1
         if new.isEmpty():
             break
@@ -121,6 +121,32 @@ def shortest_path(edges: DataFrame, source: str, target: str, strict: bool = Fal
     return back
 
 
+def all_shortest_paths(edges: DataFrame, source: str, target: str, types=None) -> DataFrame:
+    """(hop, source, target): the edges, each pair once, that lie on a shortest directed path; empty if there is none or it has no edge.
+
+    The paths themselves may be exponentially many; their edges are at most as many as the graph's.
+    """
+    spark, step = edges.sparkSession, steps(edges, types).select("src", "dst")
+    seen = cut(spark.createDataFrame([(source, 0)], "id string, distance int"))
+    frontier, hops = seen, 0
+    while source != target:
+        hops += 1
+        new = sent(frontier.select("id")).join(step, c("id") == c("src")).select(c("dst").alias("id")).distinct().join(sent(seen.select("id")), "id", "left_anti").withColumn("distance", F.lit(hops))
+        new = cut(new)
+        if new.isEmpty():
+            return spark.createDataFrame([], "hop int, source string, target string")
+        seen, frontier = seen.unionByName(new), new
+        if not new.where(c("id") == target).isEmpty():
+            break
+    at, out = spark.createDataFrame([(target,)], "dst string"), spark.createDataFrame([], "hop int, source string, target string")
+    for hop in range(hops, 0, -1):
+        layer = seen.where(c("distance") == hop - 1).select(c("id").alias("src"))
+        back = cut(step.join(at, "dst", "left_semi").join(layer, "src", "left_semi").distinct())
+        out = out.unionByName(back.select(F.lit(hop).alias("hop"), c("src").alias("source"), c("dst").alias("target")))
+        at = back.select(c("src").alias("dst")).distinct()
+    return out
+
+
 # -- measures ------------------------------------------------------------------------------
 
 
@@ -137,49 +163,85 @@ def top_hubs(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
     return degree_centrality(nodes, edges).orderBy(F.desc("degree"), "id").limit(n).select("id", "degree")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, types=None, most_nodes: int = 50_000) -> DataFrame:
+def _dependencies(first: np.ndarray, to: np.ndarray, sources: np.ndarray, n: int) -> np.ndarray:
+    """Sums over the sources of each node's share of the shortest paths from them; level by level for all sources at once.
+
+    first, to: the successors of node v are to[first[v]:first[v + 1]].
+    """
+    k = len(sources)
+    sigma, dist = np.zeros(k * n), np.full(k * n, -1, np.int32)
+    at = np.arange(k) * n + sources  # (source, node) as one number
+    sigma[at], dist[at] = 1.0, 0
+    levels, depth = [], 0
+    while len(at):
+        node = at % n
+        many = first[node + 1] - first[node]
+        begin = np.repeat(first[node] - np.append(0, np.cumsum(many)[:-1]), many)
+        frm = np.repeat(at, many)
+        into = frm - frm % n + to[begin + np.arange(len(begin))]
+        depth += 1
+        dist[into[dist[into] < 0]] = depth
+        on = dist[into] == depth
+        frm, into = frm[on], into[on]
+        at, where = np.unique(into, return_inverse=True)
+        sigma[at] = np.bincount(where, sigma[frm], len(at))
+        levels.append((frm, into))
+    delta = np.zeros(k * n)
+    for frm, into in reversed(levels):
+        up, where = np.unique(frm, return_inverse=True)
+        delta[up] += np.bincount(where, sigma[frm] / sigma[into] * (1 + delta[into]), len(up))
+    delta[np.arange(k) * n + sources] = 0
+    return delta.reshape(k, n).sum(0)
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, types=None, most_nodes: int = 50_000, most_edges: int = 5_000_000) -> DataFrame:
     """(id, betweenness): exact shortest-path betweenness, directed, over (n - 1)(n - 2).
 
     Sources are dealt over the tasks, each of which holds the adjacency of the whole graph; it is for graphs of at most
-    ``most_nodes`` nodes, and larger ones are refused rather than sampled.
+    ``most_nodes`` nodes and ``most_edges`` pairs of neighbours, and larger ones are refused rather than sampled.
     """
     n = nodes.count()
     if n > most_nodes:
         raise ValueError(f"betweenness of {n} nodes; the limit is {most_nodes}")
-    pairs = steps(edges, types).select("src", "dst").distinct().collect()  # bounded by the check above
-    out: dict[str, list[str]] = {}
-    for r in pairs:
-        out.setdefault(r.src, []).append(r.dst)
-    shared = nodes.sparkSession.sparkContext.broadcast(out)
+    ids = sorted(r.id for r in nodes.select("id").collect())  # bounded by the check above
+    number = nodes.sparkSession.createDataFrame(list(enumerate(ids)), "k int, id string")
+    pairs = steps(edges, types).select("src", "dst").distinct()
+    pairs = cut(pairs.join(F.broadcast(number.select(c("id").alias("src"), c("k").alias("a"))), "src").join(F.broadcast(number.select(c("id").alias("dst"), c("k").alias("b"))), "dst").select("a", "b"))
+    m = pairs.count()
+    if m > most_edges:
+        raise ValueError(f"betweenness over {m} pairs of neighbours; the limit is {most_edges}")
+    found = pairs.orderBy("a", "b").toArrow()
+    a, to = found.column("a").to_numpy(), found.column("b").to_numpy().astype(np.int64)
+    first = np.searchsorted(a, np.arange(n + 1))
+    shared = nodes.sparkSession.sparkContext.broadcast((first, to))  # bounded by the checks above
+    block = max(1, (1 << 22) // max(n, 1))
 
     def part(batches):
-        adjacent = shared.value
+        begin, successors = shared.value
+        total = np.zeros(n)
         for batch in batches:
-            total: dict[str, float] = {}
-            for s in batch["id"]:
-                order, before, sigma, dist = [], {}, {s: 1.0}, {s: 0}
-                todo = deque([s])
-                while todo:
-                    v = todo.popleft()
-                    order.append(v)
-                    for w in adjacent.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            todo.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] = sigma.get(w, 0.0) + sigma[v]
-                            before.setdefault(w, []).append(v)
-                delta: dict[str, float] = {}
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        delta[v] = delta.get(v, 0.0) + sigma[v] / sigma[w] * (1 + delta.get(w, 0.0))
-                    if w != s and w in delta:
-                        total[w] = total.get(w, 0.0) + delta[w]
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())}, columns=["id", "part"]).astype({"id": object, "part": float})
-
-    sums = nodes.select("id").repartition(64).mapInPandas(part, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
+            sources = batch["k"].to_numpy().astype(np.int64)
+            for lo in range(0, len(sources), block):
+                total += _dependencies(begin, successors, sources[lo : lo + block], n)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"k": some.astype(np.int32), "part": total[some]})
+
+    tasks = max(1, min(64, n // 64))
+    sums = number.select("k").repartition(tasks, "k").mapInPandas(part, "k int, part double").groupBy("k").agg(F.sum("part").alias("part"))
     scale = float(max((n - 1) * (n - 2), 1))
-    return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) / scale).alias("betweenness"))
+    return number.join(sums, "k", "left").select("id", (F.coalesce("part", F.lit(0.0)) / scale).alias("betweenness"))
+
+
+def centrality_report(nodes: DataFrame, edges: DataFrame, score: str = "degree", top: int = 20, node_type: str | None = None, prefix: str | None = None) -> DataFrame:
+    """(id, name, node_type, file, degree, centrality, betweenness), the ``top`` by one of the scores, of one type or below one folder. Betweenness only where it is the score."""
+    scores = degree_centrality(nodes, edges)
+    scores = scores.join(betweenness(nodes, edges), "id") if score == "betweenness" else scores.withColumn("betweenness", F.lit(None).cast("double"))
+    out = scores.join(nodes.select("id", "name", "node_type", "file"), "id")
+    if node_type:
+        out = out.where(F.lower("node_type") == node_type.lower())
+    if prefix:
+        out = out.where(c("file").startswith(prefix))
+    return out.select("id", "name", "node_type", "file", "degree", "centrality", "betweenness").orderBy(F.desc(score), "id").limit(top)
 
 
 def cyclic_core(edges: DataFrame, types=None, rounds: int = 10_000) -> DataFrame:
@@ -242,28 +304,56 @@ def strong_components(edges: DataFrame, types=None) -> DataFrame:
 
 
 def cycles(edges: DataFrame, types=None) -> DataFrame:
-    """(component, nodes, length): the sorted node set of each strongly connected component with a cycle."""
-    return strong_components(edges, types).groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("nodes")).withColumn("length", F.size("nodes"))
+    """(component, id, length): the nodes of each strongly connected component with a cycle, one a row, and how many they are."""
+    found = strong_components(edges, types)
+    return found.join(found.groupBy("component").agg(F.count("*").alias("length")), "component").select("component", "id", "length")
 
 
-def personalized_pagerank(edges: DataFrame, seeds: list[str], direction: str = "out", types=None, restart: float = 0.15, iterations: int = 30, max_results: int | None = None) -> DataFrame:
-    """(id, score): power iteration from uniform seeds; edges weigh by type, mass without a way out returns to the seeds."""
-    damping = 1 - min(max(restart, 0.01), 0.99)
-    spark = edges.sparkSession
+def cycles_report(nodes: DataFrame, edges: DataFrame, types=None, min_length: int = 1, max_length: int | None = None, prefix: str | None = None) -> DataFrame:
+    """(component, length, id, file) of the cyclic components of so many nodes, the longest first; ``prefix``: those with a node below that folder."""
+    found = cycles(edges, types).where(c("length") >= min_length).join(nodes.select("id", "file"), "id", "left")
+    if max_length is not None:
+        found = found.where(c("length") <= max_length)
+    if prefix:
+        found = found.join(found.where(c("file").startswith(prefix)).select("component").distinct(), "component", "left_semi")
+    return found.select("component", "length", "id", "file").orderBy(F.desc("length"), "component", "id")
+
+
+def _edge_weight():
     weight = F.lit(DEFAULT_WEIGHT)
     for name, w in EDGE_WEIGHTS.items():
         weight = F.when(c("edge_type") == name, F.lit(w)).otherwise(weight)
-    step = steps(edges, types, direction).withColumn("w", weight).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return weight
+
+
+def personalized_pagerank(edges: DataFrame, seeds: list[str], direction: str = "out", types=None, restart: float = 0.15, iterations: int = 30, max_results: int | None = None, epsilon: float = 1e-6, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, score): power iteration from uniform seeds; edges weigh by type, mass without a way out returns to the seeds.
+
+    It stops once the scores have changed by less than ``epsilon`` in sum. Seeds that are not among ``nodes`` (without it:
+    not an end of an edge) are left out; without any seed the result is empty.
+    """
+    damping = 1 - min(max(restart, 0.01), 0.99)
+    spark = edges.sparkSession
+    known = nodes.select("id") if nodes is not None else edges.select(c("source").alias("id")).unionByName(edges.select(c("target").alias("id")))
+    names = sorted(r.id for r in known.where(c("id").isin(*set(seeds))).distinct().collect())  # the caller's seeds
+    if not names:
+        return spark.createDataFrame([], "id string, score double")
+    step = steps(edges, types, direction).withColumn("w", _edge_weight()).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    step = cut(step)
     total = step.groupBy("src").agg(F.sum("w").alias("t"))
-    step = cut(step.join(total, "src").select("src", "dst", (c("w") / c("t")).alias("w")))
-    seed = spark.createDataFrame([(s, 1.0 / len(set(seeds))) for s in sorted(set(seeds))], "id string, s double")
-    rank = seed.select("id", c("s").alias("score"))
+    step = cut(step.join(total, "src").select("src", "dst", (c("w") / c("t") * damping).alias("w")))
+    rank = spark.createDataFrame([(s, 1.0 / len(names)) for s in names], "id string, score double")
     for _ in range(iterations):
-        moved = rank.join(step, rank.id == step.src).groupBy(c("dst").alias("id")).agg(F.sum(c("score") * c("w") * damping).alias("score"))
+        moved = rank.join(step, rank.id == step.src).select(c("dst").alias("id"), (c("score") * c("w")).alias("new"))
+        old = rank.select("id", F.lit(0.0).alias("new"), c("score").alias("old"))
+        both = cut(moved.withColumn("old", F.lit(0.0)).unionByName(old).groupBy("id").agg(F.sum("new").alias("new"), F.sum("old").alias("old")))
         # all that did not move: the restarts, and what stood at nodes without a way out
-        kept = moved.agg((1 - F.coalesce(F.sum("score"), F.lit(0.0))).alias("rest"))
-        back = seed.join(F.broadcast(kept)).select("id", (c("s") * c("rest")).alias("score"))  # kept is one row
-        rank = cut(moved.unionByName(back).groupBy("id").agg(F.sum("score").alias("score")))
+        back = F.when(c("id").isin(*names), (1 - both.agg(F.sum("new")).first()[0]) / len(names)).otherwise(0.0)
+        rank = both.select("id", (c("new") + back).alias("score"), "old").where("score > 0")
+        change = rank.agg(F.sum(F.abs(c("score") - c("old")))).first()[0]
+        rank = rank.select("id", "score")
+        if change < epsilon:
+            break
     out = rank.orderBy(F.desc("score"), "id")
     return out.limit(max_results) if max_results else out
 
@@ -314,12 +404,12 @@ def project_overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def catalog_tree(nodes: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, parent, depth): the tree of Contains edges below the nodes that nothing contains."""
+def catalog_tree(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, parent, distance): the tree of Contains edges below the nodes that nothing contains."""
     contains = edges.where("edge_type = 'Contains'")
     inside = contains.groupBy(c("target").alias("id")).agg(F.min("source").alias("parent"))
     roots = nodes.join(inside, "id", "left_anti").where(c("node_type").isin("Folder", "File")).select("id")
-    level = bfs(contains, roots, depth, None, "out")
+    level = bfs(contains, roots, depth or 1 << 30, None, "out")
     return level.join(inside, "id", "left").select("id", "parent", "distance")
 
 

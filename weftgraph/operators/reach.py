@@ -1,8 +1,9 @@
 """Reachability: walks that start at a set of nodes and never list paths.
 
-Plans grow by one self-join a hop (at most ``MAX_HOPS`` of them). A hop dedupes
-before it joins on, so its rows are bounded by the nodes, however many paths
-there are; path counts are propagated as numbers.
+A hop dedupes before it joins on, so its rows are bounded by the nodes, however
+many paths there are; path counts are propagated as numbers. Walks are cut at
+every hop: a frontier whose counted size is small is sent to the edges, so that
+these aren't shuffled, a larger one is joined with a shuffle.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, sent
 
-MAX_HOPS = 16
 FRONTIER = 65_536
 
 
@@ -34,13 +34,13 @@ def steps(edges: DataFrame, types: Iterable[str] | None = None, direction: str =
 
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int, types=None, direction: str = "out", frontier_limit: int | None = None) -> DataFrame:
     """(id, distance): every node within ``hops``, the seeds at 0."""
-    step = steps(edges, types, direction).select("src", "dst").distinct()
+    step = steps(edges, types, direction).select("src", "dst")
     seen = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
     frontier = seen.select("id")
-    for hop in range(1, min(hops, MAX_HOPS) + 1):
-        new = frontier.join(step, frontier.id == step.src).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+    for hop in range(1, hops + 1):
+        new = sent(frontier).join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(sent(seen.select("id")), "id", "left_anti")
         new = cut(new.withColumn("distance", F.lit(hop)))
-        n = new.count() if frontier_limit else int(not new.isEmpty())
+        n = new.count()
         if frontier_limit and n > frontier_limit:
             raise FrontierTooLarge(f"{n} nodes at hop {hop}; the limit is {frontier_limit}")
         if not n:
@@ -57,11 +57,9 @@ def distinct_reach(edges: DataFrame, anchors: DataFrame, hops: int, types=None,
     hop needs only the distinct nodes of the one before.
     """
     step = steps(edges, types, direction).select("src", "dst")
-    at, out = anchors.select("id").distinct(), None
-    for _ in range(min(hops, MAX_HOPS)):
-        at = at.join(step, at.id == step.src).select(F.col("dst").alias("id")).distinct()
-        out = at if out is None else out.unionByName(at)
-    return out.distinct()
+    at = cut(anchors.select("id").distinct())
+    first = cut(sent(at).join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct())
+    return bfs(edges, first, hops - 1, types, direction).select("id")
 
 
 def path_counts(edges: DataFrame, anchors: DataFrame, hops: int, types=None, direction: str = "out") -> DataFrame:
@@ -78,18 +76,18 @@ def _walk(step: DataFrame, anchors: DataFrame, hops: int) -> DataFrame:
     """
     if not 1 <= hops <= 3:
         raise ValueError("paths have 1 to 3 edges; use bfs for longer walks")
-    start = anchors.select("id").distinct().withColumn("paths", F.lit(1).cast("long"))
+    start = cut(anchors.select("id").distinct().withColumn("paths", F.lit(1).cast("long")))
 
     def on(at: DataFrame) -> DataFrame:
-        return at.join(step, at.id == step.src).groupBy(F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        return sent(at).join(step, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
 
     def minus(a: DataFrame, *bs: DataFrame) -> DataFrame:
         out = a
         for b in bs:
             out = out.unionByName(b.select("id", (-F.col("paths")).alias("paths")))
-        return out.groupBy("id").agg(F.sum("paths").alias("paths")).where("paths > 0")
+        return cut(out.groupBy("id").agg(F.sum("paths").alias("paths")).where("paths > 0"))
 
-    one = on(start)
+    one = cut(on(start))
     out = one
     if hops >= 2:
         loops = step.where("src = dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("loops"))
@@ -107,12 +105,13 @@ def _walk(step: DataFrame, anchors: DataFrame, hops: int) -> DataFrame:
 
 def one_to_loop(start: DataFrame, step: DataFrame, loops: DataFrame) -> DataFrame:
     """Paths e1, e2, e2 with a self-loop e2 other than e1."""
-    one = start.join(step, start.id == step.src).select(F.col("dst").alias("id"), (F.col("src") == F.col("dst")).cast("long").alias("own"), "paths")
+    one = sent(start).join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("src") == F.col("dst")).cast("long").alias("own"), "paths")
     return one.join(loops, "id").groupBy("id").agg(F.sum(F.col("paths") * (F.col("loops") - F.col("own"))).alias("paths"))
 
 
 def back_and_forth(start: DataFrame, step: DataFrame, loops: DataFrame) -> DataFrame:
     """Paths e1, e2, e1 with e2 other than e1: x -> y -> x -> y, or two self-loops of one node."""
-    forth = start.join(step, start.id == step.src).select(F.col("src").alias("x"), F.col("dst").alias("y"), "paths")
-    back = step.groupBy(F.col("src").alias("y"), F.col("dst").alias("x")).agg(F.count("*").alias("ways"))
+    forth = sent(start).join(step, F.col("id") == F.col("src")).select(F.col("src").alias("x"), F.col("dst").alias("y"), "paths")
+    near = step.join(sent(start.select(F.col("id").alias("dst"))), "dst", "left_semi")  # only edges back to an anchor
+    back = near.groupBy(F.col("src").alias("y"), F.col("dst").alias("x")).agg(F.count("*").alias("ways"))
     return forth.join(back, ["x", "y"]).groupBy(F.col("y").alias("id")).agg(F.sum(F.col("paths") * (F.col("ways") - (F.col("x") == F.col("y")).cast("long"))).alias("paths"))

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..session import cut
 from .graph import personalized_pagerank
 
 c = F.col
-K1, RRF_K, MAX_DIMS, NAME_WEIGHT, CODE_WEIGHT, MAX_QUERIES = 1.2, 60, 512, 1.0, 0.35, 4096
+K1, RRF_K, MAX_DIMS, NAME_WEIGHT, CODE_WEIGHT, MAX_QUERIES, MAX_TOKENS = 1.2, 60, 512, 1.0, 0.35, 4096, 200_000
 
 
 def _ranked(df: DataFrame, k: int, score: str = "score", by: str = "query_id") -> DataFrame:
@@ -24,20 +25,34 @@ def _ranked(df: DataFrame, k: int, score: str = "score", by: str = "query_id") -
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, keep=None) -> DataFrame:
-    """(query_id, id, score, rank) by cosine. vectors: (id, vector); queries: (query_id, vector), at most ``MAX_QUERIES``, sent to every task.
+    """(query_id, id, score, rank) by cosine. vectors: (id, vector); queries: (query_id, vector).
 
-    Each task keeps its own best k for each query, so that only those are shuffled. Vectors of another width or
-    of length zero score 0.
+    The queries go through in blocks of ``MAX_QUERIES``, each of which is sent to every task and is one pass over the
+    vectors. Each task keeps its own best k for each query, so that only those are shuffled. Vectors of another width
+    or of length zero score 0.
     """
-    rows = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search them in blocks")
+    if keep is not None:
+        vectors = vectors.where(keep)
+    found, block, width = None, [], None
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        if block and (len(block) == MAX_QUERIES or len(r.vector) != width):
+            part = _block_search(vectors, block, k, dict(queries.dtypes)["query_id"])
+            found, block = part if found is None else found.unionByName(part), []
+        block.append(r)
+        width = len(r.vector)
+    if block:
+        part = _block_search(vectors, block, k, dict(queries.dtypes)["query_id"])
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+        found = vectors.sparkSession.createDataFrame([], "query_id {}, id {}, score double".format(*kinds))
+    return _ranked(found, k)
+
+
+def _block_search(vectors: DataFrame, rows: list, k: int, kind: str) -> DataFrame:
     ids = [r.query_id for r in rows]
     matrix = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    if keep is not None:
-        vectors = vectors.where(keep)
-    kind = dict(queries.dtypes)["query_id"]
 
     def part(batches):
         best: list[pd.DataFrame] = []
@@ -57,8 +72,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, keep=None
         if best:
             yield pd.concat(best)
 
-    found = vectors.select("id", "vector").mapInPandas(part, f"query_id {kind}, id {dict(vectors.dtypes)['id']}, score double")
-    return _ranked(found, k)
+    return vectors.select("id", "vector").mapInPandas(part, f"query_id {kind}, id {dict(vectors.dtypes)['id']}, score double")
 
 
 def postings(docs: DataFrame, text: str = "text", weight: float = NAME_WEIGHT) -> DataFrame:
@@ -75,8 +89,8 @@ def capped(post: DataFrame, df: DataFrame, n: int, cap: int = MAX_DIMS) -> DataF
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
-    """(token, df)."""
-    return post.select("id", "token").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    """(token, df). Postings have each token of a document once."""
+    return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
 def idf(df: DataFrame, n: int) -> DataFrame:
@@ -84,12 +98,24 @@ def idf(df: DataFrame, n: int) -> DataFrame:
     return df.select("token", F.log(1 + (n - c("df") + 0.5) / (c("df") + 0.5)).alias("idf"))
 
 
-def bm25(post: DataFrame, queries: DataFrame, n: int, k: int = 10) -> DataFrame:
-    """(query_id, id, score, rank). queries: (query_id, text). The document half is in the postings, rarity in the query."""
-    df = document_frequency(post)
-    q = queries.select("query_id", F.explode(tokenize("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    q = q.join(idf(df, n), "token", "left").select("query_id", "token", (c("qtf") * F.coalesce("idf", F.log(F.lit(1 + (n - 0.5) / 1.5)))).alias("qw"))
-    scored = post.join(q, "token").groupBy("query_id", "id").agg(F.round(F.sum(c("qw") * c("w")), 9).alias("score"))  # rounded, so that copies tie exactly
+def query_tokens(queries: DataFrame) -> DataFrame:
+    """(query_id, token, qtf)."""
+    return queries.select("query_id", F.explode(tokenize("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
+def bm25(post: DataFrame, queries: DataFrame, n: int, k: int = 10, df: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank). queries: (query_id, text). The document half is in the postings, rarity in the query.
+
+    Only postings of the queries' tokens are counted and shuffled; ``df`` gives stored document frequencies. Up to
+    ``MAX_TOKENS`` (query, token) pairs are sent to every task, so that a frequent token isn't one task's; more are joined.
+    """
+    q = cut(query_tokens(queries))
+    small = q.count() <= MAX_TOKENS
+    sent = F.broadcast if small else (lambda x: x)
+    post = cut(post.join(sent(q.select("token").distinct()), "token", "left_semi"))
+    q = q.join(idf(document_frequency(post) if df is None else df, n), "token", "left")
+    q = q.select("query_id", "token", (c("qtf") * F.coalesce("idf", F.log(F.lit(1 + (n - 0.5) / 1.5)))).alias("qw"))
+    scored = post.join(sent(q), "token").groupBy("query_id", "id").agg(F.round(F.sum(c("qw") * c("w")), 9).alias("score"))  # rounded, so that copies tie exactly
     return _ranked(scored, k)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, globs, text
 from ..operators import graph as g
 from ..operators import retrieval as r
-from ..operators import resolve, tools
+from ..operators import facts, resolve, tools
 from ..operators.reach import bfs
 from ..schema import EDGE_WEIGHTS, PROPERTIES, USAGE_EDGES
 from ..sources import tables
@@ -204,7 +204,7 @@ def import_cycles(spark, sf):
 
 @query()
 def cycles(spark, sf):
-    return g.cycles(graph(spark, sf)[1], ("Calls",)).select("component", "length")
+    return g.cycles(graph(spark, sf)[1], ("Calls",))
 
 
 def _ppr_sql(rounds: int) -> str:
@@ -279,9 +279,9 @@ def percentiles(spark, sf):
     return graph(spark, sf)[0].where("loc is not null").groupBy("node_type").agg(q(0.5).cast("long").alias("p50"), q(0.9).cast("long").alias("p90"), q(0.99).cast("long").alias("p99"), F.max("loc").alias("most"))
 
 
-@query("select target as id, count(*) as members from edges where edge_type = 'References' group by 1")
+@query("select n.id, (select count(*) from edges e where e.target = n.id and e.edge_type <> 'Contains') as in_degree, (select count(*) from edges e where e.source = n.id and e.edge_type <> 'Contains') as out_degree, nullif(case when n.node_type in ('Class', 'Interface') then (select count(*) from edges e where e.source = n.id and e.edge_type = 'Contains') end, 0) as members from nodes n")
 def degree_facts(spark, sf):
-    return graph(spark, sf)[1].where("edge_type = 'References'").groupBy(c("target").alias("id")).agg(F.count("*").alias("members"))
+    return facts.degree_facts(*graph(spark, sf))
 
 
 @query("select boundary_kinds as kind, count(*) as n from nodes where boundary_kinds is not null group by 1")

@@ -17,18 +17,21 @@ STEPS: dict[str, str] = {}
 STEPS["geo"] = "select c.c_custkey as ck, c.c_name as c_name, lower(c.c_mktsegment) as lang, c.c_nationkey as nk, r.r_name || '/' || n.n_name as folder from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey join {region} r on n.n_regionkey = r.r_regionkey"
 STEPS["lines"] = "select l_orderkey as ok, l_linenumber as ln, min(l_partkey) as pk from {lineitem} group by l_orderkey, l_linenumber"
 
+STEPS["nexts"] = "select distinct o_orderkey as k, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt from {orders}"
+STEPS["pairs"] = "select distinct pk, nxt from (select pk, lead(pk) over (partition by ok order by ln) as nxt from {lines}) t where nxt is not null and nxt <> pk"
+
+# every part has each of its edges once, by numbers, so that no text needs to be compared
 STEPS["edges"] = """
-select distinct source, target, edge_type from (
-    select 'folder:' || r.r_name as source, 'folder:' || r.r_name || '/' || n.n_name as target, 'Contains' as edge_type from {nation} n join {region} r on n.n_regionkey = r.r_regionkey
+select 'folder:' || r.r_name as source, 'folder:' || r.r_name || '/' || n.n_name as target, 'Contains' as edge_type from {nation} n join {region} r on n.n_regionkey = r.r_regionkey
     union all select 'folder:' || folder, 'file:c' || cast(ck as varchar(20)), 'Contains' from {geo}
-    union all select 'file:c' || cast(o_custkey as varchar(20)), 'function:o' || cast(o_orderkey as varchar(20)), 'Contains' from {orders}
-    union all select 'function:o' || cast(k as varchar(20)), 'function:o' || cast(nxt as varchar(20)), 'Calls' from (select o_orderkey as k, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt from {orders}) t where nxt is not null
-    union all select 'class:p' || cast(pk as varchar(20)), 'class:p' || cast(nxt as varchar(20)), 'Calls' from (select pk, lead(pk) over (partition by ok order by ln) as nxt from {lines}) t where nxt is not null and nxt <> pk
-    union all select 'function:o' || cast(ok as varchar(20)), 'class:p' || cast(pk as varchar(20)), 'References' from {lines}
+    union all select 'file:c' || cast(ck as varchar(20)), 'function:o' || cast(ok as varchar(20)), 'Contains' from (select distinct o_custkey as ck, o_orderkey as ok from {orders}) t
+    union all select 'class:p' || cast(pk as varchar(20)), 'function:o' || cast(ok as varchar(20)), 'Contains' from (select ok, min(pk) as pk from {lines} group by ok) t
+    union all select 'function:o' || cast(k as varchar(20)), 'function:o' || cast(nxt as varchar(20)), 'Calls' from {nexts} where nxt is not null
+    union all select 'class:p' || cast(pk as varchar(20)), 'class:p' || cast(nxt as varchar(20)), 'Calls' from {pairs}
+    union all select 'function:o' || cast(ok as varchar(20)), 'class:p' || cast(pk as varchar(20)), 'References' from (select distinct ok, pk from {lines}) t
     union all select 'class:p' || cast(l_partkey as varchar(20)), 'interface:s' || cast(min(l_suppkey) as varchar(20)), 'Implements' from {lineitem} group by l_partkey
     union all select 'file:c' || cast(ck as varchar(20)), 'file:c' || cast(nxt as varchar(20)), 'Imports' from (select ck, lead(ck) over (partition by nk order by ck) as nxt from {geo}) t where nxt is not null and ck % 2 = 0
     union all select 'class:p' || cast(p_partkey as varchar(20)), 'class:p' || cast(prv as varchar(20)), 'Extends' from (select p_partkey, lag(p_partkey) over (partition by p_brand order by p_partkey) as prv from {part}) t where prv is not null
-) all_edges
 """
 
 STEPS["counts"] = "select l_orderkey as ok, count(*) as n from {lineitem} group by l_orderkey"
@@ -55,9 +58,12 @@ STEPS["folders"] = """
 select 'folder:' || r_name as id, r_name as name, cast('' as varchar(20)) as folder from {region}
     union all select 'folder:' || r.r_name || '/' || n.n_name, n.n_name, r.r_name from {nation} n join {region} r on n.n_regionkey = r.r_regionkey
 """
-STEPS["indeg"] = "select target as nid, count(*) as n from {edges} where edge_type <> 'Contains' group by target"
-STEPS["outdeg"] = "select source as nid, count(*) as n from {edges} where edge_type <> 'Contains' group by source"
-STEPS["mem"] = "select target as nid, count(*) as n from {edges} where edge_type = 'References' group by target"
+STEPS["degrees"] = """
+select id, sum(i) as i, sum(o) as o, sum(m) as m from (
+    select target as id, 1 as i, 0 as o, 0 as m from {edges} where edge_type <> 'Contains'
+    union all select source, 0, case when edge_type <> 'Contains' then 1 else 0 end, case when edge_type = 'Contains' then 1 else 0 end from {edges}
+) ends group by id
+"""
 STEPS["every"] = """
 select id, name, node_type, file, start_line, end_line, description, loc, code_lines, comment_lines, doc_lines, params, max_nesting, has_doc, has_comments, is_test, boundary, boundary_in, boundary_out, language, classification, folder, boundary_kinds, boundary_protocols, boundary_detail from {facts}
     union all select id, name, 'Folder', null, null, null, null, null, null, null, null, null, null, null, null, null, null, null, null, null, null, folder, null, null, null from {folders}
@@ -65,10 +71,10 @@ select id, name, node_type, file, start_line, end_line, description, loc, code_l
 STEPS["nodes"] = """
 select e.id, e.name, e.node_type, e.file, cast(e.start_line as bigint) as start_line, cast(e.end_line as bigint) as end_line, e.description,
     cast(e.loc as bigint) as loc, cast(e.code_lines as bigint) as code_lines, cast(e.comment_lines as bigint) as comment_lines, cast(e.doc_lines as bigint) as doc_lines, cast(e.params as bigint) as params, cast(e.max_nesting as bigint) as max_nesting,
-    cast(case when e.node_type = 'Class' then coalesce(m.n, 0) end as bigint) as members, cast(e.has_doc as bigint) as has_doc, cast(e.has_comments as bigint) as has_comments, cast(e.is_test as bigint) as is_test,
-    cast(coalesce(i.n, 0) as bigint) as in_degree, cast(coalesce(o.n, 0) as bigint) as out_degree, cast(e.boundary as bigint) as boundary, cast(e.boundary_in as bigint) as boundary_in, cast(e.boundary_out as bigint) as boundary_out,
+    cast(case when e.node_type in ('Class', 'Interface') and d.m > 0 then d.m end as bigint) as members, cast(e.has_doc as bigint) as has_doc, cast(e.has_comments as bigint) as has_comments, cast(e.is_test as bigint) as is_test,
+    cast(coalesce(d.i, 0) as bigint) as in_degree, cast(coalesce(d.o, 0) as bigint) as out_degree, cast(e.boundary as bigint) as boundary, cast(e.boundary_in as bigint) as boundary_in, cast(e.boundary_out as bigint) as boundary_out,
     e.language, e.classification, e.folder, cast(null as varchar(20)) as qualified_name, cast(null as varchar(20)) as route, cast(null as varchar(20)) as annotations, e.boundary_kinds, e.boundary_protocols, e.boundary_detail
-from {every} e left join {indeg} i on i.nid = e.id left join {outdeg} o on o.nid = e.id left join {mem} m on m.nid = e.id
+from {every} e left join {degrees} d on d.id = e.id
 """
 
 _made: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
@@ -87,6 +93,14 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _made[key]
 
 
+def forget() -> None:
+    """Release what ``graph`` has kept."""
+    for nodes, edges in _made.values():
+        nodes.unpersist()
+        edges.unpersist()
+    _made.clear()
+
+
 def oracle(sql: str) -> str:
     """The SQL of a query over ``nodes`` and ``edges`` for DuckDB: the projection stands before it."""
     plain = {t: t for t in (*TABLES, *STEPS)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,10 +20,13 @@ def session(name: str = "weftgraph", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all machines share; made only where the session names none."""
+    """The checkpoint folder that all machines share. Only a session on one machine may go without naming one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftgraph-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -30,3 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative plans stay short and a lost executor costs one round."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df``, which was cut, to be sent to every task if it has at most ``BROADCAST_ROWS`` rows; it is counted for that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
