@@ -25,7 +25,8 @@ def scanned(p, text, chunk):
     base = lambda lo: max(0, lo - p.longest)
     part = lambda lo, hi: t[base(lo) : hi + p.longest]
     matrices = [p.transfer(part(lo, hi), base(lo), lo, hi, len(t)) for lo, hi in cuts]
-    states = pc.path(matrices, len(t))
+    ends = {s: w for s, w in pc.product(matrices)[pc.START].items() if s[1] == len(t)}
+    states = pc.path(matrices, pc.START, max(ends, key=ends.__getitem__))
     out = []
     for (lo, hi), a, b in zip(cuts, states, states[1:]):
         out += [i for s, e in p.backtrace(part(lo, hi), base(lo), a, b, hi) for i in p.id_list(t[s:e])]
@@ -58,9 +59,12 @@ def test_combining_is_associative(model):
     left = pc.combine(pc.combine(m[0], m[1]), m[2])
     right = pc.combine(m[0], pc.combine(m[1], m[2]))
     assert left == right and any(left.values())
-    whole = m[0]
-    for x in m[1:]:
-        whole = pc.combine(whole, x)
+    whole = pc.product(m)
+    for fan in (2, 3, 5):  # a tree of any shape gives the same
+        level = m
+        while len(level) > 1:
+            level = [pc.product(level[k : k + fan]) for k in range(0, len(level), fan)]
+        assert level[0] == whole
     ends = {s: w for s, w in whole[pc.START].items() if s[1] == len(t)}
     assert list(ends.values()) == [0]
 
@@ -69,7 +73,7 @@ def test_table(spark, model):
     pairs = list(enumerate(TEXTS)) + [(None, None), (100, ""), (101, prose(9, 3000)), (101, prose(9, 3000)), (None, prose(8, 900)), (102, "y" * 20000)]
     small = docs(spark, pairs).repartition(3)
     want = sorted((-1 if d is None else d, tuple(model.library.encode(t or ""))) for d, t in pairs)
-    got = rows(pc.encode(small, giant=500, chunk=128))
+    got = rows(pc.encode(small, giant=500, chunk=128, fan=3))  # a tree of several levels
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], tuple(r["ids"])) for r in got) == want
     assert all(r["exact"] for r in got) and max(r["chunks"] for r in got) > 100
     whole = rows(pc.encode(small))
@@ -80,3 +84,24 @@ def test_table(spark, model):
     ids = model.library.encode(TEXTS[10])
     assert d[10]["n_pieces"] == len(ids) and d[10]["ids_sha256"] == sha256(np.array(ids, "<i4").tobytes()).hexdigest()
     assert rows(pc.digest(empty(spark))) == []
+
+
+def test_giant_documents_at_the_real_threshold(spark, model):
+    long = " ".join(f"{w}{k % 7}" for k, w in enumerate(prose(5, 400_000).split()))  # some megabytes
+    pairs = [(1, long), (2, long[: pc.GIANT]), (3, long[: pc.GIANT + 1]), (4, "z" * (pc.GIANT + 50)), (5, long)]
+    got = {r["doc_id"]: r for r in rows(pc.digest(docs(spark, pairs)))}
+    for d, t in pairs:
+        ids = model.library.encode(t)
+        assert (got[d]["n_pieces"], got[d]["ids_sha256"]) == (len(ids), sha256(np.array(ids, "<i4").tobytes()).hexdigest()) and got[d]["exact"]
+    assert got[2]["chunks"] == 1 and got[3]["chunks"] == 9 and got[1]["chunks"] > 200
+
+
+def test_memory_is_bounded_and_forgets_nothing_in_use(model, monkeypatch):
+    p = pc.Pieces(pc.model_path())
+    monkeypatch.setattr(pc, "REMEMBERED", 50)
+    for seed in range(6):
+        texts = [prose(seed, 60, 300) + " \x00 ▁x  é日", prose(0, 40, 300), ""]
+        raw, exact = p.encode_whole(texts)
+        assert [np.frombuffer(x, "<i4").tolist() for x in raw] == [p.library.encode(t) for t in texts]
+        assert exact == [p.library.decode(p.library.encode(t)) == t.replace("▁", " ") for t in texts]
+        assert len(p.older) <= 200

@@ -12,14 +12,17 @@ A giant document (over ``GIANT`` characters) is split into chunks of ``CHUNK``.
 The state at a border is the piece that starts before it and ends at or after
 it. A chunk alone yields the transfer matrix between the few possible states at
 its two borders (max-plus, sparse: state in, state out, weight). Matrices are
-combined associatively, one product for each document; forward and backward
-products name the state at each border, and each chunk is then backtraced
-independently between its two states.
+combined associatively in a tree: each task joins at most ``FAN`` neighbours
+into one matrix, level by level up to the whole document; on the way down each
+node of the tree, given the states at its two ends, names those at the borders
+of its children. Each chunk is then backtraced independently between its two
+states.
 
 All other documents are one chunk. No piece holds a blank after another
 character, so a blank (or run of blanks) with the characters up to the next one
 is encoded by itself; the library encodes each distinct one once while it is
-remembered, and what it gives is decoded again to see that nothing was lost.
+remembered, many in one call, and what it gives is decoded again to see that
+nothing was lost.
 
 Decoding inverts encoding but for U+2581, which the model reads as a blank.
 Defined results: null and empty texts have no pieces; null ids and repeated
@@ -42,9 +45,9 @@ from pyspark.sql import functions as F
 from .common import cut, keyed
 
 MODEL = "piece_bpe_32k.model"
-GIANT, CHUNK = 65_536, 8_192
+GIANT, CHUNK, FAN = 65_536, 8_192, 16
 BLANK = "▁"
-REMEMBERED = 150_000  # distinct words with their ids, for each worker
+REMEMBERED, AT_ONCE = 80_000, 256  # distinct words in each of two generations of a worker's memory; words in one call
 
 
 def model_path(name: str = MODEL) -> str:
@@ -81,7 +84,9 @@ class Pieces:
         self.fits = lru_cache(1 << 17)(self._fits)
         self.alone = lru_cache(1 << 16)(lambda p: len(p) == 1 or self.merge(p) == [p])
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; what is asked for again moves to the new one
         self.lost: set[str] = set()  # words that decoding doesn't give back
+        self.begins = np.array([m.id_to_piece(i).startswith(BLANK) for i in range(n)])
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short string, by its merges."""
@@ -170,22 +175,40 @@ class Pieces:
             return [u[1:] for u in _WORD(BLANK + text.replace(" ", BLANK))]
         return text.split(" ") if text else []
 
+    def _learn(self, part: list[str]) -> None:
+        """Remember the ids of words; a word alone is encoded like a text, with the blank that stands before it."""
+        plain = [w for w in part if w and BLANK not in w]
+        for i in range(0, len(plain), AT_ONCE):
+            group = plain[i : i + AT_ONCE]
+            text = " ".join(group)
+            ids = self.library.encode(text)
+            flat = np.array(ids, "<i4")
+            first = np.flatnonzero(self.begins[flat]).tolist()
+            if len(first) == len(group) and self.library.decode(ids) == text:
+                raw, first = flat.tobytes(), [4 * k for k in first] + [4 * len(flat)]
+                self.words.update(zip(group, map(raw.__getitem__, map(slice, first, first[1:]))))
+            else:
+                self._learn_singly(group)
+        self._learn_singly([w for w in part if not w or BLANK in w])
+
+    def _learn_singly(self, part: list[str]) -> None:
+        ids = [self.library.encode(w) if w else [self.ids[BLANK]] for w in part]
+        self.words.update((w, np.array(x, "<i4").tobytes()) for w, x in zip(part, ids))
+        self.lost.update(w for w, d in zip(part, self.library.decode(ids)) if d != w.replace(BLANK, " "))
+
     def encode_whole(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """The ids of each text as little-endian 32-bit values, and whether they decode to it."""
         cut = [self.split(t) for t in texts]
-        for _ in range(2):
-            new = list(set().union(*cut).difference(self.words))
-            if len(self.words) + len(new) <= REMEMBERED or not self.words:
-                break
-            self.words, self.lost = {}, set()
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            # a word alone is encoded like a text: with the blank that stands before it
-            ids = [self.library.encode(w) if w else [self.ids[BLANK]] for w in part]
-            self.words.update((w, np.array(x, "<i4").tobytes()) for w, x in zip(part, ids))
-            self.lost.update(w for w, d in zip(part, self.library.decode(ids)) if d != w.replace(BLANK, " "))
-        of = self.words.__getitem__
-        return [b"".join(map(of, w)) for w in cut], [self.lost.isdisjoint(w) for w in cut]
+        asked = set().union(*cut)
+        if len(self.words) + len(asked.difference(self.words)) > REMEMBERED and self.words:
+            self.words, self.older = {}, self.words
+            self.lost = {w for w in self.lost if w in self.older}
+        new = asked.difference(self.words)
+        again = new.intersection(self.older)
+        self.words.update(zip(again, map(self.older.__getitem__, again)))
+        self._learn(list(new.difference(again)))
+        of, lost = self.words.__getitem__, self.lost.intersection(asked)
+        return [b"".join(map(of, w)) for w in cut], [not lost or lost.isdisjoint(w) for w in cut]
 
 
 def combine(a: Matrix, b: Matrix) -> Matrix:
@@ -200,12 +223,19 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def path(matrices: list[Matrix], end: int) -> list[State]:
-    """The state at each border, first and last included, on the one path from the start to the end."""
-    ahead = [{START: 0}]
+def product(matrices: list[Matrix]) -> Matrix:
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = combine(out, m)
+    return out
+
+
+def path(matrices: list[Matrix], before: State, after: State) -> list[State]:
+    """The state at each border, first and last included, on the best path between two states."""
+    ahead = [{before: 0}]
     for m in matrices:
-        ahead.append(combine({START: ahead[-1]}, m)[START])
-    out = [max((s for s in ahead[-1] if s[1] == end), key=lambda s: ahead[-1][s])]
+        ahead.append(combine({before: ahead[-1]}, m)[before])
+    out = [after]
     for m, here in zip(reversed(matrices), reversed(ahead[:-1])):
         out.append(max((s for s in here if out[-1] in m.get(s, {})), key=lambda s: here[s] + m[s][out[-1]]))
     return out[::-1]
@@ -282,7 +312,7 @@ def _transfer(path_: str):
     def run(batches):
         p = pieces(path_)
         for batch in batches:
-            out = [json.dumps([[*i, *o, w] for i, row in p.transfer(r["text"], r["base"], r["lo"], r["hi"], r["size"]).items() for o, w in row.items()]) for r in batch.to_pylist()]
+            out = [_write(p.transfer(r["text"], r["base"], r["lo"], r["hi"], r["size"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "rk", "k", "size"]).columns, pa.array(out, pa.string())], names=["doc_id", "rk", "k", "size", "matrix"])
 
     return run
@@ -295,12 +325,34 @@ def _read(matrix: str) -> Matrix:
     return out
 
 
+def _write(matrix: Matrix) -> str:
+    return json.dumps([[*i, *o, w] for i, row in matrix.items() for o, w in row.items()])
+
+
+def _children(row: dict) -> list[Matrix]:
+    return [_read(m["matrix"]) for m in sorted(row["parts"], key=lambda m: m["k"])]
+
+
+def _combined(batches):
+    """One matrix for the neighbours that lie in a row."""
+    for batch in batches:
+        out = [_write(product(_children(r))) for r in batch.select(["parts"]).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "rk", "up", "size"]).columns, pa.array(out, pa.string())], names=["doc_id", "rk", "k", "size", "matrix"])
+
+
 def _borders(batches):
+    """The states at both ends of each child, from those of its parent; the root begins at the start and ends with the document."""
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            states = path([_read(m["matrix"]) for m in sorted(r["parts"], key=lambda m: m["k"])], r["size"])
-            rows += [(r["doc_id"], r["rk"], k, list(a), list(b)) for k, (a, b) in enumerate(zip(states, states[1:]))]
+            children = _children(r)
+            if r["before"] is None:
+                ends = {s: w for s, w in product([{START: {START: 0}}, *children])[START].items() if s[1] == r["size"]}
+                before, after = START, max(ends, key=ends.__getitem__)
+            else:
+                before, after = tuple(r["before"]), tuple(r["after"])
+            states = path(children, before, after)
+            rows += [(r["doc_id"], r["rk"], m["k"], list(a), list(b)) for m, a, b in zip(sorted(r["parts"], key=lambda m: m["k"]), states, states[1:])]
         cols = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["d", "r", "j", "before", "after"])
 
@@ -328,14 +380,28 @@ def _same(a: str, b: str):
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _giant_results(rows: DataFrame, path_: str, giant: int, chunk: int) -> DataFrame:
+def _giant_results(rows: DataFrame, path_: str, giant: int, chunk: int, fan: int) -> DataFrame:
     large = rows.where(F.length("text") > giant).dropDuplicates(["doc_id", "rk"])
     # by number, so that small rows with much work in them aren't gathered into few tasks
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = cut(large.mapInArrow(_split(path_, giant, chunk), _CHUNK).repartition(spread, "doc_id", "rk", "k"))
     matrices = chunks.mapInArrow(_transfer(path_), "doc_id long, rk long, k int, size long, matrix string")
-    parts = matrices.groupBy("doc_id", "rk").agg(F.max("size").alias("size"), F.collect_list(F.struct("k", "matrix")).alias("parts"))
-    borders = parts.mapInArrow(_borders, "d long, r long, j int, before array<long>, after array<long>")
+    levels, left = [], (chunks.agg(F.max("k")).first()[0] or 0) + 1  # as many chunks as the longest document has
+    while True:
+        level = matrices.groupBy("doc_id", "rk", F.floor(F.col("k") / fan).cast("int").alias("up")).agg(F.max("size").alias("size"), F.collect_list(F.struct("k", "matrix")).alias("parts"))
+        levels.append(cut(level))  # at most ``fan`` matrices a row
+        left = -(-left // fan)
+        if left == 1:
+            break
+        matrices = levels[-1].mapInArrow(_combined, "doc_id long, rk long, k int, size long, matrix string")
+    none = F.lit(None).cast("array<long>")
+    borders, schema = None, "d long, r long, j int, before array<long>, after array<long>"
+    for level in reversed(levels):
+        if borders is None:
+            known = level.withColumn("before", none).withColumn("after", none)
+        else:
+            known = level.join(borders, _same("doc_id", "d") & _same("rk", "r") & _same("up", "j")).drop("d", "r", "j")
+        borders = known.mapInArrow(_borders, schema)
     work = chunks.join(borders, _same("doc_id", "d") & _same("rk", "r") & _same("k", "j")).drop("d", "r", "j").repartition(spread, "doc_id", "rk", "k")
     done = work.mapInArrow(_backtraced(path_), "doc_id long, rk long, k int, ids array<int>, exact boolean")
     return done.groupBy("doc_id", "rk").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"), F.min("exact").alias("exact"), F.count("*").alias("chunks")).select(
@@ -343,15 +409,15 @@ def _giant_results(rows: DataFrame, path_: str, giant: int, chunk: int) -> DataF
     )
 
 
-def _large(rows: DataFrame, path_: str, giant: int, chunk: int) -> DataFrame:
-    return rows.where(F.length("text") > giant).select("doc_id", "rk").join(_giant_results(rows, path_, giant, chunk), _same("doc_id", "d") & _same("rk", "r")).select("doc_id", "ids", "exact", "chunks")
+def _large(rows: DataFrame, path_: str, giant: int, chunk: int, fan: int) -> DataFrame:
+    return rows.where(F.length("text") > giant).select("doc_id", "rk").join(_giant_results(rows, path_, giant, chunk, fan), _same("doc_id", "d") & _same("rk", "r")).select("doc_id", "ids", "exact", "chunks")
 
 
-def encode(docs: DataFrame, path_: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path_: str | None = None, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, ids (of the pieces), exact (decoding gives the text back), chunks."""
     path_ = path_ or model_path()
     rows = keyed(docs)
-    return rows.mapInArrow(_small(path_, giant, False), "doc_id long, ids array<int>, exact boolean, chunks long").unionByName(_large(rows, path_, giant, chunk))
+    return rows.mapInArrow(_small(path_, giant, False), "doc_id long, ids array<int>, exact boolean, chunks long").unionByName(_large(rows, path_, giant, chunk, fan))
 
 
 def _decoded(path_: str):
@@ -378,8 +444,8 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offs).astype(np.int64)), pa.array(hashes, pa.string()), batch.column("exact"), batch.column("chunks")], names=["doc_id", "n_pieces", "ids_sha256", "exact", "chunks"])
 
 
-def digest(docs: DataFrame, path_: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def digest(docs: DataFrame, path_: str | None = None, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``encode`` with n_pieces and ids_sha256 (of the ids as little-endian 32-bit values) in place of the ids."""
     path_, schema = path_ or model_path(), "doc_id long, n_pieces long, ids_sha256 string, exact boolean, chunks long"
     rows = keyed(docs)
-    return rows.mapInArrow(_small(path_, giant, True), schema).unionByName(_large(rows, path_, giant, chunk).mapInArrow(_digest, schema))
+    return rows.mapInArrow(_small(path_, giant, True), schema).unionByName(_large(rows, path_, giant, chunk, fan).mapInArrow(_digest, schema))
