@@ -11,6 +11,10 @@ W = 35
 
 
 def brute(pairs):
+    return sorted((d if d is not None else -1, *rest) for d, *rest in brute_any(pairs))
+
+
+def brute_any(pairs):
     seen = Counter()
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in pairs]
     for w in split:
@@ -22,8 +26,15 @@ def brute(pairs):
             if seen[tuple(w[i : i + W])] > 1:
                 gone.update(range(i, i + W))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((d if d is not None else -1, len(w), len(gone), sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+        out.append((d, len(w), len(gone), sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def brute_of(pairs, first):
+    """``brute`` over all, the rows from ``first`` on."""
+    tagged = [((d, k), t) for k, (d, t) in enumerate(pairs)]
+    kept = {x[0] for x in tagged[first:]}
+    return sorted((d[0] if d[0] is not None else -1, *rest) for d, *rest in brute_any(tagged) if d in kept)
 
 
 def got(df):
@@ -47,11 +58,62 @@ def test_matches_brute_force(spark):
     assert got(substring.dedup(docs(spark, pairs).repartition(5))) == brute(pairs)
 
 
-def test_one_batch_or_many(spark):
+def test_one_batch_or_many(spark, monkeypatch):
     pairs = corpus()[:20]
-    for n in (1, 3):
+    for n, hot in ((1, 1000), (3, 2)):
+        monkeypatch.setattr(substring, "HOT", hot)
+        monkeypatch.setattr(substring, "HOT_ROWS", hot)
         assert got(substring.dedup(docs(spark, pairs), batches=n)) == brute(pairs)
 
 
+def test_incremental_batches_against_history(spark, tmp_path):
+    """Each batch is judged against all before it and itself; the index is opened again from its folder every time."""
+    pairs = corpus()
+    history, levels = [], []
+    for k in range(0, len(pairs), 5):
+        batch = pairs[k : k + 5]
+        index = substring.FingerprintIndex(spark, str(tmp_path / "index"), fan=2)
+        before = set(index.segments)
+        found = got(substring.dedup(docs(spark, batch), index=index))
+        history += batch
+        want = [x for x in brute_of(history, len(history) - len(batch))]
+        assert found == want
+        assert len(index.segments) == len(before) + 1
+        levels.append(index.counted())
+    assert all(n < 2 for x in levels for n in x.values()) and max(max(x) for x in levels) >= 2  # compacted, level by level
+    for name, *_ in index.runs:
+        spark.sql(f"drop table {name}")  # as in another session
+    again = substring.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert again.runs == index.runs and sum(r.n for r in again._run(*again.runs[0][::2]).collect()) > 0
+    assert got(substring.dedup(docs(spark, [(900, pairs[0][1]), (901, "new " + prose(999, 60))]), index=again)) == brute_of(history + [(900, pairs[0][1]), (901, "new " + prose(999, 60))], len(history))
+    again.drop()
+
+
+def test_a_job_that_dies_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    passage = prose(1, 80)
+    index = substring.FingerprintIndex(spark, str(tmp_path / "i"))
+    substring.dedup(docs(spark, [(1, passage)]), index=index).collect()
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(substring, "verified", dies)
+    bad = substring.FingerprintIndex(spark, str(tmp_path / "i"))
+    try:
+        substring.dedup(docs(spark, [(2, passage + " x")]), index=bad)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    again = substring.FingerprintIndex(spark, str(tmp_path / "i"))
+    assert (again.runs, again.segments) == (index.runs, index.segments)
+    assert [r[2] for r in got(substring.dedup(docs(spark, [(3, passage)]), index=again))] == [80]
+
+
+def test_a_very_long_text(spark):
+    long = prose(3, 120_000)
+    pairs = [(1, long), (2, long[: len(long) // 3]), (3, "one " * 100_000), (4, "x" * 3_000_000 + " " + long[-2000:])]
+    assert got(substring.dedup(docs(spark, pairs))) == brute(pairs)
+
+
 def test_empty_table(spark):
     assert rows(substring.dedup(empty(spark))) == []

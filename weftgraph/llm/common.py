@@ -16,12 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none, as in tests."""
+    """The folder that driver and executors share. Only a session on one machine may go without naming one, as in tests."""
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return named.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="weftgraph-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,6 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sent(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, which was cut and has a few short columns, to be sent to every task if it has at most ``most`` rows; it is counted for that."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that further columns and clashing names never matter; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
