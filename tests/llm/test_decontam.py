@@ -1,3 +1,4 @@
+import random
 import re
 
 from weftgraph.llm import decontam as dc
@@ -21,12 +22,12 @@ def benchmark(spark, items=ITEMS):
 
 
 CASES = [
-    (1, prose(1, 50) + ". " + ITEMS[0][1] + " " + prose(2, 50)), (2, SAME), (3, prose(3, 2000)), (4, None), (5, ""), (6, ITEMS[1][1].upper()), (7, "well, Seven TINY words!"), (8, "too short"),
+    (1, prose(1, 50) + ". " + ITEMS[0][1] + " " + prose(2, 50)), (2, SAME), (3, prose(3, 2000)), (4, None), (5, ""), (6, ITEMS[1][1].upper()), (7, "well, Seven TINY words!"), (8, "too short"), (16, "It is too short."), (17, "Too SHORT!"),
     (9, ITEMS[1][1][: len(ITEMS[1][1]) // 2]), (10, "If 4 apples cost 10 dollars then 4 pears cost 19 dollars and 10 dollars buys the apples, said Dave to Erin over lunch."),
     (11, "If 4 apples cost 10 dollars then 5 pears cost 19 dollars and 33 dollars buys the apples, said Dave to Erin over lunch."), (None, ITEMS[1][1]), (12, ITEMS[1][1]), (12, ITEMS[1][1]), (13, "x" * 100000 + " " + ITEMS[1][1]),
     (14, ITEMS[1][1].replace("athethndan", "changed")), (15, "1 2 3 4 5 6 7 8 9 " * 200),
 ]
-WANT = {1: (1, "verbatim"), 2: (1, "reparameterised"), 6: (2, "verbatim"), 7: (3, "verbatim"), 10: (6, "reparameterised"), None: (2, "verbatim"), 12: (2, "verbatim"), 13: (2, "verbatim")}
+WANT = {1: (1, "verbatim"), 2: (1, "reparameterised"), 6: (2, "verbatim"), 7: (3, "verbatim"), 8: (4, "verbatim"), 17: (4, "verbatim"), 10: (6, "reparameterised"), None: (2, "verbatim"), 12: (2, "verbatim"), 13: (2, "verbatim")}
 
 
 def template(text):
@@ -55,7 +56,7 @@ def template(text):
 def shares(text, item):
     t, d = template(item), template(text)
     n = dc.WINDOW if len(t) >= dc.WINDOW else len(t)
-    if n < dc.LEAST:
+    if not n or n < dc.LEAST and len(d) != n:
         return 0.0, 0
     grams = lambda w: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     return len(grams(t) & grams(d)) / len(grams(t)), len(grams(t))
@@ -73,9 +74,48 @@ def test_planted_cases(spark):
             assert shares(t, x)[0] < dc.SIMILARITY or WANT.get(d, (0,))[0] == i or (d, i) == (11, 6), (d, i)
 
 
-def test_blocks_change_nothing(spark):
-    one, many = (sorted(map(str, rows(dc.matches(docs(spark, CASES), benchmark(spark), n)))) for n in (dc.BLOCK_WORDS, 20))
-    assert one == many and len(list(dc.blocks(benchmark(spark), 20))) > 2
+def test_any_filter_and_any_way_to_join(spark, monkeypatch):
+    one = sorted(map(str, rows(dc.matches(docs(spark, CASES), benchmark(spark)))))
+    monkeypatch.setattr(dc, "FILTER", 64)  # lets nearly everything through
+    monkeypatch.setattr(dc, "sent", lambda df: df)
+    many = sorted(map(str, rows(dc.matches(docs(spark, CASES).repartition(3), benchmark(spark, ITEMS + ITEMS[:2])))))
+    assert one == many
+
+
+def test_random_items_against_plain_python(spark):
+    """Items cut up and pieced together at random: the shares of windows decide, as in the plain version."""
+    r = random.Random(4)
+    vocabulary = ["ab", "cd", "ef", "gh", "Ij", "Kl", "7", "12", "km", "x.", "two"]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(k, say(r.randint(1, 14))) for k in range(25)]
+    cases = []
+    for k in range(120):
+        text = say(r.randint(0, 6)) + " " + r.choice(items)[1] + " " + say(r.randint(0, 6))
+        words = text.split()
+        if r.random() < 0.5 and words:
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        cases.append((k, " ".join(words)))
+    got = {(x["doc_id"], x["item_id"]): x["n_matched"] for x in rows(dc.matches(docs(spark, cases), benchmark(spark, items)))}
+    for d, text in cases:
+        for i, item in items:
+            share, n = shares(text, item)  # names inside sentences only: the other reading may find more
+            if (d, i) in got and share >= dc.SIMILARITY:
+                assert got[d, i] == round(share * n)
+            buf, offs = dc.wh.buffers(dc.pa.array([text]))
+            direct = {x[1]: x[3] for x in dc.find_either(dc._readings([item]), buf, offs)}
+            assert (got.get((d, i)) == direct.get(0)), (d, i)
+    assert len(got) > 60
+
+
+def test_slots_follow_one_renaming(spark):
+    item = (1, "Bag one holds 3 nuts and bag two holds 5 nuts while bag three holds 3 nuts and bag four holds 9 nuts in all.")
+    swap = lambda a, b, c, d: f"Bag one holds {a} nuts and bag two holds {b} nuts while bag three holds {c} nuts and bag four holds {d} nuts in all."
+    cases = [(1, swap(4, 6, 4, 8)), (2, swap(4, 4, 4, 4)), (3, swap(4, 6, 7, 8)), (4, swap(3, 5, 3, 9)), (5, swap(5, 3, 5, 2))]
+    got = {r["doc_id"]: r["kind"] for r in rows(dc.matches(docs(spark, cases), benchmark(spark, [item])))}
+    assert got == {1: "reparameterised", 4: "verbatim", 5: "reparameterised"}
+    assert dc.consistent(dc.Counter({("a", "x"): 3, ("a", "y"): 1, ("b", "x"): 2, ("c", "z"): 1})) == (3, 6)
+    assert dc.consistent(dc.Counter({("a", "x"): 1, ("b", "x"): 1, ("c", "x"): 1})) == (1, 3)
+    assert dc.consistent(dc.Counter({("a", "x"): 1, ("b", "y"): 1})) == (0, 0)
 
 
 def test_clean(spark):

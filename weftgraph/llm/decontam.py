@@ -10,19 +10,25 @@ begin a sentence are plain words, or names unless they are among
 Windows of ``WINDOW`` template words are hash-joined with those of the
 benchmark items. A document is contaminated by an item if it holds at least
 ``SIMILARITY`` of the item's distinct windows and its slots are consistent: all
-slots that were matched hold the item's own values (verbatim), or of the slots
-whose value the item repeats at least ``CONSISTENT`` hold, value by value, the
-same value of the document (reparameterised).
-
-The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words; a block's
-hashes are broadcast and every document is checked against them, so a larger
-benchmark means more passes, never a larger broadcast. Items shorter than a
-window are one window of their own length, from ``LEAST`` words on; shorter
-ones match nothing.
-
-Defined results: null texts match nothing, whether document or item; null ids
-and repeated rows are kept; an empty table on either side gives an empty
-result; further columns are ignored by ``matches`` and kept by ``clean``.
+slots that were matched hold the item's own values (verbatim), or of those
+whose value recurs, in the item or in the document, at least ``CONSISTENT``
+follow one renaming in both directions: the value that the document mostly has
+for the item's value, and the other way round (reparameterised).
+
+The join: a filter of fixed size, made of the items' windows, leaves the few
+windows of the documents that an item may have. A document with enough windows
+of an item lacks at most n - ceil(0.8 n) of its n windows, so it has one of any
+n - ceil(0.8 n) + 1; the ones that are rarest among the documents are joined,
+which keeps windows that many texts share from making pairs. The pairs that
+this leaves are verified exactly, document by document.
+
+Items shorter than a window are one window of their own length; items of under
+``LEAST`` words match a document only as its whole text.
+
+Defined results: null texts match nothing, whether document or item, nor do
+texts without words; an item given twice is one; null ids and repeated documents
+are kept; an empty table on either side gives an empty result; further columns
+are ignored by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -31,14 +37,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import texts
+from .common import cut, keyed, sent
 
 WINDOW, LEAST, SIMILARITY, CONSISTENT = 5, 3, 0.8, 0.8
-BLOCK_WORDS = 1_000_000
+FILTER = 1 << 26  # bits
 
 #: fixed values: words that stand for numbers and units
 NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -116,6 +122,7 @@ class Template:
             h, s, e, kind, row = h[~more], s[~more], e[~more], kind[~more], row[~more]
         self.buf, self.hashes, self.starts, self.ends, self.kind, self.row_of = words.buf, h, s, e, kind, row
         self.row = np.searchsorted(row, np.arange(len(offs)))
+        self.length = np.diff(self.row)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, first word) of each window that lies in one row."""
@@ -128,13 +135,12 @@ class Template:
 
 
 class Index:
-    """The windows of a block of items, as sorted arrays."""
+    """The windows of some items, as sorted arrays."""
 
     def __init__(self, items: list[str | None], starts: bool = False):
         buf, offs = wh.buffers(pa.array(items, pa.string()))
         self.starts, self.template = starts, (t := Template(buf, offs, starts))
-        length = np.diff(t.row)
-        self.size = np.where(length >= WINDOW, WINDOW, np.where(length >= LEAST, length, 0))
+        self.size = np.minimum(t.length, WINDOW)
         parts = []
         for size in sorted(set(self.size.tolist()) - {0}):
             w, at = t.windows(size)
@@ -153,17 +159,30 @@ class Index:
         self.pair_first = np.append(np.searchsorted(np.flatnonzero(new), self.first[:-1]), new.sum())
         self.n_windows = np.bincount(self.pair_item, minlength=len(items))
         self.sizes = sorted(set(self.size.tolist()) - {0})
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[self.keys & np.uint64((1 << 22) - 1)] = True
 
-    def found(self, w: np.ndarray) -> np.ndarray:
-        """Positions of ``w`` that may be in the index, then its keys there."""
+    def found(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``w`` that are in the index, and its keys there."""
         if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.filter[w & np.uint64((1 << 22) - 1)])
-        key = np.minimum(np.searchsorted(self.keys, w[at]), len(self.keys) - 1)
-        hit = self.keys[key] == w[at]
-        return at[hit], key[hit]
+        key = np.minimum(np.searchsorted(self.keys, w), len(self.keys) - 1)
+        hit = self.keys[key] == w
+        return np.flatnonzero(hit), key[hit]
+
+
+def consistent(pairs: Counter) -> tuple[int, int]:
+    """How many slots follow one renaming, and how many there are, among those whose value recurs on either side.
+
+    pairs: ((kind, value of the item), (kind, value of the document)) -> slots.
+    """
+    ours, theirs = Counter(), Counter()
+    there: dict = {}
+    back: dict = {}
+    for (a, b), n in sorted(pairs.items(), key=lambda x: (x[1], x[0])):  # the last, most frequent one stays
+        there[a], back[b] = b, a
+        ours[a] += n
+        theirs[b] += n
+    tested = [(a, b, n) for (a, b), n in pairs.items() if ours[a] > 1 or theirs[b] > 1]
+    return sum(n for a, b, n in tested if there[a] == b and back[b] == a), sum(n for *_, n in tested)
 
 
 def slots(index: Index, item: int, doc: Template, keys: np.ndarray, at: np.ndarray) -> tuple[str | None, int]:
@@ -187,20 +206,18 @@ def slots(index: Index, item: int, doc: Template, keys: np.ndarray, at: np.ndarr
     for p, q in sorted(near.items()):
         for k in range(size):
             matched.setdefault(p + k, q + k)
-    values: dict[tuple[int, bytes], Counter] = {}
+    values: Counter = Counter()
     n = same = 0
     for p, q in matched.items():
         if kind := int(t.kind[lo + p]):
             a, b = t.value(lo + p), doc.value(q)
-            values.setdefault((kind, a), Counter())[b] += 1
+            values[(kind, a), (kind, b)] += 1
             n += 1
             same += a == b
     if same == n:
         return "verbatim", n
-    # a value that stands once is consistent by itself
-    again = [c for c in values.values() if c.total() > 1]
-    kept = sum(max(c.values()) for c in again)
-    return ("reparameterised" if kept >= CONSISTENT * sum(c.total() for c in again) else None), n
+    kept, tested = consistent(values)
+    return ("reparameterised" if kept >= CONSISTENT * tested else None), n
 
 
 def find(index: Index, doc: Template):
@@ -223,7 +240,8 @@ def find(index: Index, doc: Template):
     pair, n = np.unique(np.repeat(r, many) * len(index.size) + items, return_counts=True)
     r, i = pair // len(index.size), pair % len(index.size)
     for row_, item, c in zip(r.tolist(), i.tolist(), n.tolist()):
-        if c >= SIMILARITY * index.n_windows[item]:
+        whole = index.size[item] >= LEAST or doc.length[row_] == index.size[item]
+        if c >= SIMILARITY * index.n_windows[item] and whole:
             mine = row == row_
             kind, m = slots(index, item, doc, *_own(index, item, key[mine], at[mine]))
             if kind:
@@ -251,67 +269,118 @@ def _own(index: Index, item: int, keys: np.ndarray, at: np.ndarray) -> tuple[np.
     return keys[mine][order], at[mine][order]
 
 
-def _matched(shared):
-    def run(batches):
-        ids, items = shared.value
-        readings = _readings(items)
-        for batch in batches:
-            buf, offs = wh.buffers(batch.column("text"))
-            out = []
-            for i, j in wh.slices(offs):
-                out += [(i + r, ids[k], *found) for r, k, *found in find_either(readings, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
-            at, *cols = zip(*out) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            arrays = [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "n_windows", "n_matched", "kind", "n_slots"])
+def _distinct(owner: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of each owner once."""
+    order = np.lexsort((w, owner))
+    owner, w = owner[order], w[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (w[1:] != w[:-1])
+    return owner[new], w[new]
 
-    return run
 
+def _item_windows(batches):
+    for batch in batches:
+        buf, offs = wh.buffers(batch.column("text"))
+        for starts in (False, True):
+            t = Template(buf, offs, starts)
+            size = np.minimum(t.length, WINDOW)
+            for k in sorted(set(size.tolist()) - {0}):
+                w, at = t.windows(k)
+                row = t.row_of[at]
+                row, w = _distinct(row[size[row] == k], w[size[row] == k])
+                n = np.bincount(row, minlength=batch.num_rows)[row]
+                yield pa.RecordBatch.from_arrays([batch.column("ik").take(pa.array(row)), pa.array(np.full(len(row), starts, np.int32)), pa.array(np.full(len(row), k, np.int32)), pa.array(wh.signed(w)), pa.array(n.astype(np.int32))], names=["ik", "reading", "size", "w", "n"])
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
-    """The items in lists of at most about ``most`` words (a longer item stands alone)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text")
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        n = r.text.count(" ") + r.text.count("\n") + 1
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, r.text))
-        size += n
-    if block:
-        yield block
 
+def _document_windows(shared):
+    """The windows of each document that the filter lets through, under both readings."""
 
-_SCHEMA = "doc_id long, item_id long, n_windows long, n_matched long, kind string, n_slots long"
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and item that contaminates it: doc_id, item_id, n_windows, n_matched, kind, n_slots."""
-    spark, rows, out = docs.sparkSession, texts(docs), None
-    for block in blocks(benchmark, most):
-        shared = spark.sparkContext.broadcast(([i for i, _ in block], [t for _, t in block]))
-        part = rows.mapInArrow(_matched(shared), _SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], _SCHEMA) if out is None else out
-
-
-def _clean(shared):
     def run(batches):
-        readings = _readings(shared.value[1])
+        sizes, bits = shared.value
         for batch in batches:
             buf, offs = wh.buffers(batch.column("text"))
-            keep = np.ones(batch.num_rows, bool)
             for i, j in wh.slices(offs):
-                keep[[i + r for r, *_ in find_either(readings, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]] = False
-            yield batch.filter(pa.array(keep))
+                for starts in (False, True):
+                    t = Template(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], starts)
+                    rows, found = [], []
+                    for k in sizes:
+                        w, at = t.windows(k)
+                        slot = w & np.uint64(FILTER - 1)
+                        hit = np.flatnonzero((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                        row = t.row_of[at[hit]]
+                        if k < LEAST:  # as the whole text only
+                            hit, row = hit[t.length[row] == k], row[t.length[row] == k]
+                        rows.append(row)
+                        found.append(w[hit])
+                    row, w = _distinct(np.concatenate(rows), np.concatenate(found))
+                    if len(row):
+                        take = pa.array(row + i)
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("rk").take(take), pa.array(np.full(len(row), starts, np.int32)), pa.array(wh.signed(w))], names=["doc_id", "rk", "reading", "w"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
+def _verified(batches):
+    for batch in batches:
+        ids, items, texts = batch.column("doc_id"), batch.column("items"), batch.column("text")
+        at, out = [], []
+        for k in range(batch.num_rows):
+            asked = items[k].as_py()
+            buf, offs = wh.buffers(texts.slice(k, 1))
+            for _, i, *found in find_either(_readings([x["text"] for x in asked]), buf, offs):
+                at.append(k)
+                out.append((asked[i]["item_id"], *found))
+        cols = list(zip(*out)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), batch.column("rk").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "rk", "item_id", "n_windows", "n_matched", "kind", "n_slots"])
+
+
+_SCHEMA = "doc_id long, rk long, item_id long, n_windows long, n_matched long, kind string, n_slots long"
+
+
+def _same_row(d: str, k: str):
+    return F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("rk") == F.col(k))
+
+
+def candidates(rows: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(d, k, ik): documents (id, hash of the text) and items that share one of the item's rarest windows; None if no item has words."""
+    spark = rows.sparkSession
+    windows = cut(items.mapInArrow(_item_windows, "ik long, reading int, size int, w long, n int"))
+    sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # at most ``WINDOW`` rows
+    if not sizes:
+        return None
+    slot = F.col("w").bitwiseAND(F.lit(FILTER - 1))
+    bit = F.expr("shiftleft(1L, cast(w & 63 as int))")
+    made = windows.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most FILTER / 64 rows
+    bits = np.zeros(FILTER >> 6, np.int64)
+    bits[made.column("at").to_numpy()] = made.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast((sizes, bits.view(np.uint64)))  # FILTER / 8 bytes
+    held = cut(rows.mapInArrow(_document_windows(shared), "doc_id long, rk long, reading int, w long"))
+    often = held.groupBy("reading", "w").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("ik", "reading").orderBy(F.coalesce("df", F.lit(0)), "w"))  # an item's windows
+    lacking = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6)
+    probes = cut(windows.join(often, ["reading", "w"], "left").withColumn("r", rank).where(F.col("r") <= lacking + 1).select("reading", "w", "ik"))
+    return cut(held.join(sent(probes), ["reading", "w"]).select(F.col("doc_id").alias("d"), F.col("rk").alias("k"), "ik").distinct())
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    rows = keyed(docs)
+    items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct().withColumn("ik", F.xxhash64("item_id", "text")))
+    pairs = candidates(rows, items)
+    if pairs is None:
+        return docs.sparkSession.createDataFrame([], _SCHEMA)
+    near = rows.join(sent(cut(pairs.select("d", "k").distinct())), _same_row("d", "k"), "left_semi")
+    asked = pairs.join(items, "ik").groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("items"))  # items that the document holds most of
+    return near.join(asked, _same_row("d", "k")).select("doc_id", "rk", "text", "items").mapInArrow(_verified, _SCHEMA)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and item that contaminates it: doc_id, item_id, n_windows, n_matched, kind, n_slots."""
+    return _found(docs, benchmark).drop("rk")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with their columns."""
-    out = docs
-    for block in blocks(benchmark, most):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(([i for i, _ in block], [t for _, t in block]))), docs.schema)
-    return out
+    bad = cut(_found(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_k"))
+    return docs.join(sent(bad), same, "left_anti")
