@@ -29,7 +29,7 @@ def battery(text):
         t, n = m[0], len(m[0])
         if n < 20:
             continue
-        _, _, ab, k0 = next(x for x in ss.ENCODINGS if not x[1] or re.search(x[1], t))
+        _, _, ab, k0, c0 = next(x for x in ss.ENCODINGS if not x[1] or re.search(x[1], t))
         v, a = [ab.index(c) for c in t], len(ab)
         sq = sum(v.count(x) ** 2 for x in set(v))
         chi = (a * sq / n - n - (a - 1)) / math.sqrt(2 * (a - 1) * (n - 1) / n)
@@ -39,10 +39,13 @@ def battery(text):
         lag = sum((p - mid) * (q - mid) for p, q in zip(v, v[1:])) / ((a * a - 1) / 12) / math.sqrt(n - 1)
         cl = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in t]
         change = sum(p != q for p, q in zip(cl, cl[1:]))
-        z = ((k0 * n * (n - 1) / 2 - (sq - n) / 2) / math.sqrt(k0 * n * (n - 1)) + (change - 0.15 * (n - 1)) / math.sqrt(0.1275 * (n - 1))) / math.sqrt(2)
+        z = (k0 * n * (n - 1) / 2 - (sq - n) / 2) / math.sqrt(k0 * n * (n - 1))
+        if c0 is not None:
+            z2, z3 = (change - 0.15 * (n - 1)) / math.sqrt(0.1275 * (n - 1)), c0 * math.sqrt(n - 1) - lag
+            z = (z + ((z2 + z3) / 2 if c0 else z2)) / math.sqrt(2)
         p = 0.5 * math.erfc(z / math.sqrt(2)) if z > 0 else 1
         ok = abs(chi) <= ss.CHI_LIMIT and abs(runs) <= ss.Z_LIMIT and abs(lag) <= ss.Z_LIMIT
-        yield m.start(), m.end(), sum(n >= x for x in ss.LENGTHS), ok, min(ss.BINS, math.floor(-math.log10(p) * ss.PER_DECADE)) if z > 0 else 0
+        yield m.start(), m.end(), sum(n >= x for x in ss.LENGTHS), ok, min(ss.BINS, math.floor(-math.log10(p or 1e-300) * ss.PER_DECADE)) if z > 0 else 0
 
 
 def brute(pairs):
@@ -83,6 +86,15 @@ def test_matches_plain_python(spark):
     assert sum(want[d][3] for d in range(68, 108)) == 0  # identifiers, paths and numbers are not
 
 
+def test_long_candidates_and_many_matches_match_plain_python(spark):
+    r = random.Random(4)
+    pairs = list(enumerate([base64.b64encode(r.randbytes(9000)).decode() + " " + ("ab12" * 3000), " ".join("token=a%06d" % i + (" " + "0123456789abcdef" * 2) * (i % 3) for i in range(2000))]))
+    want = brute(pairs)
+    for x in rows(ss.scan(docs(spark, pairs))):
+        assert tuple(x[k] for k in ("n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")) == want[x["doc_id"]], x["doc_id"]
+    assert want[0][3] == 1 and want[1][0] == 2000
+
+
 def test_empty_table_and_null_ids(spark):
     assert rows(ss.scan(empty(spark))) == []
     assert [r["n_assign"] for r in rows(ss.scan(docs(spark, [(None, "token=abcdef"), (None, "token=abcdef")])))] == [1, 1]
@@ -91,3 +103,12 @@ def test_empty_table_and_null_ids(spark):
 def test_no_python_in_the_plan(spark):
     plan = ss.scan(docs(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_of_megabytes(spark):
+    """A long encoded blob in one line, and many matches in one text: every base span, in time that grows with the text."""
+    r = random.Random(7)
+    blob, many = base64.b64encode(r.randbytes(1_500_000)).decode().rstrip("="), " ".join(f"token=v{k:07d}" for k in range(60_000))
+    got = {x["doc_id"]: x for x in rows(ss.scan(docs(spark, [(1, "a " + blob + " b"), (2, many)])))}
+    assert got[1]["n_random"] == 1 and got[1]["spans"] == f"random:2:{2 + len(blob)}"
+    assert got[2]["n_assign"] == 60_000 and got[2]["spans"] == named(base(many))

@@ -3,18 +3,27 @@
 Base spans come from three patterns (assign, access, hex). Besides them every
 run of 20 or more characters that may stand in an encoded secret is a
 candidate. Its encoding is inferred from the characters it uses, and the
-battery asks whether it looks like uniform draws from that alphabet: the
-chi-squared statistic of the symbol counts, the number of runs above and below
-the middle of the alphabet, and the lag-1 serial correlation.
-
-Passing is not enough, since short ordinary strings pass by chance. The
-evidence against ordinary writing (fewer equal pairs than written text has, and
-more changes between letters, capitals and digits) becomes a p-value for each
-candidate, and the Benjamini-Hochberg rule at ``FDR`` picks the discoveries
-among the candidates of similar length in the whole table, so that short
-strings with their weak evidence don't hide the long ones. P-values are rounded
-up to bins, which keeps the rule conservative and its table bounded
-(``LENGTHS`` x ``BINS`` rows, collected to the driver).
+battery is computed for it: the chi-squared statistic of the symbol counts, the
+number of runs, and the lag-1 serial correlation of the symbols' places in the
+alphabet.
+
+Each test of the battery is read twice. Against uniform draws, none may reject
+randomness (runs above and below the middle of the alphabet here). Against
+ordinary writing, each gives the evidence of its own: symbols are more even than
+in writing of that kind (the chi-squared statistic, a linear function of the
+equal pairs), there are more runs of digits, small letters and capitals, and
+neighbours are less alike. Runs and correlation depend on each other, so the
+mean of the two stands beside chi-squared. Where the letters are of one case,
+neighbours in writing are hardly alike, either, and the correlation is no
+evidence; an alphabet of one kind of character has only chi-squared. The sum is one p-value a candidate, and the
+Benjamini-Hochberg rule at ``FDR`` picks the discoveries among the candidates of
+similar length in the whole table, so that short strings with their weak
+evidence don't hide the long ones. P-values are rounded up to bins, which keeps
+the rule conservative and its table bounded (``LENGTHS`` x ``BINS`` rows,
+collected to the driver).
+
+Nothing is quadratic in a text: matches are placed ``STEP`` at a time, and a
+long candidate is read in parts of ``PART`` characters.
 
 Spans are code points of the whole match, end exclusive. Random spans inside a
 base span aren't repeated. Defined results: null and empty texts have no
@@ -42,21 +51,22 @@ FDR = 0.01
 Z_LIMIT, CHI_LIMIT = 3.6, 4.5
 BINS, PER_DECADE = 600, 20
 LENGTHS = (20, 32, 64, 128, 256)  # strata: from each up to the next
+STEP, PART, COUNTED = 512, 4096, 256  # matches placed at once; characters read at once; length up to which symbols are counted in arrays
 
-#: (name, pattern of the whole candidate, alphabet in order, share of equal pairs in ordinary strings of this kind)
+#: (name, pattern of the whole candidate, alphabet in order, share of equal pairs and serial correlation in ordinary strings of this kind)
 ENCODINGS = (
-    ("decimal", "^[0-9]+$", "0123456789", 0.15),
-    ("lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.065),
-    ("upper", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.065),
-    ("hex", "^[0-9a-f]+$", "0123456789abcdef", 0.09),
-    ("hexupper", "^[0-9A-F]+$", "0123456789ABCDEF", 0.09),
-    ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.06),
-    ("base36", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.06),
-    ("base36upper", "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.06),
-    ("base62", "^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.055),
-    ("base64", "^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.055),
-    ("base64url", "^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.055),
-    ("mixed", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 0.055),
+    ("decimal", "^[0-9]+$", "0123456789", 0.15, None),
+    ("lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz", 0.065, None),
+    ("upper", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.065, None),
+    ("hex", "^[0-9a-f]+$", "0123456789abcdef", 0.09, 0.0),
+    ("hexupper", "^[0-9A-F]+$", "0123456789ABCDEF", 0.09, 0.0),
+    ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.06, 0.0),
+    ("base36", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.06, 0.0),
+    ("base36upper", "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.06, 0.0),
+    ("base62", "^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.055, 0.4),
+    ("base64", "^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.055, 0.4),
+    ("base64url", "^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.055, 0.4),
+    ("mixed", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 0.055, 0.4),
 )
 CLASS_CHANGE = 0.15  # changes between character classes for each step in ordinary strings
 _SPAN = "array<struct<s:bigint,k:int,e:bigint,t:string>>"
@@ -68,22 +78,28 @@ def _matches(text: str, kind: int, pattern: str, group: int, least: int, keep_te
     some = F.size("m") > 0
     judged = F.when(some, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))) if group else F.col("m")
     between = F.when(some, F.split(F.col(text), pattern, -1))
+    pieces = F.when(some, F.expr("arrays_zip(m, g, slice(b, 1, size(m)))"))
+    parts = f"sequence(0, cast((size(z) - 1) div {STEP} as int))"
+    part = f"slice(z, k * {STEP} + 1, {STEP})"
+    # where each part begins, then the spans of each part by themselves
+    begins = F.when(some, F.expr(f"aggregate({parts}, array(0L), (acc, k) -> array_append(acc, element_at(acc, -1) + aggregate({part}, 0L, (n, x) -> n + char_length(x['2']) + char_length(x.m))))"))
+    span = f"named_struct('s', a.at + char_length(x['2']), 'k', {kind}, 'e', a.at + char_length(x['2']) + char_length(x.m), 't', {'x.m' if keep_text else "''"})"
     fold = F.expr(
-        f"""coalesce(aggregate(arrays_zip(m, g, slice(b, 1, size(m))),
-            named_struct('at', 0L, 'out', cast(array() as {_SPAN})),
+        f"""coalesce(if(size(m) > 0, flatten(transform({parts}, k -> aggregate({part},
+            named_struct('at', element_at(begins, k + 1), 'out', cast(array() as {_SPAN})),
             (a, x) -> named_struct(
                 'at', a.at + char_length(x['2']) + char_length(x.m),
-                'out', if(char_length(x.g) >= {least},
-                    concat(a.out, array(named_struct('s', a.at + char_length(x['2']), 'k', {kind}, 'e', a.at + char_length(x['2']) + char_length(x.m), 't', {"x.m" if keep_text else "''"}))),
-                    a.out)),
-            a -> a.out), cast(array() as {_SPAN}))"""
+                'out', if(char_length(x.g) >= {least}, array_append(a.out, {span}), a.out)),
+            a -> a.out))), null), cast(array() as {_SPAN}))"""
     )
-    return found, judged, between, fold
+    return {"m": found, "g": judged, "b": between, "z": pieces, "begins": begins}, fold
 
 
 def _spans(df: DataFrame, name: str, *args, **kw) -> DataFrame:
-    found, judged, between, fold = _matches("text", *args, **kw)
-    return df.withColumn("m", found).withColumn("g", judged).withColumn("b", between).withColumn(name, fold).drop("m", "g", "b")
+    steps, fold = _matches("text", *args, **kw)
+    for step, column in steps.items():
+        df = df.withColumn(step, column)
+    return df.withColumn(name, fold).drop(*steps)
 
 
 def _log10_tail(z: str) -> str:
@@ -98,26 +114,36 @@ def _log10_tail(z: str) -> str:
 
 def _tested(candidates: str) -> str:
     """SQL: each candidate (s, e, t) with its length stratum, whether the battery passes, and its p-value's bin."""
-    case = lambda values: "case " + " ".join(f"when x.t rlike '{p}' then {v}" for (_, p, *_), v in zip(ENCODINGS[:-1], values)) + f" else {values[-1]} end"
-    alphabet, pairs = case([f"'{a}'" for _, _, a, _ in ENCODINGS]), case([f"{k}D" for *_, k in ENCODINGS])
-    kind = "if(c between '0' and '9', 0, if(c between 'a' and 'z', 1, if(c between 'A' and 'Z', 2, 3)))"
+    encoding = "case " + " ".join(f"when x.t rlike '{p}' then {k}" for k, (_, p, *_) in enumerate(ENCODINGS[:-1], 1)) + f" else {len(ENCODINGS)} end"
+    of = lambda values: f"element_at(array({', '.join(values)}), x.enc)"
+    alphabet, middle = of([f"'{a}'" for _, _, a, *_ in ENCODINGS]), of([f"'{'0' * -(-len(a) // 2)}{'1' * (len(a) // 2)}'" for _, _, a, *_ in ENCODINGS])
+    pairs, alike = of([f"{k}D" for *_, k, _ in ENCODINGS]), of(["cast(null as double)" if k is None else f"{k}D" for *_, k in ENCODINGS])
+    letters = lambda text: f"filter(split({text}, ''), c -> c != '')"
+    # runs of a string of few symbols: places where two different ones meet
+    meet = lambda text, *two: " + ".join(f"(x.n - char_length(replace({text}, '{p}', ''))) / 2" for p in two)
+    kinds = "translate(x.t, '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', '0000000000" + "1" * 26 + "2" * 26 + "3333')"
     steps = [
-        f"transform({candidates}, x -> named_struct('s', x.s, 'e', x.e, 'ab', {alphabet}, 'k0', {pairs}, 'ch', filter(split(x.t, ''), c -> c != '')))",
-        "x -> named_struct('s', x.s, 'e', x.e, 'k0', x.k0, 'n', cast(size(x.ch) as double), 'a', cast(char_length(x.ab) as double), 'v', transform(x.ch, c -> cast(instr(x.ab, c) - 1 as double)),"
-        f" 'cl', transform(x.ch, c -> {kind}))",
-        "x -> named_struct('s', x.s, 'e', x.e, 'k0', x.k0, 'n', x.n, 'a', x.a,"
-        " 'sq', aggregate(array_distinct(x.v), 0.0D, (acc, d) -> acc + pow(cast(size(filter(x.v, y -> y = d)) as double), 2)),"
-        " 'runs', aggregate(zip_with(slice(x.v, 1, size(x.v) - 1), slice(x.v, 2, size(x.v)), (p, q) -> if((p >= x.a / 2) != (q >= x.a / 2), 1.0D, 0.0D)), 1.0D, (acc, y) -> acc + y),"
-        " 'lag', aggregate(zip_with(slice(x.v, 1, size(x.v) - 1), slice(x.v, 2, size(x.v)), (p, q) -> (p - (x.a - 1) / 2) * (q - (x.a - 1) / 2)), 0.0D, (acc, y) -> acc + y),"
-        " 'change', aggregate(zip_with(slice(x.cl, 1, size(x.cl) - 1), slice(x.cl, 2, size(x.cl)), (p, q) -> if(p != q, 1.0D, 0.0D)), 0.0D, (acc, y) -> acc + y))",
-        "x -> named_struct('s', x.s, 'e', x.e, 'n', x.n,"
+        f"transform({candidates}, x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'n', cast(char_length(x.t) as double), 'enc', {encoding}, 'cl', {kinds}))",
+        f"x -> named_struct('s', x.s, 'e', x.e, 't', x.t, 'n', x.n, 'cl', x.cl, 'ab', {alphabet}, 'a', cast(char_length({alphabet}) as double), 'k0', {pairs}, 'c0', {alike}, 'hi', translate(x.t, {alphabet}, {middle}),"
+        f" 'ch', if(x.n <= {COUNTED}, {letters('x.t')}, cast(array() as array<string>)))",
+        "x -> named_struct('s', x.s, 'e', x.e, 'n', x.n, 'a', x.a, 'k0', x.k0, 'c0', x.c0,"
+        f" 'sq', if(x.n <= {COUNTED}, aggregate(array_distinct(x.ch), 0.0D, (acc, d) -> acc + pow(cast(size(filter(x.ch, y -> y = d)) as double), 2)),"
+        f" aggregate({letters('x.ab')}, 0.0D, (acc, d) -> acc + pow(x.n - char_length(replace(x.t, d, '')), 2))),"
+        f" 'runs', 1.0D + {meet('x.hi', '01', '10')},"
+        f" 'change', cast({meet('x.cl', *(p + q for p in '0123' for q in '0123' if p != q))} as double),"
+        f" 'lag', aggregate(sequence(0, cast((x.n - 2) / {PART} as int)), 0.0D, (acc, k) -> acc + aggregate({letters(f'substring(x.t, k * {PART} + 1, {PART} + 1)')},"
+        " named_struct('p', cast(null as double), 'v', 0.0D), (q, c) -> named_struct('p', instr(x.ab, c) - 1 - (x.a - 1) / 2, 'v', q.v + coalesce(q.p * (instr(x.ab, c) - 1 - (x.a - 1) / 2), 0.0D)), q -> q.v)) / ((x.a * x.a - 1) / 12))",
+        "x -> named_struct('s', x.s, 'e', x.e, 'n', x.n, 'c0', x.c0,"
         " 'chi', (x.a * x.sq / x.n - x.n - (x.a - 1)) / sqrt(2 * (x.a - 1) * (x.n - 1) / x.n),"
         " 'runs', (x.runs - 1 - (x.n - 1) / 2) / sqrt((x.n - 1) / 4),"
-        " 'lag', x.lag / ((x.a * x.a - 1) / 12) / sqrt(x.n - 1),"
-        f" 'z', ((x.k0 * x.n * (x.n - 1) / 2 - (x.sq - x.n) / 2) / sqrt(x.k0 * x.n * (x.n - 1)) + (x.change - {CLASS_CHANGE}D * (x.n - 1)) / sqrt({CLASS_CHANGE * (1 - CLASS_CHANGE)}D * (x.n - 1))) / sqrt(2.0D))",
+        " 'lag', x.lag / sqrt(x.n - 1),"
+        " 'z1', (x.k0 * x.n * (x.n - 1) / 2 - (x.sq - x.n) / 2) / sqrt(x.k0 * x.n * (x.n - 1)),"
+        f" 'z2', (x.change - {CLASS_CHANGE}D * (x.n - 1)) / sqrt({CLASS_CHANGE * (1 - CLASS_CHANGE)}D * (x.n - 1)),"
+        " 'z3', (x.c0 - x.lag / (x.n - 1)) * sqrt(x.n - 1))",
+        "x -> named_struct('s', x.s, 'e', x.e, 'n', x.n, 'chi', x.chi, 'runs', x.runs, 'lag', x.lag, 'z', case when x.c0 is null then x.z1 when x.c0 = 0 then (x.z1 + x.z2) / sqrt(2.0D) else (x.z1 + (x.z2 + x.z3) / 2) / sqrt(2.0D) end)",
         f"x -> named_struct('s', x.s, 'e', x.e, 'st', {' + '.join(f'if(x.n >= {n}, 1, 0)' for n in LENGTHS)},"
         f" 'ok', x.chi between -{CHI_LIMIT} and {CHI_LIMIT} and abs(x.runs) <= {Z_LIMIT} and abs(x.lag) <= {Z_LIMIT},"
-        f" 'bin', if(x.z > 0, least(cast(floor({_log10_tail('x.z')} * {PER_DECADE}) as int), {BINS}), 0))",
+        f" 'bin', if(x.z > 0, cast(floor(least({_log10_tail('x.z')} * {PER_DECADE}, {BINS}D)) as int), 0))",
     ]
     sql = steps[0]
     for step in steps[1:]:
