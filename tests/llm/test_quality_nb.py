@@ -89,3 +89,57 @@ def test_one_class_none_and_empty(spark):
     assert [round(r["score"], 6) for r in got] == [0.5] * 3
     assert all(r["score"] > 0.5 for r in rows(nb.score(some, labels(spark, {1: 1}))))
     assert rows(nb.score(empty(spark), labels(spark, {1: 1}))) == []
+
+
+_MASK = 2**64 - 1
+
+
+def mixed(x):
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * by & _MASK
+    return x ^ (x >> 31)
+
+
+def plain_features(text):
+    """The features of a text, word by word in plain Python; only the hash of a single word is the library's."""
+    raw = [w for w in (text or "").encode().replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w]
+    own = [int(wh.Words(np.frombuffer(w.lower(), np.uint8), np.array([0, len(w)])).hashes(11)[0]) for w in raw]
+    k = [int(x) for x in nb._K]
+    out, shapes = set(own), []
+    for i, w in enumerate(raw):
+        tail = sum(w[-1 - j] << (8 * j) for j in range(min(3, len(w))))
+        out.add(mixed((tail + k[1]) & _MASK))
+        capital = lambda c: int(65 <= c <= 90)
+        last = w[-1]
+        mark = last if last < 128 and not 97 <= (last | 32) <= 122 else 0
+        shapes.append(capital(w[0]) + 2 * capital(w[1] if len(w) > 1 else w[0]) + 4 * int(i > 0 and own[i] == own[i - 1]) + 8 * mark)
+    for a, b, s, t in zip(own, own[1:], shapes, shapes[1:]):
+        out.add(mixed((a * k[0] + b) & _MASK))
+        out.add(mixed(((s << 11) + t + k[2]) & _MASK))
+    return sorted({x >> (64 - nb.BITS) for x in out})
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Every score again, feature by feature, from the model that the operator fitted."""
+    pairs, marks = corpus(120)
+    pairs += [(1000, None), (1001, ""), (1002, prose(3, 400_000)), (1003, "z" * 300_000 + " End."), (1004, "A b. C d!"), (1004, "A b. C d!")]  # texts of some megabytes, repeated rows
+    source = docs(spark, pairs).repartition(3)
+    model, ratio = nb.train(source, labels(spark, marks))
+    got = {r["doc_id"]: r for r in rows(nb.score(source, labels(spark, marks)))}
+    for d, text in pairs:
+        x = plain_features(text)
+        norm = max(sum(float(ratio[v]) ** 2 for v in x), 1e-12) ** 0.5
+        margin = sum(float(model.weights[v]) for v in x) / norm + model.bias
+        want = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))
+        assert abs(got[d]["score"] - want) < 1e-5, d
+
+
+def test_a_tie_at_the_threshold_counts_as_good(monkeypatch):
+    monkeypatch.setattr(nb.Model, "scores", lambda self, m: np.array([0.7, np.nextafter(0.7, 0), 0.7 + 1e-12])[: len(m)])
+
+    class Shared:
+        value = (nb.Model(np.zeros(1 << nb.BITS, np.float32), 0.0, 1.0, 0.0), np.zeros(1 << nb.BITS, np.float32))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([False] * 3), pa.array(["a", "b", "c"])], names=["doc_id", "held_out", "text"])
+    (out,) = nb._scored(Shared)([batch])
+    assert out.column("predicted").to_pylist() == [1, 0, 1]
