@@ -38,7 +38,7 @@ def test_graph(tree):
     got = {(r.source, r.target, r.edge_type) for r in edges.collect()}
     for e in [
         ("class:app/core.py:Base", "function:app/core.py:Base.run", "Contains"), ("class:app/core.py:Child", "class:app/core.py:Base", "Extends"), ("function:app/core.py:Base.run", "function:app/util.py:helper", "Calls"), ("function:app/core.py:Child.run", "function:app/core.py:local", "Calls"),
-        ("function:app/core.py:local", "class:app/core.py:Child", "Instantiates"), ("function:app/core.py:Child.run", "function:app/core.py:Base.run", "Overrides"), ("file:app/core.py", "file:app/util.py", "Imports"), ("file:web/a.ts", "file:web/b.ts", "Imports"),
+        ("function:app/core.py:local", "class:app/core.py:Child", "Instantiates"), ("function:app/core.py:Child.run", "function:app/core.py:Base.run", "Overrides"), ("file:app/core.py", "file:app/util.py", "Imports"), ("file:web/a.ts", "file:web/b.ts", "Imports"), ("file:app/core.py", "function:app/util.py:helper", "References"), ("function:web/a.ts:Shape.area", "function:web/b.ts:b", "Calls"), ("function:src/lib.rs:P.new", "class:src/lib.rs:P", "Instantiates"), ("file:web/a.ts", "class:web/a.ts:Shape", "Exports"), ("folder:app", "file:app/core.py", "Contains"), ("route:GET /x", "function:J.java:J.go", "References"),
         ("function:app/other.py:calls_twin", "function:app/other.py:twin", "Calls"), ("function:web/a.ts:draw", "function:web/a.ts:Shape.area", "Calls"), ("function:src/lib.rs:greet", "function:src/lib.rs:helper", "Calls"), ("function:J.java:J.go", "function:J.java:J.stop", "Calls"),
     ]:
         assert e in got, e
@@ -100,3 +100,122 @@ def test_boundaries(spark):
     got = sorted((r.id, r.source, r.detail) for r in classify.boundaries(s, owners).collect())
     assert got == [("1", "py.route", "/home"), ("2", "jpa.Repository", None), ("3", "nest.Get", "all"), ("3", "ts.axios", "/p"), ("3", "ts.fetch", "/api"), ("5", "rust.main", None), ("6", "http.route", "GET /q"), ("6", "kafka.KafkaListener", "t1"), ("6", "spring.JdbcTemplate", None)]
     assert len({r[1] for r in classify.BOUNDARY_RULES}) == len(classify.BOUNDARY_RULES) == 48
+
+
+BIG = {
+    "pom.xml": "<project/>",
+    "target/gen/Gen.java": "class Gen {}",
+    "src/main/java/com/acme/target/Keep.java": "package com.acme.target;\npublic class Keep {}\n",
+    ".gitignore": "*.gen.py\n!keep.gen.py\n/secret/\nlogs/\n",
+    "a.gen.py": "x = 1\n", "keep.gen.py": "x = 1\n", "secret/s.py": "x = 1\n", "sub/secret/s.py": "x = 1\n", "sub/logs/l.py": "x = 1\n", "sub/.gitignore": "!logs/\nbad.py\n", "sub/bad.py": "x = 1\n", ".hidden/h.py": "x = 1\n",
+    "src/main/java/com/acme/Store.java": "package com.acme;\n/** Stores things. */\npublic interface Store {\n  void save(String key, int n);\n}\n",
+    "src/main/java/com/acme/Disk.java": "package com.acme;\nimport org.springframework.jdbc.core.JdbcTemplate;\npublic class Disk implements Store {\n  private JdbcTemplate jdbc;\n  public static final int MAX_SIZE = 9;\n  public void save(String key, int n) { if (n > MAX_SIZE) { jdbc.update(\"x\"); } }\n  public void save(String key) { save(key, 1); }\n}\n",
+    "src/main/java/com/acme/Memory.java": "package com.acme;\npublic class Memory extends Disk {\n  public void save(String key, int n) { }\n}\n",
+    "src/main/java/com/acme/web/Api.java": "package com.acme.web;\nimport com.acme.*;\nimport com.acme.Store;\n@RestController\n@RequestMapping(\"/items\")\npublic class Api {\n  private final Store store;\n  public Api(Store store) { this.store = store; }\n  @GetMapping(\"/{id}\")\n  public String get(String id) { store.save(id, 2); Disk d = new Disk(); d.save(id); return id; }\n}\n",
+    "src/test/java/com/acme/DiskTest.java": "package com.acme;\npublic class DiskTest {\n  @Test\n  public void saves() { Disk d = new Disk(); d.save(\"k\"); }\n}\n",
+    "py/shop/__init__.py": "", "py/shop/base.py": "LIMIT_MAX = 3\n\nclass Base:\n    \"\"\"A base.\"\"\"\n\n    def go(self, n):\n        return n\n\n    def stop(self):\n        return LIMIT_MAX\n",
+    "py/shop/car.py": "import requests\nfrom .base import Base\nfrom . import base\n\n\ndef handler(x):\n    return x\n\n\nclass Car(Base):\n    # the engine is made on first use\n    engine: Base\n\n    def __init__(self, spare: Base):\n        self.spare = spare\n\n    def go(self, n):\n        return super().go(n) + self.spare.stop() + self.engine.go(1)\n\n    def drive(self):\n        register(handler)\n        self.stop()\n        if base.LIMIT_MAX:\n            requests.get('http://x')\n        return self.go(2)\n",
+    "ui/util.ts": "export type Id = string;\nexport const MAX_ITEMS = 5;\nexport function pad(x: Id) { return x; }\nexport default pad;\n",
+    "ui/app.ts": "import { pad as p, MAX_ITEMS } from './util';\nimport axios from 'axios';\nimport merge from 'lodash/merge';\nexport class App {\n  run(items: string[]) {\n    if (items.length > MAX_ITEMS) { return axios.get('/api'); }\n    return items.map(p);\n  }\n}\nexport function start() { const a = new App(); return a.run([]); }\n",
+    "rs/src/lib.rs": "mod db;\nuse crate::db::{Db, open as open_db};\npub fn start() -> Db { let d = open_db(3); d.put(1); crate::db::helper(); d }\n",
+    "rs/src/db.rs": "pub const SIZE_MAX: u32 = 3;\npub trait Put { fn put(&self, n: u32); }\n/// A store.\npub struct Db { n: u32 }\nimpl Put for Db { fn put(&self, n: u32) { helper(); } }\npub fn open(n: u32) -> Db { if n > SIZE_MAX { panic!(\"x\") } Db { n } }\npub fn helper() {}\n",
+    "docs/guide.md": "# Guide\nHow to.\n## Setup\nSee [the app](../ui/app.ts) and [notes](notes.md).\n### Deep\n# End\n", "docs/notes.md": "plain\n",
+    "package.json": "{\"dependencies\": {\"axios\": \"1.0\", \"lodash\": \"4\"}}",
+}
+
+
+@pytest.fixture(scope="module")
+def big(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("big")
+    for name, text in BIG.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    manifest = spark.createDataFrame([("package.json", BIG["package.json"])], "path string, text string")
+    files = code.scan_files(spark, str(root)).persist()
+    syms = code.symbols(files).persist()
+    nodes, edges, calls = code.build(syms, tables.package_dependencies(manifest))
+    return files, syms, nodes.persist(), edges.persist(), calls
+
+
+def test_ignored_and_built_files_are_left_out(big):
+    want = {p for p in BIG if p.rsplit(".", 1)[-1] in ("java", "py", "ts", "rs", "md")} - {"target/gen/Gen.java", "a.gen.py", "secret/s.py", ".hidden/h.py", "sub/bad.py"}
+    assert {r.path for r in big[0].select("path").collect()} == want
+    totals = {r.language: (r.files, r.symbols) for r in code.index_totals(big[1]).collect()}
+    assert totals["java"] == (6, 16) and totals["markdown"] == (2, 4)
+
+
+def test_ignore_rules():
+    hit = lambda text, path: [keeps for _, keeps, rule in code.ignore_rules(text) if __import__("re").search(rule, path)]
+    assert hit("*.log\n# c\n\n!keep.log", "a/keep.log") == [False, True] and hit("/a/b", "x/a/b") == [] and hit("a/b", "a/b/c.py") == [False]
+    assert hit("build/", "build") == [] and hit("build/", "x/build/y.py") == [False] and hit("a/**/z", "a/q/r/z") == [False] and hit("[ab].py", "a.py") == [False]
+
+
+EDGES = [
+    # containment
+    ("folder:py", "folder:py/shop", "Contains"), ("folder:py/shop", "file:py/shop/car.py", "Contains"), ("file:py/shop/car.py", "class:py/shop/car.py:Car", "Contains"), ("class:py/shop/car.py:Car", "function:py/shop/car.py:Car.go", "Contains"), ("file:py/shop/car.py", "function:py/shop/car.py:Car.go", "Contains"),
+    ("file:docs/guide.md", "heading:docs/guide.md:Guide", "Contains"), ("heading:docs/guide.md:Guide", "heading:docs/guide.md:Setup", "Contains"), ("heading:docs/guide.md:Setup", "heading:docs/guide.md:Deep", "Contains"), ("file:docs/guide.md", "heading:docs/guide.md:End", "Contains"),
+    # hierarchies
+    ("class:src/main/java/com/acme/Disk.java:Disk", "interface:src/main/java/com/acme/Store.java:Store", "Implements"), ("class:src/main/java/com/acme/Memory.java:Memory", "class:src/main/java/com/acme/Disk.java:Disk", "Extends"), ("class:rs/src/db.rs:Db", "interface:rs/src/db.rs:Put", "Implements"),
+    ("function:src/main/java/com/acme/Memory.java:Memory.save", "function:src/main/java/com/acme/Disk.java:Disk.save", "Overrides"), ("function:src/main/java/com/acme/Disk.java:Disk.save", "function:src/main/java/com/acme/Store.java:Store.save", "Overrides"), ("function:py/shop/car.py:Car.go", "function:py/shop/base.py:Base.go", "Overrides"),
+    # calls by type, with the implementations that may run, by arity, inherited, through fields and imports
+    ("function:src/main/java/com/acme/web/Api.java:Api.get", "function:src/main/java/com/acme/Store.java:Store.save", "Calls"), ("function:src/main/java/com/acme/web/Api.java:Api.get", "function:src/main/java/com/acme/Memory.java:Memory.save", "Calls"),
+    ("function:src/main/java/com/acme/web/Api.java:Api.get", "function:src/main/java/com/acme/Disk.java:Disk.save#2", "Calls"), ("function:src/main/java/com/acme/web/Api.java:Api.get", "class:src/main/java/com/acme/Disk.java:Disk", "Instantiates"),
+    ("function:py/shop/car.py:Car.drive", "function:py/shop/base.py:Base.stop", "Calls"), ("function:py/shop/car.py:Car.go", "function:py/shop/base.py:Base.stop", "Calls"), ("function:py/shop/car.py:Car.go", "function:py/shop/base.py:Base.go", "Calls"), ("function:py/shop/car.py:Car.drive", "function:py/shop/car.py:Car.go", "Calls"),
+    ("function:ui/app.ts:start", "class:ui/app.ts:App", "Instantiates"), ("function:ui/app.ts:start", "function:ui/app.ts:App.run", "Calls"),
+    ("function:rs/src/lib.rs:start", "function:rs/src/db.rs:open", "Calls"), ("function:rs/src/lib.rs:start", "function:rs/src/db.rs:helper", "Calls"), ("function:rs/src/db.rs:open", "class:rs/src/db.rs:Db", "Instantiates"), ("function:rs/src/db.rs:Db.put", "function:rs/src/db.rs:helper", "Calls"),
+    # constants, functions passed on
+    ("function:py/shop/base.py:Base.stop", "variable:py/shop/base.py:LIMIT_MAX", "Uses"), ("function:py/shop/car.py:Car.drive", "variable:py/shop/base.py:LIMIT_MAX", "Uses"), ("function:ui/app.ts:App.run", "variable:ui/util.ts:MAX_ITEMS", "Uses"), ("function:rs/src/db.rs:open", "constant:rs/src/db.rs:SIZE_MAX", "Uses"),
+    ("function:py/shop/car.py:Car.drive", "function:py/shop/car.py:handler", "References"), ("function:ui/app.ts:App.run", "function:ui/util.ts:pad", "References"), ("function:src/main/java/com/acme/Disk.java:Disk.save", "variable:src/main/java/com/acme/Disk.java:Disk.MAX_SIZE", "Uses"),
+    # routes, imports, exports, packages
+    ("file:src/main/java/com/acme/web/Api.java", "route:GET /items/{id}", "Contains"), ("route:GET /items/{id}", "function:src/main/java/com/acme/web/Api.java:Api.get", "References"), ("file:py/shop/car.py", "file:py/shop/base.py", "Imports"), ("file:py/shop/car.py", "class:py/shop/base.py:Base", "References"),
+    ("file:src/main/java/com/acme/web/Api.java", "class:src/main/java/com/acme/Memory.java:Memory", "References"), ("file:src/main/java/com/acme/web/Api.java", "file:src/main/java/com/acme/Store.java", "Imports"), ("file:ui/app.ts", "file:ui/util.ts", "Imports"), ("file:ui/app.ts", "dep:axios", "DependsOn"), ("file:ui/app.ts", "dep:lodash", "DependsOn"),
+    ("file:docs/guide.md", "file:ui/app.ts", "Imports"), ("file:docs/guide.md", "file:docs/notes.md", "Imports"), ("file:rs/src/lib.rs", "file:rs/src/db.rs", "Imports"), ("file:ui/app.ts", "class:ui/app.ts:App", "Exports"), ("file:ui/util.ts", "function:ui/util.ts:pad", "Exports"),
+]
+
+
+def test_a_full_graph(big):
+    _, _, nodes, edges, _ = big
+    got = {tuple(r) for r in edges.collect()}
+    assert not [e for e in EDGES if e not in got], [e for e in EDGES if e not in got]
+    assert len(got) == edges.count()
+    ids = {r.id for r in nodes.collect()}
+    assert not [e for e in got if not {e[0], e[1]} <= ids], "edges have both ends"
+    assert not any(t == "function:py/shop/base.py:Base.go" and s == "function:py/shop/base.py:Base.go" for s, t, _ in got)
+
+
+def test_how_calls_were_resolved(big):
+    got = {}
+    for r in big[4].collect():
+        got.setdefault((r.source.rsplit(":")[-1], r.name), set()).add(r.strategy)
+    assert got["Api.get", "save"] == {"typed", "dispatch"} and got["start", "open_db"] == {"qualified"} and got["Car.drive", "register"] == {None} and got["Car.drive", "get"] == {None}
+
+
+def test_facts_of_a_parsed_tree_answer_every_preset(big):
+    from weftgraph.plans import envelope
+    from weftgraph.plans.presets import PRESETS, REQUIRED
+
+    _, _, nodes, edges, _ = big
+    n = {r.id: r for r in nodes.collect()}
+    disk, api, car = n["class:src/main/java/com/acme/Disk.java:Disk"], n["function:src/main/java/com/acme/web/Api.java:Api.get"], n["class:py/shop/car.py:Car"]
+    assert disk.members == 4 and n["class:rs/src/db.rs:Db"].members == 1 and disk.node_type == "Class" and disk.qualified_name == "com.acme.Disk"
+    assert (api.route, api.boundary_in, api.boundary_kinds, api.boundary_detail, api.annotations) == ("GET /items/{id}", 1, "http.endpoint", "GET /items/{id}", "GetMapping")
+    assert n["function:src/main/java/com/acme/Disk.java:Disk.save"].boundary_kinds == "db.access" and n["function:py/shop/car.py:Car.drive"].boundary_kinds == "http.client"
+    assert (car.comment_lines, car.loc, car.has_comments, car.has_doc) == (1, 16, 1, 0) and n["class:py/shop/base.py:Base"].doc_lines == 1
+    assert n["function:src/test/java/com/acme/DiskTest.java:DiskTest.saves"].is_test == 1 and n["file:src/test/java/com/acme/DiskTest.java"].classification == "test"
+    assert n["dep:axios"].description == "version 1.0" and n["folder:docs"].classification == "documentation" and n["heading:docs/guide.md:Setup"].node_type == "Concept"
+    assert n["function:py/shop/base.py:Base.stop"].in_degree == 2
+    given = {"target": "src/main/java/com/acme/Disk.java", "files": ["py/shop/base.py"], "symbol": "function:src/main/java/com/acme/Disk.java:Disk.save", "from_prefix": "ui", "to_prefix": "ui"}
+    for p in PRESETS.values():
+        page = envelope.analyze(nodes, edges, name=p.name, **{k: given.get(k, v) for k, v in p.params.items() if k in given or v is not REQUIRED})
+        assert not [x for x in page.caveats if "NOT" in x], (p.name, page.caveats)
+    assert [r[0] for r in envelope.analyze(nodes, edges, name="retest_scope", target=given["target"]).rows] == ["src/test/java/com/acme/DiskTest.java"]
+
+
+def test_another_language_can_be_registered(spark):
+    from weftgraph.sources import languages
+
+    languages.register("toy", "toy", lambda text, path: [dict(kind="file", name=""), *(dict(kind="function", name=x, start=k, end=k, qualified=f"{path}.{x}") for k, x in enumerate(text.split("\n"), 1) if x)])
+    try:
+        assert [s["name"] for s in languages.parse("f\ng\n", "toy", "a.toy")] == ["", "f", "g"] and languages.languages()["toy"] == "toy"
+    finally:
+        del languages.PARSERS["toy"], languages.ENDINGS["toy"]

@@ -1,184 +1,162 @@
 """Source trees: listing, parsing into symbols and building the graph.
 
 Files are read with the binary source, parsed where they lie (``mapInPandas``,
-one file at a time) and resolved by joins. Python has its own parser; the other
-languages are scanned by their declarations, brace by brace.
+one file at a time, by the front ends in ``languages``) and resolved by joins: a
+call by its qualified name, else by the type of its receiver (own methods, then
+inherited ones, and the implementations that it may run), else, without a
+receiver, by a name that means one thing only.
 """
 
 from __future__ import annotations
 
-import ast
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_test, looks_like_constant
+from ..functions import classify, globs
+from ..functions.text import dependency_root, folder_of, is_test, looks_like_constant, normalize_path
+from ..operators import facts, resolve
+from ..schema import NODES
+from ..session import cut
+from . import languages, tables
 
 c = F.col
 
-#: fixed values: what is parsed, and what is built or packed rather than written
-LANGUAGES = {"py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "java": "java", "md": "markdown", "mdx": "markdown", "markdown": "markdown", "pdf": "pdf"}
-BUILT = r"(^|/)(node_modules|target|dist|build|out|\.git|__pycache__|\.venv|venv)/|\.min\.(js|css)$|\.bundle\.js$|(^|/)\.[^/]+(/|$)"
+#: fixed values: folders and files that are never source, and folders that a build makes beside its descriptor
+NEVER = r"(^|/)(node_modules|\.git|dist)/|\.(min|bundle)\.(js|mjs|css)$|(^|/)\.[^/]+(/|$)"
+BUILD_FOLDERS = {"target": ("pom.xml", "build.sbt", "Cargo.toml"), "build": ("build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts"), "out": ("build.gradle", "build.gradle.kts", "pom.xml")}
+#: fixed values: spellings of an imported file; most targets of a wildcard import, implementations of a call
+FILE_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".md", ".mdx", ".markdown", ".py", ".java", ".rs", "/index.ts", "/index.tsx", "/index.js", "/__init__.py", "/mod.rs", "/README.md")
+WILDCARD, DISPATCH = 64, 8
 
-SYMBOLS = "path string, language string, pos int, kind string, name string, owner string, start_line int, end_line int, docstring string, bases array<string>, calls array<struct<name:string,owner:string,arg:string>>, imports array<string>, annotations array<struct<name:string,args:string>>, params int, nesting int"
+_CALL = "struct<name:string,owner:string,arg:string,qualified:string,owner_type:string,argc:int,ctor:boolean>"
+SYMBOLS = (
+    "path string, language string, pos int, kind string, name string, owner string, qualified string, owner_qualified string, start_line int, end_line int, docstring string, extends array<string>, implements array<string>,"
+    f" calls array<{_CALL}>, uses array<string>, value_refs array<string>, imports array<struct<path:string,name:string,alias:string>>, exports array<string>, annotations array<struct<name:string,args:string>>, route string,"
+    " params int, nesting int, comment_lines int, code_lines int, doc_lines int, level int"
+)
+_COLUMNS = re.findall(r"(?:^|, )(\w+) (?=string|int|array)", re.sub(r"<.*?>(?=,| )", "", re.sub(r"<[^<>]*>", "", SYMBOLS)))
 
-_COLUMNS = [x.split()[0] for x in SYMBOLS.split(", ")]
 
-
-def scan_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """(path, language, content) of the parsed kinds of files below ``root``."""
-    pattern = "*.{" + ",".join(sorted(LANGUAGES)) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    base = re.escape(root.rstrip("/").removeprefix("file://"))
-    path = F.regexp_replace("path", rf"^(file:/*)?/?{base.lstrip('/')}/", "")
-    files = raw.select(path.alias("path"), c("content"))
-    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    files = files.where(~c("path").rlike(BUILT)).withColumn("language", F.try_element_at(table, ending))
-    for glob in ignore or []:
-        from ..functions.globs import matches
-
-        files = files.where(~matches(c("path"), glob, path=True))
-    return files.where("language is not null")
-
-
-def _call(node: ast.Call):
-    f, arg = node.func, next((a.value for a in node.args[:1] if isinstance(a, ast.Constant) and isinstance(a.value, str)), None)
-    if isinstance(f, ast.Name):
-        return f.id, None, arg and arg[:120]
-    if isinstance(f, ast.Attribute):
-        return f.attr, ast.unparse(f.value) if isinstance(f.value, ast.Name | ast.Attribute) else None, arg and arg[:120]
-    return None
-
-
-_NESTED = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.AsyncFor, ast.AsyncWith, ast.Match)
-
-
-def _depth(node: ast.AST) -> int:
-    return max((isinstance(x, _NESTED) + _depth(x) for x in ast.iter_child_nodes(node) if not isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)), default=0)
-
-
-def parse_python(text: str) -> list[dict]:
-    """Classes, functions and module bindings of a Python file; none if it doesn't parse."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    imports: list[str] = []
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Import):
-            imports += [a.name for a in n.names]
-        elif isinstance(n, ast.ImportFrom):
-            imports += [("." * n.level) + (n.module or "") + ":" + a.name for a in n.names]
-    out = [dict(kind="file", name="", owner=None, start=1, end=text.count("\n") + 1, doc=ast.get_docstring(tree), imports=sorted(set(imports)))]
-
-    def body(node, owner):
-        for x in node.body:
-            if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                calls = sorted({k for y in ast.walk(x) if isinstance(y, ast.Call) and (k := _call(y))}, key=str) if not isinstance(x, ast.ClassDef) else []
-                marks = [(ast.unparse(d.func if isinstance(d, ast.Call) else d), ", ".join(ast.unparse(a) for a in [*d.args, *d.keywords]) if isinstance(d, ast.Call) else "") for d in x.decorator_list]
-                is_class = isinstance(x, ast.ClassDef)
-                out.append(dict(kind="class" if is_class else "function", name=x.name, owner=owner, start=x.lineno, end=x.end_lineno, doc=ast.get_docstring(x), bases=[ast.unparse(b) for b in x.bases] if is_class else [], calls=calls, marks=marks, params=0 if is_class else len(x.args.posonlyargs + x.args.args + x.args.kwonlyargs), nesting=0 if is_class else _depth(x)))
-                if is_class:
-                    body(x, x.name)
-            elif owner is None and isinstance(x, ast.Assign | ast.AnnAssign):
-                for t in x.targets if isinstance(x, ast.Assign) else [x.target]:
-                    if isinstance(t, ast.Name):
-                        out.append(dict(kind="variable", name=t.id, owner=None, start=x.lineno, end=x.end_lineno, doc=None))
-
-    body(tree, None)
-    return out
+# -- files ---------------------------------------------------------------------------------
 
 
-#: declarations of the brace languages: (language, kind, pattern with name and, for types, bases)
-_DECLARATIONS = {
-    "java": [("class", r"\b(?:class|enum|record)\s+(?P<name>\w+)(?P<bases>[^{;]*)\{"), ("interface", r"\binterface\s+(?P<name>\w+)(?P<bases>[^{;]*)\{"), ("function", r"(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*[\w<>\[\],.? ]+\s+(?P<name>\w+)\s*\((?P<params>[^()]*)\)\s*(?:throws [\w., ]+)?\{")],
-    "typescript": [("class", r"\bclass\s+(?P<name>\w+)(?P<bases>[^{]*)\{"), ("interface", r"\binterface\s+(?P<name>\w+)(?P<bases>[^{]*)\{"), ("function", r"\bfunction\s+(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<params>[^()]*)\)[^{;]*\{"), ("function", r"\b(?:const|let)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?\((?P<params>[^()]*)\)[^={;]*=>\s*\{"), ("function", r"^[ \t]+(?:(?:public|private|protected|static|async)\s+)*(?P<name>(?!if|for|while|switch|catch|function\b)\w+)\s*\((?P<params>[^()]*)\)[^{;=]*\{")],
-    "rust": [("class", r"\b(?:struct|enum)\s+(?P<name>\w+)(?P<bases>)[^{;(]*\{"), ("interface", r"\btrait\s+(?P<name>\w+)(?P<bases>[^{]*)\{"), ("function", r"\bfn\s+(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<params>[^()]*)\)[^{;]*\{")],
-}
-_DECLARATIONS["javascript"] = _DECLARATIONS["typescript"]
-_IMPORTS = {"java": r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", "typescript": r"(?:from|import|require\()\s*['\"]([^'\"]+)['\"]", "javascript": r"(?:from|import|require\()\s*['\"]([^'\"]+)['\"]", "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)"}
-_NOT_CALLED = {"if", "for", "while", "switch", "catch", "return", "function", "fn", "match", "new", "super", "sizeof", "await"}
-
-
-def blank_comments(text: str) -> str:
-    """The text with comments and the insides of strings blanked, line for line."""
-    keep = lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1]
-    return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", keep, text, flags=re.S)
-
-
-def parse_braces(text: str, language: str) -> list[dict]:
-    """Types and functions of a brace language, from its declarations."""
-    bare = blank_comments(text)
-    line = lambda at: bare.count("\n", 0, at) + 1
-    out = [dict(kind="file", name="", owner=None, start=1, end=text.count("\n") + 1, doc=None, imports=sorted(set(re.findall(_IMPORTS[language], text, re.M))))]
-    spans = []
-    for kind, pattern in _DECLARATIONS[language]:
-        for m in re.finditer(pattern, bare, re.M):
-            if m["name"] in _NOT_CALLED - {"new"}:
-                continue
-            depth, end = 0, len(bare) - 1
-            for k in re.finditer(r"[{}]", bare[m.end() - 1 :]):
-                depth += 1 if k[0] == "{" else -1
-                if not depth:
-                    end = m.end() - 1 + k.start()
-                    break
-            spans.append((m.start("name"), end, kind, m))
-    if language == "rust":
-        for m in re.finditer(r"\bimpl(?:<[^>]*>)?\s+(?:(\w+)(?:<[^>]*>)?\s+for\s+)?(\w+)[^{;]*\{", bare):
-            depth = 0
-            for k in re.finditer(r"[{}]", bare[m.end() - 1 :]):
-                depth += 1 if k[0] == "{" else -1
-                if not depth:
-                    spans.append((m.start(), m.end() - 1 + k.start(), "impl", m))
-                    break
-    spans = sorted({(a, kind): (a, e, kind, m) for a, e, kind, m in spans}.values(), key=lambda x: x[:2])
-    for at, end, kind, m in spans:
-        if kind == "impl":
+def ignore_rules(text: str) -> list[tuple[int, bool, str]]:
+    """(place, keeps, regular expression for a path below the file's folder) of each line of an ignore file."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        line = line.rstrip("\r").strip()
+        if not line or line.startswith("#"):
             continue
-        around = [x for x in spans if x[0] < at and x[1] >= end and x[2] != "function"]
-        owner = (around[-1][3][2] if around[-1][2] == "impl" else around[-1][3]["name"]) if around else None
-        groups = m.groupdict()
-        bases = re.findall(r"[A-Za-z_]\w*", re.sub(r"<[^>]*>", "", groups.get("bases") or ""))
-        calls = sorted({(n, o or None, None) for o, n in re.findall(r"(?:(\w+)\s*(?:\.|::)\s*)?\b(\w+)\s*\(", bare[m.end() : end]) if n not in _NOT_CALLED}, key=str) if kind == "function" else []
-        doc = re.search(r"(?:/\*\*(.*?)\*/|((?:[ \t]*///[^\n]*\n)+))\s*(?:[@#][^\n]*\n\s*)*$", text[: text.rfind("\n", 0, at) + 1], re.S)
-        marks = re.findall(r"(?m)^\s*(?:@|#\[)(\w+)(?:\(([^)]*)\))?", text[max(0, text.rfind("}", 0, at), text.rfind(";", 0, at), text.rfind("{", 0, at)) : at])
-        inner = bare[m.end() : end]
-        out.append(dict(kind=kind, name=m["name"], owner=owner, start=line(at), end=line(end), doc=re.sub(r"(?m)^[ \t]*(\*|///)[ \t]?", "", (doc[1] or doc[2])).strip() if doc else None, bases=[b for b in bases if b not in ("extends", "implements", "permits")], calls=calls, marks=marks, params=len([x for x in (groups.get("params") or "").split(",") if x.strip()]), nesting=_brace_depth(inner) if kind == "function" else 0))
+        keeps, line = line.startswith("!"), line.removeprefix("!")
+        folder, line = line.endswith("/"), line.rstrip("/")
+        anchored, line = "/" in line, line.removeprefix("/")
+        body = globs.to_regex(line, path=True).removeprefix("(?is)^")[:-1]
+        out.append((k, keeps, ("^" if anchored else "^(?:.*/)?") + body + ("/.+$" if folder else "(?:/.*)?$")))
     return out
 
 
-def _brace_depth(body: str) -> int:
-    deepest = here = 0
-    for k in re.findall(r"[{}]", body):
-        here += 1 if k == "{" else -1
-        deepest = max(deepest, here)
-    return deepest
+def _ancestors(path):
+    """Every folder above a path, the root as the empty string."""
+    parts = F.split(folder_of(path), "/")
+    return F.concat(F.array(F.lit("")), F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")), lambda x: x != ""))
+
+
+def _passed_over(files: DataFrame, root: str) -> DataFrame:
+    """(path, content) of the files whose names begin with ``_``, and of ignore files, both of which Spark's readers pass over.
+
+    Every folder is listed where a task runs, by Arrow's file systems; folders that hold no other file are found from the ones above them.
+    """
+    seen = re.compile(r"^(?!_|\.).").match
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(re.sub("^file:/*", "/", root.rstrip("/")))
+        for batch in batches:
+            rows = []
+            for folder in batch["folder"]:
+                at = f"{top}/{folder}".rstrip("/")
+                found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+                for child in [x for x in found if x.type == fs.FileType.Directory and seen(x.base_name)]:
+                    below = store.get_file_info(fs.FileSelector(child.path, recursive=True))
+                    if not any(x.type == fs.FileType.File and seen(x.base_name) for x in below):
+                        found += below
+                rows += [(x.path[len(top) + 1 :], store.open_input_file(x.path).read()) for x in found if x.type == fs.FileType.File and (x.base_name.startswith("_") or x.base_name == ".gitignore")]
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    folders = files.select(F.explode(_ancestors("path")).alias("folder")).distinct()
+    return folders.mapInPandas(run, "path string, content binary").dropDuplicates(["path"])
+
+
+def scan_files(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """(path, language, content) of the parsed kinds of files below ``root``.
+
+    Left out: hidden files, what ignore files name (the last rule that fits decides, nearer folders later),
+    build output beside its descriptor, packed artifacts, and the globs of ``ignore``.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = re.escape(root.rstrip("/").removeprefix("file://"))
+    files = raw.select(F.regexp_replace("path", rf"^(file:/*)?/?{base.lstrip('/')}/", "").alias("path"), "content")
+    files = files.unionByName(_passed_over(files, root))
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    table = F.create_map(*(F.lit(x) for kv in languages.languages().items() for x in kv))
+    found = files.where(~c("path").rlike(NEVER)).withColumn("language", F.try_element_at(table, ending)).where("language is not null")
+    for glob in ignore or []:
+        found = found.where(~globs.matches(c("path"), glob, path=True))
+    above = found.select("path", F.explode(_ancestors("path")).alias("folder"))
+
+    # what a build makes beside its descriptor
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    made = F.create_map(*(F.lit(x) for kv in {d: [f for f, ds in BUILD_FOLDERS.items() if d in ds] for ds in BUILD_FOLDERS.values() for d in ds}.items() for x in (kv[0], ",".join(kv[1]))))
+    built = files.select(folder_of("path").alias("at"), F.explode(F.split(F.try_element_at(made, name), ",")).alias("f")).select(F.ltrim(F.concat("at", F.lit("/"), "f"), F.lit("/")).alias("folder")).distinct()
+    gone = above.join(built, "folder", "left_semi").select("path")
 
+    # what ignore files name
+    def rules(batches):
+        for batch in batches:
+            rows = [(at, *r) for at, content in zip(batch["at"], batch["content"]) for r in ignore_rules(bytes(content).decode("utf-8", "replace"))]
+            yield pd.DataFrame(rows, columns=["folder", "place", "keeps", "rule"]).astype({"place": int, "keeps": bool})
 
-def parse(text: str, language: str) -> list[dict]:
-    if language == "python":
-        return parse_python(text)
-    if language in _DECLARATIONS:
-        return parse_braces(text, language)
-    return [dict(kind="file", name="", owner=None, start=1, end=text.count("\n") + 1, doc=None)]
+    named = files.where(name == ".gitignore").select(folder_of("path").alias("at"), "content").mapInPandas(rules, "folder string, place int, keeps boolean, rule string")
+    fits = above.join(named, "folder").where(F.expr("case when folder = '' then path else substring(path, length(folder) + 2) end rlike rule"))
+    last = fits.groupBy("path").agg(F.max_by("keeps", F.struct(F.length("folder"), "place")).alias("keeps"))
+    gone = gone.unionByName(last.where("not keeps").select("path"))
+    return found.join(gone.distinct(), "path", "left_anti").select("path", "language", "content")
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """The symbols of (path, language, content), in the order of the file; the file itself is the first."""
+    """The symbols of (path, language, content), in the order of the file; the file itself is the first. Markdown headings are symbols, too."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, language, content in zip(batch["path"], batch["language"], batch["content"]):
                 text = bytes(content).decode("utf-8", "replace") if not isinstance(content, str) else content
-                for pos, s in enumerate(parse(text, language)):
-                    rows.append((path, language, pos, s["kind"], s["name"], s["owner"], s["start"], s["end"], s["doc"], s.get("bases", []), [{"name": a, "owner": b, "arg": x} for a, b, x in s.get("calls", [])], s.get("imports", []), [{"name": a, "args": b} for a, b in s.get("marks", [])], s.get("params", 0), s.get("nesting", 0)))
-            yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return files.select("path", "language", "content").mapInPandas(run, SYMBOLS)
+                for pos, s in enumerate(languages.parse(text, language, path)):
+                    calls = [dict(zip(("name", "owner", "arg", "qualified", "owner_type", "argc", "ctor"), k)) for k in s["calls"]]
+                    imports = [dict(zip(("path", "name", "alias"), k)) for k in s["imports"]]
+                    marks = [{"name": a, "args": b} for a, b in s["marks"]]
+                    rows.append((path, language, pos, s["kind"], s["name"], s["owner"], s["qualified"], s["owner_qualified"], s["start"], s["end"], s["doc"], list(s["extends"]), list(s["implements"]), calls, list(s["uses"]), list(s["value_refs"]), imports, list(s["exports"]), marks, s["route"], s["params"], s["nesting"], s["comment_lines"], s["code_lines"], s["doc_lines"], None))
+            yield pd.DataFrame(rows, columns=_COLUMNS).astype({"level": "Int32"})
+
+    found = files.select("path", "language", "content").mapInPandas(run, SYMBOLS)
+    prose = files.where("language = 'markdown'").select("path", F.decode(F.col("content").cast("binary"), "UTF-8").alias("text"))
+    heads = tables.markdown_headings(prose)
+    links = tables.markdown_links(prose).groupBy("path").agg(F.collect_list(F.struct(c("target").alias("path"), F.lit("").alias("name"), F.lit(None).cast("string").alias("alias"))).alias("links"))
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema}
+    given = {"path": "path", "language": F.lit("markdown"), "pos": c("start_line").cast("int"), "kind": F.lit("heading"), "name": c("title"), "start_line": c("start_line").cast("int"), "end_line": c("end_line").cast("int"), "docstring": c("prose"), "level": c("level").cast("int")}
+    heads = heads.select(*((c(given[k]) if isinstance(given[k], str) else given[k]).alias(k) if k in given else v for k, v in none.items()))
+    joined = found.join(links, "path", "left").withColumn("imports", F.when((c("kind") == "file") & (c("language") == "markdown"), F.coalesce("links", "imports")).otherwise(c("imports"))).drop("links")
+    return joined.select(*found.columns).unionByName(heads)
+
+
+def index_totals(syms: DataFrame) -> DataFrame:
+    """(language, files, symbols, lines) of an index run."""
+    own = c("kind") == "file"
+    return syms.groupBy("language").agg(F.sum(own.cast("long")).alias("files"), F.sum((~own).cast("long")).alias("symbols"), F.sum(F.when(own, c("end_line")).otherwise(0)).cast("long").alias("lines"))
 
 
 def with_ids(syms: DataFrame) -> DataFrame:
@@ -190,60 +168,231 @@ def with_ids(syms: DataFrame) -> DataFrame:
 
 
 def node_type():
-    t = F.when(c("kind") == "file", "File").when(c("kind") == "class", "Class").when(c("kind") == "interface", "Interface").when(c("kind") == "function", "Function")
-    return t.when((c("kind") == "variable") & looks_like_constant("name"), "Constant").when(c("kind") == "variable", "Variable").otherwise("Unknown")
+    t = F.when(c("kind") == "file", F.when(classify.classify_file("path") == "config", "Config").otherwise("File")).when(c("kind") == "heading", "Concept")
+    t = t.when(c("kind") == "class", "Class").when(c("kind").isin("interface", "type"), "Interface").when(c("kind") == "constant", "Constant")
+    return t.when((c("kind") == "variable") & looks_like_constant("name"), "Constant").when(c("kind") == "variable", "Variable").otherwise("Function")
 
 
-def build_graph(syms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of parsed symbols. A name that could mean several things makes no edge."""
-    s = with_ids(syms).persist()
-    nodes = s.select(
-        "id", F.when(c("kind") == "file", F.regexp_extract("path", r"([^/]*)$", 1)).otherwise(c("name")).alias("name"), node_type().alias("node_type"), c("path").alias("file"), c("start_line").cast("long").alias("start_line"), c("end_line").cast("long").alias("end_line"),
-        c("docstring").alias("description"), (c("end_line") - c("start_line") + 1).cast("long").alias("loc"), F.when(c("kind") == "function", c("params").cast("long")).alias("params"), F.when(c("kind") == "function", c("nesting").cast("long")).alias("max_nesting"),
-        F.when(c("docstring").isNotNull(), 1).otherwise(0).cast("long").alias("has_doc"), is_test("path").cast("long").alias("is_test"), "language", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"),
-    )
+# -- resolution ----------------------------------------------------------------------------
+
+
+def bare_names(wanted: DataFrame, s: DataFrame) -> DataFrame:
+    """(key, target): the only symbol of that name, else the first one in the own file; a dotted name is tried whole, then by its last part. wanted: (key, path, name)."""
+    named = s.where("kind not in ('file', 'heading')")
+    shown = named.where("owner is not null").select("id", "path", "pos", F.concat("owner", F.lit("."), "name").alias("name")).unionByName(named.select("id", "path", "pos", "name"))
+    only = shown.groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only")).where("n = 1").select("name", "only")
+    here = shown.groupBy("path", "name").agg(F.min_by("id", "pos").alias("here"))
+
+    def hits(column: str, rank: int) -> DataFrame:
+        w = wanted.select("key", "path", c(column).alias("name")) if column == "name" else wanted.select("key", "path", F.regexp_extract("name", r"([^.:]*)$", 1).alias("name")).where("name != ''")
+        found = w.join(only, "name", "left").join(here, ["path", "name"], "left").select("key", F.coalesce("only", "here").alias("target"), F.lit(rank).alias("rank"))
+        return found.where("target is not null")
+
+    return hits("name", 0).unionByName(hits("tail", 1)).groupBy("key").agg(F.min_by("target", "rank").alias("target"))
+
+
+def _typed(calls: DataFrame, members: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """(key, target) of calls (key, type, name, argc) by the types of their receivers."""
+    found = resolve.method_resolve(calls.withColumnRenamed("key", "call"), members.select("type", "name", "argc", c("id").alias("method")), hierarchy)
+    return found.select(c("call").alias("key"), c("method").alias("target"))
+
+
+def settle(rows: DataFrame, column: str, types: DataFrame) -> DataFrame:
+    """``rows`` (each with its own key) with one of the types ``a|b|c`` in ``column``: the first that is declared, else the first."""
+    several = rows.where(c(column).contains("|")).select("key", F.posexplode(F.split(column, r"\|")).alias("rank", "qualified")).join(types.select("qualified"), "qualified")
+    found = several.groupBy("key").agg(F.min_by("qualified", "rank").alias("_type"))
+    return rows.join(found, "key", "left").withColumn(column, F.coalesce("_type", F.substring_index(column, "|", 1))).drop("_type")
+
+
+def build_graph(syms: DataFrame, dependencies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed symbols, with all facts. A name that could mean several things makes no edge.
+
+    dependencies: (name, version, ...) of the manifests.
+    """
+    nodes, edges, _ = build(syms, dependencies)
+    return nodes, edges
+
+
+def build(syms: DataFrame, dependencies: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``build_graph`` and (key, source, name, target, strategy) of the calls; strategy: qualified, typed, dispatch, name, or null."""
+    s = cut(with_ids(syms).withColumn("node_type", node_type()))
     files = s.where("kind = 'file'").select("path", c("id").alias("file_id"))
-    owner = s.where("kind in ('class', 'interface')").select("path", c("name").alias("owner"), c("id").alias("owner_id")).dropDuplicates(["path", "owner"])
-    inside = s.where("kind != 'file'").join(files, "path").join(owner, ["path", "owner"], "left").select(F.coalesce("owner_id", "file_id").alias("source"), c("id").alias("target"), F.lit("Contains").alias("edge_type"))
-
-    def by_name(wanted: DataFrame, kinds: str, edge: str) -> DataFrame:
-        """wanted: (source, path, language, name). The only one of that name in the file, else the only one in the language."""
-        named = s.where(f"kind in ({kinds})").select(c("id").alias("target"), c("path").alias("at"), "language", "name")
-        hits = wanted.join(named, ["language", "name"])
-        here = hits.where("at = path").groupBy("source", "name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1").select("source", "name", "target", F.lit(0).alias("rank"))
-        all_ = named.groupBy("language", "name").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").select("language", "name", "target")
-        there = wanted.join(all_, ["language", "name"]).select("source", "name", "target", F.lit(1).alias("rank"))
-        best = here.unionByName(there).groupBy("source", "name").agg(F.min_by("target", "rank").alias("target"))
-        return best.where("source != target").select("source", "target", F.lit(edge).alias("edge_type"))
-
-    called = s.where("kind = 'function'").select(c("id").alias("source"), "path", "language", F.explode("calls").alias("k")).select("source", "path", "language", c("k.name").alias("name")).distinct()
-    base = s.where("kind in ('class', 'interface')").select(c("id").alias("source"), "path", "language", F.explode("bases").alias("b")).select("source", "path", "language", F.regexp_extract("b", r"([^.:]*)$", 1).alias("name")).distinct()
-    calls, made = by_name(called, "'function'", "Calls"), by_name(called, "'class'", "Instantiates")
-    extends, implements = by_name(base, "'class'", "Extends"), by_name(base, "'interface'", "Implements")
-    up = extends.unionByName(implements).select(c("source").alias("sub"), c("target").alias("super"))
-    member = inside.where("source like 'class:%' or source like 'interface:%'").join(s.select(c("id").alias("target"), "name", "kind"), "target").where("kind = 'function'").select(c("source").alias("type"), c("target").alias("method"), "name")
-    overrides = member.alias("a").join(up, c("a.type") == c("sub")).join(member.alias("b"), (c("b.type") == c("super")) & (c("a.name") == c("b.name"))).select(c("a.method").alias("source"), c("b.method").alias("target"), F.lit("Overrides").alias("edge_type"))
-    edges = inside
-    for more in (calls, made, extends, implements, overrides, imports(s)):
+    edge = lambda df, kind, a="source", b="target": df.where(c(a) != c(b)).select(c(a).alias("source"), c(b).alias("target"), F.lit(kind).alias("edge_type"))
+    types = s.where("kind in ('class', 'interface', 'type') and qualified is not null").groupBy("qualified").agg(F.min_by("id", F.struct("path", "pos")).alias("type_id"))
+    by_name = cut(s.where("qualified is not null").groupBy("qualified").agg(F.min_by(F.struct("id", "node_type", "path"), F.struct("path", "pos")).alias("at")).select("qualified", c("at.id").alias("target"), c("at.node_type").alias("target_type"), c("at.path").alias("target_path")))
+    members = cut(s.where("owner_qualified is not null").select(c("owner_qualified").alias("type"), "name", c("params").alias("argc"), "id"))
+
+    # what contains what
+    parts = [edge(s.where("kind not in ('file', 'heading')").join(files, "path"), "Contains", "file_id", "id")]
+    parts.append(edge(s.where("owner_qualified is not null").select("id", "owner_qualified").join(types.withColumnRenamed("qualified", "owner_qualified"), "owner_qualified"), "Contains", "type_id", "id"))
+    parts.append(edge(headings(s).join(files, "path").select(F.coalesce("parent", "file_id").alias("source"), c("id").alias("target")), "Contains"))
+    folder_nodes, folder_edges = folder_graph(s)
+    parts.append(folder_edges)
+
+    # hierarchy
+    supers = s.where("kind in ('class', 'interface', 'type')").select("id", "path", "qualified", F.explode(F.concat(F.transform("extends", lambda x: F.struct(x.alias("name"), F.lit("Extends").alias("kind"))), F.transform("implements", lambda x: F.struct(x.alias("name"), F.lit("Implements").alias("kind"))))).alias("up"))
+    supers = supers.select("id", "path", "qualified", c("up.name").alias("name"), c("up.kind").alias("kind")).distinct().withColumn("key", F.concat_ws("\t", "id", "kind", "name"))
+    supers = cut(settle(supers, "name", types))
+    named = bare_names(supers.select("key", "path", "name"), s.where("kind in ('class', 'interface', 'type')"))
+    known = cut(supers.join(types.withColumnRenamed("qualified", "q"), c("name") == c("q"), "left").join(named, "key", "left").select("id", "qualified", "kind", F.coalesce("type_id", "target").alias("target")).where("target is not null"))
+    for kind in ("Extends", "Implements"):
+        parts.append(edge(known.where(c("kind") == kind), kind, "id"))
+    q_of = types.select(c("type_id").alias("target"), c("qualified").alias("up"))
+    hierarchy = cut(known.join(q_of, "target").where("qualified is not null and qualified != up").select(c("qualified").alias("source"), c("up").alias("target"), c("kind").alias("edge_type")).distinct())
+
+    # a method that an inherited one of its name gives way to
+    own = s.where("owner_qualified is not null and kind = 'function'").select("id", "name", c("params").alias("argc"), c("owner_qualified").alias("source"))
+    asked = own.join(hierarchy.select("source", c("target").alias("type")), "source").select(F.concat_ws("\t", "id", "type").alias("key"), "type", "name", "argc")
+    parts.append(edge(_typed(asked, members, hierarchy).select(F.substring_index("key", "\t", 1).alias("source"), "target"), "Overrides"))
+
+    # constants that are read, functions that are passed on
+    used = s.select(c("id").alias("source"), F.explode("uses").alias("qualified")).join(by_name.where("target_type in ('Constant', 'Config')"), "qualified")
+    passed = s.select(c("id").alias("source"), F.explode("value_refs").alias("qualified")).join(by_name.where("target_type = 'Function'"), "qualified")
+    parts += [edge(used, "Uses"), edge(passed, "References")]
+
+    # calls
+    sites = s.select(c("id").alias("source"), "path", F.posexplode("calls").alias("n", "k")).select("source", "path", F.concat_ws("\t", "source", "n").alias("key"), "k.*")
+    sites = cut(settle(sites, "owner_type", types))
+    resolved = cut(calls(sites, s, by_name, types, members, hierarchy))
+    parts.append(resolved.where("target is not null and source != target").select("source", "target", F.when(c("ctor") | (c("target_type") == "Class"), "Instantiates").otherwise("Calls").alias("edge_type")))
+
+    # routes, imports, exports, dependencies
+    routes = s.where("route is not null").select("id", "path", "route", F.concat(F.lit("route:"), "route").alias("route_id"))
+    parts += [edge(routes.join(files, "path"), "Contains", "file_id", "route_id"), edge(routes, "References", "route_id", "id")]
+    parts.append(imports(s, by_name, members, dependencies))
+    exported = s.where("kind = 'file'").select("path", c("id").alias("source"), F.explode("exports").alias("name")).withColumn("key", F.concat_ws("\t", "source", "name"))
+    parts.append(edge(exported.join(bare_names(exported.select("key", "path", "name"), s), "key"), "Exports"))
+
+    edges = parts[0]
+    for more in parts[1:]:
         edges = edges.unionByName(more)
-    return nodes, edges.distinct()
-
-
-def imports(s: DataFrame) -> DataFrame:
-    """Import edges between files: a spec is tried as it stands, from the importing folder, with the usual endings, and as a package index."""
-    from ..functions.text import folder_of, normalize_path
-
-    spec = s.where("kind = 'file'").select(c("id").alias("source"), "path", "language", F.explode("imports").alias("spec"))
-    python = F.split(F.regexp_replace("spec", ":.*$", ""), r"\.")
-    dots = F.length(F.regexp_extract("spec", r"^(\.*)", 1))
-    up = F.concat(folder_of("path"), F.when(dots > 1, F.repeat(F.lit("/.."), dots - 1)).otherwise(F.lit("")))
-    rest = F.array_join(F.filter(python, lambda x: x != ""), "/")
-    stem = F.when((c("language") == "python") & (dots > 0), normalize_path(F.concat(up, F.lit("/"), rest))).when(c("language").isin("python", "java"), rest)
-    stem = stem.when(c("spec").startswith("."), normalize_path(F.concat(folder_of("path"), F.lit("/"), c("spec")))).otherwise(F.regexp_replace(F.regexp_replace("spec", r"^crate::", "src::"), "::", "/"))
-    named = F.when(c("language") == "python", F.concat(stem, F.lit("/"), F.regexp_extract("spec", r":(.*)$", 1))).otherwise(F.regexp_replace(stem, r"/[^/]*$", ""))
-    endings = ("", ".py", "/__init__.py", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js", ".rs", "/mod.rs", ".java")
-    tries = F.array(*(F.struct(F.lit(k).alias("rank"), F.concat(base, F.lit(e)).alias("path")) for k, (base, e) in enumerate((b, e) for e in endings for b in (stem, named))))
-    want = spec.select("source", "spec", F.explode(tries).alias("t")).select("source", "spec", "t.rank", c("t.path").alias("to"))
-    have = s.where("kind = 'file'").select(c("path").alias("to"), c("id").alias("target"))
-    best = want.join(have, "to").groupBy("source", "spec").agg(F.min_by("target", "rank").alias("target"))
-    return best.where("source != target").select("source", "target", F.lit("Imports").alias("edge_type")).distinct()
+    edges = cut(edges.distinct())
+    nodes = symbol_nodes(s)
+    extra = [folder_nodes, routes.groupBy("route_id").agg(F.min("route").alias("name"), F.min("path").alias("file")).select(c("route_id").alias("id"), "name", F.lit("Route").alias("node_type"), "file")]
+    if dependencies is not None:
+        deps = dependencies.groupBy("name").agg(F.min("version").alias("version"))
+        extra.append(deps.select(F.concat(F.lit("dep:"), "name").alias("id"), "name", F.lit("Dependency").alias("node_type"), F.concat(F.lit("version "), "version").alias("description")))
+    for more in extra:
+        nodes = nodes.unionByName(more, allowMissingColumns=True)
+    return with_facts(nodes, edges, s), edges, resolved
+
+
+def calls(sites: DataFrame, s: DataFrame, by_name: DataFrame, types: DataFrame, members: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """(key, source, name, ctor, target, target_type, strategy), a row for each target; a call that may run several implementations has several."""
+    exact = sites.where("qualified is not null").join(by_name, "qualified").select("key", "target")
+    asked = sites.where("owner_type is not null").select("key", c("owner_type").alias("type"), "name", "argc")
+    typed = _typed(asked, members, hierarchy)
+    made = sites.where("ctor and owner_type is not null").join(types.withColumnRenamed("qualified", "owner_type"), "owner_type").select("key", c("type_id").alias("target"))
+    below = resolve.implementors(hierarchy, DISPATCH).select(c("id").alias("owner_type"), c("other").alias("type"))
+    fan = sites.where("owner_type is not null and not ctor").join(below, "owner_type").select(F.concat_ws("\t", "key", "type").alias("key"), "type", "name", "argc")
+    reached = _typed(fan, members, hierarchy).select(F.substring_index("key", "\t", 2).alias("key"), "target").distinct()
+    sure = cut(resolve.cascade(*(x.select(c("key").alias("call"), "target") for x in (exact, typed, made))).select(c("call").alias("key"), "target", F.when(c("strategy") == 0, "qualified").otherwise("typed").alias("strategy")))
+    found = sure.unionByName(reached.join(sure.select("key", "target"), ["key", "target"], "left_anti").withColumn("strategy", F.lit("dispatch")))
+    left = sites.where("owner is null").join(found.select("key").distinct(), "key", "left_anti")
+    found = found.unionByName(bare_names(left.select("key", "path", "name"), s).withColumn("strategy", F.lit("name")))
+    kind = s.select(c("id").alias("target"), c("node_type").alias("target_type"))
+    return sites.select("key", "source", "name", "ctor").join(found, "key", "left").join(kind, "target", "left").select("key", "source", "name", "ctor", "target", "target_type", "strategy")
+
+
+def headings(s: DataFrame) -> DataFrame:
+    """(id, path, parent) of headings: the last earlier heading of a higher level in the file, null for none."""
+    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    heads = s.where("kind = 'heading'").select("id", "path", "pos", "level")
+    # the last earlier heading of each level above; the latest of these
+    last = [F.max(F.when(c("level") == k, F.struct("pos", "id"))).over(before) for k in range(1, 7)]
+    best = F.greatest(*(F.when(c("level") > k + 1, x) for k, x in enumerate(last)))
+    return heads.withColumn("best", best).select("id", "path", c("best.id").alias("parent"))
+
+
+def folder_graph(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folder nodes and their Contains edges: a folder its folders, a folder the files right in it."""
+    files = s.where("kind = 'file'").select("path", "language", c("id").alias("file_id"))
+    f = cut(tables.folders(files))
+    own = F.concat(F.lit("folder:"), c("folder"))
+    nodes = f.select(own.alias("id"), F.regexp_extract("folder", r"([^/]*)$", 1).alias("name"), F.lit("Folder").alias("node_type"), classify.classify_folder().alias("classification"))
+    inner = f.where("parent != ''").select(F.concat(F.lit("folder:"), "parent").alias("source"), own.alias("target"))
+    direct = files.withColumn("folder", folder_of("path")).where("folder != ''").select(own.alias("source"), c("file_id").alias("target"))
+    return nodes, inner.unionByName(direct).withColumn("edge_type", F.lit("Contains"))
+
+
+def imports(s: DataFrame, by_name: DataFrame, members: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """Imports, References and DependsOn edges of files.
+
+    An import is tried as a qualified name (one name, all of a package, a member of a type), else as a path from the
+    importing folder, from the root, by its file name with the longest common beginning, and then as a package.
+    """
+    spec = s.where("kind = 'file'").select(c("id").alias("source"), "path", "language", F.posexplode("imports").alias("n", "i")).select("source", "path", "language", F.concat_ws("\t", "source", "n").alias("key"), c("i.path").alias("spec"), c("i.name").alias("name"))
+    spec = cut(spec)
+    script = c("language").isin("typescript", "javascript")
+    joined = normalize_path(F.concat(folder_of("path"), F.lit("/"), "spec"))
+    stem = F.regexp_replace(F.regexp_replace(F.when(script & c("spec").startswith("."), joined).otherwise(c("spec")), r"\.(tsx?|jsx?)$", ""), "/index$", "")
+    full = F.concat(stem, F.when(c("language") == "rust", "::").otherwise("."), "name")
+    one = spec.where("name not in ('*', '')").withColumn("qualified", full).join(by_name, "qualified").select("key", "source", "target", "target_path")
+    packaged = s.where("language = 'java' and kind in ('class', 'interface') and owner is null").select("id", "path", F.expr("left(qualified, greatest(length(qualified) - length(name) - 1, 0))").alias("spec"))
+    packaged = packaged.withColumn("r", F.row_number().over(Window.partitionBy("spec").orderBy("path", "id"))).where(c("r") <= WILDCARD)
+    every = spec.where("name = '*'").join(packaged.select("spec", c("id").alias("target"), c("path").alias("target_path")), "spec").select("key", "source", "target", "target_path")
+    static = spec.join(members.select(c("type").alias("spec"), "name", c("id").alias("target")), ["spec", "name"]).join(s.select(c("id").alias("target"), c("path").alias("target_path")), "target").select("key", "source", "target", "target_path")
+    exact = cut(one.unionByName(every).unionByName(static).distinct())
+    files = s.where("kind = 'file'").select(c("path").alias("target_path"), c("id").alias("file_id"))
+    out = exact.select("source", "target", F.lit("References").alias("edge_type")).unionByName(exact.join(files, "target_path").select("source", c("file_id").alias("target"), F.lit("Imports").alias("edge_type")))
+
+    # as a path; a name in a package may be a file, too
+    left = spec.join(exact.select("key").distinct(), "key", "left_anti").where("spec != ''")
+    slashed = F.when(c("language") == "rust", F.regexp_replace(F.regexp_replace("spec", "^crate", "src"), "::", "/")).when(c("language").isin("python", "java"), F.regexp_replace("spec", r"\.", "/")).otherwise(F.regexp_replace("spec", r"[?#].*$", ""))
+    bases = [normalize_path(F.concat(folder_of("path"), F.lit("/"), "slashed")), normalize_path("slashed")]
+    bases = [F.concat(b, F.lit("/"), "name") for b in bases] + bases
+    tries = F.array(*(F.struct(F.lit(k).alias("rank"), F.concat(b, F.lit(e)).alias("to")) for k, (b, e) in enumerate((b, e) for b in bases for e in FILE_ENDINGS)))
+    want = left.withColumn("slashed", slashed).select("key", F.explode(tries).alias("t")).select("key", "t.rank", "t.to")
+    have = files.select(c("target_path").alias("to"), c("file_id").alias("target"))
+    near = want.join(have, "to").groupBy("key").agg(F.min_by("target", "rank").alias("target"))
+    # by the file name
+    shared = lambda a, b: F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda k: F.left(a, k) == F.left(b, k)))
+    base_name = F.regexp_extract("spec", r"([^/]*)$", 1)
+    loose = left.where("language in ('markdown', 'typescript', 'javascript')").join(near, "key", "left_anti").select("key", "path", F.explode(F.array_distinct(F.array(base_name, F.regexp_replace(base_name, r"\.[^.]*$", "")))).alias("file")).where("file != ''")
+    last = F.regexp_extract("target_path", r"([^/]*)$", 1)
+    named = files.select("target_path", c("file_id").alias("target"), F.explode(F.array_distinct(F.array(last, F.regexp_replace(last, r"\.[^.]*$", "")))).alias("file"))
+    alike = loose.join(named, "file").groupBy("key").agg(F.max_by("target", F.struct(shared(c("path"), c("target_path")), F.lit(""))).alias("target"))
+    found = cut(near.unionByName(alike))
+    out = out.unionByName(left.join(found, "key").select("source", "target", F.lit("Imports").alias("edge_type")))
+    rest = left.join(found, "key", "left_anti")
+    if dependencies is not None:
+        deps = dependencies.select(c("name").alias("dep")).distinct()
+        root = F.regexp_extract(dependency_root("spec"), r"^(@[^/]+/[^/]+|[^/.:]+)", 1)
+        out = out.unionByName(rest.withColumn("dep", root).join(deps, "dep").select("source", F.concat(F.lit("dep:"), "dep").alias("target"), F.lit("DependsOn").alias("edge_type")))
+    asked = rest.where("name not in ('*', '')").select("key", "source", "path", "name")
+    out = out.unionByName(asked.join(bare_names(asked.select("key", "path", "name"), s), "key").select("source", "target", F.lit("References").alias("edge_type")))
+    return out.where("source != target").distinct()
+
+
+# -- facts ---------------------------------------------------------------------------------
+
+
+def symbol_nodes(s: DataFrame) -> DataFrame:
+    """The nodes of files and symbols, with the facts that the parsers found."""
+    own, code = c("kind") == "file", ~c("kind").isin("file", "heading")
+    long = lambda x, when=None: (F.when(when, c(x)) if when is not None else c(x)).cast("long")
+    return s.select(
+        "id", F.when(own, c("path")).otherwise(c("name")).alias("name"), "node_type", c("path").alias("file"), long("start_line", ~own).alias("start_line"), long("end_line", ~own).alias("end_line"), c("docstring").alias("description"),
+        F.when(own, c("end_line")).otherwise(c("end_line") - c("start_line") + 1).cast("long").alias("loc"), long("code_lines", ~(c("kind") == "heading")).alias("code_lines"), long("comment_lines", ~(c("kind") == "heading")).alias("comment_lines"), long("doc_lines", code).alias("doc_lines"),
+        long("params", c("kind") == "function").alias("params"), long("nesting", c("kind") == "function").alias("max_nesting"), F.when(F.trim(F.coalesce("docstring", F.lit(""))) != "", 1).otherwise(0).cast("long").alias("has_doc"),
+        F.when(code, ((c("comment_lines") > 0) | (c("doc_lines") > 0)).cast("long")).alias("has_comments"), is_test("path", "node_type", F.transform("annotations", lambda a: a["name"]), classify.classify_file("path")).cast("long").alias("is_test"), "language", classify.classify_file("path").alias("classification"), folder_of("path").alias("folder"),
+        c("qualified").alias("qualified_name"), "route", F.nullif(F.array_join(F.transform("annotations", lambda a: a["name"]), ","), F.lit("")).alias("annotations"),
+    )
+
+
+def boundary_tags(s: DataFrame) -> DataFrame:
+    """(id, place, kind, direction, protocol, detail) of the symbols' boundaries."""
+    code = s.where("kind in ('function', 'class', 'interface')")
+    calls_ = F.transform("calls", lambda k: F.struct(k["name"].alias("name"), F.when(k["owner_type"].isNotNull(), F.regexp_extract(k["owner_type"], r"([^.:/#|]*)$", 1)).otherwise(k["owner"]).alias("owner"), k["arg"].alias("arg")))
+    rows = code.select("id", F.regexp_replace("language", "^javascript$", "typescript").alias("language"), "kind", "name", c("owner_qualified").alias("owner"), "route", "annotations", F.transform(F.concat(F.coalesce("extends", F.array()), F.coalesce("implements", F.array())), lambda t: F.substring_index(t, "|", 1)).alias("supertypes"), calls_.alias("calls"))
+    owners = code.where("kind != 'function' and qualified is not null").select(c("qualified").alias("owner"), "annotations").dropDuplicates(["owner"])
+    order = F.create_map(*(F.lit(x) for k, r in enumerate(classify.BOUNDARY_RULES) for x in (r[1], k)))
+    return classify.boundaries(rows, owners).withColumn("place", F.try_element_at(order, c("source"))).drop("source")
+
+
+def with_facts(nodes: DataFrame, edges: DataFrame, s: DataFrame) -> DataFrame:
+    """The nodes with degrees, members and boundaries, in the columns of ``NODES``."""
+    degrees = facts.degree_facts(nodes, edges)
+    found = facts.boundary_facts(boundary_tags(s))
+    out = nodes.join(degrees, "id", "left").join(found.withColumn("boundary", F.lit(1)), "id", "left").fillna(0, ["in_degree", "out_degree", "boundary", "boundary_in", "boundary_out"])
+    return out.select(*((c(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NODES))
