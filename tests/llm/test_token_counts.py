@@ -58,3 +58,25 @@ def test_forgetting_changes_nothing(monkeypatch):
 
 def test_empty_table(spark):
     assert rows(tc.count_tokens(empty(spark))) == []
+
+
+def test_long_texts_are_counted_bit_by_bit(spark, library, monkeypatch):
+    c = tc.Counter(tc.vocabulary_path(), tc.prove(tc.vocabulary_path()))
+    monkeypatch.setattr(tc, "AT_ONCE", 7)
+    assert [c.count_long(t or "") for t in CASES] == [library(t) for t in CASES]
+    monkeypatch.setattr(tc, "AT_ONCE", 1 << 16)
+    long = prose(5, 350_000)  # some megabytes
+    texts = [long, "short", "y" * 2_000_000, long + "<|endoftext|> 日本 " + long[:1000]]
+    got = {r["doc_id"]: r["n_tokens"] for r in rows(tc.count_tokens(docs(spark, list(enumerate(texts)))))}
+    assert got == {k: library(t) for k, t in enumerate(texts)}
+
+
+def test_other_ways_to_cut_are_refused(tmp_path):
+    import json
+
+    with open(tc.vocabulary_path(), encoding="utf-8") as f:
+        said = json.load(f)
+    said["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "t.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError, match="byte-level"):
+        tc.Counter(str(tmp_path / "t.json"))
