@@ -95,6 +95,19 @@ def find_usages(edges: DataFrame, targets: DataFrame, hops: int = 1) -> DataFram
     return users.groupBy(c("source").alias("id"), "distance").agg(F.min(F.struct("edge_type", "target")).alias("via")).select("id", "distance", c("via.edge_type").alias("via_edge"), c("via.target").alias("via_target"))
 
 
+def call_sites(usages: DataFrame, code: DataFrame, names: DataFrame, per_user: int = 3, users: int = 20, width: int = 160) -> DataFrame:
+    """(id, via_target, line, text): lines of the users' code that name what they use, at most ``per_user`` each for the first ``users`` by distance and id.
+
+    usages: what ``find_usages`` gives; code: (id, code, start_line); names: (id, name).
+    """
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("distance", "id"))
+    first = usages.orderBy("distance", "id").limit(users).withColumn("place", place)
+    j = first.join(names.select(c("id").alias("via_target"), F.regexp_extract("name", r"([^.:#]*)$", 1).alias("word")), "via_target").join(code, "id")
+    lines = j.select("id", "via_target", "word", "start_line", F.posexplode(F.split("code", "\n")).alias("n", "raw")).where(F.contains("raw", "word") & (c("word") != ""))
+    rank = F.row_number().over(Window.partitionBy("id", "via_target").orderBy("n"))
+    return lines.withColumn("r", rank).where(c("r") <= per_user).select("id", "via_target", (F.coalesce("start_line", F.lit(1)) + c("n")).cast("long").alias("line"), F.substring(F.trim("raw"), 1, width).alias("text"))
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, strict: bool = False, limit: int | None = None) -> list[str] | None:
     """Node ids of a shortest directed path, the least predecessor at every step; the other way round if there is none, unless ``strict``. No ``limit``: of any length."""
     spark = edges.sparkSession

@@ -6,6 +6,9 @@ within each, so that a batch of queries is one job.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..session import cut
 from .graph import personalized_pagerank
+from .reach import bfs
 
 c = F.col
 K1, RRF_K, MAX_DIMS, NAME_WEIGHT, CODE_WEIGHT, MAX_QUERIES, MAX_TOKENS = 1.2, 60, 512, 1.0, 0.35, 4096, 200_000
@@ -82,6 +86,17 @@ def postings(docs: DataFrame, text: str = "text", weight: float = NAME_WEIGHT) -
     return raw.select("id", "token", (c("tf") * (K1 + 1) / (c("tf") + K1)).alias("w"))
 
 
+def document_vectors(docs: DataFrame, name: str = "name_text", code: str = "code", cap: int = MAX_DIMS) -> DataFrame:
+    """(id, token, w): what stands for each document in keyword search: its name text with weight 1, its code with 0.35, saturated, the ``cap`` tokens with the most weight times rarity.
+
+    docs: (id, name_text, code).
+    """
+    part = lambda column, weight: docs.select("id", F.explode(tokenize(F.coalesce(column, F.lit("")))).alias("token"), F.lit(weight).alias("x"))
+    tf = part(name, NAME_WEIGHT).unionByName(part(code, CODE_WEIGHT)).groupBy("id", "token").agg(F.sum("x").alias("tf"))
+    post = cut(tf.select("id", "token", (c("tf") * (K1 + 1) / (c("tf") + K1)).alias("w")))
+    return capped(post, document_frequency(post), docs.count(), cap)
+
+
 def capped(post: DataFrame, df: DataFrame, n: int, cap: int = MAX_DIMS) -> DataFrame:
     rare = post.join(idf(df, n), "token")
     w = Window.partitionBy("id").orderBy(F.desc(c("w") * c("idf")), "token")
@@ -119,6 +134,63 @@ def bm25(post: DataFrame, queries: DataFrame, n: int, k: int = 10, df: DataFrame
     return _ranked(scored, k)
 
 
+def hashed_words(width: int = 256):
+    """The default embedder, which needs no model: words hashed into ``width`` places with a sign, scaled to length one."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = np.zeros(width)
+            for w in re.findall(r"\w+", (t or "").lower()):
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+                v[h % width] += 1 if h >> 63 else -1
+            out.append((v / max(np.linalg.norm(v), 1e-12)).tolist())
+        return out
+
+    return embed
+
+
+def embed(texts: DataFrame, embedder=None, width: int = 256, batch: int = 32, text: str = "text") -> DataFrame:
+    """``texts`` with ``vector``: what ``embedder`` (a function from a list of texts to vectors in their order) gives, ``batch`` texts a call.
+
+    A call that fails, or gives another number of vectors or another width, leaves empty vectors, which a later run
+    finds by ``pending_vectors``; the job goes on.
+    """
+    made = embedder or hashed_words(width)
+
+    def run(batches):
+        for b in batches:
+            vectors: list[list[float]] = []
+            for at in range(0, len(b), batch):
+                part = [x or "" for x in b[text].iloc[at : at + batch]]
+                try:
+                    got = [[float(y) for y in v] for v in made(part)]
+                except Exception:  # the embedder's own errors, whatever they are
+                    got = []
+                good = len(got) == len(part) and all(len(v) == width for v in got)
+                vectors += got if good else [[] for _ in part]
+            yield b.assign(vector=vectors)
+
+    return texts.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", vector array<double>")
+
+
+def pending_vectors(nodes: DataFrame) -> DataFrame:
+    """The rows that still need a vector."""
+    return nodes.where(c("vector").isNull() | (F.size("vector") == 0))
+
+
+def storage_report(nodes: DataFrame, post: DataFrame) -> DataFrame:
+    """(id, tokens, weight, has_vector): how much of each node keyword and vector search hold."""
+    held = post.groupBy("id").agg(F.count("*").alias("tokens"), F.sum("w").alias("weight"))
+    return nodes.join(held, "id", "left").select("id", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce(F.size("vector") > 0, F.lit(False)).alias("has_vector"))
+
+
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, embedder=None, width: int = 256, types=None) -> DataFrame:
+    """(query_id, id, score, rank): ``vector_search`` for queries (query_id, text). vectors: (id, vector, node_type); ``types``: only nodes of these."""
+    asked = cut(embed(queries.select("query_id", "text"), embedder, width).where(F.size("vector") > 0))
+    return vector_search(vectors, asked.select("query_id", "vector"), k, None if types is None else c("node_type").isin(*types))
+
+
 def rrf(*channels: DataFrame, k: int = 10) -> DataFrame:
     """Reciprocal rank fusion of (query_id, id, rank) tables."""
     every = channels[0].select("query_id", "id", "rank")
@@ -206,6 +278,47 @@ def search_kb(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10,
     return char_budget(out, budget, k).select("id", "score", label.alias("label"), "chars", "rank")
 
 
+def search_kb_mmr(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, query: list[float], k: int = 10, budget: int = 60_000, hops: int = 1, trade: float = 0.5) -> DataFrame:
+    """(id, label, chars, rank): seeds (id, rank, dense 0/1) and what lies within ``hops`` of them, chosen for likeness to the query and unlikeness to each other, within the budget.
+
+    nodes: (id, name, description, vector). A node without a vector of the query's width isn't a candidate.
+    """
+    few = cut(seeds.orderBy("rank", "id").limit(max(16, k)))
+    near = bfs(edges, few.select("id"), hops, None, "both").select("id")
+    pool = nodes.join(near, "id", "left_semi").where(F.size("vector") == len(query))
+    picked = mmr(pool.select(F.lit(0).alias("query_id"), "id", "vector"), query, k, trade)  # a few hundred candidates
+    label = F.when(c("dense") == 1, "semantic").when(c("dense") == 0, "keyword").otherwise("graph")
+    out = picked.join(nodes.select("id", F.coalesce(F.length("description"), F.length("name")).alias("chars")), "id").join(few.select("id", "dense"), "id", "left").withColumnRenamed("pick", "rank")
+    return char_budget(out, budget, k).select("id", label.alias("label"), "chars", "rank")
+
+
+def rag_context(hits: DataFrame, budget: int = 12_000) -> DataFrame:
+    """(query_id, context, used): numbered blocks ``[#1] name (file:line)`` with their texts, in rank order until the next one doesn't fit; the first always.
+
+    hits: (query_id, rank, name, file, start_line, text).
+    """
+    where = F.when(c("file").isNotNull(), F.concat(F.lit(" ("), "file", F.coalesce(F.concat(F.lit(":"), c("start_line").cast("string")), F.lit("")), F.lit(")"))).otherwise(F.lit(""))
+    block = F.concat(F.lit("[#"), c("rank").cast("string"), F.lit("] "), "name", where, F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = hits.withColumn("block", block).withColumn("used", F.sum(F.length("block") + 2).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    over = F.min(F.when((c("used") > budget) & (c("rank") > 1), c("rank"))).over(Window.partitionBy("query_id"))
+    kept = rows.withColumn("over", over).where(c("over").isNull() | (c("rank") < c("over")))
+    packed = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
+    return packed.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"), F.size("b").alias("used"))
+
+
+def chat_messages(contexts: DataFrame, history: DataFrame, questions: DataFrame, system: str, budget: int = 2000) -> DataFrame:
+    """(query_id, messages): system, context, the latest turns within the budget, and the question, as (role, text) structs.
+
+    contexts: (query_id, context); history: (query_id, turn, role, text); questions: (query_id, text).
+    """
+    turns = rag_messages(history.withColumnRenamed("query_id", "conv_id"), budget).select(c("conv_id").alias("query_id"), "messages")
+    said = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("text"))
+    j = questions.join(contexts, "query_id", "left").join(turns, "query_id", "left")
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    known = F.when(c("context").isNotNull(), F.array(said("system", F.concat(F.lit("Context:\n"), "context")))).otherwise(none)
+    return j.select("query_id", F.concat(F.array(said("system", F.lit(system))), known, F.coalesce("messages", none), F.array(said("user", c("text")))).alias("messages"))
+
+
 def rag_messages(turns: DataFrame, budget: int = 2000) -> DataFrame:
     """(conv_id, messages, chars): the latest turns of each conversation within the budget, at least one, oldest first, as role-text structs."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"))

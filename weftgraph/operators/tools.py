@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import is_glob, matches, path_filter
 from ..functions.text import literal_rank
 from ..schema import IMPACT_EDGES
+from ..session import cut
 from .reach import bfs
 
 c = F.col
@@ -93,6 +94,33 @@ def get_code(nodes: DataFrame, code: DataFrame, refs: list[str], chars: int = CO
     return found.where(before < chars).select("id", F.substr("code", F.lit(1), left).alias("code"), (F.length("code") > left).alias("cut"))
 
 
+def code_window(files: DataFrame, path: str, start: int, end: int, hashes: DataFrame | None = None) -> DataFrame:
+    """(path, line, text, stale): lines start to end of a file, clamped. files: (path, text); hashes: (path, hash) as indexed, to say whether the file has changed since."""
+    f = files.where(c("path") == path)
+    if hashes is not None:
+        f = f.join(hashes.select("path", "hash"), "path", "left").withColumn("stale", F.coalesce(c("hash") != F.sha2(c("text").cast("binary"), 256), F.lit(False)))
+    else:
+        f = f.withColumn("stale", F.lit(False))
+    return f.select("path", "stale", F.posexplode(F.split("text", "\n")).alias("n", "text")).where((c("n") + 1).between(start, end)).select("path", (c("n") + 1).cast("long").alias("line"), "text", "stale")
+
+
+def check_tour(stops: DataFrame, candidates: DataFrame, most: int = 12) -> tuple[DataFrame, list[str]]:
+    """Stops (place, id) that are candidates (id, rank), each once, at most ``most``, renumbered, and warnings; without any good stop the candidates in rank order.
+
+    A planner may name nodes that aren't there, name one twice or plan too far.
+    """
+    known = candidates.select("id").distinct()
+    rows = cut(stops.join(known.withColumn("known", F.lit(True)), "id", "left"))
+    first = cut(rows.where("known").groupBy("id").agg(F.min("place").alias("place")))
+    unknown, good, given = rows.where("known is null").count(), first.count(), rows.count()
+    notes = [f"{unknown} stops name no candidate"] * (unknown > 0) + [f"{given - unknown - good} stops are repeated"] * (given - unknown > good) + [f"only the first {most} of {good} stops are kept"] * (good > most)
+    if not good:
+        notes.append("no stop is left; the candidates stand in their order")
+        first = candidates.groupBy("id").agg(F.min("rank").alias("place"))
+    w = Window.partitionBy(F.lit(0)).orderBy("place", "id")  # a tour is short
+    return first.orderBy("place", "id").limit(most).select(F.row_number().over(w).cast("long").alias("place"), "id"), notes
+
+
 def context(nodes: DataFrame, edges: DataFrame, target: str, budget: int = CONTEXT_CHARS) -> DataFrame:
     """(role, id, chars, place) around a target: it, its users, tests, dependencies and documents, by role and degree within the budget.
 
