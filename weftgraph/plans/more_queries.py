@@ -551,12 +551,6 @@ def raw_gql(spark, sf):
     return gql.run(_GQL, *graph(spark, sf))
 
 
-@query("select case when lower(file) like 'parts/%' then 'parts' else 'other' end as place, count(*) as n from nodes where file is not null group by 1")
-def classify_place(spark, sf):
-    place = F.when(globs.path_filter(c("file"), "parts/"), "parts").otherwise("other")
-    return graph(spark, sf)[0].where("file is not null").groupBy(place.alias("place")).agg(F.count("*").alias("n"))
-
-
 @query()
 def classify_file(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
