@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: White space of the word contracts: blank and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,8 +46,15 @@ def sent(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def bounded(spark: SparkSession) -> None:
+    """Let no Arrow batch hold more than ``BATCH_BYTES``, on either side, unless the session says otherwise: long texts would fill 64 MB a task."""
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "67108864"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that further columns and clashing names never matter; a null text is empty."""
+    bounded(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import bounded, texts
 
 KEY_CONF = "spark.weftgraph.pii.key"
 ROUNDS = 8
@@ -329,6 +329,7 @@ def session_key(spark: SparkSession) -> bytes:
 def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """The documents with pseudonyms in ``text``; ``n_chars``, if there, follows it. No ``key``: the session's."""
     key = key or session_key(docs.sparkSession)
+    bounded(docs.sparkSession)
     out = docs.mapInArrow(_pseudonymised(key), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import cut, delete, shared_dir
+from .common import bounded, cut, delete, shared_dir
 
 WINDOW, GRAM = 35, 12
 SPREAD = WINDOW - GRAM + 1  # grams in a window
@@ -258,6 +258,7 @@ def _digest(batches):
 
 def _rows(docs: DataFrame) -> DataFrame:
     """``keyed`` under another name, so that all joins with the texts get the same plan and share one exchange."""
+    bounded(docs.sparkSession)
     body = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("row_id"), body.alias("text"), F.xxhash64(body).alias("rk"))
 

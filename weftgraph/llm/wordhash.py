@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20  # bytes of text handled at once
+SLICE = 1 << 19  # bytes of text handled at once
 LONG_WORD = 256  # longer words get a cryptographic hash: polynomials mod 2**64 are weak on long strings
 
 SPACE = np.zeros(256, bool)
