@@ -14,13 +14,16 @@ SCHEMA = T.StructType(
         T.StructField("rk", T.StringType()),
         T.StructField("f", T.StringType()),
         T.StructField("score", T.StringType()),
+        T.StructField("_d", T.StringType()),
+        T.StructField("_key", T.StringType()),
+        T.StructField("stays_id", T.StringType()),
     ]
 )
 
 
 def docs(spark, rows):
     """rows: (doc_id, text) pairs; extra columns carry names that operators use inside."""
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "y", "z") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "y", "z", "d", "k", "s") for i, t in rows], SCHEMA)
 
 
 def empty(spark):

@@ -382,5 +382,5 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with their columns."""
     bad = cut(_found(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_k"))
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_k"])
     return docs.join(sent(bad), same, "left_anti")

@@ -303,13 +303,13 @@ def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ids = keyed(docs).groupBy("doc_id").agg(F.min("rk").alias("low"), F.max("rk").alias("high"))
     plain = ids.where("doc_id is null or low != high").isEmpty()  # each id names one text
     if plain:
-        rows = docs.withColumn("_key", F.col("doc_id").cast("long"))
+        rows = docs.withColumn("__weft_key", F.col("doc_id").cast("long"))
     else:
         pairs = keyed(docs).select("doc_id", "rk").distinct()
         order = F.asc_nulls_last("doc_id"), F.asc("rk")
-        keys = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()))
-        keys = keys.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "_key")
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_rk"))
-        rows = cut(docs.join(keys, same).select(*(docs[x] for x in docs.columns), "_key"))
-    stays = links(rows.select(F.col("_key").alias("doc_id"), "text"), similarity).where("doc_id = class_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return rows.join(stays, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+        keys = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__weft_key", F.monotonically_increasing_id()))
+        keys = keys.select(F.col("doc_id").alias("__weft_id"), F.col("rk").alias("__weft_rk"), "__weft_key")
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__weft_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__weft_rk"))
+        rows = cut(docs.join(keys, same).select(*(docs[x] for x in docs.columns), "__weft_key"))
+    stays = links(rows.select(F.col("__weft_key").alias("doc_id"), "text"), similarity).where("doc_id = class_id").select(F.col("doc_id").alias("__weft_stays")).distinct()
+    return rows.join(stays, F.col("__weft_key") == F.col("__weft_stays"), "left_semi").dropDuplicates(["__weft_key"]).select(*docs.columns)
