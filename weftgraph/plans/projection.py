@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 #: name -> SQL of a step; a step may name tables and earlier steps in braces
@@ -88,8 +90,10 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         for name, sql in STEPS.items():
             have[name] = spark.sql(sql, **{t: df for t, df in have.items() if "{" + t + "}" in sql})
             if name == "edges":
-                have[name] = have[name].persist()
-        _made[key] = have["nodes"].persist(), have["edges"]
+                # in the order of the source, so that a walk's scan skips most of what is kept; a hub's edges may lie in several parts
+                have[name] = cut(have[name].repartitionByRange("source", "target").sortWithinPartitions("source", "target"))
+        # only now: a statement over a DataFrame ends by dropping its view, which would drop what is kept, too
+        _made[key] = have["nodes"].persist(), have["edges"].persist()
     return _made[key]
 
 
