@@ -45,7 +45,7 @@ WORDS, CLASS_SIZE, HIDDEN = 4096, 64, 32
 TABLE = 1 << 18  # further words whose counts every task holds
 STREAMS, STEPS, UPDATES, RATE, CLIP = 64, 16, 500, 0.1, 5.0
 ROUNDS = (1 / 16, 3 / 8, 1)  # the share of the documents that has been read after each round
-LANES, TASK_TOKENS, BLOCK, ROWS = 512, 1 << 22, 4096, 2048  # lanes of a task; least tokens of a task; weights in a row; rows of a softmax at once
+LANES, TASK_TOKENS, BLOCK, ROWS = 512, 1 << 22, 4096, 1024  # lanes of a task; least tokens of a task; weights in a row; rows of a softmax at once
 SPAN, GROUP = 32, 1024
 CHUNK, BATCH = 8 << 20, 32 << 20  # bytes of text
 
@@ -338,6 +338,19 @@ def _groups(offs: np.ndarray, size: int):
         i = j
 
 
+def _gathered(batches, size: int):
+    """The batches, put together until they hold about ``size`` bytes: documents of like length are scored side by side."""
+    some, held = [], 0
+    for batch in batches:
+        some.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, held = [], 0
+    if held:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+
 def _counted(batches):
     for batch in batches:
         buf, offs = wh.buffers(batch.column("text"))
@@ -449,7 +462,7 @@ def _scored(shared):
     def run(batches):
         vocab, model = shared.value
         log_count = np.log10(vocab.by_token + 1)
-        for batch in batches:
+        for batch in _gathered(batches, BATCH):
             buf, offs = wh.buffers(batch.column("text"))
             for lo, hi in _groups(offs, BATCH):
                 h, first = _hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
