@@ -19,7 +19,7 @@ SYNTAX = {
 }
 SYNTAX["javascript"] = SYNTAX["typescript"]
 MIN_CHARS, MIN_WORDS, MAX_SYMBOLS, MAX_COMMENT = 12, 3, 0.28, 600
-#: fixed value: comments to tools, not to people
+#: comments to tools, not to people
 DIRECTIVE = r"(?i)^\s*(eslint|prettier|noqa|type:|pylint|pragma|@ts-|tslint|istanbul|clippy|rustfmt|mypy|nolint|todo\b|fixme\b|copyright|spdx)"
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: fixed values: the names of node types, edge types and facts
 NODE_TYPES = ("File", "Folder", "Function", "Class", "Interface", "Concept", "Dependency", "Config", "Constant", "Variable", "Route", "Unknown")
 EDGE_TYPES = ("DependsOn", "Calls", "Extends", "Implements", "References", "Contains", "Imports", "Exports", "Requires", "Uses", "Overrides", "Instantiates", "Unknown")
 
-#: edges over which a change spreads; Contains never
+#: fixed values: edges over which a change spreads (Contains never), couples and uses
 IMPACT_EDGES = ("Calls", "References", "Imports", "Extends", "Implements", "Overrides")
 COUPLING_EDGES = ("Calls", "References", "Imports", "Extends", "Implements")
 USAGE_EDGES = ("Calls", "References", "Imports", "Extends", "Implements", "Overrides", "Instantiates", "Uses")
