@@ -11,11 +11,12 @@ c = F.col
 LEVELS, IMPLEMENTATIONS = 8, 8
 
 
-def closure(edges: DataFrame, down: bool = False, levels: int = LEVELS, types=("Extends", "Implements")) -> DataFrame:
-    """(id, other, level): supertypes (or subtypes) of each type up to so many levels, each at its least level."""
+def closure(edges: DataFrame, down: bool = False, levels: int = LEVELS, types=("Extends", "Implements"), only: DataFrame | None = None) -> DataFrame:
+    """(id, other, level): supertypes (or subtypes) of each type up to so many levels, each at its least level; ``only``: of these ids."""
     a, b = ("target", "source") if down else ("source", "target")
     step = edges.where(c("edge_type").isin(*types)).select(c(a).alias("at"), c(b).alias("to")).distinct()
-    seen = cut(step.where("at != to").select(c("at").alias("id"), c("to").alias("other"), F.lit(1).alias("level")))
+    first = step if only is None else step.join(only.select(c("id").alias("at")).distinct(), "at", "left_semi")
+    seen = cut(first.where("at != to").select(c("at").alias("id"), c("to").alias("other"), F.lit(1).alias("level")))
     last = seen
     for level in range(2, levels + 1):
         new = last.join(step, last.other == step["at"]).select("id", c("to").alias("other")).distinct().where("id != other")
@@ -26,10 +27,10 @@ def closure(edges: DataFrame, down: bool = False, levels: int = LEVELS, types=("
     return seen
 
 
-def implementors(edges: DataFrame, cap: int = IMPLEMENTATIONS) -> DataFrame:
-    """(id, other, level): at most ``cap`` subtypes of each type, the nearest first."""
+def implementors(edges: DataFrame, cap: int = IMPLEMENTATIONS, only: DataFrame | None = None) -> DataFrame:
+    """(id, other, level): at most ``cap`` subtypes of each type (of those in ``only``), the nearest first."""
     w = Window.partitionBy("id").orderBy("level", "other")
-    return closure(edges, down=True).withColumn("r", F.row_number().over(w)).where(c("r") <= cap).drop("r")
+    return closure(edges, down=True, only=only).withColumn("r", F.row_number().over(w)).where(c("r") <= cap).drop("r")
 
 
 def method_resolve(calls: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def method_resolve(calls: DataFrame, members: DataFrame, edges: DataFrame) -> Da
     calls: (call, type, name, argc). members: (type, name, argc, method).
     """
     own = calls.select("call", c("type").alias("t"), "name", c("argc").alias("wanted"), F.lit(0).alias("level"))
-    up = closure(edges).select(c("id").alias("type"), c("other").alias("t"), "level")
+    up = closure(edges, only=calls.select(c("type").alias("id"))).select(c("id").alias("type"), c("other").alias("t"), "level")
     wide = calls.join(up, "type").select("call", "t", "name", c("argc").alias("wanted"), "level").unionByName(own)
     hit = wide.join(members.select(c("type").alias("t"), "name", "argc", "method"), ["t", "name"])
     order = F.struct("level", (c("argc") != c("wanted")).alias("other"), "method")

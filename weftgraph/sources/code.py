@@ -283,7 +283,7 @@ def calls(sites: DataFrame, s: DataFrame, by_name: DataFrame, types: DataFrame,
     asked = sites.where("owner_type is not null").select("key", c("owner_type").alias("type"), "name", "argc")
     typed = _typed(asked, members, hierarchy)
     made = sites.where("ctor and owner_type is not null").join(types.withColumnRenamed("qualified", "owner_type"), "owner_type").select("key", c("type_id").alias("target"))
-    below = resolve.implementors(hierarchy, DISPATCH).select(c("id").alias("owner_type"), c("other").alias("type"))
+    below = resolve.implementors(hierarchy, DISPATCH, sites.select(c("owner_type").alias("id")).where("id is not null")).select(c("id").alias("owner_type"), c("other").alias("type"))
     fan = sites.where("owner_type is not null and not ctor").join(below, "owner_type").select(F.concat_ws("\t", "key", "type").alias("key"), "type", "name", "argc")
     reached = _typed(fan, members, hierarchy).select(F.substring_index("key", "\t", 2).alias("key"), "target").distinct()
     sure = cut(resolve.cascade(*(x.select(c("key").alias("call"), "target") for x in (exact, typed, made))).select(c("call").alias("key"), "target", F.when(c("strategy") == 0, "qualified").otherwise("typed").alias("strategy")))
