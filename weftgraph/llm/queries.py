@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontam, gru_lm, jaccard, linerules, pieces, pii, quality_nb, secret_scan, substring, token_counts
+from . import centroids, decontam, divergence, gru_lm, jaccard, linerules, pieces, pii, quality_nb, secret_scan, substring, token_counts
 from .common import read_table
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_decontamination": lambda spark, sf_dir: decontam.matches(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")),
     "op10_quality_rules": lambda spark, sf_dir: linerules.digest(_documents(spark, sf_dir)),
     "op11_centroid_clustering": lambda spark, sf_dir: centroids.cluster(read_table(spark, sf_dir, "embeddings")),
+    "op12_source_divergence": lambda spark, sf_dir: divergence.audit(_documents(spark, sf_dir)),
 }
 
 _WORDS = r"words as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, row_number() over () as row_id from documents)"
@@ -29,6 +30,7 @@ _WORDS = r"words as materialized (select doc_id, regexp_extract_all(coalesce(tex
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute-force versions
 ORACLE_SQL: dict[str, str] = {
     "op11_centroid_clustering": centroids.sql(),
+    "op12_source_divergence": divergence.sql(),
     "op3_substring_dedup": f"""
         with {_WORDS},
         windows as materialized (select row_id, i, md5(array_to_string(ws[i : i + 34], ' ')) as w from (select row_id, ws, unnest(range(1, len(ws) - 33)) as i from words) t),
