@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontam, divergence, gru_lm, jaccard, linerules, pieces, pii, quality_nb, secret_scan, substring, token_counts
+from . import centroids, decontam, divergence, gru_lm, jaccard, langid, linerules, pieces, pii, quality_nb, secret_scan, substring, token_counts
 from .common import read_table
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_quality_rules": lambda spark, sf_dir: linerules.digest(_documents(spark, sf_dir)),
     "op11_centroid_clustering": lambda spark, sf_dir: centroids.cluster(read_table(spark, sf_dir, "embeddings")),
     "op12_source_divergence": lambda spark, sf_dir: divergence.audit(_documents(spark, sf_dir)),
+    "op13_language_id": lambda spark, sf_dir: langid.identify(_documents(spark, sf_dir)),
 }
 
 _WORDS = r"words as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws, row_number() over () as row_id from documents)"
