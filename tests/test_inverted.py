@@ -1,0 +1,136 @@
+"""The stored inverted index against a rebuild in plain Python after random batches."""
+
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from weftgraph.operators import retrieval as r
+from weftgraph.sources.inverted import InvertedIndex
+from weftgraph.sources.manifest import Conflict, Manifest
+
+WORDS = "alpha beta gamma delta userName XMLFile snake_case omega été 日本".split()
+
+
+def table(spark, docs):
+    return spark.createDataFrame(sorted(docs.items()), "id string, text string")
+
+
+def gone(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+def tokens(text):
+    import re
+
+    out = []
+    for run in re.findall(r"[^\W_]+", text or ""):
+        words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", run).lower().split()
+        out += [run.lower()] + (words if len(words) > 1 else [])
+    return Counter(t for t in out if 2 <= len(t.encode()) <= 32)
+
+
+def plain_bm25(docs, queries, k):
+    tf = {i: tokens(t) for i, t in docs.items()}
+    df = Counter(t for x in tf.values() for t in x)
+    out = set()
+    for q, text in queries:
+        score = {}
+        for t, n in tokens(text).items():
+            d = df.get(t, 1)
+            for i, x in tf.items():
+                if t in x:
+                    score[i] = score.get(i, 0) + n * math.log(1 + (len(docs) - d + 0.5) / (d + 0.5)) * x[t] * 2.2 / (x[t] + 1.2)
+        best = sorted(((-round(s, 9), i) for i, s in score.items()))[:k]
+        out |= {(q, i, round(-s, 6), n + 1) for n, (s, i) in enumerate(best)}
+    return out
+
+
+def check(spark, index, docs):
+    assert index.documents == len(docs)
+    assert {x.token: x.df for x in index.document_frequency().collect()} == Counter(t for d in docs.values() for t in tokens(d))
+    queries = [("q1", "alpha userName"), ("q2", "gamma été nothing"), ("q3", "")]
+    found = index.bm25(spark.createDataFrame(queries, "query_id string, text string"), 5).collect()
+    assert {(x.query_id, x.id, round(x.score, 6), x["rank"]) for x in found} == plain_bm25(docs, queries, 5)
+    assert {(x.id, x.token) for x in index.postings().collect()} == {(i, t) for i, d in docs.items() for t in tokens(d)}
+
+
+def test_random_batches_equal_a_rebuild(spark, tmp_path):
+    rnd, docs = random.Random(5), {}
+    index = InvertedIndex(spark, str(tmp_path / "x"), buckets=4, fan=3)
+    check(spark, index, docs)
+    for n in range(7):
+        new = {f"d{rnd.randrange(40)}": " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(12))) or None for _ in range(15)}
+        out = sorted({f"d{rnd.randrange(45)}" for _ in range(6)} - set(new))
+        assert index.apply(f"b{n}", table(spark, new), gone(spark, out))
+        docs = {i: t for i, t in (docs | new).items() if i not in out}
+    check(spark, index, docs)
+    levels = [s["level"] for s in index.manifest.state["segments"]]
+    assert max(levels) >= 1 and all(levels.count(x) < 3 for x in levels)
+    index.compact(all_levels=True)
+    assert len(index.manifest.state["segments"]) == 1 and index._rows("tokens").where("sign != 1").isEmpty()
+    again = InvertedIndex(spark, str(tmp_path / "x"))  # opened by a later job, which need not know the parameters
+    assert again.buckets == 4
+    check(spark, again, docs)
+
+
+def test_a_batch_given_twice_changes_nothing(spark, tmp_path):
+    index = InvertedIndex(spark, str(tmp_path / "x"), buckets=2)
+    a, b = {"1": "alpha beta", "2": "gamma"}, {"1": "delta"}
+    assert index.apply("a", table(spark, a)) and index.apply("b", table(spark, b))
+    before = index.manifest.version
+    assert not index.apply("a", table(spark, a)) and index.manifest.version == before
+    check(spark, index, a | b)
+
+
+def test_a_job_that_dies_before_the_commit(spark, tmp_path, monkeypatch):
+    index = InvertedIndex(spark, str(tmp_path / "x"), buckets=2)
+    index.apply("a", table(spark, {"1": "alpha"}))
+    monkeypatch.setattr(Manifest, "commit", lambda self, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        index.apply("b", table(spark, {"1": "beta", "2": "gamma"}))
+    monkeypatch.undo()
+    check(spark, InvertedIndex(spark, str(tmp_path / "x")), {"1": "alpha"})
+    index = InvertedIndex(spark, str(tmp_path / "x"))
+    assert index.apply("b", table(spark, {"1": "beta", "2": "gamma"}))
+    check(spark, index, {"1": "beta", "2": "gamma"})
+
+
+def test_two_writers_of_one_state(spark, tmp_path):
+    a, b = InvertedIndex(spark, str(tmp_path / "x")), InvertedIndex(spark, str(tmp_path / "x"))
+    a.apply("a", table(spark, {"1": "alpha"}))
+    with pytest.raises(Conflict):
+        b.apply("b", table(spark, {"2": "beta"}))
+
+
+def test_ids_that_mean_two_things_are_refused(spark, tmp_path):
+    index = InvertedIndex(spark, str(tmp_path / "x"))
+    twice = spark.createDataFrame([("1", "a b"), ("1", "c d")], "id string, text string")
+    for docs, out in ((twice, None), (table(spark, {"1": "alpha"}), gone(spark, ["1"])), (spark.createDataFrame([(None, "a")], "id string, text string"), None)):
+        with pytest.raises(ValueError):
+            index.apply("b", docs, out)
+
+
+def test_only_the_changed_postings_are_written_and_only_asked_buckets_read(spark, tmp_path):
+    index = InvertedIndex(spark, str(tmp_path / "x"), buckets=16)
+    docs = {f"d{i}": f"alpha beta word{i}" for i in range(50)}
+    index.apply("a", table(spark, docs))
+    index.apply("b", table(spark, {"d7": "alpha gamma word7"}))
+    change = index._rows("tokens", index.manifest.state["segments"][1:]).collect()
+    assert {(x.token, x.sign) for x in change} == {("beta", -1), ("gamma", 1)}
+    found = index.bm25(spark.createDataFrame([("q", "gamma")], "query_id string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [(x.id, x["rank"]) for x in found.collect()] == [("d7", 1)]
+
+
+def test_tokens_by_rows_equal_the_column(spark):
+    from pyspark.sql import functions as F
+
+    from weftgraph.functions import text
+
+    docs = spark.createDataFrame([("1", "getHTTPResponse code2Text snake_case ALLCAPS a b É éTé x" + "y" * 40), ("2", ""), ("3", None), ("4", "XMLFile, XMLFile; 日本Text")], "id string, text string")
+    rows = sorted((x.id, x.token) for x in text.exploded_tokens(docs, "text", "id").collect())
+    assert rows == sorted((x.id, x.token) for x in docs.select("id", F.explode(text.tokenize("text")).alias("token")).collect())
+    assert r.term_frequencies(docs).where("id = '4' and token = 'xmlfile'").first().tf == 2

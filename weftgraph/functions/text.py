@@ -37,15 +37,26 @@ def fnv1a_32(token) -> Column:
     return F.when(count > 0, fold).otherwise(F.lit(2166136261).cast("long"))
 
 
+#: where a run of letters and digits falls into identifier words
+WORD_BORDER = r"[\p{Ll}\p{N}]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
+
+
+def _parts(run) -> Column:
+    words = split_identifier(run)
+    return F.when(F.size(words) > 1, F.concat(F.array(F.lower(run)), words)).otherwise(F.array(F.lower(run)))
+
+
 def tokenize(text) -> Column:
     """Runs of letters and digits in small letters, each followed by its identifier words if it has several; 2 to 32 bytes."""
     runs = F.regexp_extract_all(_col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.filter(F.flatten(F.transform(runs, _parts)), lambda t: F.octet_length(t).between(MIN_TOKEN, MAX_TOKEN))
 
-    def parts(run):
-        words = split_identifier(run)
-        return F.when(F.size(words) > 1, F.concat(F.array(F.lower(run)), words)).otherwise(F.array(F.lower(run)))
 
-    return F.filter(F.flatten(F.transform(runs, parts)), lambda t: F.octet_length(t).between(MIN_TOKEN, MAX_TOKEN))
+def exploded_tokens(df, text, *keep: str):
+    """One row for each token of ``tokenize``, with the columns ``keep``, but compiled: the text is split once, and the identifier rule is for runs that have a border."""
+    runs = df.select(*keep, F.explode(F.split(_col(text), r"[^\p{L}\p{N}]+")).alias("run"))
+    several = F.when(F.col("run").rlike(WORD_BORDER), _parts(F.col("run"))).otherwise(F.array(F.lower("run")))
+    return runs.select(*keep, F.explode(several).alias("token")).where(F.octet_length("token").between(MIN_TOKEN, MAX_TOKEN))
 
 
 def folder_of(path) -> Column:

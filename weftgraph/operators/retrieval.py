@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import exploded_tokens
 from ..session import cut
 from .graph import personalized_pagerank
 from .reach import bfs
@@ -79,11 +79,14 @@ def _block_search(vectors: DataFrame, rows: list, k: int, kind: str) -> DataFram
     return vectors.select("id", "vector").mapInPandas(part, f"query_id {kind}, id {dict(vectors.dtypes)['id']}, score double")
 
 
+def term_frequencies(docs: DataFrame, text: str = "text", weight: float = NAME_WEIGHT) -> DataFrame:
+    """(id, token, tf): weighted occurrences."""
+    return exploded_tokens(docs, text, "id").groupBy("id", "token").agg((F.count("*") * weight).alias("tf"))
+
+
 def postings(docs: DataFrame, text: str = "text", weight: float = NAME_WEIGHT) -> DataFrame:
-    """(id, token, w): saturated term frequencies, at most ``MAX_DIMS`` a document kept by weight and rarity."""
-    tokens = docs.select("id", F.explode(tokenize(text)).alias("token"))
-    raw = tokens.groupBy("id", "token").agg((F.count("*") * weight).alias("tf"))
-    return raw.select("id", "token", (c("tf") * (K1 + 1) / (c("tf") + K1)).alias("w"))
+    """(id, token, w): saturated term frequencies."""
+    return term_frequencies(docs, text, weight).select("id", "token", (c("tf") * (K1 + 1) / (c("tf") + K1)).alias("w"))
 
 
 def document_vectors(docs: DataFrame, name: str = "name_text", code: str = "code", cap: int = MAX_DIMS) -> DataFrame:
@@ -91,7 +94,7 @@ def document_vectors(docs: DataFrame, name: str = "name_text", code: str = "code
 
     docs: (id, name_text, code).
     """
-    part = lambda column, weight: docs.select("id", F.explode(tokenize(F.coalesce(column, F.lit("")))).alias("token"), F.lit(weight).alias("x"))
+    part = lambda column, weight: exploded_tokens(docs.select("id", F.coalesce(column, F.lit("")).alias("t")), "t", "id").withColumn("x", F.lit(weight))
     tf = part(name, NAME_WEIGHT).unionByName(part(code, CODE_WEIGHT)).groupBy("id", "token").agg(F.sum("x").alias("tf"))
     post = cut(tf.select("id", "token", (c("tf") * (K1 + 1) / (c("tf") + K1)).alias("w")))
     return capped(post, document_frequency(post), docs.count(), cap)
@@ -115,7 +118,7 @@ def idf(df: DataFrame, n: int) -> DataFrame:
 
 def query_tokens(queries: DataFrame) -> DataFrame:
     """(query_id, token, qtf)."""
-    return queries.select("query_id", F.explode(tokenize("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    return exploded_tokens(queries, "text", "query_id").groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
 def bm25(post: DataFrame, queries: DataFrame, n: int, k: int = 10, df: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from ..operators import retrieval as r
 from ..operators import facts, resolve, tools
 from ..operators.reach import bfs
 from ..schema import EDGE_WEIGHTS, PROPERTIES, USAGE_EDGES
+from ..session import shared_dir
 from ..sources import tables
+from ..sources.inverted import InvertedIndex
 from ..streaming import incremental
 from . import gql
 from .projection import graph, oracle
@@ -303,6 +306,33 @@ def _lower_docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select(c("doc_id").alias("id"), F.lower("text").alias("text"))
 
 
+_indexes: dict[tuple[str, str, str], InvertedIndex] = {}
+
+
+def _kept_index(spark, sf, kind, batches) -> InvertedIndex:
+    """The index of this session, built the first time; ``batches`` are the arguments of ``apply``."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _indexes:
+        index = InvertedIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "long")
+        for batch in batches:
+            index.apply(*batch)
+        _indexes[key] = index
+    return _indexes[key]
+
+
+def stored_index(spark, sf) -> InvertedIndex:
+    return _kept_index(spark, sf, "documents", [("documents", _lower_docs(spark, sf))])
+
+
+def _changed_index(spark, sf) -> InvertedIndex:
+    docs = _lower_docs(spark, sf)
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.lower(F.concat_ws(" ", F.sort_array(F.collect_list("text")))).alias("text"))
+    strangers = turns.select((-1 - c("conv_id")).alias("id"), "text")
+    first = docs.select("id", F.when(c("id") % 2 == 0, F.concat("text", F.lit(" earlier words"))).otherwise(F.lit("another text")).alias("text"))
+    batches = [("first", first), ("strangers", strangers), ("texts", docs), ("strangers go", docs.limit(0), strangers.select("id")), ("first", first), ("texts again", docs)]
+    return _kept_index(spark, sf, "changed", batches)
+
+
 def _query_texts(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet").select(c("item_id").alias("query_id"), F.lower("text").alias("text"))
 
@@ -322,9 +352,9 @@ def tokenize(spark, sf):
 
 @query(f"with {_TOKENS}, {_POST} select token, df, round(idf, 9) as idf from idf", over_graph=False)
 def doc_frequency(spark, sf):
-    docs = _lower_docs(spark, sf)
-    df = r.document_frequency(r.postings(docs))
-    return df.join(r.idf(df, docs.count()), "token").select("token", "df", F.round("idf", 9).alias("idf"))
+    index = stored_index(spark, sf)
+    df = index.document_frequency()
+    return df.join(r.idf(df, index.documents), "token").select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"with {_TOKENS}, {_POST} select id, token, round(w, 9) as w from post", over_graph=False)
@@ -334,10 +364,32 @@ def sparse_doc_vector(spark, sf):
 
 @query(f"with {_BM25} select query_id, id, score, rank from sparse where rank <= 10", over_graph=False)
 def bm25_score(spark, sf):
+    return stored_index(spark, sf).bm25(_query_texts(spark, sf), 10)
+
+
+@query(f"with {_BM25} select query_id, id, score, rank from sparse where rank <= 10", over_graph=False)
+def bm25_scan(spark, sf):
+    """The same without a stored index."""
     docs = _lower_docs(spark, sf)
     return r.bm25(r.postings(docs), _query_texts(spark, sf), docs.count(), 10)
 
 
+@query(f"with {_BM25} select query_id, id, score, rank from sparse where rank <= 10", over_graph=False)
+def bm25_after_changes(spark, sf):
+    """The index that has taken other texts first, then changes, additions and removals, one batch of them twice, gives what a fresh one gives."""
+    return _changed_index(spark, sf).bm25(_query_texts(spark, sf), 10)
+
+
+@query(f"with {_TOKENS}, {_POST} select token, df from df", over_graph=False)
+def df_after_changes(spark, sf):
+    return _changed_index(spark, sf).document_frequency()
+
+
+@query(f"with {_TOKENS}, {_POST} select id, token, round(w, 9) as w from post", over_graph=False)
+def postings_after_changes(spark, sf):
+    return _changed_index(spark, sf).postings().select("id", "token", F.round("w", 9).alias("w"))
+
+
 @query(f"with {_VEC} select query_id, id, score, rank from dense where rank <= 10", over_graph=False)
 def vector_search(spark, sf):
     return r.vector_search(_vectors(spark, sf), _query_vectors(spark, sf), 10)
@@ -347,8 +399,8 @@ _FUSED = f"with {_BM25}, {_VEC}, fused as (select query_id, id, sum(1.0 / (60 +
 
 
 def _hybrid(spark, sf, k=10):
-    docs = _lower_docs(spark, sf)
-    return r.hybrid(_vectors(spark, sf), r.postings(docs), _query_vectors(spark, sf), _query_texts(spark, sf), docs.count(), k)
+    pool = max(4 * k, 20)
+    return r.rrf(r.vector_search(_vectors(spark, sf), _query_vectors(spark, sf), pool), stored_index(spark, sf).bm25(_query_texts(spark, sf), pool), k=k)
 
 
 @query(_FUSED + " select query_id, id, round(score, 9) as score, rank from ranked where rank <= 10", over_graph=False)
