@@ -74,7 +74,7 @@ def test_incremental_batches_against_history(spark, tmp_path):
         batch = pairs[k : k + 5]
         index = substring.FingerprintIndex(spark, str(tmp_path / "index"), fan=2)
         before = set(index.segments)
-        found = got(substring.dedup(docs(spark, batch), index=index))
+        found = got(substring.dedup(docs(spark, batch), index=index, batch=str(k)))
         history += batch
         want = [x for x in brute_of(history, len(history) - len(batch))]
         assert found == want
@@ -85,14 +85,14 @@ def test_incremental_batches_against_history(spark, tmp_path):
         spark.sql(f"drop table {name}")  # as in another session
     again = substring.FingerprintIndex(spark, str(tmp_path / "index"))
     assert again.runs == index.runs and sum(r.n for r in again._run(*again.runs[0][::2]).collect()) > 0
-    assert got(substring.dedup(docs(spark, [(900, pairs[0][1]), (901, "new " + prose(999, 60))]), index=again)) == brute_of(history + [(900, pairs[0][1]), (901, "new " + prose(999, 60))], len(history))
+    assert got(substring.dedup(docs(spark, [(900, pairs[0][1]), (901, "new " + prose(999, 60))]), index=again, batch="last")) == brute_of(history + [(900, pairs[0][1]), (901, "new " + prose(999, 60))], len(history))
     again.drop()
 
 
 def test_a_job_that_dies_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
     passage = prose(1, 80)
     index = substring.FingerprintIndex(spark, str(tmp_path / "i"))
-    substring.dedup(docs(spark, [(1, passage)]), index=index).collect()
+    substring.dedup(docs(spark, [(1, passage)]), index=index, batch="1").collect()
 
     def dies(*_):
         raise RuntimeError("lost")
@@ -100,13 +100,54 @@ def test_a_job_that_dies_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch
     monkeypatch.setattr(substring, "verified", dies)
     bad = substring.FingerprintIndex(spark, str(tmp_path / "i"))
     try:
-        substring.dedup(docs(spark, [(2, passage + " x")]), index=bad)
+        substring.dedup(docs(spark, [(2, passage + " x")]), index=bad, batch="2")
     except RuntimeError:
         pass
     monkeypatch.undo()
     again = substring.FingerprintIndex(spark, str(tmp_path / "i"))
     assert (again.runs, again.segments) == (index.runs, index.segments)
-    assert [r[2] for r in got(substring.dedup(docs(spark, [(3, passage)]), index=again))] == [80]
+    assert [r[2] for r in got(substring.dedup(docs(spark, [(3, passage)]), index=again, batch="3"))] == [80]
+
+
+def test_a_batch_given_twice_gets_the_same_rows_twice(spark, tmp_path):
+    """A job that is run again after its commit is judged against what came before it, not against itself."""
+    pairs = corpus()
+    parts = [pairs[k : k + 8] for k in range(0, len(pairs), 8)]
+    path, first = str(tmp_path / "i"), []
+    for k, part in enumerate(parts):
+        first.append(got(substring.dedup(docs(spark, part), index=substring.FingerprintIndex(spark, path, fan=2), batch=f"b{k}")))
+        assert first[k] == brute_of([x for p in parts[: k + 1] for x in p], sum(map(len, parts[:k])))
+    files = len(substring.FingerprintIndex(spark, path).segments)
+    for k in (len(parts) - 1, 0, 1):  # the last batch, and earlier ones
+        assert got(substring.dedup(docs(spark, parts[k]), index=substring.FingerprintIndex(spark, path, fan=2), batch=f"b{k}")) == first[k]
+    index = substring.FingerprintIndex(spark, path)
+    assert len(index.segments) == files and index.batches == [f"b{k}" for k in range(len(parts))]
+    one = docs(spark, [(1, prose(7001, 80))])
+    for _ in range(2):
+        assert [r[2] for r in got(substring.dedup(one, index=substring.FingerprintIndex(spark, path), batch="one"))] == [0]
+    # other content under a known name takes its place
+    assert [r[2] for r in got(substring.dedup(docs(spark, [(1, prose(7002, 80))]), index=substring.FingerprintIndex(spark, path), batch="one"))] == [0]
+    assert [r[2] for r in got(substring.dedup(docs(spark, [(2, prose(7001, 80)), (3, prose(7002, 80))]), index=substring.FingerprintIndex(spark, path), batch="two"))] == [0, 80]
+    try:
+        substring.dedup(one, index=index)
+    except ValueError:
+        return
+    raise AssertionError("a batch without a name")
+
+
+def test_only_asked_entries_of_the_history_are_moved(spark, tmp_path):
+    """A small batch moves the historical entries under its fingerprints and reads the text parts they are in, not the history."""
+    path = str(tmp_path / "i")
+    history = [(i, prose(i, 300)) for i in range(60)]
+    substring.dedup(docs(spark, history), index=substring.FingerprintIndex(spark, path), batch="a").count()
+    index = substring.FingerprintIndex(spark, path)
+    moved = substring._marked(index.entries(index.segments), index.entries(index.segments).where("row_id = 7"), ("f",)).where("near")
+    assert 0 < moved.count() < 0.1 * index.entries(index.segments).count()
+    again = index.entries(index.segments).where("row_id = 7")
+    texts = index.texts(again, index.segments)
+    assert [r.row_id for r in texts.collect()] == [7]
+    assert "PartitionFilters: [part" in texts._jdf.queryExecution().executedPlan().toString()
+    assert [r[2] for r in got(substring.dedup(docs(spark, [(99, history[7][1])]), index=index, batch="b"))] == [300]
 
 
 def test_a_very_long_text(spark):

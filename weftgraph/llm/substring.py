@@ -12,8 +12,16 @@ batch is counted by fingerprint and merge-joined with the runs, which are
 neither shuffled nor moved for that; the entries of the batch and of the
 history under a fingerprint that the batch repeats are verified, and then the
 batch's counts become a run of their own. ``FAN`` runs of a level are compacted
-into one of the next. A manifest, renamed into place, names what counts, so that
-a job that dies leaves the index as it was.
+into one of the next. Of the historical entries only those are shuffled that pass a
+filter of fixed size of the repeated fingerprints, and of the historical texts,
+which lie in ``PARTS`` parts by document, only the parts that are asked for are read.
+
+Batches have names. A manifest, renamed into place, says which batches and files
+count, so that a job that dies leaves the index as it was. A batch whose name is
+known is judged against what came before it and takes the place of what it was:
+a job that is repeated after its commit, because its result was lost, gets the same
+result again. (Counts of the batch's former content stay in the runs until the index
+is rebuilt; they only add candidates, which are verified.)
 
 Verification: entries under a repeated fingerprint are compared by an
 independent 64-bit hash of their whole word range (a repeat clears the entry at
@@ -25,7 +33,7 @@ dealt over several tasks.
 
 ``dedup`` without an index takes the table in ``BATCHES`` batches through a
 temporary one and judges all rows against all; with an index the rows are one
-new batch, judged against the history and themselves, and the history stays as
+named batch, judged against the history and themselves, and the history stays as
 it is.
 
 Defined results: null text has no words; a row given twice is two documents,
@@ -54,6 +62,7 @@ BATCHES, FAN = 2, 4
 #: ranges of a fingerprint that one task compares; rows of a key from which on it is sent to every task; at most so many keys
 HOT, HOT_ROWS, MOST_HOT = 1000, 10_000, 100_000
 FILTER = 1 << 26  # bits
+PARTS = 256
 
 _ENTRY = "f long, r long, n int, row_id long, rk long, lo int, hi int"
 
@@ -112,26 +121,27 @@ class FingerprintIndex:
     def __init__(self, spark, path: str | None = None, fan: int = FAN, keep_texts: bool = True):
         self.spark, self.fan, self.keep_texts = spark, fan, keep_texts
         self.path = (path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}").rstrip("/")
-        self.version, self.runs, self.segments = self._open()
+        self.version, self.runs, self.segments, self.batches = self._open()
+        self.replaced: list[str] = []
 
-    # runs: (name, level, buckets); segments: names, the texts of one beside it
+    # runs: (name, level, buckets); segments: names, the texts of one beside it; batches: the names that the segments were given as
 
     def _at(self, name: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def _open(self) -> tuple[int, list[tuple[str, int, int]], list[str]]:
+    def _open(self) -> tuple[int, list[tuple[str, int, int]], list[str], list[str]]:
         fs, at = self._at("manifest-*.json")
         found = sorted(int(f.getPath().getName()[9:-5]) for f in fs.globStatus(at) or [])
         if not found:
-            return 0, [], []
+            return 0, [], [], []
         said = json.loads(self.spark.read.text(f"{self.path}/manifest-{found[-1]}.json", wholetext=True).first()[0])
-        return found[-1], [tuple(x) for x in said["runs"]], said["segments"]
+        return found[-1], [tuple(x) for x in said["runs"]], said["segments"], said["batches"]
 
     def _commit(self) -> None:
         fs, beside = self._at(f"manifest-{uuid.uuid4().hex}.new")
         out = fs.create(beside, True)
-        out.write(bytearray(json.dumps({"runs": self.runs, "segments": self.segments}).encode()))
+        out.write(bytearray(json.dumps({"runs": self.runs, "segments": self.segments, "batches": self.batches}).encode()))
         out.close()
         self.version += 1
         fs.rename(beside, self._at(f"manifest-{self.version}.json")[1])
@@ -174,40 +184,59 @@ class FingerprintIndex:
                 self._forget(mine)
             level += 1
 
-    def entries(self) -> DataFrame:
-        if not self.segments:
+    def entries(self, segments: list[str]) -> DataFrame:
+        if not segments:
             return self.spark.createDataFrame([], _ENTRY)
-        return self.spark.read.schema(_ENTRY).parquet(*(f"{self.path}/{x}" for x in self.segments))
-
-    def texts(self) -> DataFrame:
-        return self.spark.read.schema("row_id long, text string, rk long").parquet(*(f"{self.path}/texts_{x}" for x in self.segments))
-
-    def add(self, rows: DataFrame) -> DataFrame:
+        return self.spark.read.schema(_ENTRY).parquet(*(f"{self.path}/{x}" for x in segments))
+
+    def texts(self, again: DataFrame, segments: list[str]) -> DataFrame:
+        """The rows that ``again`` may name, of the parts in which it names any."""
+        parts = [r.part for r in again.select(_part().alias("part")).distinct().collect()]
+        every = None
+        for x in segments:
+            one = self.spark.read.schema("row_id long, text string, rk long, part int").parquet(f"{self.path}/texts_{x}").where(F.col("part").isin(parts)).drop("part")
+            every = one if every is None else every.unionByName(one)
+        return _marked(every, again).where("near").drop("near")
+
+    def add(self, rows: DataFrame, batch: str) -> DataFrame:
         """Add a batch of ``_rows``; (row_id, rk, lo, hi): the spans of the batch and of the history that the batch repeats."""
-        again = self.repeated(rows)
-        found = cut(verified(again, _marked(self.texts(), again).where("near").drop("near")))
+        again, segments = self.repeated(rows, batch)
+        found = cut(verified(again, self.texts(again, segments)))
         self.commit()
         return found
 
-    def repeated(self, rows: DataFrame) -> DataFrame:
-        """The entries of a batch of ``_rows`` and of the history under a fingerprint that the batch repeats, not yet verified; ``commit`` then adds the batch."""
-        name = uuid.uuid4().hex
+    def repeated(self, rows: DataFrame, batch: str) -> tuple[DataFrame, list[str]]:
+        """The entries of a batch of ``_rows`` and of the history under a fingerprint that the batch repeats, not yet verified, and the segments they are of; ``commit`` then adds the batch."""
+        name, place = uuid.uuid4().hex, self.batches.index(batch) if batch in self.batches else len(self.batches)
+        history = self.segments[:place]
         if self.keep_texts:
-            rows.write.parquet(f"{self.path}/texts_{name}")
-            rows = self.spark.read.schema("row_id long, text string, rk long").parquet(f"{self.path}/texts_{name}")
+            rows.withColumn("part", _part()).repartitionByRange("part", "row_id", "rk").write.partitionBy("part").parquet(f"{self.path}/texts_{name}")
+            rows = self.spark.read.schema("row_id long, text string, rk long, part int").parquet(f"{self.path}/texts_{name}").drop("part")
         rows.mapInArrow(_scan, _ENTRY).write.parquet(f"{self.path}/{name}")
-        fresh = self._write_run(self.spark.read.schema(_ENTRY).parquet(f"{self.path}/{name}"), 0)
+        fresh = self._write_run(self.entries([name]), 0)
         known = self._run(fresh[0], fresh[2]).select("f", F.col("n").alias("m"))
-        for run, _, buckets in self.runs:
-            old = self._run(run, buckets).select("f", F.col("n").alias("o"))
-            known = known.hint("merge").join(old.hint("merge"), "f", "left").select("f", (F.col("m") + F.coalesce("o", F.lit(0))).alias("m"))
-        self.segments.append(name)
+        if place < len(self.batches):  # the runs count what came later, too
+            old = self.entries(history).groupBy("f").agg(F.sum("n").cast("long").alias("o"))
+            known = known.join(old, "f", "left").select("f", (F.col("m") + F.coalesce("o", F.lit(0))).alias("m"))
+            self.replaced.append(self.segments[place])
+            self.segments[place] = name
+        else:
+            for run, _, buckets in self.runs:
+                old = self._run(run, buckets).select("f", F.col("n").alias("o"))
+                known = known.hint("merge").join(old.hint("merge"), "f", "left").select("f", (F.col("m") + F.coalesce("o", F.lit(0))).alias("m"))
+            self.segments.append(name)
+            self.batches.append(batch)
         self.runs.append(fresh)
-        again = cut(_joined(self.entries(), cut(known.where("m > 1")), ["f"], "m").drop("m"))
-        return again
+        asked = cut(known.where("m > 1"))
+        before = _marked(self.entries(history), asked, ("f",)).where("near").drop("near")
+        return cut(_joined(before.unionByName(self.entries([name])), asked, ["f"], "m").drop("m")), [*history, name]
 
     def commit(self) -> None:
         self._commit()
+        for old in self.replaced:
+            delete(self.spark, f"{self.path}/{old}")
+            delete(self.spark, f"{self.path}/texts_{old}")
+        self.replaced = []
         self.compact()
 
     def drop(self) -> None:
@@ -298,9 +327,13 @@ def _with_text(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return rows.join(right, F.col("row_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("k")), how).drop("d", "k")
 
 
-def _marked(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """``rows`` with ``near``: false only if no entry of ``again`` is the row's. A filter of ``FILTER`` bits, of 4 KB parts, is sent to every task."""
-    slot = F.pmod(F.xxhash64("row_id", "rk"), F.lit(FILTER))
+def _part():
+    return F.pmod(F.xxhash64("row_id", "rk"), F.lit(PARTS)).cast("int")
+
+
+def _marked(rows: DataFrame, again: DataFrame, key: tuple[str, ...] = ("row_id", "rk")) -> DataFrame:
+    """``rows`` with ``near``: false only if no row of ``again`` has the key. A filter of ``FILTER`` bits, of 4 KB parts, is sent to every task."""
+    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER))
     bits = again.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
     asked = rows.withColumn("slot", slot + 1).withColumn("part", F.expr("bitmap_bucket_number(slot)")).withColumn("slot", F.expr("bitmap_bit_position(slot)"))
     byte = F.conv(F.hex(F.substring("bits", (F.col("slot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -313,7 +346,7 @@ def dedup_spans(rows: DataFrame, batches: int) -> tuple[DataFrame, DataFrame]:
     index = FingerprintIndex(rows.sparkSession, keep_texts=False)
     found = []
     for b in range(batches):
-        found.append(index.repeated(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(batches)) == b)))
+        found.append(index.repeated(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(batches)) == b), str(b))[0])
         index.commit()
     index.drop()
     every = found[0]
@@ -333,13 +366,15 @@ def removed_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return dedup_spans(_rows(docs), batches)[0]
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256. With ``index`` the rows are its next batch."""
+def dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None, batch: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256. With ``index`` the rows are its batch of the name ``batch``, which has to be given."""
+    if index is not None and batch is None:
+        raise ValueError("a batch of an index needs a name, by which a repeated job is known")
     rows, schema = _rows(docs), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if index is None:
         found, marked = dedup_spans(rows, batches)
     else:
-        found = index.add(rows)
+        found = index.add(rows, batch)
         marked = _marked(rows, found)
     spans = found.groupBy("row_id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("cut"))
     # the texts of rows without any entry stay where they are
