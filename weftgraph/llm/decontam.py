@@ -11,9 +11,10 @@ Windows of ``WINDOW`` template words are hash-joined with those of the
 benchmark items. A document is contaminated by an item if it holds at least
 ``SIMILARITY`` of the item's distinct windows and its slots are consistent: all
 slots that were matched hold the item's own values (verbatim), or of those
-whose value recurs, in the item or in the document, at least ``CONSISTENT``
-follow one renaming in both directions: the value that the document mostly has
-for the item's value, and the other way round (reparameterised).
+whose value recurs in the item at least ``CONSISTENT`` follow one renaming: they
+hold the value that the document mostly has for the item's value
+(reparameterised). That two values of the item became one is no objection, as
+new parameters may agree by chance.
 
 The join: a filter of fixed size, made of the items' windows, leaves the few
 windows of the documents that an item may have. A document with enough windows
@@ -44,6 +45,7 @@ from . import wordhash as wh
 from .common import cut, keyed, sent
 
 WINDOW, LEAST, SIMILARITY, CONSISTENT = 5, 3, 0.8, 0.8
+ITEMS = 64  # items that a row of the verification holds
 FILTER = 1 << 26  # bits
 
 #: fixed values: words that stand for numbers and units
@@ -170,19 +172,16 @@ class Index:
 
 
 def consistent(pairs: Counter) -> tuple[int, int]:
-    """How many slots follow one renaming, and how many there are, among those whose value recurs on either side.
+    """How many slots follow one renaming, and how many there are, among those whose value recurs in the item.
 
     pairs: ((kind, value of the item), (kind, value of the document)) -> slots.
     """
-    ours, theirs = Counter(), Counter()
-    there: dict = {}
-    back: dict = {}
-    for (a, b), n in sorted(pairs.items(), key=lambda x: (x[1], x[0])):  # the last, most frequent one stays
-        there[a], back[b] = b, a
+    ours: Counter = Counter()
+    most: Counter = Counter()
+    for (a, _), n in pairs.items():
         ours[a] += n
-        theirs[b] += n
-    tested = [(a, b, n) for (a, b), n in pairs.items() if ours[a] > 1 or theirs[b] > 1]
-    return sum(n for a, b, n in tested if there[a] == b and back[b] == a), sum(n for *_, n in tested)
+        most[a] = max(most[a], n)
+    return sum(most[a] for a in ours if ours[a] > 1), sum(n for n in ours.values() if n > 1)
 
 
 def slots(index: Index, item: int, doc: Template, keys: np.ndarray, at: np.ndarray) -> tuple[str | None, int]:
@@ -370,7 +369,11 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if pairs is None:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
     near = rows.join(sent(cut(pairs.select("d", "k").distinct())), _same_row("d", "k"), "left_semi")
-    asked = pairs.join(items, "ik").groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("items"))  # items that the document holds most of
+    # items that share a rare window with the document; many are dealt over several rows, each with the text
+    parts = pairs.groupBy("d", "k").agg(F.ceil(F.count("ik") / ITEMS).alias("parts"))
+    same = pairs["d"].eqNullSafe(F.col("d2")) & (pairs["k"] == F.col("k2"))
+    pairs = pairs.join(parts.select(F.col("d").alias("d2"), F.col("k").alias("k2"), "parts"), same).withColumn("part", F.pmod("ik", "parts"))
+    asked = pairs.join(items, "ik").groupBy("d", "k", "part").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("items"))
     return near.join(asked, _same_row("d", "k")).select("doc_id", "rk", "text", "items").mapInArrow(_verified, _SCHEMA)
 
 
