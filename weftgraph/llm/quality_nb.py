@@ -13,7 +13,8 @@ hash of their id outside the held-out fold; scoring covers every document.
 Only the text is an input of a score. Defined results: null and empty texts get
 the score of the bias; without two classes to learn from every score is the
 smoothed share of label 1; several labels of one id count as their maximum;
-null ids and repeated rows are scored like any row; an empty table gives an
+of several texts of one id the least is learnt from; null ids and repeated
+rows are scored like any row; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -156,12 +157,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null")
     ids = ids.where(remainder(MODULUS) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = least_hashes(ids, sample)
-    return texts(docs).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     rows = training_rows(docs, labels, sample).mapInArrow(_featurised, "y int, x binary").toArrow()
-    order = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist()))[: 2 * sample]
+    order = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist()))
     return fit([np.frombuffer(v, np.int32).astype(np.int64) for v, _ in order], np.array([k for _, k in order], np.int64))
 
 
