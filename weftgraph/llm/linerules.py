@@ -37,7 +37,7 @@ from .common import bounded, cut, texts
 
 MIN_WORDS, MAX_REPEAT = 50, 0.5
 SHORT_LINE, BOILERPLATE_LINE = 5, 40
-SHARE, LEAST, ALIKE, MOST_LINES = 0.001, 20, 0.5, 1 << 20  # of boilerplate lines
+SHARE, LEAST, ALIKE = 0.001, 20, 0.5  # of boilerplate lines
 MAX_LOSS = 0.5
 SYMBOL_SHARE, SHOUT_SHARE = 0.3, 0.5
 SYMBOLS, SEPARATORS, CLOSING = b"#*$%&|<>", b"|>/", b".!?:;,\"')]}-"
@@ -182,16 +182,17 @@ def _surroundings(shared):
 
 
 def learn(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the lines that the corpus shows to be boilerplate, at most ``MOST_LINES``: beyond that the more frequent ones are asked for."""
+    """Sorted hashes of the lines that the corpus shows to be boilerplate.
+
+    A line that is asked for stands in ``SHARE`` of all documents, so that there are at most 1 / ``SHARE`` times as many as a document has lines on average.
+    """
     rows = texts(docs)
     least = max(LEAST, int(np.ceil(SHARE * rows.count())))
     counted = cut(rows.mapInArrow(_line_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
-    while counted.where(F.col("c") >= least).count() > MOST_LINES:
-        least *= 2
-    asked = np.sort(counted.where(F.col("c") >= least).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    asked = np.sort(counted.select("h").toArrow().column("h").to_numpy().view(np.uint64))
     if not len(asked):
         return asked
-    shared = docs.sparkSession.sparkContext.broadcast(asked)  # 8 bytes a line
+    shared = docs.sparkSession.sparkContext.broadcast(asked)  # 8 KB times the average lines of a document
     around = cut(rows.mapInArrow(_surroundings(shared), "h long, before long, after long, c long").groupBy("h", "before", "after").agg(F.sum("c").alias("c")))
     most = [around.groupBy("h", side).agg(F.sum("c").alias("c")).groupBy("h").agg(F.max("c").alias(side), F.sum("c").alias(f"of_{side}")) for side in ("before", "after")]
     found = most[0].join(most[1], "h").where(F.least("before", "after") <= ALIKE * F.col("of_before")).select("h").toArrow()
