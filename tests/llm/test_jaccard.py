@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from weftgraph.llm import jaccard as jc
 
 from .helpers import docs, empty, prose, rows
@@ -106,3 +108,15 @@ def test_clean_tells_rows_apart_by_id_and_text(spark):
     pairs = [(5, a), (5, b), (5, b), (1, a), (None, c), (None, c), (None, d), (None, b), (7, d + " " + c), (8, None), (8, c + " one")]
     got = sorted(((r["doc_id"], r["text"]) for r in rows(jc.clean(docs(spark, pairs).repartition(3)))), key=str)
     assert got == sorted([(1, a), (5, b), (None, d), (7, d + " " + c), (8, None), (8, c + " one")], key=str)
+
+
+def test_clean_with_any_column_names_and_unlike_copies(spark):
+    """Columns of the names used inside stay as they are; of equal id and text the row with the least other columns stays."""
+    text = "one two three four five six seven"
+    said = [(1, text, "b", "k1"), (1, text, "a", "k2"), (2, text, "c", "k3"), (None, "other words here", "d", "k4"), (None, "other words here", None, "k5")]
+    made = spark.createDataFrame(said, "doc_id long, text string, __weft_key string, WEFT_key string").withColumn("weft_row", F.lit("r")).withColumn("weft_id", F.lit(3))
+    got = jc.clean(made)
+    assert got.columns == made.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, text, "a", "k2", "r", 3), (None, "other words here", "d", "k4", "r", 3)], key=str)
+    only = spark.createDataFrame([(5, text, "x"), (6, "other words here", "y")], "doc_id long, text string, weft_stays string")
+    assert sorted(map(tuple, jc.clean(only).collect())) == [(5, text, "x"), (6, "other words here", "y")]

@@ -298,18 +298,32 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any letter case."""
+    taken = {x.lower() for x in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents with their columns, one of each class: the one with the least id (then hash of the text), one with an id if there is any."""
+    """The documents with their columns, one of each class: the one with the least id (then hash of the text), one with an id if there is any.
+
+    Of rows with equal id and text the one stays whose other columns, written as JSON, are least.
+    """
+    key, id_, rk, stays_, row = (_free(docs, x) for x in ("weft_key", "weft_id", "weft_rk", "weft_stays", "weft_row"))
     ids = keyed(docs).groupBy("doc_id").agg(F.min("rk").alias("low"), F.max("rk").alias("high"))
     plain = ids.where("doc_id is null or low != high").isEmpty()  # each id names one text
     if plain:
-        rows = docs.withColumn("__weft_key", F.col("doc_id").cast("long"))
+        rows = docs.withColumn(key, F.col("doc_id").cast("long"))
     else:
         pairs = keyed(docs).select("doc_id", "rk").distinct()
         order = F.asc_nulls_last("doc_id"), F.asc("rk")
-        keys = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__weft_key", F.monotonically_increasing_id()))
-        keys = keys.select(F.col("doc_id").alias("__weft_id"), F.col("rk").alias("__weft_rk"), "__weft_key")
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__weft_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__weft_rk"))
-        rows = cut(docs.join(keys, same).select(*(docs[x] for x in docs.columns), "__weft_key"))
-    stays = links(rows.select(F.col("__weft_key").alias("doc_id"), "text"), similarity).where("doc_id = class_id").select(F.col("doc_id").alias("__weft_stays")).distinct()
-    return rows.join(stays, F.col("__weft_key") == F.col("__weft_stays"), "left_semi").dropDuplicates(["__weft_key"]).select(*docs.columns)
+        keys = cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()))
+        keys = keys.select(F.col("doc_id").alias(id_), F.col("rk").alias(rk), key)
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(rk))
+        rows = cut(docs.join(keys, same).select(*(docs[x] for x in docs.columns), key))
+    stays = links(rows.select(F.col(key).alias("doc_id"), "text"), similarity).where("doc_id = class_id").select(F.col("doc_id").alias(stays_)).distinct()
+    kept = rows.join(stays, F.col(key) == F.col(stays_), "left_semi")
+    others = F.to_json(F.struct(*(x for x in docs.columns if x.lower() not in ("doc_id", "text")), F.lit(0).alias(row)), {"ignoreNullFields": "false"})
+    return kept.groupBy(key).agg(F.min_by(F.struct(*docs.columns), others).alias(row)).select(f"{row}.*")
