@@ -16,6 +16,7 @@ from ..schema import EDGE_WEIGHTS, PROPERTIES, USAGE_EDGES
 from ..session import shared_dir
 from ..sources import tables
 from ..sources.inverted import InvertedIndex
+from ..sources.vector_index import VectorIndex
 from ..streaming import incremental
 from . import gql
 from .projection import graph, oracle
@@ -395,6 +396,34 @@ def vector_search(spark, sf):
     return r.vector_search(_vectors(spark, sf), _query_vectors(spark, sf), 10)
 
 
+def _stored_vectors(spark, sf) -> VectorIndex:
+    """The index of this session: built on one half of the vectors turned about, which the second batch replaces with all of them as they are; strangers come and go."""
+    key = (spark.sparkContext.applicationId, sf, "vectors")
+    if key not in _indexes:
+        vectors = _vectors(spark, sf)
+        turned = vectors.select("id", F.when(c("id") % 2 == 0, F.transform("vector", lambda x: -x)).otherwise(c("vector")).alias("vector"))
+        index = VectorIndex.build(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", turned, "first")
+        strangers = vectors.select((-1 - c("id")).alias("id"), "vector")
+        index.apply("strangers", strangers)
+        index.apply("as they are", vectors, strangers.select("id"))
+        index.apply("strangers", strangers)
+        _indexes[key] = index
+    return _indexes[key]
+
+
+@query(over_graph=False)
+def vector_index_search(spark, sf):
+    """Approximate; tests measure its recall against ``vector_search``."""
+    return _stored_vectors(spark, sf).search(_query_vectors(spark, sf), 10)
+
+
+@query(f"with {_VEC} select query_id, id, score, rank from dense where rank <= 10", over_graph=False)
+def vector_index_all_cells(spark, sf):
+    """All cells probed: the exact rows."""
+    index = _stored_vectors(spark, sf)
+    return index.search(_query_vectors(spark, sf), 10, len(index.centroids))
+
+
 _FUSED = f"with {_BM25}, {_VEC}, fused as (select query_id, id, sum(1.0 / (60 + rank)) as score from (select query_id, id, rank from sparse where rank <= 40 union all select query_id, id, rank from dense where rank <= 40) t group by 1, 2), ranked as (select *, row_number() over (partition by query_id order by score desc, id) as rank from fused)"
 
 
