@@ -15,6 +15,7 @@ from ..operators.reach import bfs
 from ..schema import EDGE_WEIGHTS, PROPERTIES, USAGE_EDGES
 from ..session import shared_dir
 from ..sources import tables
+from ..sources.delta import DeltaGraph, weight_of
 from ..sources.inverted import InvertedIndex
 from ..sources.vector_index import VectorIndex
 from ..streaming import incremental
@@ -307,7 +308,7 @@ def _lower_docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select(c("doc_id").alias("id"), F.lower("text").alias("text"))
 
 
-_indexes: dict[tuple[str, str, str], InvertedIndex] = {}
+_indexes: dict[tuple[str, str, str], InvertedIndex | VectorIndex | DeltaGraph] = {}  # what the queries of a session have stored
 
 
 def _kept_index(spark, sf, kind, batches) -> InvertedIndex:
@@ -568,6 +569,34 @@ def store_upsert_edges(spark, sf):
     return incremental.upsert_edges(edges, edges.where("edge_type = 'Calls'"), nodes).select("id", "weight")
 
 
+def _changed_graph(spark, sf) -> DeltaGraph:
+    """The graph of this session, taken apart and put together again by batches, two of them twice: all classes renamed, calls removed and put back, strangers come and go."""
+    key = (spark.sparkContext.applicationId, sf, "graph")
+    if key not in _indexes:
+        nodes, edges = (df.select(*columns) for df, columns in zip(graph(spark, sf), (("id", "node_type", "name", "loc"), ("source", "edge_type", "target"))))
+        edges = edges.distinct().withColumn("weight", weight_of("edge_type"))
+        store = DeltaGraph(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", fan=2)
+        store.create(nodes, edges, "base")
+        classes = nodes.where("node_type = 'Class'").withColumn("name", F.lit("new"))
+        calls = edges.where("edge_type = 'Calls'")
+        strangers = classes.withColumn("id", F.concat(F.lit("stranger:"), "id"))
+        ties = strangers.select(c("id").alias("source"), F.lit("Uses").alias("edge_type"), F.substring_index("id", "stranger:", -1).alias("target"))
+        for batch in (("classes", classes), ("calls go", None, None, None, calls.select("source", "edge_type", "target")), ("strangers", strangers, ties), ("calls return", None, calls.drop("weight")), ("classes", nodes), ("strangers go", None, None, strangers.select("id")), ("strangers", strangers, ties)):
+            store.apply(*batch)
+        _indexes[key] = store
+    return _indexes[key]
+
+
+@query("select id, node_type, loc, case when node_type = 'Class' then 'new' else name end as name from nodes")
+def delta_nodes(spark, sf):
+    return _changed_graph(spark, sf).nodes()
+
+
+@query("select distinct source, edge_type, target, case edge_type " + " ".join(f"when '{k}' then {v}" for k, v in EDGE_WEIGHTS.items()) + " else 0.5 end::double as weight from edges")
+def delta_edges(spark, sf):
+    return _changed_graph(spark, sf).edges()
+
+
 @query("select case when b.path is null then 'parse' when a.path is null then 'gone' when a.hash = b.hash then 'reuse' else 'parse' end as state, count(*) as n from (select page_id as path, sha256(html) as hash from pages where page_id % 5 <> 0) a full join (select page_id as path, case when page_id % 7 = 0 then 'old' else sha256(html) end as hash from pages where page_id % 3 <> 0) b on a.path = b.path group by 1", over_graph=False)
 def index_cached(spark, sf):
     pages = tables.content_hash(spark.read.parquet(f"{sf}/pages.parquet").select(c("page_id").alias("path"), "html"), "html")
