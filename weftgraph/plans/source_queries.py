@@ -6,12 +6,16 @@ alone what has to come out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import classify, lines, text
 from ..operators import facts
 from ..sources import code, tables
+from ..session import shared_dir
 from ..streaming import incremental
+from ..streaming.source_graph import SourceGraph
 from . import gql
 from .graph_queries import walk_sql
 from .projection import graph, oracle
@@ -96,6 +100,31 @@ def build_graph(spark, sf):
     return _graph(spark, sf)[1]
 
 
+def _followed(spark, sf):
+    """The graph that has followed the files from other contents: half of them edited, strangers deleted, one batch given twice."""
+    key = (spark.sparkContext.applicationId, sf, "followed")
+    if key not in _built:
+        files = python_files(spark, sf)
+        number = F.xxhash64("path")
+        before = files.withColumn("content", F.when(number % 2 == 0, F.replace("content", F.lit("def go"), F.lit("def gone"))).when(number % 5 == 0, F.lit("def helper():\n    pass\n")).otherwise(c("content")))
+        strangers = files.select(F.concat(F.lit("lost/"), "path").alias("path"), "language", "content")
+        store = SourceGraph(spark, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}")
+        for name, listing in (("before", before.unionByName(strangers)), ("now", files), ("before", before)):
+            store.update(name, listing)
+        _built[key] = store.graph()
+    return _built[key]
+
+
+@query(" union all ".join([f"with {_S} {_CONTAINS}", _OVERRIDES, _edge(_CLASS, _CLASS, "Extends", "p is not null", y="p"), _edge(_GO, _HELP, "Calls"), _edge(_STOP, _LIMIT, "Uses", "k % 3 = 0"), _edge(_FILE, _FILE, "Imports", "p is not null", y="p"), _edge(_FILE, _CLASS, "References", "p is not null", y="p")]))
+def followed_edges(spark, sf):
+    return _followed(spark, sf)[1]
+
+
+@query(f"with {_S} select 'Class' as node_type, count(*) as n from s union all select 'File', count(*) from s union all select 'Constant', count(*) from s union all select 'Folder', 1 + count(distinct b) from s union all select 'Function', count(*) * 2 + count(*) filter (where k % 3 = 0) from s")
+def followed_types(spark, sf):
+    return _followed(spark, sf)[0].groupBy("node_type").agg(F.count("*").alias("n"))
+
+
 @query(f"with {_S} select 'qualified' as strategy, count(*) as n from s group by 1")
 def build_resolution(spark, sf):
     return _graph(spark, sf)[2].groupBy("strategy").agg(F.count("*").alias("n"))
