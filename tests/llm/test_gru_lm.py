@@ -107,11 +107,13 @@ def test_no_training_documents_and_empty_table(spark):
 
 
 def test_every_training_token_is_read_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(lm, "TASK_TOKENS", 5000)
+    monkeypatch.setattr(lm, "LEAST_TOKENS", 5000)
+    monkeypatch.setattr(lm, "PIECE", 700)
     pairs = [(d, x) for d, x in corpus() if not held(d)] + [(200, prose(7, 30000))]  # over 65,536 characters
     training = lm.texts(docs(spark, pairs).repartition(3))
     vocab = lm.vocabulary(lm.count_words(training), 50)
-    for updates in (1, 100):  # in rounds over all tasks, and a small corpus in one piece
+    assert lm.tasks(vocab.total, spark.sparkContext.defaultParallelism) > 1
+    for updates in (1, 100):  # in the rounds alone, and read again in further ones
         model, read = lm.train(training, vocab, updates)
         assert read == vocab.total == sum(len(tokens(x)) for _, x in pairs)
         assert all(np.isfinite(v).all() for v in model.p.values())
@@ -152,3 +154,24 @@ def test_score_of_a_text_is_the_sum_over_its_tokens(spark, monkeypatch):
                 total += math.log10((c[w] + 1) / (n_other + v_other + 1))
             prev = token
         assert abs(got[d] - total) < 1e-3 * max(1, abs(total)), d
+
+
+def test_tasks_follow_the_tokens_and_the_cores():
+    """One rule for all sizes: no task without enough tokens, no core idle, more tasks as the tokens grow."""
+    assert [lm.tasks(n, 8) for n in (1, 300_000, 3_400_000, 60_000_000)] == [1, 2, 8, 14]
+    assert lm.tasks(10**12, 8) == 10**12 // lm.TASK_TOKENS
+
+
+def test_one_task_or_several_learn_alike(spark, monkeypatch):
+    """Held-out probability does not depend on how many tasks share the reading."""
+    r = np.random.default_rng(2)
+    train, test = [[d for d in range(400) if held(d) == h][:60] for h in (False, True)]
+    words = lambda: " ".join(f"w{(k + r.integers(0, 2)) % 12}" for k in range(400))
+    source = docs(spark, [(d, words()) for d in train + test[:10]])
+    scores = []
+    for least in (10**9, 3000):
+        monkeypatch.setattr(lm, "LEAST_TOKENS", least)
+        monkeypatch.setattr(lm, "PIECE", 500)
+        got = [x for x in rows(lm.score(source, words=50)) if x["held_out"]]
+        scores.append(sum(x["score"] for x in got) / sum(x["base_score"] for x in got))
+    assert max(scores) < 0.6 and abs(scores[0] - scores[1]) < 0.1

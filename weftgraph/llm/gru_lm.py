@@ -17,11 +17,14 @@ in a table of fixed size that every task holds, so that no word that is left
 stands in a large share of the chunks. Words are compared by 64-bit hashes.
 
 The weights are fitted by truncated backpropagation over every token of every
-training document. The documents are dealt into ``ROUNDS`` rounds by a hash of
-the id; in a round each task reads all its documents of the round, windows of
-``STEPS`` tokens in ``LANES`` lanes, and the weights of the tasks are averaged
-by their tokens. A corpus too small for ``UPDATES`` updates of ``STREAMS`` x
-``STEPS`` tokens is read again until it has had them.
+training document, in the same way at every size. The documents' tokens are
+written in pieces of ``PIECE``, which are dealt to tasks of like size: as many
+as there are cores, if each gets ``LEAST_TOKENS``, and one more for every ``TASK_TOKENS``
+beyond that. In each of ``ROUNDS`` rounds a task reads its share of the
+pieces, windows of ``STEPS`` tokens in ``STREAMS`` to ``LANES`` lanes (the more,
+the more tokens it has), and the weights of the tasks are averaged by their
+tokens. Tasks that have not had ``UPDATES`` updates of ``STREAMS`` x
+``STEPS`` tokens by then read everything again in further rounds until they have.
 
 Defined results: null and empty texts are one end; without training documents
 N, V and all counts are 0; null ids and repeated rows are scored like any row;
@@ -34,6 +37,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +49,8 @@ WORDS, CLASS_SIZE, HIDDEN = 4096, 64, 32
 TABLE = 1 << 18  # further words whose counts every task holds
 STREAMS, STEPS, UPDATES, RATE, CLIP = 64, 16, 500, 0.1, 5.0
 ROUNDS = (1 / 16, 3 / 8, 1)  # the share of the documents that has been read after each round
-LANES, TASK_TOKENS, BLOCK, ROWS = 512, 1 << 22, 4096, 1024  # lanes of a task; least tokens of a task; weights in a row; rows of a softmax at once
+LANES, BLOCK, ROWS = 512, 4096, 1024  # most lanes of a task; weights in a row; rows of a softmax at once
+PIECE, LEAST_TOKENS, TASK_TOKENS = 1 << 14, 1 << 17, 1 << 22  # tokens
 SPAN, GROUP = 32, 1024
 CHUNK, BATCH = 8 << 20, 32 << 20  # bytes of text
 
@@ -388,21 +393,22 @@ def _streams(vocab: Vocabulary, batches):
             yield np.insert(vocab.tokens(h), first[1:], END)
 
 
-def _read(shared):
-    """One pass of a task over all its rows."""
+def _read(shared, lanes: int):
+    """One pass of a task over all its pieces."""
 
     def run(batches):
         vocab, flat = shared.value
         model = Gru(vocab.by_token)
         seen, n, left, size = model.unpack(flat), 0, [], 0
-        for stream in _streams(vocab, batches):
-            left.append(stream)
-            size += len(stream)
-            if size >= LANES * STEPS * 16:  # else the lanes would be short
-                model.fit(left, None, LANES, seen)
-                n, left, size = n + size, [], 0
+        for batch in batches:
+            for piece in batch.column("tokens"):
+                left.append(np.frombuffer(piece.as_buffer(), _kind(vocab)).astype(np.int64))
+                size += len(left[-1])
+                if size >= lanes * STEPS * 16:  # else the lanes would be short
+                    model.fit(left, None, lanes, seen)
+                    n, left, size = n + size, [], 0
         if size:
-            model.fit(left, None, LANES, seen)
+            model.fit(left, None, lanes, seen)
         n += size
         if n:
             out = model.pack(seen)
@@ -423,35 +429,49 @@ def _averaged(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(total.values()), pa.int64()), pa.array([(sums[k] / total[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], names=["k", "n", "v"])
 
 
+def _kind(vocab: Vocabulary) -> str:
+    return "<u2" if len(vocab.by_token) <= 1 << 16 else "<u4"
+
+
 def _tokenised(shared):
+    """The task's tokens in pieces, each with a number of its own."""
+
     def run(batches):
+        first, n = TaskContext.get().partitionId() << 32, 0
         for stream in _streams(shared.value, batches):
-            yield pa.RecordBatch.from_arrays([pa.array([stream.astype("<i4").tobytes()], pa.binary())], names=["tokens"])
+            raw = stream.astype(_kind(shared.value))
+            pieces = [raw[i : i + PIECE].tobytes() for i in range(0, len(raw), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + n, first + n + len(pieces))), pa.array(pieces, pa.binary())], names=["piece", "tokens"])
+            n += len(pieces)
 
     return run
 
 
+def tasks(total: int, cores: int) -> int:
+    return max(1, total // TASK_TOKENS, min(cores, total // LEAST_TOKENS))
+
+
 def train(training: DataFrame, vocab: Vocabulary, updates: int = UPDATES) -> tuple[Gru, int]:
     """The fitted model, and how many tokens it has read in its first pass: all of the training documents."""
     spark, model = training.sparkSession, Gru(vocab.by_token)
-    if vocab.total < updates * STREAMS * STEPS:  # a bounded number of tokens
-        shared = spark.sparkContext.broadcast(vocab)
-        streams = sorted(r.tokens for r in training.select("text").mapInArrow(_tokenised(shared), "tokens binary").collect())
-        documents = [np.frombuffer(x, "<i4").astype(np.int64) for x in streams]
-        model.fit(documents, updates)
-        return model, sum(map(len, documents))
-    seen, read, low = model.seen(), 0, 0.0
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    for high in ROUNDS:
+    if not vocab.total:
+        return model, 0
+    shared = spark.sparkContext.broadcast(vocab)
+    pieces = cut(training.select("text").mapInArrow(_tokenised(shared), "piece long, tokens binary"))
+    share = F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) / F.lit(1 << 20)
+    n = tasks(vocab.total, spark.sparkContext.defaultParallelism)
+    lanes = int(min(LANES, max(STREAMS, vocab.total // n // (STEPS * UPDATES))))
+    further = -(-updates * STREAMS * STEPS * n // vocab.total) - 1
+    seen, read = model.seen(), 0
+    for k, (low, high) in enumerate([*zip((0.0, *ROUNDS), ROUNDS), *[(0.0, 1.0)] * further]):
         shared = spark.sparkContext.broadcast((vocab, model.pack(seen)))
-        mine = training.where((share >= low) & (share < high)).select("text").coalesce(max(1, vocab.total // TASK_TOKENS))
-        parts = mine.mapInArrow(_read(shared), "k long, n long, v binary").repartition("k").mapInArrow(_averaged, "k long, n long, v binary")
+        mine = pieces.where((share >= low) & (share < high)).select("tokens").repartition(n)
+        parts = mine.mapInArrow(_read(shared, lanes), "k long, n long, v binary").repartition("k").mapInArrow(_averaged, "k long, n long, v binary")
         rows = sorted(parts.collect(), key=lambda r: r.k)  # the weights, of fixed size
-        if rows:  # else no document falls into this round
+        if rows:  # else no piece falls into this round
             seen = model.unpack(np.concatenate([np.frombuffer(r.v, np.float32) for r in rows]))
-            read += rows[0].n
+            read += rows[0].n if k < len(ROUNDS) else 0
         shared.unpersist()
-        low = high
     return model, read
 
 
