@@ -219,3 +219,28 @@ def test_another_language_can_be_registered(spark):
         assert [s["name"] for s in languages.parse("f\ng\n", "toy", "a.toy")] == ["", "f", "g"] and languages.languages()["toy"] == "toy"
     finally:
         del languages.PARSERS["toy"], languages.ENDINGS["toy"]
+
+
+def test_nearest_paths_against_all_pairs(spark):
+    """The longest common beginning, the least path of several; never all pairs of a name."""
+    import os
+    import random
+
+    r = random.Random(3)
+    path = lambda: "/".join(r.choice(["a", "ab", "abc", "b", "lib"]) for _ in range(r.randint(1, 4)))
+    have = sorted({(f"{path()}/{r.choice(['index.ts', 'x.ts'])}") for _ in range(60)})
+    ask = [(f"k{i}", f"{path()}/m.ts", r.choice(["index.ts", "x.ts", "none.ts"])) for i in range(80)]
+    named = spark.createDataFrame([(p, "id:" + p, p.rsplit("/", 1)[1]) for p in have], "target_path string, target string, file string")
+    got = {x.key: x.target for x in code.nearest_paths(spark.createDataFrame(ask, "key string, path string, file string"), named).collect()}
+    want = {}
+    for key, p, f in ask:
+        mine = [h for h in have if h.endswith("/" + f)]
+        if mine:
+            want[key] = "id:" + min(mine, key=lambda h: (-len(os.path.commonprefix([p, h])), h))
+    assert got == want and len(want) > 40
+
+
+def test_containers_stay_containers():
+    from weftgraph.sources.languages.braces import base_type
+
+    assert [base_type(x) for x in ("&mut Vec<Foo>", "Option<Db>", "Box<dyn Store>", "  Db  ", "Promise<Db>", "List<? extends Db>", "Db[]", "readonly Db")] == ["Vec", "Option", "Box", "Db", "Promise", "List", "Db", "Db"]

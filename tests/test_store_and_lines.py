@@ -55,3 +55,15 @@ def test_counts_and_prose(spark):
     got = f.withColumn("k", lines.line_kinds("text", "language")).select(lines.count_kind(F.col("k"), "Comment", F.lit(1), F.lit(3)), lines.count_kind(F.col("k"), "Code", F.lit(1), F.lit(9))).first()
     assert tuple(got) == (2, 1)
     assert sorted(map(tuple, lines.prose_comments(f).collect())) == [("a.py", 1, "Licensed to all of you here"), ("a.py", 2, "Explains the next step well")]
+
+
+def test_prose_is_told_from_directives_and_code(spark):
+    from pyspark.sql import functions as F
+
+    said = {
+        "explains what happens next": True, "TODO explain what happens next": True, "Copyright of all of you": True, "short one": False, "two longwords": False, "12 345 6789 1011": False,
+        "eslint-disable next line please": False, "this has allow(dead_code) in it": False, "see the noqa marker here": False, "let x = foo(bar) + baz;": False, "if the value is set {": False,
+        "a(b)[c]{d} <e> f::g !! h": False, "=== explains what happens next ===": True, "mypy pragma nolint spdx words": True, "-*- coding of some kind here": True,
+    }
+    got = spark.createDataFrame([(x,) for x in said], "t string").select("t", lines.is_prose(F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in got} == said

@@ -19,8 +19,8 @@ SYNTAX = {
 }
 SYNTAX["javascript"] = SYNTAX["typescript"]
 MIN_CHARS, MIN_WORDS, MAX_SYMBOLS, MAX_COMMENT = 12, 3, 0.28, 600
-#: comments to tools, not to people
-DIRECTIVE = r"(?i)^\s*(eslint|prettier|noqa|type:|pylint|pragma|@ts-|tslint|istanbul|clippy|rustfmt|mypy|nolint|todo\b|fixme\b|copyright|spdx)"
+#: fixed values: what marks a comment as addressed to a tool
+DIRECTIVES = ("eslint", "prettier", "tslint", "clippy", "rustfmt", "noqa", "type:", "@ts-", "pylint", "coverage:", "safety:", "allow(", "deny(", "cfg(", "!/usr/", "!/bin/", "-*- coding")
 
 
 def classify(text: str | None, language: str) -> list[str]:
@@ -90,9 +90,13 @@ def comment_text(line: Column) -> Column:
 
 
 def is_prose(text: Column) -> Column:
-    """Twelve characters, three words, few symbols and no directive."""
-    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", ""))
-    return (F.length(text) >= MIN_CHARS) & (F.size(F.split(text, r"\s+")) >= MIN_WORDS) & (symbols <= MAX_SYMBOLS * F.length(text)) & ~text.rlike(DIRECTIVE)
+    """Long enough, a few words with letters, few symbols, no directive, and no end like that of a statement."""
+    said = F.trim(F.regexp_replace(text, r"^[/*!#\-=]+", ""))
+    size = F.octet_length(said)
+    symbols = F.length(F.regexp_replace(said, r"[\p{L}\p{N}\s]", ""))
+    words = F.size(F.filter(F.split(said, r"\s+"), lambda w: w.rlike(r"\p{L}")))
+    told = F.lower(said).rlike("|".join(re.escape(d) for d in DIRECTIVES))
+    return (size >= MIN_CHARS) & (words >= MIN_WORDS) & (symbols <= MAX_SYMBOLS * size) & ~told & ~said.rlike(r"[;{]$")
 
 
 def prose_comments(files: DataFrame) -> DataFrame:

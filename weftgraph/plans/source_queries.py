@@ -152,6 +152,27 @@ def index_run(spark, sf):
     return code.index_totals(code.symbols(python_files(spark, sf)))
 
 
+# -- files of one name in many folders ---------------------------------------------------------
+
+_AT = "'lib/g' || (k % 37) || '/p' || k || '/index.ts'"
+_FROM = "'lib/g' || (k % 41) || '/q' || k || '/main.ts'"
+
+
+@query(
+    f"with have as (select {_AT} as target from (select p_partkey as k from part) t), ask as (select {_FROM} as source from (select c_custkey as k from customer) t),"
+    " pairs as (select source, target, list_max(list_filter(range(0, least(length(source), length(target)) + 1), lambda n: left(source, n) = left(target, n))) as shared from ask, have)"
+    " select 'file:' || source as source, 'file:' || target as target from (select *, row_number() over (partition by source order by shared desc, target) as r from pairs) t where r = 1"
+)
+def import_nearest(spark, sf):
+    """Imports that only the file name finds: the file with the longest common beginning among all files of that name."""
+    part, customer = _table(spark, sf, "part"), _table(spark, sf, "customer")
+    place = lambda k, n, letter, name: F.concat(F.lit("lib/g"), (k % n).cast("string"), F.lit(f"/{letter}"), k.cast("string"), F.lit(name))
+    have = part.select(place(c("p_partkey"), 37, "p", "/index.ts").alias("path"), F.lit("export const held = 1;\n").alias("content"))
+    ask = customer.select(place(c("c_custkey"), 41, "q", "/main.ts").alias("path"), F.lit("import { other } from 'elsewhere/index';\n").alias("content"))
+    files = have.unionByName(ask).select("path", F.lit("typescript").alias("language"), "content")
+    return code.build(code.symbols(files))[1].where("edge_type = 'Imports'").select("source", "target")
+
+
 @query("select 'file:s/m' || s_suppkey || '.py' as source, 'dep:lib' || s_suppkey as target, 'DependsOn' as edge_type from supplier where s_suppkey % 2 = 0")
 def package_edges(spark, sf):
     k = c("s_suppkey").cast("string")

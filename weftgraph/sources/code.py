@@ -19,7 +19,7 @@ from ..functions import classify, globs
 from ..functions.text import dependency_root, folder_of, is_test, looks_like_constant, normalize_path
 from ..operators import facts, resolve
 from ..schema import NODES
-from ..session import cut
+from ..session import cut, sent
 from . import languages, tables
 
 c = F.col
@@ -121,7 +121,8 @@ def scan_files(spark: SparkSession, root: str, ignore: list[str] | None = None)
             yield pd.DataFrame(rows, columns=["folder", "place", "keeps", "rule"]).astype({"place": int, "keeps": bool})
 
     named = files.where(name == ".gitignore").select(folder_of("path").alias("at"), "content").mapInPandas(rules, "folder string, place int, keeps boolean, rule string")
-    fits = above.join(named, "folder").where(F.expr("case when folder = '' then path else substring(path, length(folder) + 2) end rlike rule"))
+    # few rules, sent to the tasks: the root is above every file
+    fits = above.join(sent(cut(named)), "folder").where(F.expr("case when folder = '' then path else substring(path, length(folder) + 2) end rlike rule"))
     last = fits.groupBy("path").agg(F.max_by("keeps", F.struct(F.length("folder"), "place")).alias("keeps"))
     gone = gone.unionByName(last.where("not keeps").select("path"))
     return found.join(gone.distinct(), "path", "left_anti").select("path", "language", "content")
@@ -315,6 +316,21 @@ def folder_graph(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, inner.unionByName(direct).withColumn("edge_type", F.lit("Contains"))
 
 
+def nearest_paths(wanted: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, target): of the files of a name the one whose path has the longest common beginning with the asking path, the least path of several.
+
+    wanted: (key, path, file); named: (target_path, target, file). Files of one name may be many, and so may those that ask for it, so
+    they are not paired: every beginning of a path is filed with the least path that has it, and asking paths look up theirs.
+    """
+    begun = lambda path: F.explode(F.transform(F.sequence(F.lit(0), F.length(path)), lambda k: F.struct(k.alias("k"), F.xxhash64("file", F.left(path, k)).alias("h")))).alias("x")
+    least = F.min(F.struct("target_path", "target", "file")).alias("t")
+    asked = named.join(sent(cut(wanted.select("file").distinct())), "file", "left_semi")
+    filed = asked.select("target_path", "target", "file", begun(c("target_path"))).groupBy("x.h").agg(least)
+    found = wanted.select("key", "path", "file", begun(c("path"))).select("key", "path", "file", "x.k", "x.h").join(filed, "h")
+    found = found.where((c("file") == c("t.file")) & (F.left("path", c("k")) == F.left(c("t.target_path"), c("k"))))
+    return found.groupBy("key").agg(F.min(F.struct((-c("k")).alias("k"), "t.target_path", "t.target")).alias("best")).select("key", c("best.target").alias("target"))
+
+
 def imports(s: DataFrame, by_name: DataFrame, members: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
     """Imports, References and DependsOn edges of files.
 
@@ -346,12 +362,11 @@ def imports(s: DataFrame, by_name: DataFrame, members: DataFrame, dependencies:
     have = files.select(c("target_path").alias("to"), c("file_id").alias("target"))
     near = want.join(have, "to").groupBy("key").agg(F.min_by("target", "rank").alias("target"))
     # by the file name
-    shared = lambda a, b: F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda k: F.left(a, k) == F.left(b, k)))
     base_name = F.regexp_extract("spec", r"([^/]*)$", 1)
     loose = left.where("language in ('markdown', 'typescript', 'javascript')").join(near, "key", "left_anti").select("key", "path", F.explode(F.array_distinct(F.array(base_name, F.regexp_replace(base_name, r"\.[^.]*$", "")))).alias("file")).where("file != ''")
     last = F.regexp_extract("target_path", r"([^/]*)$", 1)
     named = files.select("target_path", c("file_id").alias("target"), F.explode(F.array_distinct(F.array(last, F.regexp_replace(last, r"\.[^.]*$", "")))).alias("file"))
-    alike = loose.join(named, "file").groupBy("key").agg(F.max_by("target", F.struct(shared(c("path"), c("target_path")), F.lit(""))).alias("target"))
+    alike = nearest_paths(loose, named)
     found = cut(near.unionByName(alike))
     out = out.unionByName(left.join(found, "key").select("source", "target", F.lit("Imports").alias("edge_type")))
     rest = left.join(found, "key", "left_anti")
