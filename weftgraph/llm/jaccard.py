@@ -312,8 +312,9 @@ def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of rows with equal id and text the one stays whose other columns, written as JSON, are least.
     """
     key, id_, rk, stays_, row = (_free(docs, x) for x in ("weft_key", "weft_id", "weft_rk", "weft_stays", "weft_row"))
-    ids = keyed(docs).groupBy("doc_id").agg(F.min("rk").alias("low"), F.max("rk").alias("high"))
-    plain = ids.where("doc_id is null or low != high").isEmpty()  # each id names one text
+    ids = keyed(docs).groupBy("doc_id").agg(F.min("rk").alias("low"), F.max("rk").alias("high"), F.count("rk").alias("n"))
+    odd = cut(ids.where("doc_id is null or n > 1"))
+    plain = odd.where("doc_id is null or low != high").isEmpty()  # each id names one text
     if plain:
         rows = docs.withColumn(key, F.col("doc_id").cast("long"))
     else:
@@ -325,5 +326,7 @@ def clean(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         rows = cut(docs.join(keys, same).select(*(docs[x] for x in docs.columns), key))
     stays = links(rows.select(F.col(key).alias("doc_id"), "text"), similarity).where("doc_id = class_id").select(F.col("doc_id").alias(stays_)).distinct()
     kept = rows.join(stays, F.col(key) == F.col(stays_), "left_semi")
+    if odd.isEmpty():  # no row stands twice, nothing is left to choose
+        return kept.select(*docs.columns)
     others = F.to_json(F.struct(*(x for x in docs.columns if x.lower() not in ("doc_id", "text")), F.lit(0).alias(row)), {"ignoreNullFields": "false"})
     return kept.groupBy(key).agg(F.min_by(F.struct(*docs.columns), others).alias(row)).select(f"{row}.*")
