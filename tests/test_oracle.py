@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-NAMES = ["repo_census", "long_functions", "coupling_matrix", "test_for", "k_hop_bfs", "find_usages", "graph_schema", "percentiles", "vector_search", "bm25_score", "rag_messages", "fnv1a_32", "incremental_plan", "raw_gql", "degree_facts", "size_histogram", "boundary_impact", "build_graph", "facts_compute", "override_edges", "package_edges", "heading_nesting", "scan_package_json", "capture_source", "classify_files", "boundary_rules", "gql_varlen", "gql_case", "node_text_full", "upsert_new_edges", "tokenize_names"]
+NAMES = ["repo_census", "long_functions", "coupling_matrix", "test_for", "k_hop_bfs", "find_usages", "graph_schema", "percentiles", "vector_search", "bm25_score", "rag_messages", "fnv1a_32", "incremental_plan", "raw_gql", "degree_facts", "size_histogram", "boundary_impact", "build_graph", "facts_compute", "override_edges", "package_edges", "heading_nesting", "scan_package_json", "capture_source", "classify_files", "boundary_rules", "gql_varlen", "gql_case", "node_text_full", "upsert_new_edges", "tokenize_names", "bm25_after_changes", "df_after_changes", "vector_index_all_cells", "delta_nodes", "delta_edges", "import_nearest", "extract_comments", "rag_context"]
 
 
 def plain(v):

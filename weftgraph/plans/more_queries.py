@@ -452,6 +452,18 @@ def diversify(spark, sf):
     return r.diversify(found, "label")
 
 
+@query(
+    f"with {_VEC}, b as (select d.query_id, d.rank, '[#' || d.rank || '] d' || d.id || ' (' || t.source || ':' || d.rank || ')' || chr(10) || t.text as block from dense d join documents t on t.doc_id = d.id where d.rank <= 8),"
+    " u as (select *, sum(length(block) + 2) over (partition by query_id order by rank) as total from b), o as (select query_id, min(rank) filter (where total > 12000 and rank > 1) as over_rank from u group by 1)"
+    " select u.query_id, string_agg(block, chr(10) || chr(10) order by rank) as context, count(*)::int as used from u join o on o.query_id = u.query_id where over_rank is null or rank < over_rank group by 1",
+    over_graph=False,
+)
+def rag_context(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(c("doc_id").alias("id"), F.concat(F.lit("d"), c("doc_id").cast("string")).alias("name"), c("source").alias("file"), "text")
+    found = r.vector_search(_vectors(spark, sf), _query_vectors(spark, sf), 8).join(docs, "id")
+    return r.rag_context(found.select("query_id", "rank", "name", "file", c("rank").alias("start_line"), "text"), 12_000)
+
+
 @query(over_graph=False)
 def mmr_rerank(spark, sf):
     vectors, queries = _vectors(spark, sf), _query_vectors(spark, sf)

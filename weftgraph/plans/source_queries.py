@@ -152,6 +152,22 @@ def index_run(spark, sf):
     return code.index_totals(code.symbols(python_files(spark, sf)))
 
 
+# -- comments --------------------------------------------------------------------------------
+
+
+@query(
+    "select 'm' || o_orderkey || '.py' as path, n as line, said as text from (select o_orderkey, unnest([1, 7]) as n, unnest(['explains what order ' || o_orderkey || ' is for', 'the noble word of ' || o_orderkey]) as said from orders) t"
+    " union all select min('m' || o_orderkey || '.py'), 2, 'All of these files are free' from orders"
+)
+def extract_comments(spark, sf):
+    """Prose comments: neither directives nor code that is commented out; what every file says counts once."""
+    k = c("o_orderkey").cast("string")
+    rows = ["# explains what order ", k, " is for\n# All of these files are free\n# pylint: disable order ", k, " all of it\nx = 1  # here x is one\n", "# total = total + item * ", k, ";\n# if total of order > ", k, " {\n# the noble word of ", k, "\n# too short\n"]
+    text_ = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in rows))
+    files = _table(spark, sf, "orders").select(F.concat(F.lit("m"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), text_.alias("text"))
+    return lines.prose_comments(files)
+
+
 # -- files of one name in many folders ---------------------------------------------------------
 
 _AT = "'lib/g' || (k % 37) || '/p' || k || '/index.ts'"
