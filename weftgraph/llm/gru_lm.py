@@ -51,6 +51,7 @@ STREAMS, STEPS, UPDATES, RATE, CLIP = 64, 16, 500, 0.1, 5.0
 ROUNDS = (1 / 16, 3 / 8, 1)  # the share of the documents that has been read after each round
 LANES, BLOCK, ROWS = 512, 4096, 1024  # most lanes of a task; weights in a row; rows of a softmax at once
 PIECE, LEAST_TOKENS, TASK_TOKENS = 1 << 14, 1 << 17, 1 << 22  # tokens
+TURN = 128  # windows of a lane that are read in one go
 SPAN, GROUP = 32, 1024
 CHUNK, BATCH = 8 << 20, 32 << 20  # bytes of text
 
@@ -404,7 +405,7 @@ def _read(shared, lanes: int):
             for piece in batch.column("tokens"):
                 left.append(np.frombuffer(piece.as_buffer(), _kind(vocab)).astype(np.int64))
                 size += len(left[-1])
-                if size >= lanes * STEPS * 16:  # else the lanes would be short
+                if size >= lanes * STEPS * TURN:  # else the lanes would be short, and their last windows many
                     model.fit(left, None, lanes, seen)
                     n, left, size = n + size, [], 0
         if size:
