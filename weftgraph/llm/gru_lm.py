@@ -61,10 +61,32 @@ _END_HASH = -1  # of the end among the counts; a word with this hash would be co
 
 def _sigmoid(x: np.ndarray) -> None:
     """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
+    np.maximum(x, -40, out=x)  # no exponential overflows
+    np.negative(x, out=x)
+    np.exp(x, out=x)
     x += 1
-    x *= 0.5
+    np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> None:
+    """In place; cheaper than numpy's by an exponential."""
+    x *= 2
+    _sigmoid(x)
+    x *= 2
+    x -= 1
+
+
+def _sums(values: np.ndarray, key: np.ndarray, often: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    keys, first, n = np.unique(key[order], return_index=True, return_counts=True)
+    out = np.zeros((len(keys), values.shape[1]), values.dtype)
+    for i in np.flatnonzero(n > often):  # a product is much faster than a sum along columns
+        out[i] = np.ones(n[i], values.dtype) @ values[order[first[i] : first[i] + n[i]]]
+    for k in range(often):  # the k-th row of every other key
+        some = np.flatnonzero((n <= often) & (n > k))
+        out[some] += values[order[first[some] + k]]
+    return keys, out
 
 
 class Gru:
@@ -93,25 +115,30 @@ class Gru:
         p, k = self.p, self.hidden
         out = np.empty((*prev.shape, k), h.dtype)
         if keep is not None:
-            keep.update((name, np.empty((*prev.shape, n * k), h.dtype)) for name, n in (("h", 1), ("zr", 2), ("rh", 1), ("g", 1)))
+            keep.update((name, np.empty_like(out)) for name in ("h", "z", "r", "rh", "g"))
+        uz, ur = (np.ascontiguousarray(p["u"][:, a : a + k]) for a in (0, k))  # whole arrays are faster than slices of them
         ended = prev == END
         some = ended.any(1)
         for t in range(len(prev)):
             x = p["x"][prev[t]]
             if some[t]:
                 h = np.where(ended[t][:, None], 0, h).astype(h.dtype)
-            zr = h @ p["u"]
-            zr += x[:, : 2 * k]
-            _sigmoid(zr)
-            rh = zr[:, k:] * h
+            z, r = h @ uz, h @ ur
+            z += x[:, :k]
+            r += x[:, k : 2 * k]
+            _sigmoid(z)
+            _sigmoid(r)
+            rh = r * h
             g = rh @ p["v"]
             g += x[:, 2 * k :]
-            np.tanh(g, out=g)
+            _tanh(g)
             if keep is not None:
-                for name, v in (("h", h), ("zr", zr), ("rh", rh), ("g", g)):
+                for name, v in (("h", h), ("z", z), ("r", r), ("rh", rh), ("g", g)):
                     keep[name][t] = v
-            h = h + zr[:, :k] * (g - h)
-            out[t] = h
+            np.subtract(g, h, out=out[t])
+            out[t] *= z
+            out[t] += h
+            h = out[t]
         return out
 
     def bounded(self) -> bool:
@@ -175,22 +202,22 @@ class Gru:
         flat, target = states.reshape(-1, k), token.ravel()
         n, loss = len(target), 0.0
         g = {name: np.zeros_like(v) for name, v in p.items() if name != "x"}
-        cls, dh = self.class_of[target], np.empty_like(flat)
+        order = np.argsort(self.class_of[target], kind="stable")  # a class's tokens follow each other
+        near, aim = flat[order], target[order]
+        cls, back = self.class_of[aim], np.empty_like(flat)
         for lo in range(0, n, ROWS):
             part = slice(lo, lo + ROWS)
-            e = flat[part] @ p["c"]
+            e = near[part] @ p["c"]
             e += p["cb"]
             pick = (np.arange(len(e)), cls[part])
             right, total = self._exponentials(e, pick, bounded)
             loss -= (right - np.log(total)).sum()
             e *= (1 / total)[:, None]
             e[pick] -= 1
-            g["c"] += flat[part].T @ e
-            g["cb"] += e.sum(0)
-            dh[part] = e @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        border = np.searchsorted(cls[order], np.arange(len(self.first)))
-        near, aim, back = flat[order], target[order], np.zeros_like(flat)
+            g["c"] += near[part].T @ e
+            g["cb"] += np.ones(len(e), e.dtype) @ e
+            np.matmul(e, p["c"].T, out=back[part])
+        border = np.searchsorted(cls, np.arange(len(self.first)))
         for c in range(2, len(self.first) - 1):
             i, j = border[c], border[c + 1]
             if i == j:
@@ -203,24 +230,31 @@ class Gru:
             loss -= (right - np.log(total)).sum()
             e *= (1 / total)[:, None]
             e[pick] -= 1
-            g["w"][:, a:b], g["wb"][a:b] = near[i:j].T @ e, e.sum(0)
-            back[i:j] = e @ p["w"][:, a:b].T
-        dh[order] += back
-        dh = dh.reshape(states.shape)
+            g["w"][:, a:b], g["wb"][a:b] = near[i:j].T @ e, np.ones(j - i, e.dtype) @ e
+            back[i:j] += e @ p["w"][:, a:b].T
+        dh = np.empty_like(states)
+        dh.reshape(-1, k)[order] = back
         dx = np.empty((*prev.shape, 3 * k), dh.dtype)
         later, ended = np.zeros_like(h), prev == END
-        some, vt, ut = ended.any(1), np.ascontiguousarray(p["v"].T), np.ascontiguousarray(p["u"].T)
+        some, vt = ended.any(1), np.ascontiguousarray(p["v"].T)
+        uzt, urt = (np.ascontiguousarray(p["u"][:, a : a + k].T) for a in (0, k))
         for t in range(len(prev) - 1, -1, -1):
-            h0, zr, c = keep["h"][t], keep["zr"][t], keep["g"][t]
-            z, r = zr[:, :k], zr[:, k:]
-            total = dh[t] + later
-            dg, dzr = dx[t][:, 2 * k :], dx[t][:, : 2 * k]
-            np.multiply(total * z, 1 - c * c, out=dg)
+            h0, z, r, c = (keep[name][t] for name in ("h", "z", "r", "g"))
+            total = dh[t]
+            total += later
+            dg = total * z
+            later = total - dg
+            dg *= 1 - c * c
             drh = dg @ vt
-            dzr[:, :k] = total * (c - h0)
-            dzr[:, k:] = drh * h0
-            dzr *= zr * (1 - zr)
-            later = total * (1 - z) + drh * r + dzr @ ut
+            c -= h0
+            dz = total * c
+            dz *= z * (1 - z)
+            later += drh * r
+            drh *= h0
+            drh *= r * (1 - r)
+            later += dz @ uzt
+            later += drh @ urt
+            dx[t][:, :k], dx[t][:, k : 2 * k], dx[t][:, 2 * k :] = dz, drh, dg
             if some[t]:
                 later = np.where(ended[t][:, None], 0, later)
         gates = dx.reshape(-1, 3 * k)
@@ -238,9 +272,7 @@ class Gru:
     def update(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray, seen: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
         """One adaptive step; the loss before it and the last state."""
         loss, g, dx, h = self.gradient(prev, token, h)
-        order = np.argsort(prev.ravel(), kind="stable")
-        rows, first = np.unique(prev.ravel()[order], return_index=True)
-        gx = np.add.reduceat(dx.reshape(-1, dx.shape[2])[order], first, axis=0).astype(np.float32)
+        rows, gx = _sums(dx.reshape(-1, dx.shape[2]), prev.ravel())
         norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (*g.values(), gx)))
         if norm > CLIP:
             for v in (*g.values(), gx):
