@@ -116,6 +116,62 @@ def test_betweenness(spark):
     assert all(abs(got[str(v)] - total[v] / 56) < 1e-9 for v in range(9))
 
 
+def components(pairs):
+    """(component, id, length) by plain reachability."""
+    to = defaultdict(set)
+    for a, b in pairs:
+        to[a].add(b)
+    reach = {}
+    for s in {x for p in pairs for x in p}:
+        todo, seen = [s], set()
+        while todo:
+            new = to[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[s] = seen
+    out = []
+    for s in reach:
+        if s in reach[s]:
+            mine = {x for x in reach[s] if s in reach[x]}
+            out.append((min(map(str, mine)), str(s), len(mine)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, parts, small", [(0, 4, 0), (2, 12, 100_000), (3, 12, 100_000)])
+def test_cycles_of_random_graphs(spark, seed, parts, small):
+    x, pairs = random.Random(seed), []
+    for part in range(parts):  # rings with tails, random parts, chains from one part to the next, self-loops
+        n, at = x.randrange(2, 9), part * 100
+        if part % 3 == 0:
+            pairs += [(at + i, at + (i + 1) % n) for i in range(n)] + [(at + n + i, at + n + i + 1) for i in range(5)] + [(at + x.randrange(n), at + n)]
+        elif part % 3 == 1:
+            pairs += [(at + a, at + b) for a, b in random_graph(seed * 50 + part, n, n + 3)]
+        else:
+            pairs += [(at + a, at + b) for a, b in random_graph(seed * 50 + part, 14, 15, loops=False)] + [(at, at)]
+        if part and x.random() < 0.6:
+            pairs += [(at - 100 + x.randrange(3), at + 50), (at + 50, at + 51), (at + 51, at + x.randrange(3))]
+        if part > 4 and x.random() < 0.3:
+            pairs += [(at, at + 60), (at + 60, at - 300)]
+    assert rows(g.cycles(edges_of(spark, pairs), small=small)) == components(pairs)
+
+
+def test_cycles_over_long_chains_and_nothing(spark, monkeypatch):
+    """Rounds don't grow with the length of a chain, and neither does what is raked."""
+    cuts = []
+    monkeypatch.setattr(g, "cut", lambda df, cut=g.cut: cuts.append(1) or cut(df))
+    n, m = 500, 60
+    ring = [(i, i + 1) for i in range(n - 1)] + [(n - 1, 0)]
+    tail = [(n + i, n + i + 1) for i in range(m)] + [(5, n), (n + m, n + m - 2)]  # out of the ring, with a small ring at its end
+    got = rows(g.cycles(edges_of(spark, ring + tail), small=0))
+    assert [(a, b) for a, _, b in got].count(("0", n)) == n and len(got) == n + 3
+    assert {x for a, x, b in got if b == 3} == {str(n + m - 2), str(n + m - 1), str(n + m)}
+    assert len(cuts) < 40
+    chain = [(i, i + 1) for i in range(3000)]
+    assert not g.has_cycles(edges_of(spark, chain)) and g.has_cycles(edges_of(spark, chain + [(3000, 0)])) and g.has_cycles(edges_of(spark, [*chain, (3000, 2990)]))
+    none = spark.createDataFrame([(None, "a", "Calls"), ("b", None, "Calls")], "source string, target string, edge_type string")
+    assert rows(g.cycles(none)) == [] and rows(g.cycles(none.limit(0))) == [] and not g.has_cycles(none)
+
+
 def test_cycles(spark):
     e = edges_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (5, 5), (6, 7), (7, 6)])
     assert rows(g.cycles(e)) == [("0", "0", 3), ("0", "1", 3), ("0", "2", 3), ("5", "5", 1), ("6", "6", 2), ("6", "7", 2)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_WEIGHT, EDGE_WEIGHTS, USAGE_EDGES
-from ..session import cut, sent
+from ..session import BROADCAST_ROWS, cut, sent
 from .reach import bfs, steps
 
 c = F.col
@@ -257,68 +258,150 @@ def centrality_report(nodes: DataFrame, edges: DataFrame, score: str = "degree",
     return out.select("id", "name", "node_type", "file", "degree", "centrality", "betweenness").orderBy(F.desc(score), "id").limit(top)
 
 
-def cyclic_core(edges: DataFrame, types=None, rounds: int = 10_000) -> DataFrame:
-    """(src, dst): what is left when edges out of or into nodes that lie on no cycle are taken off again and again.
+def _raked(left: DataFrame) -> DataFrame:
+    """Without the edges out of nodes that nothing leads to and into nodes without a way out."""
+    a, b = left.select(c("dst").alias("src")).distinct(), left.select(c("src").alias("dst")).distinct()
+    return cut(left.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst"))
 
-    Empty exactly if the graph has no cycle.
+
+def _chains(left: DataFrame) -> DataFrame | None:
+    """(id, before, after, low, ring), if there are any, of the nodes with one edge in and one out: the nodes where their chain begins and ends, which have
+    more edges or fewer; or, where ``ring`` is set, the least id of the ring that such nodes form alone. Pointers are doubled in every
+    round, so that a chain of n nodes takes about log2(n) of them. No two pointers meet at a chain's node, and those that have
+    come to an end are joined with their own row: no join has a hot key.
+    """
+    ends = left.select(c("src").alias("id"), c("dst").alias("after"), F.lit(None).cast("string").alias("before")).unionByName(left.select(c("dst").alias("id"), F.lit(None).cast("string").alias("after"), c("src").alias("before")))
+    deg = ends.groupBy("id").agg(F.count("after").alias("o"), F.count("before").alias("i"), F.min("before").alias("before"), F.min("after").alias("after"))
+    chain = cut(deg.where("o = 1 and i = 1").select("id", "before", "after"))
+    n = chain.count()
+    if not n:
+        return None
+    inner = chain.select(c("id").alias("k"))
+    at = chain.join(inner.withColumn("more", F.lit(True)), c("after") == c("k"), "left").drop("k")
+    at = at.join(inner.withColumn("less", F.lit(True)), c("before") == c("k"), "left").drop("k")
+    at = cut(at.select("id", "before", "after", F.least("id", F.when(c("more"), c("after"))).alias("low"), F.coalesce("more", F.lit(False)).alias("more"), F.coalesce("less", F.lit(False)).alias("less")))
+    covered = 1
+    while covered < n and not at.where("more or less").isEmpty():
+        to = at.select(c("id").alias("k"), c("after").alias("a"), c("more").alias("m"), c("low").alias("l"))
+        back = at.select(c("id").alias("k"), c("before").alias("b"), c("less").alias("s"))
+        on = at.join(to, F.when(c("more"), c("after")).otherwise(c("id")) == c("k")).drop("k")
+        on = on.join(back, F.when(c("less"), c("before")).otherwise(c("id")) == c("k")).drop("k")
+        at = cut(on.select("id", c("b").alias("before"), c("a").alias("after"), F.least("low", "l").alias("low"), c("m").alias("more"), c("s").alias("less")))
+        covered *= 2
+    # a chain has come to its ends by now; only a ring has none
+    return at.select("id", "before", "after", "low", c("more").alias("ring"))
+
+
+def _contracted(left: DataFrame, small: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of (src, dst), without self-loops, when nodes that lie on no cycle are taken off and chains become single edges, in
+    turns until nothing changes or at most ``small`` pairs are left; and what ``_chains`` gave in every turn. Trees and chains take logarithmically many turns.
     """
-    left = cut(steps(edges, types).select("src", "dst").distinct())
-    n = left.count()
-    for _ in range(rounds):
-        a, b = left.select(c("dst").alias("src")).distinct(), left.select(c("src").alias("dst")).distinct()
-        left = cut(left.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst"))
+    n, chains = left.count(), []
+    while n > small:
+        left = _raked(left)
+        found = _chains(left)
+        if found is not None:
+            chains.append(found)
+            inner = found.select("id")
+            rest = left.join(inner.select(c("id").alias("src")), "src", "left_anti").join(inner.select(c("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+            left = cut(rest.unionByName(found.where("not ring and before != after").select(c("before").alias("src"), c("after").alias("dst"))).distinct())
         m = left.count()
         if m == n:
             break
         n = m
-    return left
+    return left, chains
+
+
+def _settled(batches):
+    """(id, component) of all pairs (src, dst) that the task gets: searched forward, then backward in the order of the ends."""
+    to, back = defaultdict(list), defaultdict(list)
+    for batch in batches:
+        for a, b in zip(batch["src"], batch["dst"]):
+            to[a].append(b)
+            back[b].append(a)
+    seen, order = set(), []
+    for start in list(to):
+        if start in seen:
+            continue
+        seen.add(start)
+        path = [(start, iter(to[start]))]
+        while path:
+            node, further = path[-1]
+            new = next((x for x in further if x not in seen), None)
+            if new is None:
+                order.append(node)
+                path.pop()
+            else:
+                seen.add(new)
+                path.append((new, iter(to.get(new, ()))))
+    of = {}
+    for start in reversed(order):
+        todo = [] if start in of else [start]
+        while todo:
+            node = todo.pop()
+            if node not in of:
+                of[node] = start
+                todo += [x for x in back.get(node, ()) if x not in of]
+    yield pd.DataFrame({"id": list(of), "component": list(of.values())}, dtype=object)
 
 
 def has_cycles(edges: DataFrame, types=None) -> bool:
-    return not cyclic_core(edges, types).isEmpty()
+    """Whether there is a cycle; a self-loop is one."""
+    return not strong_components(edges, types).isEmpty()
 
 
-def strong_components(edges: DataFrame, types=None) -> DataFrame:
+def strong_components(edges: DataFrame, types=None, small: int = BROADCAST_ROWS) -> DataFrame:
     """(id, component): the strongly connected components with more than one node or a self-loop, named by their least id.
 
-    Each round takes the core's nodes apart by the least id that reaches them and the least id that they
-    reach; nodes of one component agree on both. Rounds stop once nothing is taken apart further.
+    Nodes off all cycles are taken off and chains contracted, however long, in logarithmically many rounds. In what is left each node
+    gets the least id that reaches it and the least id that it reaches. Where both are the same, they name its component,
+    which is settled; edges between nodes that differ in one of them lie on no cycle. The rest is contracted again. The rounds in which
+    ids spread grow with the distances in the contracted graph only. As soon as at most ``small`` pairs are left, one task settles
+    them. Edges with a null end are ignored.
     """
-    core = cyclic_core(edges, types)
-    label = cut(core.select(c("src").alias("id")).unionByName(core.select(c("dst").alias("id"))).distinct().withColumn("component", F.lit("")))
-
-    def spread(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """The least id that reaches each node over ``pairs`` a -> b, within its present component."""
-        low = cut(label.select("id", c("id").alias("low")))
-        while True:
-            seen = low.select(c("id").alias(a), c("low").alias("seen"))
-            best = pairs.join(seen, a).groupBy(c(b).alias("id")).agg(F.min("seen").alias("seen"))
-            new = cut(low.join(best, "id", "left").select("id", F.least("low", "seen").alias("low"), (c("seen") < c("low")).alias("moved")))
-            stop = new.where("moved").isEmpty()
-            low = new.select("id", "low")
-            if stop:
-                return low
+    pairs = cut(steps(edges, types).select("src", "dst").where("src is not null and dst is not null").distinct())
+    left, turns, settled = cut(pairs.where("src != dst")), [], pairs.where("src = dst").select(c("src").alias("id"), c("src").alias("component"))
+
+    def spread(over: DataFrame, a: str, b: str) -> DataFrame:
+        """(id, low): the least id that reaches each node over the pairs a -> b."""
+        low = cut(over.select(c("src").alias("id")).unionByName(over.select(c("dst").alias("id"))).distinct().withColumn("low", c("id")))
+        moved = low
+        while not moved.isEmpty():
+            seen = sent(moved.select(c("id").alias(a), c("low").alias("seen")))  # only what changed goes on
+            best = over.join(seen, a).groupBy(c(b).alias("id")).agg(F.min("seen").alias("seen"))
+            new = cut(low.join(best, "id", "left").select("id", F.least("low", "seen").alias("low"), F.coalesce(c("seen") < c("low"), F.lit(False)).alias("changed")))
+            low, moved = new.select("id", "low"), new.where("changed")
+        return low
 
     while True:
-        here = label.select(c("id").alias("src"), c("component").alias("cs"))
-        there = label.select(c("id").alias("dst"), c("component").alias("ct"))
-        inner = cut(core.join(here, "src").join(there, "dst").where("cs = ct").select("src", "dst"))
-        new = label.join(spread(inner, "src", "dst").withColumnRenamed("low", "f"), "id").join(spread(inner, "dst", "src").withColumnRenamed("low", "b"), "id")
-        new = cut(new.select("id", F.concat_ws("\t", "component", "f", "b").alias("component"), c("component").alias("old")))
-        names = new.groupBy("component").agg(F.min("id").alias("name"))
-        new = cut(new.join(names, "component").select("id", c("name").alias("component"), "old"))
-        before, after = new.select("old").distinct().count(), new.select("component").distinct().count()
-        label = new.select("id", "component")
-        if before == after:
+        left, chains = _contracted(left, small)
+        turns += chains
+        if left.count() <= small:
+            settled = settled.unionByName(left.repartition(1).mapInPandas(_settled, "id string, component string"))
             break
-    loops = core.where("src = dst").select(c("src").alias("id"))
-    size = label.groupBy("component").agg(F.count("*").alias("n"))
-    return label.join(size, "component").join(loops.withColumn("loop", F.lit(1)), "id", "left").where("n > 1 or loop = 1").select("id", "component")
-
-
-def cycles(edges: DataFrame, types=None) -> DataFrame:
+        both = cut(spread(left, "src", "dst").withColumnRenamed("low", "f").join(spread(left, "dst", "src").withColumnRenamed("low", "b"), "id"))
+        settled = settled.unionByName(both.where("f = b").select("id", c("f").alias("component")))
+        rest = both.where("f != b")
+        here, there = (rest.select(c("id").alias(x), c("f").alias(f"f_{x}"), c("b").alias(f"b_{x}")) for x in ("src", "dst"))
+        left = cut(left.join(here, "src").join(there, "dst").where("f_src = f_dst and b_src = b_dst").select("src", "dst"))
+
+    for found in reversed(turns):  # a chain lies on a cycle exactly if its ends lie in one component, or are one node
+        one, other = (settled.where("id != component").select(c("id").alias(x), c("component").alias(f"of_{x}")) for x in ("before", "after"))
+        ends = found.where("not ring").join(one, "before", "left").join(other, "after", "left")
+        mine = ends.select("id", F.coalesce("of_before", "before").alias("component"), F.coalesce("of_after", "after").alias("x")).where("component = x").drop("x")
+        settled = cut(settled.unionByName(mine).unionByName(found.where("ring").select("id", c("low").alias("component"))))
+    # a name's own row may be missing
+    settled = settled if turns else cut(settled)
+    label = cut(settled.where("id != component").unionByName(settled.select(c("component").alias("id"), "component")).distinct())
+    label = label.join(label.where("id != component").select("id", F.lit(1).alias("inner")), "id", "left").where("inner is null or id != component").drop("inner")
+    names = sent(cut(label.groupBy("component").agg(F.min("id").alias("name"), F.count("*").alias("n"))))
+    loops = pairs.where("src = dst").select(c("src").alias("id"), F.lit(1).alias("loop"))
+    return label.join(names, "component").join(loops, "id", "left").where("n > 1 or loop = 1").select("id", c("name").alias("component"))
+
+
+def cycles(edges: DataFrame, types=None, small: int = BROADCAST_ROWS) -> DataFrame:
     """(component, id, length): the nodes of each strongly connected component with a cycle, one a row, and how many they are."""
-    found = strong_components(edges, types)
+    found = strong_components(edges, types, small)
     return found.join(found.groupBy("component").agg(F.count("*").alias("length")), "component").select("component", "id", "length")
 
 

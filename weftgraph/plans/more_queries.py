@@ -204,7 +204,7 @@ def betweenness(spark, sf):
 # every import leads to a greater key, so the count of those that don't is the count of cycles: none
 @query("select count(*) as n from edges where edge_type = 'Imports' and cast(substring(target, 7) as bigint) <= cast(substring(source, 7) as bigint)")
 def import_cycles(spark, sf):
-    return g.cyclic_core(graph(spark, sf)[1], ("Imports",)).limit(1).agg(F.count("*").alias("n"))
+    return g.cycles(graph(spark, sf)[1], ("Imports",)).limit(1).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -212,6 +212,31 @@ def cycles(spark, sf):
     return g.cycles(graph(spark, sf)[1], ("Calls",))
 
 
+# a customer's orders follow each other by key, in one chain; the last leads back to the first where the customer's key is even, and to the
+# one in the middle where it leaves 1 by 4; every order of a key divisible by 4 that is not the first leads on to the last as well
+_ORDER_EDGES = """select 'order:' || lpad(o_orderkey, 12, '0') as source, 'order:' || lpad(to_key, 12, '0') as target, 'Follows' as edge_type from (
+ select o_custkey, o_orderkey, r, n, case way when 1 then next_key when 2 then back_key else last_key end as to_key from (
+  select *, case when r < n then null when o_custkey % 2 = 0 then first_key when o_custkey % 4 = 1 then middle_key end as back_key,
+   max(case when r = n then o_orderkey end) over (partition by o_custkey) as last_key from (
+   select *, first_value(o_orderkey) over (partition by o_custkey order by r) as first_key,
+    max(case when r = (n + 1) div 2 then o_orderkey end) over (partition by o_custkey) as middle_key from (
+    select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as r, count(*) over (partition by o_custkey) as n,
+     lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as next_key from orders))) cross join (select explode(array(1, 2, 3)) as way)
+ where way < 3 or (r > 1 and r < n and o_orderkey % 4 = 0)) where to_key is not null"""
+
+
+@query(
+    """with o as (select o_custkey as k, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as r, count(*) over (partition by o_custkey) as n from orders),
+ kept as (select * from o where k % 2 = 0 or (k % 4 = 1 and r >= (n + 1) // 2))
+ select 'order:' || lpad(min(o_orderkey) over (partition by k)::varchar, 12, '0') as component, 'order:' || lpad(o_orderkey::varchar, 12, '0') as id, count(*) over (partition by k) as length from kept""",
+    over_graph=False,
+)
+def order_cycles(spark, sf):
+    """Cycles among all orders: rings, chains that end in a ring, and chains without one."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return g.cycles(spark.sql(_ORDER_EDGES.replace("from orders)", "from {orders})"), orders=orders))
+
+
 def _ppr_sql(rounds: int) -> str:
     weight = "case edge_type " + " ".join(f"when '{k}' then {v}" for k, v in EDGE_WEIGHTS.items()) + " else 0.5 end"
     out = f"with raw as (select source as src, target as dst, sum(cast({weight} as double)) as w from edges group by 1, 2), st as materialized (select src, dst, w / sum(w) over (partition by src) as w from raw), seed as (select * from (values ('class:p1', cast(0.5 as double)), ('function:o1', cast(0.5 as double))) v(id, s)), r0 as (select id, s as score from seed)"
