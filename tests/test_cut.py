@@ -39,3 +39,20 @@ def test_files_that_lie_together_are_parsed_by_several_tasks(spark):
     parsed = code.symbols(files).where("kind = 'file'").select(F.spark_partition_id().alias("p"), "path")
     assert "REPARTITION_BY_NUM" in parsed._jdf.queryExecution().toString()
     assert parsed.count() == 40
+
+
+def test_what_is_cut_goes_in_small_parts(spark):
+    """And the session's own settings stand again afterwards; smaller ones hold all the time."""
+    from weftgraph.session import PART, _bytes, small_parts
+
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names]
+    with small_parts(spark):
+        assert [_bytes(spark.conf.get(n)) for n in names] == [PART, 2 * PART]
+    assert [spark.conf.get(n) for n in names] == before
+    spark.conf.set(names[0], "1MB")
+    try:
+        with small_parts(spark):
+            assert _bytes(spark.conf.get(names[0])) == 1 << 20
+    finally:
+        spark.conf.set(names[0], before[0])
