@@ -134,3 +134,42 @@ def test_tokens_by_rows_equal_the_column(spark):
     rows = sorted((x.id, x.token) for x in text.exploded_tokens(docs, "text", "id").collect())
     assert rows == sorted((x.id, x.token) for x in docs.select("id", F.explode(text.tokenize("text")).alias("token")).collect())
     assert r.term_frequencies(docs).where("id = '4' and token = 'xmlfile'").first().tf == 2
+
+
+def test_a_batch_that_changes_nothing_writes_nothing_and_texts_are_merged(spark, tmp_path, monkeypatch):
+    from weftgraph.sources import inverted
+
+    monkeypatch.setattr(inverted, "TEXTS", 3)
+    index = InvertedIndex(spark, str(tmp_path / "x"), buckets=4)
+    docs = {f"d{i}": f"alpha beta word{i}" for i in range(9)}
+    assert index.apply("a", table(spark, docs))
+    before = index.manifest.state
+    assert index.apply("the same", table(spark, docs), gone(spark, ["stranger"]))
+    assert index.manifest.state == before | {"batches": ["a", "the same"]}
+    for n in range(4):
+        index.apply(f"b{n}", table(spark, {f"d{n}": "gamma gamma"}), gone(spark, [f"d{n + 5}"]))
+        docs = {i: t for i, t in (docs | {f"d{n}": "gamma gamma"}).items() if i != f"d{n + 5}"}
+    assert len(index.manifest.state["texts"]) <= 3
+    check(spark, index, docs)
+
+
+def test_many_changed_documents_go_by_id(spark, tmp_path, monkeypatch):
+    from weftgraph.sources import inverted
+
+    monkeypatch.setattr(inverted, "BROADCAST_ROWS", 2)
+    index = InvertedIndex(spark, str(tmp_path / "x"), buckets=4)
+    docs = {f"d{i}": f"alpha beta word{i}" for i in range(9)}
+    new = {f"d{i}": f"alpha gamma word{i}" for i in range(3, 9)}
+    index.apply("a", table(spark, docs))
+    index.apply("b", table(spark, new), gone(spark, ["d0"]))
+    check(spark, index, {i: t for i, t in (docs | new).items() if i != "d0"})
+
+
+def test_postings_are_shuffled_at_most_once(spark, tmp_path):
+    """By document: neither terms nor scores of (query, document) pairs are shuffled after that."""
+    docs, queries = table(spark, {str(i): f"alpha beta word{i}" for i in range(20)}), table(spark, {"q": "alpha word3"}).withColumnRenamed("id", "query_id")
+    index = InvertedIndex(spark, str(tmp_path / "x"), buckets=4)
+    index.apply("a", docs)
+    for found in (index.bm25(queries), r.bm25(r.postings(docs), queries, 20), r.postings(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(id" in x and "token" in x or "Exchange hashpartitioning(query_id" in x and ", id#" in x]
