@@ -170,3 +170,20 @@ def test_truncation_is_exact(g):
 
 def test_target_not_indexed(g):
     assert any(x.startswith("TARGET NOT INDEXED") for x in env.analyze(*g, name="impact", target="nowhere.rs").caveats)
+
+
+def test_only_paths_from_the_anchors_are_listed(spark):
+    """The written first edges are those of the anchor, not all of the graph."""
+    nodes = spark.createDataFrame([(f"n{i}", "Function", f"n{i}") for i in range(40)], "id string, node_type string, name string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * k + 1) % 40}", "Calls") for i in range(40) for k in (1, 3)], "source string, target string, edge_type string")
+    written = []
+    former, gql.cut = gql.cut, lambda df: written.append(former(df)) or written[-1]
+    try:
+        got = gql.run("MATCH (d)-[:Calls*1..2]->(t) WHERE t.name = 'n7' RETURN elementKey(d) AS id, count(*) AS paths", nodes, edges)
+    finally:
+        gql.cut = former
+    have = {(r.source, r.target) for r in edges.collect()}
+    into = lambda x: [a for a, b in have if b == x]
+    want = [a for a in into("n7")] + [z for a in into("n7") for z in into(a) if (z, a) != (a, "n7")]
+    assert sorted((r.id, r.paths) for r in got.collect()) == sorted({(x, want.count(x)) for x in want})
+    assert len(written) == 2 and max(df.count() for df in written) == edges.where("target = 'n7'").count()

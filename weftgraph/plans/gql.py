@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, sent
+
 MAX_PATH = 16
 _TOKEN = re.compile(r"(?:\s|//[^\n]*)*(?:(?P<num>\d+\.\d+|\d+(?!\.\d))|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<param>\$\w+)|(?P<word>[A-Za-z_]\w*)|(?P<op><>|<=|>=|->|<-|\.\.|[-=<>()\[\]{}:,.|*+/%]))")
 _REST = re.compile(r"(?:\s|//[^\n]*)*")
@@ -394,16 +396,18 @@ class Compiler:
             df = df.where(self.value(e, {n.var}, set(df.columns)))
         return df
 
-    def hop_frame(self, h: Hop, tag: str, backwards: bool) -> list[DataFrame]:
-        """One frame (from, to) for each path length; no edge twice."""
+    def hop_frame(self, h: Hop, tag: str, backwards: bool, starts: DataFrame) -> list[DataFrame]:
+        """One frame (from, to) for each path length; no edge twice. Of more than one edge only the paths from ``starts`` (id) are made, each length from the written one before."""
         e = self.edges.where(F.col("edge_type").isin(*h.types)) if h.types else self.edges
         a, b = ("source", "target") if h.out != backwards else ("target", "source")
         one = lambda k: e.select(F.col(a).alias(f"{tag}{k}a"), F.col(b).alias(f"{tag}{k}b"), F.col("edge_type").alias(f"{tag}{k}t"))
         same = lambda j, k: (F.col(f"{tag}{j}a") == F.col(f"{tag}{k}a")) & (F.col(f"{tag}{j}b") == F.col(f"{tag}{k}b")) & (F.col(f"{tag}{j}t") == F.col(f"{tag}{k}t"))
         out, path = [], one(1)
+        if h.hi > 1:
+            path = path.join(sent(cut(starts)), F.col(f"{tag}1a") == F.col("id"), "left_semi")
         for k in range(1, h.hi + 1):
             if k > 1:
-                path = path.join(one(k), F.col(f"{tag}{k - 1}b") == F.col(f"{tag}{k}a"))
+                path = sent(cut(path)).join(one(k), F.col(f"{tag}{k - 1}b") == F.col(f"{tag}{k}a"))
                 path = path.where(~reduce(lambda x, y: x | y, (same(j, k) for j in range(1, k))))
             if k >= h.lo:
                 cols = [F.col(f"{tag}1a").alias(f"{tag}from"), F.col(f"{tag}{k}b").alias(f"{tag}to")]
@@ -441,10 +445,11 @@ class Compiler:
                 raise GqlError("patterns must share a variable with an earlier one")
         for k, (h, n) in enumerate(zip(hops, nodes[1:])):
             tag = f"h{number}_{k}_"
+            starts = df.select(F.col(f"{nodes[k].var}__id").alias("id")).distinct()
             if self.sets and h.lo == 1 and h.hi > 1:
-                paths = self.reached(h, tag, backwards, df.select(F.col(f"{nodes[k].var}__id").alias("id")).distinct())
+                paths = self.reached(h, tag, backwards, starts)
             else:
-                paths = reduce(DataFrame.unionByName, self.hop_frame(h, tag, backwards))
+                paths = reduce(DataFrame.unionByName, self.hop_frame(h, tag, backwards, starts))
             if f"{n.var}__id" in df.columns:
                 df = df.join(paths, (F.col(f"{nodes[k].var}__id") == F.col(f"{tag}from")) & (F.col(f"{n.var}__id") == F.col(f"{tag}to")), how)
             else:
