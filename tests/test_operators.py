@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftgraph.functions import globs, text
 from weftgraph.operators import graph as g
@@ -116,6 +117,19 @@ def test_betweenness(spark):
     assert all(abs(got[str(v)] - total[v] / 56) < 1e-9 for v in range(9))
 
 
+def test_betweenness_of_many_nodes_and_blocks(spark, monkeypatch):
+    """Over 50,000 nodes; and the same result from small blocks of several components as from one task."""
+    few = g.betweenness(spark.range(50_001).select(F.col("id").cast("string").alias("id")), edges_of(spark, [(0, 1), (1, 2), (2, 3)]))
+    assert {x.id: round(x.betweenness * 50_000 * 49_999, 6) for x in few.where("betweenness > 0").collect()} == {"1": 2.0, "2": 2.0}
+    pairs = {(a + 30 * k, b + 30 * k) for k in range(3) for a, b in random_graph(k, 30, 50, loops=False)} | {(a, 200 + a % 7) for a in range(90)}
+    nodes = spark.createDataFrame([(str(i),) for i in range(210)], "id string")
+    whole = {x.id: x.betweenness for x in g.betweenness(nodes, edges_of(spark, pairs)).collect()}
+    monkeypatch.setattr(g, "CELLS", 300)
+    monkeypatch.setattr(g, "TOGETHER", 20)
+    parts = {x.id: x.betweenness for x in g.betweenness(nodes, edges_of(spark, pairs)).collect()}
+    assert len(parts) == 210 and all(abs(parts[i] - x) < 1e-12 for i, x in whole.items()) and max(whole.values()) > 0
+
+
 def components(pairs):
     """(component, id, length) by plain reachability."""
     to = defaultdict(set)
