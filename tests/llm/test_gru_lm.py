@@ -175,3 +175,19 @@ def test_one_task_or_several_learn_alike(spark, monkeypatch):
         got = [x for x in rows(lm.score(source, words=50)) if x["held_out"]]
         scores.append(sum(x["score"] for x in got) / sum(x["base_score"] for x in got))
     assert max(scores) < 0.6 and abs(scores[0] - scores[1]) < 0.1
+
+
+def test_a_long_document_is_not_scored_window_by_window(monkeypatch):
+    """What is left of the longest documents is put together before the softmax, whatever its place; the sums are those of the windows alone."""
+    r = np.random.default_rng(4)
+    model = lm.Gru(np.arange(200, 0, -1).astype(float), hidden=8, class_size=16)
+    length = np.array([3, 40 * lm.SPAN + 5, 1, 70])
+    starts = np.concatenate([[0], np.cumsum(length)])
+    tokens = r.integers(0, 200, starts[-1])
+    tokens[starts[1:] - 1] = lm.END
+    sizes, plain = [], lm.Gru.log_probabilities
+    monkeypatch.setattr(lm.Gru, "log_probabilities", lambda self, h, token: sizes.append(len(token)) or plain(self, h, token))
+    found = model.score(tokens, starts)
+    assert len(sizes) == 1 and sizes[0] == len(tokens)
+    alone = [model.score(tokens[a:b], np.array([0, b - a]))[0] for a, b in zip(starts, starts[1:])]
+    assert np.allclose(found, alone, rtol=1e-5)

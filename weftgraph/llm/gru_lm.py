@@ -60,8 +60,7 @@ _END_HASH = -1  # of the end among the counts; a word with this hash would be co
 
 
 def _sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    np.maximum(x, -40, out=x)  # no exponential overflows
+    """In place; an exponential may overflow, which gives 0."""
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
@@ -76,10 +75,17 @@ def _tanh(x: np.ndarray) -> None:
     x -= 1
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """A stable order; numpy sorts short integers by their digits."""
+    return np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+
+
 def _sums(values: np.ndarray, key: np.ndarray, often: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys and the sums of their rows."""
-    order = np.argsort(key, kind="stable")
-    keys, first, n = np.unique(key[order], return_index=True, return_counts=True)
+    order = _order(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    keys, n = key[first], np.diff(np.append(first, len(key)))
     out = np.zeros((len(keys), values.shape[1]), values.dtype)
     for i in np.flatnonzero(n > often):  # a product is much faster than a sum along columns
         out[i] = np.ones(n[i], values.dtype) @ values[order[first[i] : first[i] + n[i]]]
@@ -94,7 +100,7 @@ class Gru:
 
     def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, class_size: int = CLASS_SIZE, seed: int = 1):
         n, r = len(counts), np.random.default_rng(seed)
-        self.hidden = hidden
+        self.hidden, self.width = hidden, class_size
         self.class_of = np.concatenate([[0, 1], 2 + np.arange(n - 2) // class_size]).astype(np.int64)
         self.first = np.append(np.searchsorted(self.class_of, np.arange(self.class_of[-1] + 1)), n)
         share = (counts + 0.5) / (counts + 0.5).sum()
@@ -110,6 +116,7 @@ class Gru:
             "wb": np.log(share / per_class[self.class_of]).astype(f),
         }
 
+    @np.errstate(over="ignore")
     def steps(self, prev: np.ndarray, h: np.ndarray, keep: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """States before each token: prev (steps, batch) tokens, h (batch, hidden). After each end the state is 0. ``keep`` takes what the way back needs."""
         p, k = self.p, self.hidden
@@ -118,11 +125,11 @@ class Gru:
             keep.update((name, np.empty_like(out)) for name in ("h", "z", "r", "rh", "g"))
         uz, ur = (np.ascontiguousarray(p["u"][:, a : a + k]) for a in (0, k))  # whole arrays are faster than slices of them
         ended = prev == END
-        some = ended.any(1)
+        some, goes_on = ended.any(1), (~ended).astype(h.dtype)[:, :, None]
         for t in range(len(prev)):
-            x = p["x"][prev[t]]
+            x = np.take(p["x"], prev[t], axis=0)
             if some[t]:
-                h = np.where(ended[t][:, None], 0, h).astype(h.dtype)
+                h = h * goes_on[t]
             z, r = h @ uz, h @ ur
             z += x[:, :k]
             r += x[:, k : 2 * k]
@@ -154,6 +161,29 @@ class Gru:
         np.exp(logits, out=logits)
         return right, logits @ np.ones(logits.shape[1], logits.dtype)  # much faster than a sum along rows
 
+    def _blocks(self, border: np.ndarray):
+        """Ranges of classes with about ``ROWS`` tokens; border: where each class's tokens begin."""
+        c, last = 2, len(self.first) - 1
+        while c < last:
+            d = min(last, max(c + 1, int(np.searchsorted(border, border[c] + ROWS, "right")) - 1))
+            if border[c] < border[d]:
+                yield c, d
+            c = d
+
+    def _within(self, h: np.ndarray, border: np.ndarray, c: int, d: int) -> np.ndarray:
+        """The logits within its class of each token of classes c to d, in one array: most of their cost was in the number of small ones."""
+        lo, w = border[c], self.p["w"]
+        out = np.empty((border[d] - lo, self.width), np.result_type(h, w))
+        for k in range(c, d):
+            i, j = border[k], border[k + 1]
+            if i < j:
+                a, b = self.first[k], self.first[k + 1]
+                some = out[i - lo : j - lo]
+                np.matmul(h[i:j], w[:, a:b], out=some[:, : b - a])
+                some[:, : b - a] += self.p["wb"][a:b]
+                some[:, b - a :] = -np.inf  # the last class may be smaller
+        return out
+
     def log_probabilities(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         p, bounded = self.p, self.bounded()
         cls, out = self.class_of[token], np.empty(len(h))
@@ -162,16 +192,14 @@ class Gru:
             logits += p["cb"]
             right, total = self._exponentials(logits, (np.arange(len(logits)), cls[lo : lo + ROWS]), bounded)
             out[lo : lo + ROWS] = right - np.log(total)
-        order = np.argsort(cls, kind="stable")
-        border = np.searchsorted(cls[order], np.arange(len(self.first)))
-        for c in range(2, len(self.first) - 1):
-            at = order[border[c] : border[c + 1]]
-            if len(at):
-                a, b = self.first[c], self.first[c + 1]
-                inner = h[at] @ p["w"][:, a:b]
-                inner += p["wb"][a:b]
-                right, total = self._exponentials(inner, (np.arange(len(at)), token[at] - a), bounded)
-                out[at] += right - np.log(total)
+        order = _order(cls)
+        near, place, cls = h[order], token[order] - self.first[cls[order]], cls[order]
+        border = np.searchsorted(cls, np.arange(len(self.first)))
+        for c, d in self._blocks(border):
+            at = slice(border[c], border[d])
+            inner = self._within(near, border, c, d)
+            right, total = self._exponentials(inner, (np.arange(len(inner)), place[at]), bounded)
+            out[order[at]] += right - np.log(total)
         return out
 
     def score(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -181,6 +209,7 @@ class Gru:
         for lo in range(0, len(order), GROUP):
             docs = order[lo : lo + GROUP]
             size, first = length[docs], starts[docs]
+            held, n_held = [], 0
             h = np.zeros((len(docs), self.hidden), np.float32)
             for at in range(0, int(size[0]), SPAN):
                 n = int(np.searchsorted(-size, -at, "left"))  # those with more than ``at`` tokens
@@ -192,7 +221,12 @@ class Gru:
                 states = self.steps(prev, h[:n])
                 h = states[-1]
                 doc = np.broadcast_to(np.arange(n), valid.shape)[valid]
-                out[docs[:n]] += np.bincount(doc, self.log_probabilities(states[valid], tokens[here[valid]]), n)
+                held.append((doc, states[valid], tokens[here[valid]]))
+                n_held += len(doc)
+                if n_held >= GROUP * SPAN or at + SPAN >= size[0]:  # a few long documents would make small arrays
+                    doc, states, token = (np.concatenate(x) for x in zip(*held))
+                    out[docs] += np.bincount(doc, self.log_probabilities(states, token), len(docs))
+                    held, n_held = [], 0
         return out
 
     def gradient(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray):
@@ -202,7 +236,7 @@ class Gru:
         flat, target = states.reshape(-1, k), token.ravel()
         n, loss = len(target), 0.0
         g = {name: np.zeros_like(v) for name, v in p.items() if name != "x"}
-        order = np.argsort(self.class_of[target], kind="stable")  # a class's tokens follow each other
+        order = _order(self.class_of[target])  # a class's tokens follow each other
         near, aim = flat[order], target[order]
         cls, back = self.class_of[aim], np.empty_like(flat)
         for lo in range(0, n, ROWS):
@@ -236,7 +270,7 @@ class Gru:
         dh.reshape(-1, k)[order] = back
         dx = np.empty((*prev.shape, 3 * k), dh.dtype)
         later, ended = np.zeros_like(h), prev == END
-        some, vt = ended.any(1), np.ascontiguousarray(p["v"].T)
+        some, goes_on, vt = ended.any(1), (~ended).astype(h.dtype)[:, :, None], np.ascontiguousarray(p["v"].T)
         uzt, urt = (np.ascontiguousarray(p["u"][:, a : a + k].T) for a in (0, k))
         for t in range(len(prev) - 1, -1, -1):
             h0, z, r, c = (keep[name][t] for name in ("h", "z", "r", "g"))
@@ -256,7 +290,7 @@ class Gru:
             later += drh @ urt
             dx[t][:, :k], dx[t][:, k : 2 * k], dx[t][:, 2 * k :] = dz, drh, dg
             if some[t]:
-                later = np.where(ended[t][:, None], 0, later)
+                later *= goes_on[t]
         gates = dx.reshape(-1, 3 * k)
         g["v"] = keep["rh"].reshape(-1, k).T @ gates[:, 2 * k :]
         g["u"] = keep["h"].reshape(-1, k).T @ gates[:, : 2 * k]
