@@ -191,3 +191,44 @@ def test_a_long_document_is_not_scored_window_by_window(monkeypatch):
     assert len(sizes) == 1 and sizes[0] == len(tokens)
     alone = [model.score(tokens[a:b], np.array([0, b - a]))[0] for a, b in zip(starts, starts[1:])]
     assert np.allclose(found, alone, rtol=1e-5)
+
+
+def test_lanes_of_a_score_stay_full(monkeypatch):
+    """Documents of unlike length are read one after another in lanes of like length: next to no step for a few lanes alone, none past an end."""
+    r = np.random.default_rng(6)
+    model = lm.Gru(np.arange(200, 0, -1).astype(float), hidden=8, class_size=16)
+    length = np.append(r.integers(1, 300, 3000), 2500)
+    starts = np.concatenate([[0], np.cumsum(length)])
+    tokens = r.integers(2, 200, starts[-1])
+    tokens[starts[1:] - 1] = lm.END
+    taken, plain = [], lm.Gru.steps
+    monkeypatch.setattr(lm.Gru, "steps", lambda self, prev, h: taken.append(prev.shape) or plain(self, prev, h))
+    found = model.score(tokens, starts)
+    assert sum(t * n for t, n in taken) < 1.02 * len(tokens)
+    assert sum(t for t, _ in taken) < 1.1 * max(2500, len(tokens) / lm.SIDE)
+    alone = [model.score(tokens[a:b], np.array([0, b - a]))[0] for a, b in zip(starts[:40], starts[1:41])]
+    assert np.allclose(found[:40], alone, rtol=1e-5)
+
+
+def test_words_are_found_by_their_low_bits(monkeypatch):
+    """As a search would find them, also where several words of the model share a slot."""
+    monkeypatch.setattr(lm, "SLOTS", 64, raising=False)
+    r = np.random.default_rng(7)
+    words = np.unique(r.integers(-(2**63), 2**63 - 1, 100))
+    r.shuffle(words)
+    vocab = lm.Vocabulary(words, np.arange(len(words), 0, -1), 1, 9999, 200, 60)
+    assert len(vocab.slot) == 64 and (vocab.slot < 0).any()
+    asked = np.append(words, r.integers(-(2**63), 2**63 - 1, 500))
+    place = {h: k + 2 for k, h in enumerate(words[:60].tolist())}
+    assert vocab.tokens(asked).tolist() == [place.get(h, lm.OTHER) for h in asked.tolist()]
+    assert lm.Vocabulary(words[:0], words[:0], 1, 1, 1).tokens(asked).tolist() == [lm.OTHER] * len(asked)
+
+
+def test_sums_of_rows_by_key():
+    r = np.random.default_rng(8)
+    for n in (1, 5, 3000):
+        key, values = r.zipf(1.3, n) % 500, r.normal(size=(n, 6))
+        keys, sums = lm._sums(values, key)
+        want = np.zeros((500, 6))
+        np.add.at(want, key, values)
+        assert sorted(keys.tolist()) == np.unique(key).tolist() and np.allclose(sums, want[keys])

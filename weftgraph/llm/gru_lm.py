@@ -7,7 +7,8 @@ is factored into classes (a softmax over classes, then one over the words of
 the class, of near equal size by frequency rank). Another word has the
 probability of the symbol times its smoothed share among such words, so that
 the probabilities of all texts sum to one. Documents are scored whole: windows
-of ``SPAN`` tokens follow each other and the state is carried across them.
+of ``SPAN`` tokens follow each other and the state is carried across them. The
+documents of a batch are read in ``SIDE`` lanes, one after another in each.
 
 Counts cover all training documents: every batch counts its distinct words,
 and the sums, N and V come from the whole table. Looking the counts up again
@@ -33,6 +34,7 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -46,32 +48,32 @@ from .common import cut, remainder, texts
 
 MODULUS, HELD_OUT = 7, 2
 WORDS, CLASS_SIZE, HIDDEN = 4096, 64, 32
+SLOTS = 1 << 16  # of the table that finds the model's words
 TABLE = 1 << 18  # further words whose counts every task holds
 STREAMS, STEPS, UPDATES, RATE, CLIP = 64, 16, 500, 0.1, 5.0
 ROUNDS = (1 / 16, 3 / 8, 1)  # the share of the documents that has been read after each round
-LANES, BLOCK, ROWS = 512, 4096, 1024  # most lanes of a task; weights in a row; rows of a softmax at once
+LANES, BLOCK, ROWS = 512, 4096, 512  # most lanes of a task; weights in a row; rows of a softmax at once
 PIECE, LEAST_TOKENS, TASK_TOKENS = 1 << 14, 1 << 17, 1 << 22  # tokens
 TURN = 128  # windows of a lane that are read in one go
 SPAN, GROUP = 32, 1024
+SIDE = 256  # lanes that are read side by side: what a step of them needs stays in the cache
 CHUNK, BATCH = 8 << 20, 32 << 20  # bytes of text
 
 OTHER, END = 0, 1
 _END_HASH = -1  # of the end among the counts; a word with this hash would be counted with it
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """In place; an exponential may overflow, which gives 0."""
-    np.negative(x, out=x)
+def _odds(x: np.ndarray) -> None:
+    """1 + exp(x) in place, what a gate divides by; an exponential may overflow, which closes it."""
     np.exp(x, out=x)
     x += 1
-    np.reciprocal(x, out=x)
 
 
 def _tanh(x: np.ndarray) -> None:
     """In place; cheaper than numpy's by an exponential."""
-    x *= 2
-    _sigmoid(x)
-    x *= 2
+    x *= -2
+    _odds(x)
+    np.divide(2, x, out=x)
     x -= 1
 
 
@@ -80,19 +82,34 @@ def _order(key: np.ndarray) -> np.ndarray:
     return np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
 
 
-def _sums(values: np.ndarray, key: np.ndarray, often: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sums of their rows."""
+def _sums(values: np.ndarray, key: np.ndarray, often: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, the most frequent first, and the sums of their rows."""
     order = _order(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    keys, n = key[first], np.diff(np.append(first, len(key)))
-    out = np.zeros((len(keys), values.shape[1]), values.dtype)
-    for i in np.flatnonzero(n > often):  # a product is much faster than a sum along columns
-        out[i] = np.ones(n[i], values.dtype) @ values[order[first[i] : first[i] + n[i]]]
-    for k in range(often):  # the k-th row of every other key
-        some = np.flatnonzero((n <= often) & (n > k))
-        out[some] += values[order[first[some] + k]]
-    return keys, out
+    n = np.diff(np.append(first, len(key)))
+    by = np.argsort(-n, kind="stable")
+    first, n = first[by], n[by]
+    out = np.empty((len(n), values.shape[1]), values.dtype)
+    some = int(np.searchsorted(-n, -often, "left"))
+    for i in range(some):  # a product is much faster than a sum along columns
+        out[i] = np.ones(n[i], values.dtype) @ values.take(order[first[i] : first[i] + n[i]], axis=0)
+    if some < len(n):
+        out[some:] = values.take(order[first[some:]], axis=0)
+        for k in range(1, n[some]):  # the k-th row of every other key that has one
+            m = int(np.searchsorted(-n, -k, "left"))
+            out[some:m] += values.take(order[first[some:m] + k], axis=0)
+    return key[first], out
+
+
+def _lanes(length: np.ndarray, most: int) -> np.ndarray:
+    """A lane for each document, so that the lanes have about as much to read: the longest first, each to the lane with the least so far."""
+    out, heap = np.empty(len(length), np.int64), [(0, k) for k in range(min(most, len(length)))]
+    for i in np.argsort(-length, kind="stable").tolist():
+        n, k = heap[0]
+        out[i] = k
+        heapq.heapreplace(heap, (n + int(length[i]), k))
+    return out
 
 
 class Gru:
@@ -110,54 +127,72 @@ class Gru:
             "x": (r.normal(size=(n, 3 * hidden)) * 0.1).astype(f),
             "u": (r.normal(size=(hidden, 2 * hidden)) / np.sqrt(hidden)).astype(f),
             "v": (r.normal(size=(hidden, hidden)) / np.sqrt(hidden)).astype(f),
-            "c": np.zeros((hidden, len(per_class)), f),
-            "cb": np.log(per_class).astype(f),
-            "w": np.zeros((hidden, n), f),
-            "wb": np.log(share / per_class[self.class_of]).astype(f),
+            "c": np.zeros((hidden + 1, len(per_class)), f),  # the last row belongs to a constant 1
+            "w": np.zeros((hidden + 1, n), f),
         }
+        self.p["c"][-1], self.p["w"][-1] = np.log(per_class), np.log(share / per_class[self.class_of])
 
     @np.errstate(over="ignore")
     def steps(self, prev: np.ndarray, h: np.ndarray, keep: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """States before each token: prev (steps, batch) tokens, h (batch, hidden). After each end the state is 0. ``keep`` takes what the way back needs."""
-        p, k = self.p, self.hidden
+        k = self.hidden
         out = np.empty((*prev.shape, k), h.dtype)
         if keep is not None:
-            keep.update((name, np.empty_like(out)) for name in ("h", "z", "r", "rh", "g"))
-        uz, ur = (np.ascontiguousarray(p["u"][:, a : a + k]) for a in (0, k))  # whole arrays are faster than slices of them
+            keep.update((name, np.empty_like(out)) for name in ("h", "rh", "g"))
+            keep["zr"] = np.empty((len(prev), 2, prev.shape[1], k), h.dtype)
+        u = -np.ascontiguousarray(self.p["u"].reshape(k, 2, k).swapaxes(0, 1))  # whole arrays are faster than slices of them
+        for lo in range(0, prev.shape[1], SIDE):
+            side = slice(lo, lo + SIDE)
+            self._side(prev[:, side], h[side], u, out[:, side], keep and {name: v[..., side, :] for name, v in keep.items()})
+        return out
+
+    def _side(self, prev: np.ndarray, h: np.ndarray, u: np.ndarray, out: np.ndarray, keep: dict[str, np.ndarray] | None) -> None:
+        """The steps of some lanes."""
+        p, k, n = self.p, self.hidden, prev.shape[1]
+        rows, at = p["x"].reshape(-1, k), 3 * prev[:, None] + np.arange(3)[:, None]  # each token has three rows
+        x = np.empty((3, n, k), rows.dtype)
+        if keep is None:
+            zr, rh, g = (np.empty((*s, n, k), h.dtype) for s in ((2,), (), ()))
         ended = prev == END
         some, goes_on = ended.any(1), (~ended).astype(h.dtype)[:, :, None]
         for t in range(len(prev)):
-            x = np.take(p["x"], prev[t], axis=0)
+            np.take(rows, at[t], axis=0, out=x, mode="clip")
             if some[t]:
                 h = h * goes_on[t]
-            z, r = h @ uz, h @ ur
-            z += x[:, :k]
-            r += x[:, k : 2 * k]
-            _sigmoid(z)
-            _sigmoid(r)
-            rh = r * h
-            g = rh @ p["v"]
-            g += x[:, 2 * k :]
-            _tanh(g)
             if keep is not None:
-                for name, v in (("h", h), ("z", z), ("r", r), ("rh", rh), ("g", g)):
-                    keep[name][t] = v
+                zr, rh, g = keep["zr"][t], keep["rh"][t], keep["g"][t]
+                keep["h"][t] = h
+            np.matmul(h, u, out=zr)  # u has its sign changed
+            zr -= x[:2]
+            _odds(zr)
+            np.divide(h, zr[1], out=rh)
+            np.matmul(rh, p["v"], out=g)
+            g += x[2]
+            _tanh(g)
             np.subtract(g, h, out=out[t])
-            out[t] *= z
+            out[t] /= zr[0]
             out[t] += h
             h = out[t]
-        return out
+        if keep is not None:
+            np.reciprocal(keep["zr"], out=keep["zr"])
 
     def bounded(self) -> bool:
         """Whether no exponential can overflow: states lie between -1 and 1."""
-        return all(float((np.abs(self.p[a]).sum(0) + np.abs(self.p[b])).max()) < 60 for a, b in (("c", "cb"), ("w", "wb")))
+        one = np.ones(self.hidden + 1, self.p["c"].dtype)
+        return all(float((one @ np.abs(self.p[name])).max()) < 60 for name in ("c", "w"))
+
+    def _near(self, h: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The states in this order, each with a constant 1."""
+        out = np.empty((len(order), self.hidden + 1), h.dtype)
+        out[:, :-1], out[:, -1] = h.take(order, axis=0), 1
+        return out
 
     @staticmethod
-    def _exponentials(logits: np.ndarray, pick: tuple, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The picked logits and the sums of the exponentials, which replace the logits; all relative to the row's greatest unless bounded."""
+    def _exponentials(logits: np.ndarray, pick: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The picked logits (pick: places in the flat array) and the sums of the exponentials, which replace the logits; all relative to the row's greatest unless bounded."""
         if not bounded:
             logits -= logits.max(1, keepdims=True)
-        right = logits[pick]
+        right = logits.reshape(-1).take(pick)
         np.exp(logits, out=logits)
         return right, logits @ np.ones(logits.shape[1], logits.dtype)  # much faster than a sum along rows
 
@@ -180,53 +215,58 @@ class Gru:
                 a, b = self.first[k], self.first[k + 1]
                 some = out[i - lo : j - lo]
                 np.matmul(h[i:j], w[:, a:b], out=some[:, : b - a])
-                some[:, : b - a] += self.p["wb"][a:b]
-                some[:, b - a :] = -np.inf  # the last class may be smaller
+                if b - a < self.width:  # the last class may be smaller
+                    some[:, b - a :] = -np.inf
         return out
 
     def log_probabilities(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
         p, bounded = self.p, self.bounded()
         cls, out = self.class_of[token], np.empty(len(h))
-        for lo in range(0, len(h), ROWS):  # small enough for the cache
-            logits = h[lo : lo + ROWS] @ p["c"]
-            logits += p["cb"]
-            right, total = self._exponentials(logits, (np.arange(len(logits)), cls[lo : lo + ROWS]), bounded)
-            out[lo : lo + ROWS] = right - np.log(total)
         order = _order(cls)
-        near, place, cls = h[order], token[order] - self.first[cls[order]], cls[order]
+        near, place, cls = self._near(h, order), token[order] - self.first[cls[order]], cls[order]
+        found, width = np.empty(len(h)), p["c"].shape[1]
+        space, row = np.empty((min(ROWS, len(h)), width), np.result_type(h, p["c"])), np.arange(ROWS) * width
+        for lo in range(0, len(h), ROWS):  # small enough for the cache
+            part = slice(lo, min(lo + ROWS, len(h)))
+            logits = np.matmul(near[part], p["c"], out=space[: part.stop - lo])
+            right, total = self._exponentials(logits, row[: len(logits)] + cls[part], bounded)
+            found[part] = right - np.log(total)
         border = np.searchsorted(cls, np.arange(len(self.first)))
         for c, d in self._blocks(border):
-            at = slice(border[c], border[d])
+            part = slice(border[c], border[d])
             inner = self._within(near, border, c, d)
-            right, total = self._exponentials(inner, (np.arange(len(inner)), place[at]), bounded)
-            out[order[at]] += right - np.log(total)
+            right, total = self._exponentials(inner, np.arange(len(inner)) * self.width + place[part], bounded)
+            found[part] += right - np.log(total)
+        out[order] = found
         return out
 
     def score(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log probability of each document: tokens[starts[i]:starts[i + 1]], the end last."""
         length = np.diff(starts)
-        out, order = np.zeros(len(length)), np.argsort(-length, kind="stable")
-        for lo in range(0, len(order), GROUP):
-            docs = order[lo : lo + GROUP]
-            size, first = length[docs], starts[docs]
-            held, n_held = [], 0
-            h = np.zeros((len(docs), self.hidden), np.float32)
-            for at in range(0, int(size[0]), SPAN):
-                n = int(np.searchsorted(-size, -at, "left"))  # those with more than ``at`` tokens
-                span = min(SPAN, int(size[0]) - at)
-                step = at + np.arange(span)[:, None]
-                valid = step < size[None, :n]
-                here = np.where(valid, first[None, :n] + step, 0)
-                prev = np.where(valid & (step > 0), tokens[np.maximum(here - 1, 0)], END)
-                states = self.steps(prev, h[:n])
-                h = states[-1]
-                doc = np.broadcast_to(np.arange(n), valid.shape)[valid]
-                held.append((doc, states[valid], tokens[here[valid]]))
-                n_held += len(doc)
-                if n_held >= GROUP * SPAN or at + SPAN >= size[0]:  # a few long documents would make small arrays
-                    doc, states, token = (np.concatenate(x) for x in zip(*held))
-                    out[docs] += np.bincount(doc, self.log_probabilities(states, token), len(docs))
-                    held, n_held = [], 0
+        lane = _lanes(length, SIDE)
+        docs = np.lexsort((-length, lane))  # lane after lane; a lane reads its documents one after another
+        size = np.bincount(lane, length, int(lane.max(initial=-1)) + 1).astype(np.int64)
+        first = np.append(0, np.cumsum(size))[:-1]
+        doc = np.repeat(docs, length[docs])
+        shift = starts[docs] - np.append(0, np.cumsum(length[docs]))[:-1]
+        text = np.append(END, tokens[np.arange(len(doc)) + np.repeat(shift, length[docs])])  # an end stands before each document
+        longest = np.argsort(-size, kind="stable")
+        size, first = size[longest], first[longest]
+        out, held, n_held = np.zeros(len(length)), [], 0
+        h = np.zeros((len(size), self.hidden), np.float32)
+        for at in range(0, int(size.max(initial=0)), SPAN):
+            n = int(np.searchsorted(-size, -at, "left"))  # those with more than ``at`` tokens
+            step = np.arange(at, min(at + SPAN, int(size[0])))[:, None]
+            here, valid = first[:n] + step, step < size[:n]
+            whole = bool(valid.all())
+            states = self.steps(text[here] if whole else np.where(valid, text[np.where(valid, here, 0)], END), h[:n])
+            h = states[-1]
+            held.append((here.ravel(), states.reshape(-1, self.hidden)) if whole else (here[valid], states[valid]))
+            n_held += len(held[-1][0])
+            if n_held >= GROUP * SPAN or at + SPAN >= size[0]:  # a few long documents would make small arrays
+                here, states = (np.concatenate(x) for x in zip(*held)) if len(held) > 1 else held[0]
+                out += np.bincount(doc[here], self.log_probabilities(states, text[here + 1]), len(out))
+                held, n_held = [], 0
         return out
 
     def gradient(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray):
@@ -237,67 +277,77 @@ class Gru:
         n, loss = len(target), 0.0
         g = {name: np.zeros_like(v) for name, v in p.items() if name != "x"}
         order = _order(self.class_of[target])  # a class's tokens follow each other
-        near, aim = flat[order], target[order]
+        near, aim = self._near(flat, order), target[order]
         cls, back = self.class_of[aim], np.empty_like(flat)
+        place, width = aim - self.first[cls], p["c"].shape[1]
+        border = np.searchsorted(cls, np.arange(len(self.first)))
+        back[: border[2]] = 0  # these classes have one word each
+        for lo, hi in self._blocks(border):
+            first = border[lo]
+            block = self._within(near, border, lo, hi)
+            loss += self._errors(block, np.arange(len(block)) * self.width + place[first : border[hi]], bounded, n)
+            for c in range(lo, hi):
+                i, j = border[c], border[c + 1]
+                if i < j:
+                    a, b = self.first[c], self.first[c + 1]
+                    e = block[i - first : j - first, : b - a]
+                    np.matmul(near[i:j].T, e, out=g["w"][:, a:b])
+                    np.matmul(e, p["w"][:-1, a:b].T, out=back[i:j])
         for lo in range(0, n, ROWS):
             part = slice(lo, lo + ROWS)
             e = near[part] @ p["c"]
-            e += p["cb"]
-            pick = (np.arange(len(e)), cls[part])
-            right, total = self._exponentials(e, pick, bounded)
-            loss -= (right - np.log(total)).sum()
-            e *= (1 / total)[:, None]
-            e[pick] -= 1
+            loss += self._errors(e, np.arange(len(e)) * width + cls[part], bounded, n)
             g["c"] += near[part].T @ e
-            g["cb"] += np.ones(len(e), e.dtype) @ e
-            np.matmul(e, p["c"].T, out=back[part])
-        border = np.searchsorted(cls, np.arange(len(self.first)))
-        for c in range(2, len(self.first) - 1):
-            i, j = border[c], border[c + 1]
-            if i == j:
-                continue
-            a, b = self.first[c], self.first[c + 1]
-            e = near[i:j] @ p["w"][:, a:b]
-            e += p["wb"][a:b]
-            pick = (np.arange(j - i), aim[i:j] - a)
-            right, total = self._exponentials(e, pick, bounded)
-            loss -= (right - np.log(total)).sum()
-            e *= (1 / total)[:, None]
-            e[pick] -= 1
-            g["w"][:, a:b], g["wb"][a:b] = near[i:j].T @ e, np.ones(j - i, e.dtype) @ e
-            back[i:j] += e @ p["w"][:, a:b].T
+            back[part] += e @ p["c"][:-1].T
         dh = np.empty_like(states)
         dh.reshape(-1, k)[order] = back
         dx = np.empty((*prev.shape, 3 * k), dh.dtype)
-        later, ended = np.zeros_like(h), prev == END
-        some, goes_on, vt = ended.any(1), (~ended).astype(h.dtype)[:, :, None], np.ascontiguousarray(p["v"].T)
-        uzt, urt = (np.ascontiguousarray(p["u"][:, a : a + k].T) for a in (0, k))
+        u, vt = np.ascontiguousarray(p["u"].T.reshape(2, k, k)), np.ascontiguousarray(p["v"].T)
+        for lo in range(0, prev.shape[1], SIDE):
+            side = slice(lo, lo + SIDE)
+            self._side_back(prev[:, side], u, vt, dh[:, side], dx[:, side], {name: v[..., side, :] for name, v in keep.items()})
+        gates = dx.reshape(-1, 3 * k)
+        g["v"] = keep["rh"].reshape(-1, k).T @ gates[:, 2 * k :]
+        g["u"] = keep["h"].reshape(-1, k).T @ gates[:, : 2 * k]
+        return loss / n, g, dx, states[-1]
+
+    def _errors(self, logits: np.ndarray, pick: np.ndarray, bounded: bool, n: int) -> float:
+        """The negative log-likelihood of the picked; the gradient of its n-th part replaces the logits."""
+        right, total = self._exponentials(logits, pick, bounded)
+        logits *= (1 / n / total)[:, None]
+        logits.reshape(-1)[pick] -= 1 / n
+        return -(right - np.log(total)).sum()
+
+    def _side_back(self, prev, u, vt, dh, dx, keep: dict[str, np.ndarray]) -> None:
+        """The way back through the steps of some lanes; dh, the gradients by state, is used up."""
+        n, k = dh.shape[1:]
+        later, ended = np.zeros((n, k), dh.dtype), prev == END
+        some, goes_on = ended.any(1), (~ended).astype(dh.dtype)[:, :, None]
+        slope, dzr, by_gate = (np.empty((2, n, k), dh.dtype) for _ in range(3))
+        dz, dr = dzr
         for t in range(len(prev) - 1, -1, -1):
-            h0, z, r, c = (keep[name][t] for name in ("h", "z", "r", "g"))
-            total = dh[t]
+            h0, zr, c, total = keep["h"][t], keep["zr"][t], keep["g"][t], dh[t]
             total += later
-            dg = total * z
-            later = total - dg
-            dg *= 1 - c * c
+            dg = total * zr[0]
+            np.subtract(total, dg, out=later)
+            np.subtract(c, h0, out=dz)
+            dz *= total
+            c *= c
+            np.subtract(1, c, out=c)
+            dg *= c
             drh = dg @ vt
-            c -= h0
-            dz = total * c
-            dz *= z * (1 - z)
-            later += drh * r
-            drh *= h0
-            drh *= r * (1 - r)
-            later += dz @ uzt
-            later += drh @ urt
-            dx[t][:, :k], dx[t][:, k : 2 * k], dx[t][:, 2 * k :] = dz, drh, dg
+            np.multiply(drh, h0, out=dr)
+            drh *= zr[1]
+            later += drh
+            np.multiply(zr, zr, out=slope)
+            np.subtract(zr, slope, out=slope)
+            dzr *= slope
+            np.matmul(dzr, u, out=by_gate)
+            later += by_gate[0]
+            later += by_gate[1]
+            dx[t][:, :k], dx[t][:, k : 2 * k], dx[t][:, 2 * k :] = dz, dr, dg
             if some[t]:
                 later *= goes_on[t]
-        gates = dx.reshape(-1, 3 * k)
-        g["v"] = keep["rh"].reshape(-1, k).T @ gates[:, 2 * k :]
-        g["u"] = keep["h"].reshape(-1, k).T @ gates[:, : 2 * k]
-        dx /= n
-        for v in g.values():
-            v /= n
-        return loss / n, g, dx, states[-1]
 
     def seen(self) -> dict[str, np.ndarray]:
         """The sums of squared gradients before the first update."""
@@ -314,8 +364,8 @@ class Gru:
         for name, v in g.items():
             seen[name] += v * v
             self._descend(self.p[name], v, seen[name])
-        seen["x"][rows] += gx * gx
-        self.p["x"][rows] = self._descend(self.p["x"][rows], gx, seen["x"][rows])
+        seen["x"][rows] = squares = seen["x"][rows] + gx * gx
+        self.p["x"][rows] = self._descend(self.p["x"][rows], gx, squares)
         return float(loss), h
 
     @staticmethod
@@ -371,6 +421,9 @@ class Vocabulary:
         hashes, counts = hashes[:words], counts[:words]
         order = np.argsort(hashes)
         self.keys, self.token = hashes[order], order + 2
+        low, some, n = np.unique(self.keys & SLOTS - 1, return_index=True, return_counts=True)
+        self.slot = np.zeros(SLOTS, np.int32)  # where a hash with these low bits is among the keys, if anywhere
+        self.slot[low] = np.where(n == 1, some, -1)  # or that several have them
         self.end_count, self.total, self.distinct = end_count, total, distinct
         self.other_total = total - end_count - int(counts.sum())
         self.other_distinct = distinct - len(hashes) - int(end_count > 0)
@@ -379,7 +432,9 @@ class Vocabulary:
     def tokens(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at = self.slot[h & SLOTS - 1]  # much faster than a search
+        several = np.flatnonzero(at < 0)
+        at[several] = np.minimum(np.searchsorted(self.keys, h[several]), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.token[at], OTHER)
 
     def table_counts(self, h: np.ndarray) -> np.ndarray:
