@@ -83,23 +83,23 @@ def _order(key: np.ndarray) -> np.ndarray:
 
 
 def _sums(values: np.ndarray, key: np.ndarray, often: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, the most frequent first, and the sums of their rows."""
+    """The distinct keys, the most frequent first, and the sums of their rows; values: some tables of a row for each key, whose sums are put side by side."""
     order = _order(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     n = np.diff(np.append(first, len(key)))
     by = np.argsort(-n, kind="stable")
     first, n = first[by], n[by]
-    out = np.empty((len(n), values.shape[1]), values.dtype)
+    out = np.empty((len(values), len(n), values.shape[2]), values.dtype)
     some = int(np.searchsorted(-n, -often, "left"))
     for i in range(some):  # a product is much faster than a sum along columns
-        out[i] = np.ones(n[i], values.dtype) @ values.take(order[first[i] : first[i] + n[i]], axis=0)
+        out[:, i] = np.ones(n[i], values.dtype) @ values.take(order[first[i] : first[i] + n[i]], axis=1)
     if some < len(n):
-        out[some:] = values.take(order[first[some:]], axis=0)
+        out[:, some:] = values.take(order[first[some:]], axis=1)
         for k in range(1, n[some]):  # the k-th row of every other key that has one
             m = int(np.searchsorted(-n, -k, "left"))
-            out[some:m] += values.take(order[first[some:m] + k], axis=0)
-    return key[first], out
+            out[:, some:m] += values.take(order[first[some:m] + k], axis=1)
+    return key[first], out.swapaxes(0, 1).reshape(len(n), -1)
 
 
 def _lanes(length: np.ndarray, most: int) -> np.ndarray:
@@ -247,9 +247,8 @@ class Gru:
         docs = np.lexsort((-length, lane))  # lane after lane; a lane reads its documents one after another
         size = np.bincount(lane, length, int(lane.max(initial=-1)) + 1).astype(np.int64)
         first = np.append(0, np.cumsum(size))[:-1]
-        doc = np.repeat(docs, length[docs])
-        shift = starts[docs] - np.append(0, np.cumsum(length[docs]))[:-1]
-        text = np.append(END, tokens[np.arange(len(doc)) + np.repeat(shift, length[docs])])  # an end stands before each document
+        doc = np.repeat(docs.astype(np.int32), length[docs])
+        text = np.concatenate([[END], *(tokens[starts[i] : starts[i + 1]] for i in docs)], dtype=np.int32, casting="same_kind")  # an end stands before each document
         longest = np.argsort(-size, kind="stable")
         size, first = size[longest], first[longest]
         out, held, n_held = np.zeros(len(length)), [], 0
@@ -271,6 +270,11 @@ class Gru:
 
     def gradient(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray):
         """Mean negative log-likelihood, its gradient (the input table's by row), and the last state."""
+        loss, g, gates, h = self._gradient(prev, token, h)
+        return loss, g, np.concatenate(list(gates), axis=2), h
+
+    def _gradient(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray):
+        """As ``gradient``; the input table's by gate, as slices of rows are slow."""
         p, k, keep, bounded = self.p, self.hidden, {}, self.bounded()
         states = self.steps(prev, h, keep)
         flat, target = states.reshape(-1, k), token.ravel()
@@ -301,15 +305,15 @@ class Gru:
             back[part] += e @ p["c"][:-1].T
         dh = np.empty_like(states)
         dh.reshape(-1, k)[order] = back
-        dx = np.empty((*prev.shape, 3 * k), dh.dtype)
+        gates = np.empty((3, *prev.shape, k), dh.dtype)
         u, vt = np.ascontiguousarray(p["u"].T.reshape(2, k, k)), np.ascontiguousarray(p["v"].T)
         for lo in range(0, prev.shape[1], SIDE):
             side = slice(lo, lo + SIDE)
-            self._side_back(prev[:, side], u, vt, dh[:, side], dx[:, side], {name: v[..., side, :] for name, v in keep.items()})
-        gates = dx.reshape(-1, 3 * k)
-        g["v"] = keep["rh"].reshape(-1, k).T @ gates[:, 2 * k :]
-        g["u"] = keep["h"].reshape(-1, k).T @ gates[:, : 2 * k]
-        return loss / n, g, dx, states[-1]
+            self._side_back(prev[:, side], u, vt, dh[:, side], gates[:, :, side], {name: v[..., side, :] for name, v in keep.items()})
+        by_h, by_rh = (keep[name].reshape(-1, k).T for name in ("h", "rh"))
+        for at, (name, side, left) in enumerate((("u", slice(k), by_h), ("u", slice(k, None), by_h), ("v", slice(None), by_rh))):
+            g[name][:, side] = left @ gates[at].reshape(-1, k)
+        return loss / n, g, gates, states[-1]
 
     def _errors(self, logits: np.ndarray, pick: np.ndarray, bounded: bool, n: int) -> float:
         """The negative log-likelihood of the picked; the gradient of its n-th part replaces the logits."""
@@ -318,17 +322,17 @@ class Gru:
         logits.reshape(-1)[pick] -= 1 / n
         return -(right - np.log(total)).sum()
 
-    def _side_back(self, prev, u, vt, dh, dx, keep: dict[str, np.ndarray]) -> None:
-        """The way back through the steps of some lanes; dh, the gradients by state, is used up."""
+    def _side_back(self, prev, u, vt, dh, gates, keep: dict[str, np.ndarray]) -> None:
+        """The way back through the steps of some lanes; dh, the gradients by state, is used up, those by gate are written to ``gates``."""
         n, k = dh.shape[1:]
         later, ended = np.zeros((n, k), dh.dtype), prev == END
         some, goes_on = ended.any(1), (~ended).astype(dh.dtype)[:, :, None]
-        slope, dzr, by_gate = (np.empty((2, n, k), dh.dtype) for _ in range(3))
-        dz, dr = dzr
+        slope, by_gate = (np.empty((2, n, k), dh.dtype) for _ in range(2))
         for t in range(len(prev) - 1, -1, -1):
             h0, zr, c, total = keep["h"][t], keep["zr"][t], keep["g"][t], dh[t]
+            dzr, (dz, dr, dg) = gates[:2, t], gates[:, t]
             total += later
-            dg = total * zr[0]
+            np.multiply(total, zr[0], out=dg)
             np.subtract(total, dg, out=later)
             np.subtract(c, h0, out=dz)
             dz *= total
@@ -345,7 +349,6 @@ class Gru:
             np.matmul(dzr, u, out=by_gate)
             later += by_gate[0]
             later += by_gate[1]
-            dx[t][:, :k], dx[t][:, k : 2 * k], dx[t][:, 2 * k :] = dz, dr, dg
             if some[t]:
                 later *= goes_on[t]
 
@@ -355,8 +358,8 @@ class Gru:
 
     def update(self, prev: np.ndarray, token: np.ndarray, h: np.ndarray, seen: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
         """One adaptive step; the loss before it and the last state."""
-        loss, g, dx, h = self.gradient(prev, token, h)
-        rows, gx = _sums(dx.reshape(-1, dx.shape[2]), prev.ravel())
+        loss, g, gates, h = self._gradient(prev, token, h)
+        rows, gx = _sums(gates.reshape(3, -1, self.hidden), prev.ravel())
         norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (*g.values(), gx)))
         if norm > CLIP:
             for v in (*g.values(), gx):
